@@ -27,8 +27,8 @@ from .common import cut, let, packed, small, words
 MEASURES = {
     "word_length": ("word_chars", "n_words", 100, 100, True),
     "symbols": ("n_symbols", "word_chars", 10_000, 500, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 2_500, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 1_000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 4_000, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 2_000, False),
 }
 
 
