@@ -83,17 +83,18 @@ def packed(docs: DataFrame, **work: Column) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in work.items()])
 
 
-def gapless(df: DataFrame, key: str, size: str, order: str, name: str, run: int = 4096) -> DataFrame:
-    """Add a 0-based position within each key, in the order of a hash column.
-
-    No task gets a whole key: a key of `size` rows (a column that holds the
-    count) is dealt by its hash into runs of about `run` rows. Rows are numbered
-    inside a run, and each run starts where the counts of the earlier runs end.
-    Rows with equal hashes are numbered in any order.
+def running(df: DataFrame, key: str, count: str, order: str, name: str, value: Column | None = None, run: int = 4096) -> DataFrame:
+    """Add the sum of `value` (1 if not given: a gapless 0-based position) over the
+    earlier rows of the same key, in the order of a hash column.
+
+    No task gets a whole key: a key of `count` rows (a column) is dealt by its
+    hash into runs of about `run` rows. Sums are taken inside a run, and each run
+    starts where the totals of the earlier runs end. Rows with equal hashes come
+    in any order.
     """
-    runs = F.ceil(F.col(size) / run)
-    dealt = df.withColumn("_run", F.pmod(F.shiftrightunsigned(F.col(order), 17), F.greatest(runs, F.lit(1))))
-    starts = dealt.groupBy(key, "_run").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(key, "_run", "_start")
-    inside = dealt.withColumn("_at", F.row_number().over(W.partitionBy(key, "_run").orderBy(order)) - 1)
-    return inside.join(starts, [key, "_run"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_run", "_start", "_at")
+    value = F.lit(1).cast("long") if value is None else value
+    dealt = df.withColumns({"_run": F.pmod(F.shiftrightunsigned(F.col(order), 17), F.greatest(F.ceil(F.col(count) / run), F.lit(1))), "_value": value})
+    before = W.partitionBy(key).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    starts = dealt.groupBy(key, "_run").agg(F.sum("_value").alias("_total")).select(key, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_value").over(W.partitionBy(key, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_at", inside).join(starts, [key, "_run"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_run", "_start", "_at", "_value")
