@@ -78,6 +78,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
+def hash_of(column: str) -> Column:
+    """A whole number below 2**24 that any SQL engine can compute from a string."""
+    return F.conv(F.substring(F.md5(F.col(column)), 1, 6), 16, 10).cast("long")
+
+
 def packed(docs: DataFrame, **work: Column) -> DataFrame:
     """The input row as one struct beside working columns, so that no input name can clash."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in work.items()])

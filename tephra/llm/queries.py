@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, mixing, quality, sharding, simhash, urls, warc
 from .common import table
 
 
@@ -34,8 +34,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.records_of(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform("headers", lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    return found.withColumn("headers", headers)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_sharding, op7_simhash, op8_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_sharding, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits)}
 
 
 def _op1_sql() -> str:
@@ -85,5 +95,52 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n ON d.rid = n.rid LEFT JOIN s ON d.rid = s.rid"""
 
 
+def _op9_sql() -> str:
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'n': '{h}{p}', 'v': '{v}'}}" for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])))
+    subs = " UNION ALL ".join(f"SELECT *, substring(shape, i, {k}) AS gram FROM (SELECT *, unnest(range(1, length(shape) - {k} + 2)) AS i FROM {{t}})" for k in range(1, urls.ORDER + 1))
+    levels = []
+    for k in range(1, urls.ORDER + 1):
+        q = lambda c, k=k: "1 / 256" if k == 1 else f"l.p_{c}"
+        p = lambda c, q=q: f"CASE WHEN n_{c} > 0 THEN ({c} + t_{c} * ({q(c)})) / (n_{c} + t_{c}) ELSE {q(c)} END"
+        gain = lambda c, q=q: f"CASE WHEN {c} > 0 THEN ln(p_{c} / (back_{c} * q_{c})) ELSE 0 END"
+        levels.append(f"""l{k} AS (SELECT gram, p_yes, p_no, ({gain("yes")}) - ({gain("no")}) AS w FROM (SELECT g.*, {p("yes")} AS p_yes, {p("no")} AS p_no, {q("yes")} AS q_yes, {q("no")} AS q_no
+            FROM gc g {f"JOIN l{k - 1} l ON l.gram = substring(g.gram, 2)" if k > 1 else ""} WHERE length(g.gram) = {k}))""")
+    unions = " UNION ALL ".join(f"SELECT gram, w FROM l{k}" for k in range(1, urls.ORDER + 1))
+    return rf"""
+WITH a AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r AS (SELECT *, CASE {fits} END AS r, chr(2) || regexp_replace(host || path, '[0-9]+', '0', 'g') || chr(3) AS shape FROM b),
+s AS (SELECT shape, count(*) FILTER (r.v = 'allow') AS yes, count(*) FILTER (r.v = 'block') AS no, ('0x' || left(md5(shape), 6))::BIGINT % {urls.FOLDS} AS fold FROM r GROUP BY shape),
+f AS (SELECT * FROM s WHERE fold > 0 AND yes + no > 0),
+g AS (SELECT gram, left(gram, length(gram) - 1) AS context, sum(yes) AS yes, sum(no) AS no FROM ({subs.format(t="f")}) GROUP BY gram),
+c AS (SELECT *, CASE WHEN n_yes > 0 THEN t_yes / (n_yes + t_yes) ELSE 1 END AS back_yes, CASE WHEN n_no > 0 THEN t_no / (n_no + t_no) ELSE 1 END AS back_no
+    FROM (SELECT context, sum(yes) AS n_yes, count(*) FILTER (yes > 0) AS t_yes, sum(no) AS n_no, count(*) FILTER (no > 0) AS t_no FROM g GROUP BY context)),
+gc AS (SELECT * FROM g JOIN c USING (context)),
+{", ".join(levels)},
+w AS (SELECT gram, round(sum(w) * {urls.UNIT})::BIGINT AS w FROM ({unions} UNION ALL SELECT context, ln(back_yes) - ln(back_no) FROM c) GROUP BY gram),
+z AS (SELECT shape, sum(coalesce(w, 0)) AS total FROM ({subs.format(t="s")}) LEFT JOIN w USING (gram) GROUP BY shape),
+x AS (SELECT s.*, floor((total + coalesce((SELECT w FROM w WHERE gram = ''), 0) * length(shape)) / (length(shape) * {urls.BIN})) AS ratio FROM s JOIN z USING (shape)),
+t AS (SELECT ratio, sum(yes) AS yes, sum(no) AS no FROM x WHERE fold = 0 AND yes + no > 0 GROUP BY ratio),
+u AS (SELECT ratio, coalesce(sum(no) OVER b, 0) / nullif(sum(no) OVER (), 0) - coalesce(sum(yes) OVER b, 0) / nullif(sum(yes) OVER (), 0) AS gain FROM t WINDOW b AS (ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+line AS (SELECT coalesce((SELECT ratio FROM u WHERE gain IS NOT NULL ORDER BY gain DESC, abs(ratio), ratio LIMIT 1), 0) AS line)
+SELECT page_id, host, path, r.n AS rule, coalesce(r.v, CASE WHEN ratio >= line THEN 'allow' ELSE 'block' END) AS verdict FROM r JOIN x USING (shape), line"""
+
+
+_OP10_SQL = rf"""
+WITH b AS (SELECT page_id, url, length(html) AS n, '"' || md5(html) || '"' AS tag, coalesce(('0x' || left(md5(url), 6))::BIGINT, 0) % 1000 AS h FROM pages),
+p AS (SELECT *, CASE WHEN h % 7 <> 0 THEN tag END AS etag, CASE WHEN h % 3 <> 0 THEN 'day ' || n END AS modified, regexp_replace(url, '#.*$', '') AS bare FROM b),
+q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)), '^(http://.*):80$', ''), '^(https://.*):443$', '') AS head,
+    regexp_extract(bare, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?]*)?([^?]*)', 1) AS path, list_sort([x for x in string_split(regexp_extract(bare, '\?(.*)$', 1), '&') if x <> '' AND NOT regexp_matches(x, '^utm_')]) AS query FROM p),
+c AS (SELECT *, head || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical_url FROM q),
+full_ AS (SELECT page_id * 2 AS record_id, page_id * 10 AS ts, canonical_url, etag, modified, n FROM c),
+revisit AS (SELECT page_id * 2 + 1 AS record_id, page_id, page_id * 10 + h * 100 AS ts, canonical_url, etag, modified, h FROM c),
+m AS (SELECT r.record_id, r.page_id, r.canonical_url, r.ts, r.etag, r.modified, r.h, f.record_id AS response_id, f.ts AS response_ts, f.etag AS f_etag, f.modified AS f_modified, f.n,
+    row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC, f.record_id DESC) AS k
+    FROM revisit r LEFT JOIN full_ f ON r.canonical_url = f.canonical_url AND (f.ts < r.ts OR f.ts = r.ts AND f.record_id < r.record_id)),
+o AS (SELECT *, coalesce(etag = f_etag, modified = f_modified) AS same FROM m WHERE k = 1)
+SELECT record_id, canonical_url, ts, response_id, response_ts, CASE WHEN response_id IS NULL THEN 'missing' WHEN same IS NULL THEN 'unchecked' WHEN same THEN 'confirmed' ELSE 'changed' END AS outcome,
+    CASE WHEN response_id IS NOT NULL AND coalesce(same, true) THEN 'age=' || h || '; content-length=' || n || '; content-type=text/html; date=' || page_id END AS headers FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL, "op9_url_filter": _op9_sql(), "op10_warc_revisits": _OP10_SQL}
