@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, urls, warc
+from . import decontaminate, mixing, pii, quality, secrets, sharding, simhash, urls, warc
 from .common import table
 
 
@@ -14,6 +14,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).select(*names)
 
 
+def _spans(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    basic = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return found.select("doc_id", *map(of, base), F.sha2(pii.digest(basic), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(pii.personal_data(table(spark, sf_dir, "documents")), pii.BASE)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,7 +59,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_sharding, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits)}
 
 
 def _op1_sql() -> str:
