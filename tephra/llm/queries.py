@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, secrets, sharding, simhash, urls, warc
+from . import decontaminate, licences, mixing, pii, quality, secrets, sharding, simhash, urls, warc
 from .common import table
 
 
@@ -24,6 +24,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(pii.personal_data(table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["kind"]))), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("spans").cast("long").alias("n_licences"), families.alias("families"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE)
 
@@ -59,7 +65,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op5_licences, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits)}
 
 
 def _op1_sql() -> str:
