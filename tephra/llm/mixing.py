@@ -2,7 +2,8 @@
 
 The documents of a source, in the order of a hash, form one stream of words that
 is cut into blocks. A source's target is so many whole passes over its stream
-plus so many blocks of one more pass: an exact block quota. A binary tree over
+plus so many blocks of one more pass, the last of them in part: an exact block
+quota. A binary tree over
 the output shards splits the vector of quotas: at each node the left half draws
 its share of every source's blocks from a multivariate hypergeometric
 distribution. The n-th draw of a source is the n-th block of a keyed permutation
@@ -66,7 +67,7 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def source_plan(sizes: DataFrame, n_shards: int, block_words: int) -> DataFrame:
+def source_plan(sizes: DataFrame, seed: int, block_words: int) -> DataFrame:
     """Per source of sizes(source, source_size, n_docs): target, sid, and its block quota."""
     ranked = sizes.withColumns({"sid": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1, "total": F.sum("source_size").over(W.partitionBy())})
     ranked = ranked.withColumns({"weight": F.col("sid") % 3 + 1, "most": F.col("source_size") * CAP})
@@ -76,12 +77,41 @@ def source_plan(sizes: DataFrame, n_shards: int, block_words: int) -> DataFrame:
     filled = ranked.withColumn("share", share).withColumn("full", F.col("most") / F.col("weight") <= F.col("share"))
     level = F.max(F.when(~F.col("full"), F.col("share"))).over(W.partitionBy())  # the first one not full has the largest share
     target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(level * F.col("weight"))
-    longest = F.greatest(F.lit(block_words).cast("double"), F.ceil(F.col("total") * CAP / MAX_BLOCKS))
-    size = F.greatest(F.col("source_size"), F.lit(1))
-    plan = filled.withColumn("target", target).withColumn("block", F.greatest(F.lit(1), F.least(longest, F.ceil(F.col("source_size") / 4096))).cast("long"))
-    plan = plan.withColumns({"blocks": F.ceil(F.col("source_size") / F.col("block")).cast("long"), "epochs": F.floor(F.col("target") / size).cast("long")})
-    plan = plan.withColumn("extra", F.least(F.round((F.col("target") - F.col("epochs") * F.col("source_size")) / F.col("block")).cast("long"), F.col("blocks")))
-    return plan.select("source", "source_size", "n_docs", "target", "sid", "block", "blocks", "epochs", "extra", (F.col("epochs") * F.col("blocks") + F.col("extra")).alias("quota"), F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    plan = filled.withColumn("target", target).withColumn("q", block_quota(seed, block_words)("sid", "source_size", "target", "total"))
+    return plan.select("source", "source_size", "n_docs", "target", "sid", "q.*", F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+
+
+_QUOTA = StructType([StructField(c, LongType()) for c in ("block", "blocks", "epochs", "extra", "rest", "quota")])
+
+
+def block_quota(seed: int, block_words: int):  # noqa: ANN201
+    """Block length and number, whole passes, further blocks, words of one more block, draws in all."""
+
+    def of(sid: int, size: int, target: float, total: int) -> tuple:
+        if not size:
+            return 1, 1, 0, 0, 0, 0
+        blocks = max(1, size // max(block_words, -(-CAP * total // MAX_BLOCKS)))
+        block = -(-size // blocks)
+        blocks = -(-size // block)
+        epochs = min(CAP, int(target // size))
+        words = min(size, round(target - epochs * size))
+        extra = words // block
+        short = blocks * block - size  # by so many words the last block is shorter
+        last = int(permuted(np.array([blocks - 1]), blocks, _key(seed, sid, epochs))[0])
+        rest = words - extra * block + (short if last < extra else 0)
+        if rest >= block:
+            extra, rest = extra + 1, rest - block + (short if last == extra else 0)
+        return block, blocks, epochs, extra, rest, epochs * blocks + extra + (rest > 0)
+
+    @pandas_udf(_QUOTA)
+    def quota(sid: pd.Series, size: pd.Series, target: pd.Series, total: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(int(a), int(b), float(c), int(d)) for a, b, c, d in zip(sid, size, target, total, strict=True)], columns=_QUOTA.names, dtype="int64")
+
+    return quota
+
+
+def _key(seed: int, sid: int, epoch: int) -> int:
+    return (seed * 1_000_003 + sid) * 8 + epoch
 
 
 def with_shards(plan: DataFrame, n_shards: int, seed: int) -> DataFrame:
@@ -109,13 +139,14 @@ def drawn(seed: int):  # noqa: ANN201
     """The draws that touch a document at words [at, at + size) of its source's stream."""
 
     @pandas_udf(_DRAWS)
-    def draws(at: pd.Series, size: pd.Series, sid: pd.Series, block: pd.Series, blocks: pd.Series, epochs: pd.Series, extra: pd.Series, upto: pd.Series) -> pd.DataFrame:
+    def draws(at: pd.Series, size: pd.Series, sid: pd.Series, block: pd.Series, blocks: pd.Series, epochs: pd.Series, extra: pd.Series, rest: pd.Series, upto: pd.Series) -> pd.DataFrame:
         a, z = at.to_numpy(np.int64), at.to_numpy(np.int64) + size.to_numpy(np.int64)
         out = {c: [[]] * len(a) for c in DRAWS}
         taken = np.zeros(len(a), dtype=np.int64)
         for s, rows in sid.groupby(sid).indices.items():
             i = rows[0]
-            length, n, whole, quota = int(block.iat[i]), int(blocks.iat[i]), int(epochs.iat[i]), int(epochs.iat[i]) * int(blocks.iat[i]) + int(extra.iat[i])
+            length, n, whole, part = int(block.iat[i]), int(blocks.iat[i]), int(epochs.iat[i]), int(rest.iat[i])
+            full = whole * n + int(extra.iat[i])
             rows = rows[z[rows] > a[rows]]
             first, last = a[rows] // length, (z[rows] - 1) // length
             row = np.repeat(rows, last - first + 1)
@@ -123,9 +154,10 @@ def drawn(seed: int):  # noqa: ANN201
             start, end = np.maximum(a[row], b * length) - a[row], np.minimum(z[row], (b + 1) * length) - a[row]
             found = []
             for k in range(whole + 1):
-                draw = k * n + permuted(b, n, (seed * 1_000_003 + int(s)) * 8 + k)
-                ok = draw < quota
-                found.append(np.stack([row[ok], np.full(ok.sum(), k), draw[ok], np.searchsorted(upto.iat[i], draw[ok], side="right"), start[ok], (end - start)[ok]]))
+                draw = k * n + permuted(b, n, _key(seed, int(s), k))
+                last = np.where(draw == full, np.minimum(end, b * length + part - a[row]), end)  # one block in part
+                ok = (draw <= full) & (last > start)
+                found.append(np.stack([row[ok], np.full(ok.sum(), k), draw[ok], np.searchsorted(upto.iat[i], draw[ok], side="right"), start[ok], (last - start)[ok]]))
             all_ = np.concatenate(found, axis=1)
             all_ = all_[:, np.lexsort((all_[4], all_[1], all_[0]))]
             np.add.at(taken, all_[0], all_[5])
@@ -138,7 +170,7 @@ def drawn(seed: int):  # noqa: ANN201
     return draws
 
 
-def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_words: int = 1024, keep_row: bool = False) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_words: int = 512, keep_row: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and its
     draws: epoch, draw, shard, first and n are arrays that go together (words first to
     first + n of the document are drawn). keep_row adds the input row as `row`."""
@@ -146,11 +178,11 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_words: int = 1
     work = {"doc_id": docs["doc_id"], "source": docs["source"], "size": size, "order": F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])}
     rows = packed(docs, **work) if keep_row else docs.select(*[c.alias(k) for k, c in work.items()])
     rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "mix")
-    plan = cut(source_plan(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), n_shards, block_words), "plan")
+    plan = cut(source_plan(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), seed, block_words), "plan")
     plan = cut(with_shards(plan, n_shards, seed), "plan").withColumnRenamed("source", "of")
     slim = rows.select("uid", "doc_id", "source", "size", "order").join(small(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     placed = running(slim, "sid", "n_docs", "order", "at", F.col("size"))
-    found = placed.withColumn("d", drawn(seed)("at", "size", "sid", "block", "blocks", "epochs", "extra", "upto"))
+    found = placed.withColumn("d", drawn(seed)("at", "size", "sid", "block", "blocks", "epochs", "extra", "rest", "upto"))
     found = found.select("uid", "doc_id", "source", "size", "source_size", "target", "d.*")
     return found.join(rows.select("uid", "row"), "uid").drop("uid") if keep_row else found.drop("uid")
 
