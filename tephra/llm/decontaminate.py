@@ -45,22 +45,23 @@ def covered(hits: Column) -> Column:
 
 
 def hits(rows: DataFrame, bench: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
-    """Per row of rows(uid, doc_id, text): uid, doc_id, n_words, spans (at, k of hit windows), items."""
+    """Per row of rows(uid, doc_id, text): uid, doc_id, n_words, spans (at, k of hit windows), items.
+
+    The marker of a row stands at -1 and has the number of words as its k."""
     grams = cut(test_ngrams(bench), "grams")
     lengths = sorted(r.k for r in grams.select("k").distinct().collect())  # 10 values at most
-    spot = lambda at, k, g: F.struct(at.cast("int").alias("at"), F.lit(k).alias("k"), g.alias("gram"))
+    spot = lambda at, k, g: F.struct(at.cast("int").alias("at"), k.alias("k"), g.alias("gram"))
 
     def of_length(w: Column, k: int) -> Column:
-        return F.transform(windows(w, k), lambda g, i: spot(i, k, g))
+        return F.transform(windows(w, k), lambda g, i: spot(i, F.lit(k), g))
 
     def spots(w: Column) -> Column:
-        marker = F.array(spot(F.lit(-1), -1, F.lit(None).cast("string")))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.concat(marker, *[of_length(w, k) for k in lengths]).alias("spots"))
+        return F.concat(F.array(spot(F.lit(-1), F.size(w), F.lit(None).cast("string"))), *[of_length(w, k) for k in lengths])
 
-    seen = rows.select("uid", "doc_id", let(normal_words(F.col("text")), spots).alias("s")).select("uid", "doc_id", "s.n_words", F.inline("s.spots"))
+    seen = rows.select("uid", "doc_id", F.inline(let(normal_words(F.col("text")), spots)))
     met = seen.join(small(grams.select("gram", "k", "items"), max_broadcast), ["gram", "k"], "left").filter("at < 0 or items is not null")
     span = F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "k")))
-    return met.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), span.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return met.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max(F.when(F.col("at") < 0, F.col("k"))).cast("long").alias("n_words"), span.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
