@@ -88,7 +88,7 @@ def packed(docs: DataFrame, **work: Column) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in work.items()])
 
 
-def running(df: DataFrame, key: str, count: str, order: str, name: str, value: Column | None = None, run: int = 4096) -> DataFrame:
+def running(df: DataFrame, key: str, count: str, order: str, name: str, value: Column | None = None, run: int = 1024) -> DataFrame:
     """Add the sum of `value` (1 if not given: a gapless 0-based position) over the
     earlier rows of the same key, in the order of a hash column.
 
