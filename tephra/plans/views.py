@@ -59,7 +59,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vector read as an 8 x 8 gray frame: image_id, label, pixels scaled to [0, 1]."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("raw"))
     low, high = F.array_min("raw"), F.array_max("raw")
-    return e.select("image_id", "label", F.transform("raw", lambda x: F.round((x - low) / (high - low), 4)).alias("pixels"))
+    return e.select("image_id", "label", F.transform("raw", lambda x: (x - low) / (high - low)).alias("pixels"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("image_id", F.posexplode("pixels").alias("p", "v")).select("image_id", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "v")
 
 
-FRAMES_SQL = """fr AS (SELECT vec_id AS image_id, label, [round((x::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE), 4) for x in embedding] AS pixels FROM embeddings),
+FRAMES_SQL = """fr AS (SELECT vec_id AS image_id, label, [(x::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) for x in embedding] AS pixels FROM embeddings),
 px AS (SELECT image_id, (p - 1) % 8 AS x, (p - 1) // 8 AS y, pixels[p] AS v FROM (SELECT image_id, pixels, unnest(range(1, 65)) AS p FROM fr))"""
 
 
