@@ -13,7 +13,7 @@ from .select import first_of
 
 
 def last_per_key(new: DataFrame, key: str, arrival: Column) -> DataFrame:
-    return first_of(new, [key], arrival.desc_nulls_last())
+    return first_of(new, [key], arrival, last=True)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "url", arrival: Column | None = None) -> DataFrame:

@@ -124,14 +124,29 @@ def crop(px: DataFrame, x_min: int | None = None, x_max: int | None = None, y_mi
 
 
 def previous_in_month(frames: DataFrame) -> DataFrame:
-    """Every readable frame with the readable one before it in its month."""
-    by = W.partitionBy("camera", "year", "month").orderBy("day", "hour", "minute", "filename", "image_id")
-    return frames.filter("readable").withColumn("prev_id", F.lag("image_id").over(by))
+    """Every readable frame with the readable one before it in its month. Days are ordered
+    apart; the first frame of a day takes the last one of the latest earlier day."""
+    ok = frames.filter("readable")
+    month, order = ["camera", "year", "month"], ["hour", "minute", "filename", "image_id"]
+    inside = ok.withColumn("prev_id", F.lag("image_id").over(W.partitionBy(*month, "day").orderBy(*order)))
+    ends = ok.groupBy(*month, "day").agg(F.max_by("image_id", F.struct(*order)).alias("_end"))
+    carried = ends.withColumn("_end", F.lag("_end").over(W.partitionBy(*month).orderBy("day")))  # one row a day
+    carried = carried.select(*[F.col(c).alias(f"_{c}") for c in (*month, "day")], "_end")
+    same = F.lit(True)
+    for c in (*month, "day"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return inside.join(carried, same, "left").withColumn("prev_id", F.coalesce("prev_id", "_end")).select(*frames.columns, "prev_id")
 
 
 def previous_in_gap(frames: DataFrame, minutes: int = 20) -> DataFrame:
-    """Every frame with the row before it of the same camera, if that is recent enough."""
-    by = W.partitionBy("camera").orderBy("at", "image_id")
-    out = frames.withColumns({"prev_id": F.lag("image_id").over(by), "_t": F.lag("at").over(by)})
-    near = F.timestamp_diff("SECOND", F.col("_t"), F.col("at")) <= minutes * 60
-    return out.withColumn("prev_id", F.when(near, F.col("prev_id"))).drop("_t")
+    """Every frame with the row before it of the same camera, if that is recent enough.
+
+    Time is cut into slices as long as the gap, and a row is also shown to the next
+    slice: the row before, if recent enough, is then in the same slice."""
+    gap = minutes * 60
+    cut = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at")) / gap)
+    shown = frames.withColumn("_t", F.explode(F.array(*[F.struct((cut + d).alias("cut"), F.lit(bool(d)).alias("ghost")) for d in (0, 1)])))
+    by = W.partitionBy("camera", "_t.cut").orderBy("at", "image_id")
+    out = shown.withColumns({"prev_id": F.lag("image_id").over(by), "_before": F.lag("at").over(by)}).filter("not _t.ghost")
+    near = F.timestamp_diff("SECOND", F.col("_before"), F.col("at")) <= gap
+    return out.withColumn("prev_id", F.when(near, F.col("prev_id"))).select(*frames.columns, "prev_id")

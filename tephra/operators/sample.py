@@ -21,8 +21,18 @@ def rank_min(df: DataFrame, by: list[str], score: str) -> DataFrame:
     return df.withColumn("rank", F.rank().over(W.partitionBy(*by).orderBy(F.desc(score))))
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, slices: int) -> DataFrame:
+    """Positions from 1 in each group. The first `slices` columns of the order, such as the
+    date, cut a group into parts that are numbered apart and start where the earlier end."""
+    cut = df.withColumn("_part", F.struct(*[F.col(c) for c in order[:slices]]))
+    counts = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    inside = cut.withColumn("_at", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order[slices:])))
+    same = F.col("_part").eqNullSafe(F.col("_of"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return inside.join(starts, same).withColumn(name, F.col("_start") + F.col("_at")).select(*df.columns, name)
 
 
 def sample_n(df: DataFrame, key: str, n: int) -> DataFrame:

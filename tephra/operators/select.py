@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -71,6 +70,9 @@ def links(pages: DataFrame, pattern: str) -> DataFrame:
     return each.withColumn("link", link)
 
 
-def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in an order that must be total."""
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
+def first_of(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key in an order that must be total; a null order comes
+    first. It is an aggregate, so the rows of a hot key are reduced before they are shuffled."""
+    pick = F.max_by if last else F.min_by
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    return df.groupBy(*keys).agg(pick(row, F.struct(order)).alias("_row")).select(*keys, "_row.*").select(df.columns)

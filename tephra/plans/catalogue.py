@@ -35,7 +35,7 @@ _SCORES = ", sc AS (SELECT filename, patchcore_score AS s, image_id FROM idx WHE
 def map_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = index(spark, sf_dir)
     scores = df.filter("patchcore_score is not null and image_id % 2 = 0").select("filename", F.col("patchcore_score").alias("anomaly_score"))
-    return catalog.fill_scores(df, scores, "anomaly_score", F.col("anomaly_score").asc()).select("image_id", "anomaly_score")
+    return catalog.fill_scores(df, scores, "anomaly_score", F.col("anomaly_score")).select("image_id", "anomaly_score")
 
 
 @query("SELECT image_id, CASE WHEN image_id % 10 = 0 THEN 'checked' ELSE quality_flag END AS quality_flag, image_id % 10 = 0 AS updated FROM idx")
@@ -65,7 +65,7 @@ def fix_unknown_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing that stands in for the disk: most images, some with another size, some unknown ones."""
     df, i = index(spark, sf_dir), F.col("image_id")
-    one = select.first_of(df.filter(i % 7 != 0), ["local_path"], i.asc())
+    one = select.first_of(df.filter(i % 7 != 0), ["local_path"], i)
     size = F.when(i % 3 == 0, 2000 + i % 100).otherwise(F.coalesce("file_size_bytes", F.lit(700)))
     path = F.when(i % 50 == 1, F.concat(F.lit("data/raw/2024/01/new_"), "filename")).otherwise(F.col("local_path"))
     return one.select(path.alias("path"), size.cast("long").alias("length"))
@@ -165,12 +165,14 @@ def rank_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT image_id, row_number() OVER (PARTITION BY camera ORDER BY year, month, day, hour, minute, second, image_id) AS position FROM idx")
 def chrono_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.numbered(index(spark, sf_dir), ["camera"], ["year", "month", "day", "hour", "minute", "second", "image_id"], "position").select("image_id", "position")
+    order = ["year", "month", "day", "hour", "minute", "second", "image_id"]
+    return sample.numbered(index(spark, sf_dir), ["camera"], order, "position", slices=3).select("image_id", "position")
 
 
 @query("SELECT image_id FROM idx QUALIFY row_number() OVER (PARTITION BY camera, year, month ORDER BY day, hour, minute, filename, image_id) <= 30")
 def month_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.numbered(index(spark, sf_dir), ["camera", "year", "month"], ["day", "hour", "minute", "filename", "image_id"], "n").filter("n <= 30").select("image_id")
+    order = ["day", "hour", "minute", "filename", "image_id"]
+    return sample.numbered(index(spark, sf_dir), ["camera", "year", "month"], order, "n", slices=1).filter("n <= 30").select("image_id")
 
 
 @query("SELECT image_id, patchcore_score FROM idx ORDER BY patchcore_score DESC NULLS LAST, filename, image_id LIMIT 20")
