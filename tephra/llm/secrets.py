@@ -163,7 +163,7 @@ def labelled(docs: DataFrame, sample: int) -> tuple[list[str], list[str]]:
     def tokens(text: pd.Series) -> pd.Series:
         def of(t: str) -> list[dict]:
             found = {t[a:z] for k, a, z in base_spans(t) if k != "assign"} | {m[2] for m in _ASSIGN.finditer(t) if len(m[2]) >= 6}
-            plain = {t[a:z] for a, z in candidates(t)} if found else set(re.findall(r"[A-Za-z]{12,40}", t)[:3])
+            plain = {t[a:z] for a, z in candidates(t)} if found else set(re.findall(r"[A-Za-z]{12,40}", t))
             return [{"token": x, "good": 1} for x in found if len(x) < 256] + [{"token": x, "good": 0} for x in plain if len(x) < 256 and not any(x in y or y in x for y in found)]
 
         return pd.Series([of(t or "") for t in text])

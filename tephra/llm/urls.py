@@ -40,8 +40,8 @@ BIN = 10_000  # calibration looks at the ratio in hundredths of a nat
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.substring_index(url, "#", 1)).otherwise(F.lit(""))
-    after = F.regexp_extract(F.when(rest == "", F.lit("")).otherwise(url), r"(?s)^.*?://(.*)$", 1)
+    """Host and path; both empty without a ://."""
+    after = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
     host = F.regexp_extract(after, r"^([^/?#]*)", 1)
     return F.translate(host, UPPER, LOWER), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
