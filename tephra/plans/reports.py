@@ -239,6 +239,11 @@ def null_safe_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).groupBy("camera").agg(F.round(F.coalesce(F.sum(v), F.lit(0.0)), 4).alias("total"), r6(F.coalesce(F.avg(v), F.lit(0.0))).alias("mean"))
 
 
+@query(f", v AS (SELECT camera, {_HOLES} AS v FROM idx) SELECT camera, round(coalesce(avg(v) FILTER (NOT isnan(v)), 0), 6) AS mean FROM v GROUP BY camera")
+def null_safe_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return null_safe_sum(spark, sf_dir).select("camera", "mean")
+
+
 @query("SELECT year, month, count(*) AS found, count(*) FILTER (downloaded) AS downloaded, count(*) FILTER (NOT downloaded) AS failed FROM idx GROUP BY ALL")
 def scrape_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).groupBy("year", "month").agg(_n().alias("found"), F.count_if("downloaded").alias("downloaded"), F.count_if(~F.col("downloaded")).alias("failed"))

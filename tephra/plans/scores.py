@@ -40,7 +40,12 @@ def threshold_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("trigger_rate", "ratio_mean", "ratio_median", "ratio_max")})
 
 
-@query()
+_RUNS = """, e AS (SELECT avg(q90_score) AS q, count(*) AS k FROM pre WHERE lead_days = 7), r AS (SELECT patchcore_score AS s, row_number() OVER (ORDER BY (image_id * 2654435761 + 42) % 4294967296, image_id) - 1 AS at_ FROM idx WHERE patchcore_score IS NOT NULL), n AS (SELECT count(*) AS n FROM r),
+st AS (SELECT min(x) AS step FROM (SELECT unnest(range(greatest(1, floor(n * 0.618)::BIGINT), n + 2)) AS x, n FROM n) WHERE gcd(x, n) = 1), d AS (SELECT run, ((run * 2654435761 + 7) % 4294967296 + j * step) % n AS at_ FROM (SELECT unnest(range(1000)) AS run), (SELECT unnest(range(least(n, k * 14))) AS j FROM n, e), st, n),
+m AS (SELECT run, avg(s) AS mean FROM d JOIN r USING (at_) GROUP BY run)"""
+
+
+@query(_PRE + _RUNS + " SELECT 7::INT AS lead_days, count(*)::INT AS n_permutations, round(any_value(q), 6) AS observed_mean, round(avg(mean), 6) AS null_mean, round(stddev_pop(mean), 6) AS null_std, round(count(*) FILTER (mean >= q) / count(*), 6) AS p_value, count(*) FILTER (mean >= q) / count(*) < 0.05 AS significant FROM m, e")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.permutation_test(index(spark, sf_dir), found(spark, sf_dir))
     return out.withColumns({c: r6(c) for c in ("observed_mean", "null_mean", "null_std", "p_value")})
