@@ -93,12 +93,13 @@ def running(df: DataFrame, key: str, count: str, order: str, name: str, value: C
     earlier rows of the same key, in the order of a hash column.
 
     No task gets a whole key: a key of `count` rows (a column) is dealt by its
-    hash into runs of about `run` rows. Sums are taken inside a run, and each run
-    starts where the totals of the earlier runs end. Rows with equal hashes come
+    hash into runs of about `run` rows, or of the square root of `count` if that is
+    more, so neither a run nor the list of a key's runs gets long. Sums are taken
+    inside a run, and each run starts where the totals of the earlier runs end. Rows with equal hashes come
     in any order.
     """
     value = F.lit(1).cast("long") if value is None else value
-    dealt = df.withColumns({"_run": F.pmod(F.shiftrightunsigned(F.col(order), 17), F.greatest(F.ceil(F.col(count) / run), F.lit(1))), "_value": value})
+    dealt = df.withColumns({"_run": F.pmod(F.shiftrightunsigned(F.col(order), 17), F.greatest(F.ceil(F.col(count) / F.greatest(F.lit(run), F.sqrt(count))), F.lit(1))), "_value": value})
     before = W.partitionBy(key).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy(key, "_run").agg(F.sum("_value").alias("_total")).select(key, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = F.coalesce(F.sum("_value").over(W.partitionBy(key, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
