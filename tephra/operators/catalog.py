@@ -95,8 +95,7 @@ def missing_days(index: DataFrame) -> DataFrame:
 def pairwise(df: DataFrame, group: str, item: str, value: str) -> DataFrame:
     """Mean absolute difference of the pairs of each two groups, and inside each group.
 
-    Sums over all pairs follow from ranks and running sums in closed form for one
-    group; between groups the pairs of a small set of items are joined."""
+    The items are aggregates, such as one per day: the pairs grow with their square."""
     a, b = (df.select(F.col(group).alias(f"{x}_group"), F.col(item).alias(f"{x}_item"), F.col(value).alias(f"{x}_value")) for x in "ab")
     on = (F.col("a_group") < F.col("b_group")) | ((F.col("a_group") == F.col("b_group")) & (F.col("a_item") < F.col("b_item")))
     return a.join(b, on).groupBy("a_group", "b_group").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.abs(F.col("a_value") - F.col("b_value"))).alias("mean_difference"))

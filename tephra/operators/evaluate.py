@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .select import small
+
 
 def by_score(df: DataFrame, score: str, label: str, by: list[str], slices: int = 200) -> DataFrame:
     """One row per distinct score: pos, neg, and above_pos, above_neg, the counts of higher scores."""
     counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s"))
     counts = counts.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     edges = counts.groupBy(*by).agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"))
-    placed = counts.join(F.broadcast(edges), by) if by else counts.join(F.broadcast(edges))
+    placed = counts.join(edges, by) if by else counts.join(F.broadcast(edges))
     width = (F.col("_hi") - F.col("_lo")) / slices
     placed = placed.withColumn("_slice", F.when(width > 0, F.floor((F.col("s") - F.col("_lo")) / width)).otherwise(0)).drop("_lo", "_hi")
     totals = placed.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -79,7 +81,7 @@ def pr_curve(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     t = by_score(df, score, label, by)
     tp, all_ = F.col("above_pos") + F.col("pos"), F.col("above_pos") + F.col("pos") + F.col("above_neg") + F.col("neg")
     total = df.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_all"))
-    return t.join(F.broadcast(total), by).select(*by, F.col("s").alias("threshold"), (tp / all_).alias("precision"), (tp / F.col("_all")).alias("recall"))
+    return t.join(total, by).select(*by, F.col("s").alias("threshold"), (tp / all_).alias("precision"), (tp / F.col("_all")).alias("recall"))
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -121,7 +123,7 @@ def precursors(index: DataFrame, events: DataFrame, leads: tuple[int, ...] = (3,
     usual = scored.filter("quality_flag = 'usable' and h between 6 and 17").agg(F.percentile("s", F.lit(0.5)).alias("background_score"))
     days = events.select("event_date", "event_type", "event_intensity", F.explode(F.sequence(F.date_sub("event_date", max(leads)), F.date_sub("event_date", 1))).alias("d"))
     lead = F.explode(F.array(*map(F.lit, leads)))
-    met = scored.join(F.broadcast(days), "d").withColumn("lead_days", lead).filter(F.col("d") >= F.date_sub("event_date", F.col("lead_days")))
+    met = scored.join(small(days), "d").withColumn("lead_days", lead).filter(F.col("d") >= F.date_sub("event_date", F.col("lead_days")))
     stats = met.groupBy("event_date", "event_type", "event_intensity", "lead_days").agg(F.count(F.lit(1)).alias("n_images"), F.avg("s").alias("mean_score"), F.percentile("s", F.lit(0.9)).alias("q90_score"), F.max("s").alias("max_score")).filter(F.col("n_images") >= least)
     out = stats.join(F.broadcast(usual)).withColumn("ratio", F.when(F.col("background_score") > 0, F.col("q90_score") / F.col("background_score")))
     return out.withColumn("triggered", F.coalesce(F.col("ratio") >= ratio, F.lit(False)))

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast only if df, counted here, has max_rows rows at most; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def minmax_norm(df: DataFrame, score: str) -> DataFrame:
     """Rows with a score, and `norm`: the score between the least and the greatest."""
     df = df.filter(F.col(score).isNotNull())

@@ -123,7 +123,7 @@ def nearest_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = index(spark, sf_dir).filter("patchcore_score is not null")
     monthly = scored.groupBy("camera", F.make_date("year", "month", F.lit(1)).alias("month_start")).agg(F.round(F.avg("patchcore_score"), 6).alias("mean_score"))
-    both = monthly.join(F.broadcast(event_catalogue(spark)))  # a few events
+    both = monthly.join(select.small(event_catalogue(spark), 1000))
     far = F.struct(F.abs(F.date_diff("event_date", "month_start")), "month_start")
     return both.groupBy("event_date", "camera").agg(F.min_by("month_start", far).alias("month_start"), F.min_by("mean_score", far).alias("mean_score"))
 
