@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -88,6 +89,22 @@ def packed(docs: DataFrame, **work: Column) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in work.items()])
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """row (all columns as a struct) and uid, a key of the row that stays the same however often
+    the frame is computed.
+
+    Rows of Parquet files have one already, the file and the position in it, so nothing is
+    copied. Any other frame is written out with a number for each row."""
+    columns = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    plan = docs._jdf.queryExecution().analyzed().toString().strip().split("\n")
+    scan = len(plan) > 0 and re.match(r"[ :+-]*Relation.* parquet$", plan[-1]) and all(re.match(r"[ :+-]*(Project|Filter|SubqueryAlias) ", x) for x in plan[:-1])
+    if scan and "_metadata" not in docs.columns:  # one row of a file for each row, as nothing multiplies or merges them
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select(columns, place.alias("uid"))
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return cut(docs.select(columns, number.alias("uid")), name)
+
+
 def running(df: DataFrame, key: str, count: str, order: str, name: str, value: Column | None = None, run: int = 1024) -> DataFrame:
     """Add the sum of `value` (1 if not given: a gapless 0-based position) over the
     earlier rows of the same key, in the order of a hash column.

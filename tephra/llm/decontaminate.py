@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, packed, small
+from .common import cut, keyed, let, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,7 +73,7 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents") -> DataFrame:
     """docs without the documents that are hit, or, with remove="spans", without the hit words."""
-    rows = cut(packed(docs, doc_id=docs["doc_id"], text=docs["text"]).withColumn("uid", F.monotonically_increasing_id()).drop("doc_id", "text"), "rows")
+    rows = keyed(docs, "rows")
     found = hits(rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), bench).filter(F.size("spans") > 0)
     if remove == "documents":
         return rows.join(found, "uid", "left_anti").select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import WORD, cut, packed, running, small, words
+from .common import WORD, cut, keyed, running, small, words
 
 CAP = 3  # passes over a source at most
 BUCKETS = 256
@@ -174,17 +174,16 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_words: int = 5
     """One row per document: doc_id, source, size, source_size, target, taken, and its
     draws: epoch, draw, shard, first and n are arrays that go together (words first to
     first + n of the document are drawn). keep_row adds the input row as `row`."""
-    size = F.size(words(docs["text"])).cast("long")
-    work = {"doc_id": docs["doc_id"], "source": docs["source"], "size": size, "order": F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])}
-    rows = packed(docs, **work) if keep_row else docs.select(*[c.alias(k) for k, c in work.items()])
-    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "mix")
+    whole = keyed(docs, "rows")
+    text, doc_id = F.col("row.text"), F.col("row.doc_id")
+    rows = cut(whole.select("uid", doc_id.alias("doc_id"), F.col("row.source").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("order")), "mix")
     plan = cut(source_plan(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), seed, block_words), "plan")
     plan = cut(with_shards(plan, n_shards, seed), "plan").withColumnRenamed("source", "of")
-    slim = rows.select("uid", "doc_id", "source", "size", "order").join(small(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    slim = rows.join(small(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     placed = running(slim, "sid", "n_docs", "order", "at", F.col("size"))
     found = placed.withColumn("d", drawn(seed)("at", "size", "sid", "block", "blocks", "epochs", "extra", "rest", "upto"))
     found = found.select("uid", "doc_id", "source", "size", "source_size", "target", "d.*")
-    return found.join(rows.select("uid", "row"), "uid").drop("uid") if keep_row else found.drop("uid")
+    return found.join(whole, "uid").drop("uid") if keep_row else found.drop("uid")
 
 
 def shards(mixed: DataFrame, n_shards: int = 16, seed: int = 7) -> DataFrame:

@@ -15,10 +15,12 @@ are documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, packed, running
+from .common import cut, discard, keyed, running
 
 
 def text_hub(text: Column) -> Column:
@@ -59,13 +61,13 @@ def propagate(hubs: DataFrame, n_linked: int, capacity: list[int], rounds: int)
     return state
 
 
-def shard(docs: DataFrame, hub: Column, n_shards: int = 16, rounds: int = 8, keep_row: bool = False) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, hub, shard, slot; with keep_row also the input row."""
-    text = F.coalesce(docs["text"], F.lit(""))
-    work = {"doc_id": docs["doc_id"], "size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text), "hub": hub}
-    rows = packed(docs, **work) if keep_row else docs.select(*[c.alias(k) for k, c in work.items()])
-    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "shard")
-    slim = rows.select("uid", "doc_id", "size", "text_crc32", "hub", F.xxhash64("doc_id", "hub", "uid").alias("order"))
+def shard(docs: DataFrame, hub: Callable[[Column], Column] = text_hub, n_shards: int = 16, rounds: int = 8, keep_row: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, hub, shard, slot; with keep_row also the
+    input row. hub names the group of a text; any function of the text will do."""
+    whole = keyed(docs, "rows")
+    text = F.coalesce("row.text", F.lit(""))
+    rows = cut(whole.select("uid", F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), hub(F.col("row.text")).alias("hub")), "shard")
+    slim = rows.withColumn("order", F.xxhash64("doc_id", "hub", "uid"))
     hubs = cut(slim.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "hubs")
     total, linked = slim.count(), hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -85,10 +87,10 @@ def shard(docs: DataFrame, hub: Column, n_shards: int = 16, rounds: int = 8, kee
     names = ["uid", "doc_id", "size", "text_crc32", "hub", "order", "shard"]
     dealt = cut(tied.select(names).union(free.select(names)), "dealt").withColumn("of", F.get(F.array(*map(F.lit, capacity)), F.col("shard")))
     out = running(dealt, "shard", "of", "order", "slot").select("uid", "doc_id", "size", "text_crc32", "hub", "shard", "slot")
-    return out.join(rows.select("uid", "row"), "uid").drop("uid") if keep_row else out.drop("uid")
+    return out.join(whole, "uid").drop("uid") if keep_row else out.drop("uid")
 
 
 def sharded_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """The rows of docs with their shard and slot; input columns of these names are replaced."""
-    found = shard(docs, text_hub(docs["text"]), n_shards, keep_row=True)
+    found = shard(docs, n_shards=n_shards, keep_row=True)
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")], "shard", "slot")

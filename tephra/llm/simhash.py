@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import cut, discard, packed
+from .common import cut, discard, keyed
 
 SEED = 42
 SHINGLE = 3
@@ -105,8 +105,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the smallest doc_id stays."""
-    rows = cut(packed(docs, doc_id=docs["doc_id"], fp=fingerprint(docs["text"])).withColumn("uid", F.monotonically_increasing_id()), "fp")
-    slim = rows.select("doc_id", "fp", "uid")
+    rows = keyed(docs, "rows")
+    slim = cut(rows.select(F.col("row.doc_id").alias("doc_id"), fingerprint("row.text").alias("fp"), "uid"), "fp")
     rooted = slim.join(components(slim), "fp")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("x")).select("x.uid")
     return rows.join(first, "uid", "left_semi").select("row.*")

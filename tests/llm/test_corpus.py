@@ -197,7 +197,7 @@ def test_split_tree_and_permutation():
 def test_sharding(spark, odd, hot):
     docs = odd if not hot else spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).when(F.col("id") % 3 == 1, F.concat(F.lit("g"), F.col("id") % 60)).otherwise(F.col("id").cast("string")).alias("text"))
     p = 16
-    got = sharding.shard(docs, sharding.text_hub(docs["text"]), p).collect()
+    got = sharding.shard(docs, n_shards=p).collect()
     texts = Counter((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 1) for r in docs.collect())
     assert Counter((r.doc_id, r.text_crc32, r["size"]) for r in got) == texts
     load = Counter(r.shard for r in got)
@@ -232,11 +232,24 @@ def test_pipeline_stages(spark, sf):
     assert at["mixing"].count() == at["sharding"].count() == corpus_pipeline.run(spark, sf).count()
 
 
+def test_rows_of_files_and_other_rows_have_the_same_results(spark, odd, tmp_path):
+    from tephra.llm.common import keyed
+
+    odd.write.parquet(str(tmp_path / "odd"))
+    read = spark.read.parquet(str(tmp_path / "odd"))
+    assert "Scan parquet" in keyed(read, "x")._jdf.queryExecution().toString() and keyed(read, "x").select("uid").distinct().count() == odd.count()
+    twice = read.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("i"))
+    assert keyed(twice, "x").select("uid").distinct().count() == 2 * odd.count() and keyed(read.filter("doc_id < 5").select("doc_id", "text"), "x").select("uid").distinct().count() == read.filter("doc_id < 5").count()
+    for f in (simhash.one_of_each, sharding.sharded_documents, mixing.mixed_documents):
+        a, b = (Counter((r.doc_id, r.text) for r in f(d).collect()) for d in (odd, read))
+        assert a == b
+
+
 def test_empty_tables(spark, odd, tmp_path):
     none = odd.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
     assert quality.quality_rules(none).count() == simhash.near_duplicates(none).count() == mixing.mix(none).count() == 0
-    assert sharding.shard(none, sharding.text_hub(none["text"])).count() == decontaminate.contamination(none, bench).count() == 0
+    assert sharding.shard(none).count() == decontaminate.contamination(none, bench).count() == 0
     for f in (quality.keep_good, simhash.one_of_each, mixing.mixed_documents, sharding.sharded_documents):
         assert f(none).count() == 0
 
