@@ -76,6 +76,7 @@ def shard(docs: DataFrame, hub: Callable[[Column], Column] = text_hub, n_shards:
 
     upto = lambda a: F.transform(a, lambda x, i: F.struct(x["shard"].alias("shard"), F.aggregate(F.slice(a, 1, i + 1), F.lit(0).cast("long"), lambda z, y: z + y["n"]).alias("end")))
     layout = state.groupBy("hub").agg(F.sum("n").alias("of"), F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("a")).select("hub", "of", upto(F.col("a")).alias("ends"))
+    layout = cut(layout, "layout")  # else the rows of a hub meet it in the aggregation's partitions, which Spark does not split
     where = lambda ends: F.get(F.filter(ends, lambda e: F.col("at") < e["end"]), F.lit(0))["shard"]
     tied = running(slim.join(layout, "hub"), "hub", "of", "order", "at").withColumn("shard", where(F.col("ends")))
     room, end = [], 0
