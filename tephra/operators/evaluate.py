@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .select import small
 
 
@@ -120,7 +121,8 @@ def precursors(index: DataFrame, events: DataFrame, leads: tuple[int, ...] = (3,
     those within its reach. Background: median over usable day images."""
     at = F.make_timestamp_ntz("year", "month", "day", F.coalesce("hour", F.lit(0)), F.coalesce("minute", F.lit(0)), F.coalesce("second", F.lit(0)))
     scored = index.filter(F.col(score).isNotNull()).select(at.alias("at"), F.make_date("year", "month", "day").alias("d"), F.col(score).alias("s"), "quality_flag", F.coalesce("hour", F.lit(0)).alias("h"))
-    usual = scored.filter("quality_flag = 'usable' and h between 6 and 17").agg(F.percentile("s", F.lit(0.5)).alias("background_score"))
+    usual = scored.filter("quality_flag = 'usable' and h between 6 and 17")
+    usual = quantiles(usual, "s", [], {"background_score": 0.5})
     days = events.select("event_date", "event_type", "event_intensity", F.explode(F.sequence(F.date_sub("event_date", max(leads)), F.date_sub("event_date", 1))).alias("d"))
     lead = F.explode(F.array(*map(F.lit, leads)))
     met = scored.join(small(days), "d").withColumn("lead_days", lead).filter(F.col("d") >= F.date_sub("event_date", F.col("lead_days")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, levels
+from .quantiles import quantiles
 
 QUARTILES = {"p10": 0.1, "median": 0.5, "p90": 0.9, "p95": 0.95}
 
@@ -25,7 +26,11 @@ def summary(df: DataFrame) -> DataFrame:
 def score_stats(df: DataFrame, score: str, by: list[str]) -> DataFrame:
     c = F.col(score)
     few = [F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
-    return df.groupBy(*by).agg(*few, *[r6(F.percentile(c, F.lit(q))).alias(n) for n, q in QUARTILES.items()])
+    q = quantiles(df, score, by, QUARTILES).select(*[F.col(b).alias(f"_{b}") for b in by], *[r6(n).alias(n) for n in QUARTILES])
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return df.groupBy(*by).agg(*few).join(q, same, "left").drop(*[f"_{b}" for b in by])
 
 
 def flag_shares(df: DataFrame, by: list[str]) -> DataFrame:
@@ -65,7 +70,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
-    q = df.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = quantiles(df, value, by, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
     return df.join(q, by).groupBy(*by, "q1", "q2", "q3").agg(F.min(near).alias("low"), F.max(near).alias("high"))

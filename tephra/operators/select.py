@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only if df, counted here, has max_rows rows at most; else Spark shuffles."""
@@ -62,9 +64,9 @@ def categories(df: DataFrame) -> DataFrame:
     return df.withColumn("category", F.explode(F.array_compact(F.array(*found))))
 
 
-def above(df: DataFrame, score: str, line: Column) -> DataFrame:
-    """Rows with a score above an aggregate of all rows."""
-    return df.join(F.broadcast(df.agg(line.alias("_line")))).filter(F.col(score) > F.col("_line")).drop("_line")
+def above(df: DataFrame, score: str, q: float) -> DataFrame:
+    """Rows with a score above a quantile of all rows."""
+    return df.join(F.broadcast(quantiles(df, score, [], {"_line": q}))).filter(F.col(score) > F.col("_line")).drop("_line")
 
 
 def links(pages: DataFrame, pattern: str) -> DataFrame:

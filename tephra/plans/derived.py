@@ -296,7 +296,7 @@ def real_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", t AS (SELECT quantile_cont(patchcore_score, 0.9) AS line FROM idx) SELECT image_id FROM idx, t WHERE patchcore_score > line")
 def above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.above(index(spark, sf_dir), "patchcore_score", F.percentile("patchcore_score", F.lit(0.9))).select("image_id")
+    return select.above(index(spark, sf_dir), "patchcore_score", 0.9).select("image_id")
 
 
 @query("SELECT day, hour, count(*) AS n FROM idx GROUP BY day, hour HAVING count(*) >= 15")

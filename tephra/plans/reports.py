@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels
 from ..operators import report
+from ..operators.quantiles import quantiles
 from ..operators.report import r6
 from .derived import CLASSED_SQL
 from .registry import query
@@ -127,7 +128,7 @@ _WEEKS = _TL + f", w AS (SELECT camera, {_BINS['W']} AS bin, avg(patchcore_score
 def weekly_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = index(spark, sf_dir)
     weeks = report.rolling_std(report.timeline(df, "patchcore_score", "W", ["camera"]).filter("n_images >= 2"), ["camera"], "bin", "mean_score")
-    line = df.agg(r6(F.percentile("patchcore_score", F.lit(0.9))).alias("p90"))
+    line = quantiles(df, "patchcore_score", [], {"p90": 0.9}).select(r6("p90").alias("p90"))
     return weeks.join(F.broadcast(line)).withColumns({"mean_score": r6("mean_score"), "band": r6("band")})
 
 
@@ -215,7 +216,7 @@ def mode_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT camera, sum(file_size_bytes)::BIGINT AS total, round(avg(file_size_bytes), 6) AS mean, round(stddev_samp(file_size_bytes), 6) AS std, max(file_size_bytes) AS max, quantile_cont(file_size_bytes, 0.5) AS median FROM idx GROUP BY camera")
 def file_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = "file_size_bytes"
-    return index(spark, sf_dir).groupBy("camera").agg(F.sum(c).alias("total"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.max(c).alias("max"), F.percentile(c, F.lit(0.5)).alias("median"))
+    return index(spark, sf_dir).groupBy("camera").agg(F.sum(c).alias("total"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.max(c).alias("max")).join(quantiles(index(spark, sf_dir), c, ["camera"], {"median": 0.5}), "camera", "left")
 
 
 @query(CLASSED_SQL + " SELECT class, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM cl GROUP BY class")

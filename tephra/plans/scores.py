@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, levels
 from ..operators import evaluate, models, nearest, report, sample, select
+from ..operators.quantiles import quantiles
 from ..operators.report import r6
 from . import views
 from .derived import CLASSED_SQL
@@ -96,7 +97,7 @@ _F1 = "round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_{a}, ro
 @query(_PROXY + f", q AS (SELECT quantile_cont(s, 0.9) AS p90 FROM y), c AS (SELECT {_CELLS} FROM (SELECT y, (s > p90)::INT AS p FROM y, q)) SELECT tp, fp, fn, tn, {_F1.format(a='positive', b='negative')} FROM c")
 def binary_f1_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = proxies(spark, sf_dir)
-    line = df.agg(F.percentile("patchcore_score", F.lit(0.9)).alias("p90"))
+    line = quantiles(df, "patchcore_score", [], {"p90": 0.9})
     out = evaluate.binary_scores(df.join(F.broadcast(line)).withColumn("p", (F.col("patchcore_score") > F.col("p90")).cast("int")), "y_true", "p")
     return out.withColumns({c: r6(c) for c in ("f1_positive", "f1_negative", "f1_macro", "accuracy")})
 
@@ -126,7 +127,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PROXY + ", e AS (SELECT min(s) AS lo, max(s) AS hi FROM y), h AS (SELECT y, least(floor((s - lo) / ((hi - lo) / 40)), 39)::INT AS bin, (hi - lo) / 40 AS w, count(*) AS n FROM y, e GROUP BY ALL), m AS (SELECT y, quantile_cont(s, 0.5) AS median FROM y GROUP BY y) SELECT y AS y_true, bin, n, round(n / (sum(n) OVER (PARTITION BY y) * w), 6) AS density, round(median, 6) AS median FROM h JOIN m USING (y)")
 def score_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = proxies(spark, sf_dir)
-    middle = df.groupBy("y_true").agg(r6(F.percentile("patchcore_score", F.lit(0.5))).alias("median"))
+    middle = quantiles(df, "patchcore_score", ["y_true"], {"median": 0.5}).withColumn("median", r6("median"))
     return report.histogram(df, "patchcore_score", 40, ["y_true"]).join(middle, "y_true")
 
 

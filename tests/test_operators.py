@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tephra.functions import dates, levels, names
-from tephra.operators import catalog, evaluate, kernels, models, nearest, pixels, report, sample
+from tephra.operators import catalog, evaluate, kernels, models, nearest, pixels, quantiles, report, sample
 from tephra.sources import catalog_files
 from tephra.streaming import ingest
 
@@ -192,6 +192,18 @@ def test_histogram_closes_last_bin(spark):
     assert got == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
 
 
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in np.round(rng.exponential(size=3000), 2)] + [("b", 1.5), ("b", None), (None, 2.0), (None, 4.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    wanted = {"low": 0.0, "q": 0.1, "mid": 0.5, "high": 0.95, "top": 1.0}
+    got = {r.k: r for r in quantiles.quantiles(df, "v", ["k"], wanted).collect()}
+    assert set(got) == {"a", "b", None} and got["b"].mid == 1.5 and got[None].mid == 3.0
+    for n, q in wanted.items():
+        assert got["a"][n] == pytest.approx(np.quantile([v for k, v in rows if k == "a"], q))
+    assert quantiles.quantiles(df, "v", [], {"q": 0.5}).count() == 1
+
+
 def test_frechet_distance(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=(300, 3))
