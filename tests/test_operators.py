@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tephra.functions import dates, levels, names
-from tephra.operators import catalog, evaluate, kernels, models, nearest, pixels, quantiles, report, sample
+from tephra.operators import catalog, evaluate, kernels, models, nearest, pixels, quantiles, report, sample, select
 from tephra.sources import catalog_files
 from tephra.streaming import ingest
 
@@ -235,6 +235,15 @@ def test_streams(spark, tmp_path):
     assert [(r.n, r.mean_score) for r in spark.sql("select * from hourly").collect()] == [(2, 2.0)]
 
 
+def test_image_links(spark):
+    page = '<img src="thumbnails/ech_kalor_1.jpg"><img src="/logo.png"><a href="http://x/y.html">t</a><img src="http://z/a.JPG?s=1">'
+    df = spark.createDataFrame([(1, "http://h.org/2024_01/2024_jan.html?x=1", page), (2, "http://h.org/p", None)], "page_id long, url string, html string")
+    links = [r.link for r in select.links(df, r'<(?:img src|a href)="([^"]*)"').collect()]
+    assert links == ["http://h.org/2024_01/thumbnails/ech_kalor_1.jpg", "http://h.org/logo.png", "http://x/y.html", "http://z/a.JPG?s=1"]
+    seen = spark.createDataFrame([(x,) for x in links], "link string").select(names.is_image_url(F.col("link")), names.rewritten(F.col("link"), "http://b", F.lit(2024), F.lit(1)))
+    assert [tuple(r) for r in seen.collect()] == [(True, "http://b/2024_01/html_images/ech_kalor_1.jpg"), (False, links[1]), (False, links[2]), (True, links[3])]
+
+
 def test_safe_read(spark, tmp_path):
     assert catalog_files.read_index(spark, str(tmp_path / "none.csv")).count() == 0
     (tmp_path / "i.csv").write_text("url,year,is_night,downloaded,anomaly_score\nu,2014.0,True,false,nan\n")
