@@ -120,4 +120,5 @@ def running(df: DataFrame, key: str, count: str, order: str, name: str, value: C
     before = W.partitionBy(key).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy(key, "_run").agg(F.sum("_value").alias("_total")).select(key, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = F.coalesce(F.sum("_value").over(W.partitionBy(key, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_at", inside).join(starts, [key, "_run"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_run", "_start", "_at", "_value")
+    # said outright, as rows that a join has left dealt by the key alone would be taken to suit the window
+    return dealt.repartition(F.col(key), F.col("_run")).withColumn("_at", inside).join(starts, [key, "_run"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_run", "_start", "_at", "_value")
