@@ -2,14 +2,16 @@
 
 A paragraph is a line with a word. Sparse word 1- to 3-grams of the licence
 notices below feed a multinomial logistic regression (Spark ML, mostly L1, so
-few weights remain), trained on cut and reworded versions of the notices and on
-a bounded sample of corpus paragraphs as the class `none`. A paragraph whose best
-family stays under a probability calibrated on held-out rows counts as `unknown`
-if it speaks of a licence at all. Comparison with the notices confirms a family:
-enough of the paragraph's 3-grams, or of a notice's, must be shared.
-
-Only paragraphs with a word of CUES are scored; every notice has one, so no other
-paragraph could be confirmed. Defined results: null text has no paragraphs;
+few weights remain), trained on cut and reworded versions of the notices, on short
+lines cut from them and on a bounded sample of corpus paragraphs as the class
+`none`, those that would be scored included unless they may be a notice. A paragraph
+whose best family stays under a probability calibrated on held-out rows counts as
+`unknown`. Comparison with the notices confirms a family: enough of the paragraph's
+3-grams, or of a notice's, must be shared.
+
+A paragraph speaks of a licence if it has three words in a row of a notice, as the
+lines of a wrapped notice have, or a word of CUES. Those paragraphs are scored. Any
+other shares no 3-gram with a notice, so it could not be confirmed. Defined results: null text has no paragraphs;
 texts are read whole; offsets are code points; repeated rows each get a row; an
 empty table gives an empty result.
 """
@@ -32,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from .common import cut
 from .pii import SPANS
 
-SAMPLE = 4000  # corpus paragraphs for the class `none`
+SAMPLE = 4000  # corpus paragraphs for the class `none`, and half as many of those that would be scored
 VARIANTS = 40
 SHARED = 0.5
 PRECISION = 0.99
@@ -85,6 +87,18 @@ def variants(seed: int = 5) -> list[tuple[str, str, bool]]:
     return out
 
 
+def wrapped(seed: int = 6) -> list[tuple[str, str, bool]]:
+    """(family, text, held out): lines of long notices, as wrapping or quoting leaves them."""
+    rng, out = random.Random(seed), []
+    for family, texts in NOTICES.items():
+        for w in (t.split() for t in texts if len(t.split()) > 12):
+            for i in range(VARIANTS):
+                n = rng.randint(5, 16)
+                a = rng.randrange(max(1, len(w) - n + 1))
+                out.append((family, " ".join(w[a : a + n]), i % 4 == 0))
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # families x vocabulary, mostly zero
@@ -110,12 +124,14 @@ def paragraphs(t: str) -> list[tuple[int, int]]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     spark, vocab = docs.sparkSession, vocabulary()
 
-    @pandas_udf(ArrayType(StringType()))
+    @pandas_udf("array<struct<text: string, scored: boolean>>")
     def plain(text: pd.Series) -> pd.Series:
-        return pd.Series([[t[a:z] for a, z in paragraphs(t) if not CUES.search(t, a, z)] for t in text.fillna("")])
+        return pd.Series([[{"text": x, "scored": speaks(x)} for a, z in paragraphs(t) if may_be_none(x := t[a:z])] for t in text.fillna("")])
 
-    ordinary = docs.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample // 4).select(F.explode(plain("text")).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample)
-    rows = spark.createDataFrame(variants(), "family string, text string, held boolean").union(ordinary.select(F.lit("none"), "text", F.pmod(F.xxhash64("text"), F.lit(4)) == 0))
+    lines = cut(docs.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample // 4).select(F.inline(plain("text"))), "lines")
+    of = lambda which, n: lines.filter(which).select("text").orderBy(F.xxhash64("text"), "text").limit(n)
+    ordinary = of("scored", sample // 2).union(of("not scored", sample))
+    rows = spark.createDataFrame(variants() + wrapped(), "family string, text string, held boolean").union(ordinary.select(F.lit("none"), "text", F.pmod(F.xxhash64("text"), F.lit(4)) == 0))
 
     @pandas_udf(ArrayType(IntegerType()))
     def known(text: pd.Series) -> pd.Series:
@@ -150,10 +166,30 @@ def confirmed(family: str, g: set[str]) -> bool:
     return any(len(three & s) >= SHARED * min(len(three), len(s)) > 0 for s in _SHAPES[family])
 
 
+_PHRASES = {tuple(g.split()) for shapes in _SHAPES.values() for s in shapes for g in s}
+
+
+def phrased(p: str) -> bool:
+    """Whether three words in a row are those of a notice."""
+    w = re.findall(r"[a-z0-9]+", p.lower())
+    return not _PHRASES.isdisjoint(zip(w, w[1:], w[2:], strict=False))
+
+
+def speaks(p: str) -> bool:
+    return phrased(p) or bool(CUES.search(p))
+
+
+def may_be_none(p: str) -> bool:
+    """Whether a corpus paragraph may stand for the class `none`."""
+    if not phrased(p):
+        return True
+    return not CUES.search(p) and not any(confirmed(f, grams(p)) for f in NOTICES)
+
+
 def found(t: str, model: Model, vocab: dict[str, int]) -> list[dict]:
     out = []
-    for a, z in paragraphs(t) if CUES.search(t) else []:
-        if CUES.search(t, a, z):
+    for a, z in paragraphs(t):
+        if speaks(t[a:z]):
             g = grams(t[a:z])
             family, p = model.predict([vocab[x] for x in g if x in vocab])
             if family != "none":

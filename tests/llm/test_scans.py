@@ -117,6 +117,18 @@ def test_licences(spark, sf):
     assert right >= 0.95 * len(held)
 
 
+def test_licences_finds_lines_of_wrapped_notices(spark, sf):
+    model, vocab = licences.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")), licences.vocabulary()
+    lines = [("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), ("> Permission to use, copy, modify, and/or distribute this software for any", "isc"), ("No part of this publication may be reproduced", "proprietary")]
+    for line, family in lines:
+        assert not licences.CUES.search(line)
+        assert [(s["kind"], s["start"], s["end"]) for s in licences.found(f"one\n{line}\ntwo", model, vocab)] == [(family, 4, 4 + len(line))]
+    for line in ("He did so for any purpose with her sister", "and the above copyright bird sang"):
+        assert not licences.found(line, model, vocab)
+    assert {len(x) for x in licences._PHRASES} == {3}  # so a paragraph without a phrase shares no 3-gram
+    assert not licences.may_be_none(lines[0][0]) and licences.may_be_none("the copyright bird") and licences.may_be_none("and he went on foot for any purpose that he saw in a dream")
+
+
 def brute_verdict(url):
     m = re.search(r"://", url or "")
     rest = url[m.end() :] if m else ""
