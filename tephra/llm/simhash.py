@@ -8,6 +8,11 @@ equal fingerprints are merged before. Each meeting links its members to the
 smallest one, which keeps the classes whole without all pairs. Classes come
 from alternating large-star and small-star steps on the links.
 
+Two edited words in a hundred already move more bits than that. So one_of_each can
+also link texts by the Jaccard similarity of their shingles: MinHash values are
+compared in bands, each meeting is a link to one member of the band, and the share
+of equal values verifies it. Links by fingerprint stay.
+
 Defined results: null or wordless text has fingerprint zero and links like any
 other; a class without any non-null doc_id has a null component_id; repeated
 rows each get a row; an empty table gives an empty result.
@@ -22,26 +27,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .common import cut, discard, keyed
 
 SEED = 42
 SHINGLE = 3
+BANDS, IN_BAND = 20, 5  # texts of similarity 0.8 meet in a band with probability 0.9996
+
+
+def hashes_of(text: str | None, k: int) -> np.ndarray:
+    """XXH64 of the k-word shingles of one text; of the whole text if it is shorter."""
+    joined = b" ".join(ws := (text or "").encode().lower().split())
+    if len(ws) <= k:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if ws else [], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in ws])
+    starts, ends = [0, *ends[:-k].tolist()], (ends[k - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), dtype=np.uint64, count=len(ends))
 
 
 def fingerprint_of(text: str | None, k: int = SHINGLE) -> int:
     """SimHash of k-word shingles of one text, as a signed 64-bit integer."""
-    joined = b" ".join(ws := (text or "").encode().lower().split())
-    if not ws:
+    hashes = hashes_of(text, k)
+    if not len(hashes):
         return 0
-    if len(ws) <= k:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in ws])
-        starts, ends = [0, *ends[:-k].tolist()], (ends[k - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), dtype=np.uint64, count=len(ends))
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -53,6 +63,31 @@ def fingerprint(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint_of(t) for t in text], dtype="int64")
 
 
+_FACTORS, _TERMS = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * IN_BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minhash_of(text: str | None, k: int) -> np.ndarray:
+    """BANDS * IN_BAND MinHash values of the k-word shingles of one text."""
+    hashes, least = hashes_of(text, k), np.full(BANDS * IN_BAND, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[i : i + 512] * _FACTORS + _TERMS).min(axis=1))
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), a > b, of fingerprints of rows(fp, values) whose texts share so many MinHash values.
+
+    A text is compared in each band with one text of the band, another one in each."""
+    texts = cut(rows.select("fp", "values").distinct().withColumn("id", F.xxhash64("fp", "values")), "texts")
+    cells = texts.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("values", i * IN_BAND + 1, IN_BAND)))).alias("cell"))
+    centres = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", "cell"), "id")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", F.col("x.id").alias("centre"))
+    pairs = cut(cells.join(centres, "cell").filter("id != centre").select("id", "centre").distinct(), "pairs")
+    one, other = texts.select("id", F.col("fp").alias("f"), F.col("values").alias("v")), texts.select(F.col("id").alias("centre"), F.col("fp").alias("g"), F.col("values").alias("w"))
+    equal = F.size(F.filter(F.zip_with("v", "w", lambda x, y: x == y), lambda e: e))
+    near = pairs.join(one, "id").join(other, "centre").filter((F.col("f") != F.col("g")) & (equal >= similarity * BANDS * IN_BAND))
+    return near.select(F.greatest("f", "g").alias("a"), F.least("f", "g").alias("b")).distinct()
+
+
 def ball_links(prints: DataFrame) -> DataFrame:
     """Links (a, b), a > b, that join all distinct fingerprints within 2 bits of each other."""
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
@@ -88,10 +123,13 @@ def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for each distinct fp of rows(doc_id, fp), a written table."""
+def components(rows: DataFrame, similarity: float | None = None) -> DataFrame:
+    """(fp, root, component_id) for each distinct fp of rows(doc_id, fp), a written table.
+
+    With a similarity, rows(values) link too."""
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    roots = classes(ball_links(prints))
+    links = ball_links(prints)
+    roots = classes(links if similarity is None else links.union(similar_links(rows, similarity)).distinct())
     rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")
@@ -103,10 +141,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(components(rows), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near-duplicates: of each class the smallest doc_id stays."""
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The rows of docs without near-duplicates: of each class the smallest doc_id stays.
+
+    With a similarity, texts whose shingles of so many words are that similar are near-duplicates too."""
+
+    @pandas_udf(ArrayType(IntegerType()))
+    def minhash(text: pd.Series) -> pd.Series:
+        return pd.Series([minhash_of(t, shingle) for t in text])
+
     rows = keyed(docs, "rows")
-    slim = cut(rows.select(F.col("row.doc_id").alias("doc_id"), fingerprint("row.text").alias("fp"), "uid"), "fp")
-    rooted = slim.join(components(slim), "fp")
+    extra = [] if similarity is None else [minhash("row.text").alias("values")]
+    slim = cut(rows.select(F.col("row.doc_id").alias("doc_id"), fingerprint("row.text").alias("fp"), "uid", *extra), "fp")
+    rooted = slim.select("doc_id", "fp", "uid").join(components(slim, similarity), "fp")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("x")).select("x.uid")
     return rows.join(first, "uid", "left_semi").select("row.*")

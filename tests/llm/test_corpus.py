@@ -95,6 +95,28 @@ def test_simhash_matches_brute_force(odd):
     assert kept.columns == odd.columns and kept.count() == len({find(parent, p) for _, p in rows})
 
 
+def test_near_dedup_finds_edited_copies(spark, sf):
+    """Copies with 1 to 3 words changed in 200 go, texts that share half of their shingles stay."""
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for i in range(120):
+        base = text(200)
+        rows.append((1000 * i, " ".join(base)))
+        for edits in (1, 2, 3):
+            copy = list(base)
+            for at in rng.sample(range(200), edits):
+                copy[at] = "changed"
+            rows.append((1000 * i + edits, " ".join(copy)))
+        rows.append((1000 * i + 500, " ".join(base[:134] + text(66))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert all(1000 * i in kept and 1000 * i + 500 in kept for i in range(120))
+    by_edits = {e: sum(1000 * i + e not in kept for i in range(120)) / 120 for e in (1, 2, 3)}
+    print("recall of the stage", by_edits, "by fingerprint alone", 1 - (simhash.one_of_each(docs).filter("doc_id % 1000 in (1, 2, 3)").count() / 360))
+    assert by_edits[1] >= 0.99 and by_edits[2] >= 0.99 and by_edits[3] >= 0.9  # of similarity 0.95, 0.90 and 0.86
+
+
 def test_classes_of_random_links(spark):
     rng = random.Random(3)
     links = {(rng.randrange(1, 400), rng.randrange(400)) for _ in range(330)} | {(i + 1000, i + 999) for i in range(1, 120)}
