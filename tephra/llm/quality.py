@@ -3,14 +3,19 @@
 Per document a few whole-number measures are taken. For every language and
 source their distribution is kept as a mergeable quantile sketch: a table of
 counts per log-linear bucket (exact below 64, 32 buckets per octave above, so a
-quantile is off by 1/32 at most). Sketches of several groups merge by adding
-counts, which is how small groups fall back on their language and then on the
-whole corpus. Fences derived from the quantiles replace fixed cutoffs, and
-documents are joined with the fences of their group.
+quantile is off by 1/32 at most), over the documents that pass the base rules.
+Sketches of several groups merge by adding counts. The quartiles of each language and
+source are blended with those of the language, and these with the corpus', by
+weight: a prior of `prior` documents against the group's own, so every group moves
+its own thresholds and a small one leans on the larger ones. Fences beyond the outer
+quartiles replace fixed cutoffs, and documents are joined with the fences of their
+group. A fence on a share never leaves more than half of a text to junk.
 
 Defined results: null text counts as empty (no words, base_failed); null
-language or source is a group of its own; repeated rows are judged one by one;
-an empty table gives an empty result; other columns are ignored or passed on.
+language or source is a group of its own; a value on a fence is kept; repeated rows are
+judged one by one; texts are read whole, in time that grows a little faster than
+their length (a sort of their windows); an empty table gives an empty result; other
+columns, of whatever names, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -23,22 +28,23 @@ from pyspark.sql import functions as F
 
 from .common import cut, let, packed, small, words
 
-#: name: (numerator, denominator, scale, slack, two-sided)
+#: name: (numerator, denominator, scale, slack, highest fence or None for a measure with fences on both sides)
 MEASURES = {
-    "word_length": ("word_chars", "n_words", 100, 100, True),
-    "symbols": ("n_symbols", "word_chars", 10_000, 500, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 4_000, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 2_000, False),
+    "word_length": ("word_chars", "n_words", 100, 100, None),
+    "symbols": ("n_symbols", "word_chars", 10_000, 300, 5_000),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 4_000, 5_000),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 3_500, 5_000),
 }
+QUARTILES = (25, 50, 75)
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    """min_group: documents a group needs for fences of its own. reach: how many
-    times the distance from the median to the outer decile a fence lies beyond it."""
+    """prior: as many documents the quartiles of the next larger group count for. reach: how
+    many times the distance from the median to the outer quartile a fence lies beyond it."""
 
-    min_group: int = 200
-    reach: int = 4
+    prior: int = 200
+    reach: int = 6
 
 
 def repeat_words(w: Column) -> Column:
@@ -82,7 +88,7 @@ def measured(docs: DataFrame, keep_row: bool) -> DataFrame:
     keep = (["row"] if keep_row else []) + ["doc_id", "lang", "source"]
     df = df.select(*keep, "c.w.n_words", "c.w.word_chars", "c.n_symbols", "c.l.n_dup_lines", "c.w.n_repeat_words", "c.l.n_lines")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumns({"base_failed": failed} | {m: F.floor(F.col(a) * k / F.greatest(F.col(b), F.lit(1))).cast("long") for m, (a, b, k, _, _) in MEASURES.items()})
+    return df.withColumns({"base_failed": failed} | {m: F.floor(F.col(a) * k / F.greatest(F.col(b), F.lit(1))).cast("long") for m, (a, b, k, *_) in MEASURES.items()})
 
 
 def bucket(v: Column) -> Column:
@@ -97,35 +103,37 @@ def bucket_top(b: Column) -> Column:
 
 
 def sketch(rows: DataFrame) -> DataFrame:
-    """Counts per language, source, measure and bucket, over all rows with a word."""
+    """Counts per language, source, measure and bucket, over all rows that pass the base rules."""
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES]))
-    return rows.filter("n_words > 0").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter("not base_failed").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """Deciles 10, 50 and 90 for each group of merged sketches."""
+    """Quartiles for each group of merged sketches. A window holds the buckets of one measure of
+    a group, some hundreds."""
     merged = sk.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     by = W.partitionBy(*keys, "measure")
     at = merged.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)})
-    q = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, bucket_top(F.col("bucket")))).alias(f"q{p}") for p in (10, 50, 90)]
+    q = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, bucket_top(F.col("bucket")))).alias(f"q{p}") for p in QUARTILES]
     return at.groupBy(*keys, "measure").agg(F.max("total").alias("total"), *q)
 
 
-def fences(sk: DataFrame, p: QualityParams) -> DataFrame:
-    """One row per language and source: lowest and highest value allowed of each measure.
+def blended(q: str, prior: int) -> str:
+    """Own (o), language (l) and corpus (a) quantiles by weight, in whole numbers."""
+    wide = f"((l.total * l.{q} + {prior} * a.{q}) div (l.total + {prior}))"
+    return f"(o.total * o.{q} + {prior} * {wide}) div (o.total + {prior})"
+
 
-    The group's own sketch counts if it has min_group documents, else that of
-    its language, else that of the corpus.
-    """
+def fences(sk: DataFrame, p: QualityParams) -> DataFrame:
+    """One row per language and source: lowest and highest value allowed of each measure."""
     own, of_lang, of_all = (quantiles(sk, k) for k in (["lang", "source"], ["lang"], []))
-    pick = lambda c: F.when(F.col("o.total") >= p.min_group, F.col(f"o.{c}")).when(F.col("l.total") >= p.min_group, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
     joined = own.alias("o").join(of_lang.alias("l"), (F.col("o.lang").eqNullSafe(F.col("l.lang"))) & (F.col("o.measure") == F.col("l.measure"))).join(of_all.alias("a"), F.col("o.measure") == F.col("a.measure"))
-    chosen = joined.select("o.lang", "o.source", "o.measure", pick("q10"), pick("q50"), pick("q90"))
-    slack = F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[3])])[F.col("measure")]
-    high = F.col("q90") + p.reach * (F.col("q90") - F.col("q50")) + slack
-    low = F.col("q10") - p.reach * (F.col("q50") - F.col("q10")) - slack
+    chosen = joined.select("o.lang", "o.source", "o.measure", *[F.expr(blended(f"q{q}", p.prior)).alias(f"q{q}") for q in QUARTILES])
+    of = lambda i: F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[i])])[F.col("measure")]
+    high = F.least(F.col("q75") + p.reach * (F.col("q75") - F.col("q50")) + of(3), of(4))  # least() passes over null
+    low = F.col("q25") - p.reach * (F.col("q50") - F.col("q25")) - of(3)
     at = lambda c, m: F.max(F.when(F.col("measure") == m, c))
-    return chosen.groupBy("lang", "source").agg(*[at(high, m).alias(f"{m}_high") for m in MEASURES], *[at(low, m).alias(f"{m}_low") for m, v in MEASURES.items() if v[4]])
+    return chosen.groupBy("lang", "source").agg(*[at(high, m).alias(f"{m}_high") for m in MEASURES], *[at(low, m).alias(f"{m}_low") for m, v in MEASURES.items() if v[4] is None])
 
 
 def judged(rows: DataFrame, p: QualityParams) -> DataFrame:
@@ -135,7 +143,7 @@ def judged(rows: DataFrame, p: QualityParams) -> DataFrame:
     ok = ~F.col("r.base_failed")
     for m, v in MEASURES.items():
         ok = ok & (F.col(m) <= F.coalesce(F.col(f"{m}_high"), F.col(m)))
-        if v[4]:
+        if v[4] is None:
             ok = ok & (F.col(m) >= F.coalesce(F.col(f"{m}_low"), F.col(m)))
     return joined.select("r.*", ok.alias("kept"))
 

@@ -70,21 +70,22 @@ def queries() -> dict:
 def _op1_sql() -> str:
     p = quality.QualityParams()
     top = "CASE WHEN bucket < 64 THEN bucket ELSE ((bucket - (bucket // 32 - 1) * 32 + 1) << (bucket // 32 - 1)) - 1 END"
-    scaled = ", ".join(f"floor({a} * {k} / greatest({b}, 1))::BIGINT AS {m}" for m, (a, b, k, _, _) in quality.MEASURES.items())
-    deciles = ", ".join(f"min(CASE WHEN upto * 100 >= total * {q} THEN {top} END) AS q{q}" for q in (10, 50, 90))
+    scaled = ", ".join(f"floor({a} * {k} / greatest({b}, 1))::BIGINT AS {m}" for m, (a, b, k, *_) in quality.MEASURES.items())
+    quartiles = ", ".join(f"min(CASE WHEN upto * 100 >= total * {q} THEN {top} END) AS q{q}" for q in (25, 50, 75))
 
     def merged(name: str, keys: str) -> str:
         k = f"{keys}, " if keys else ""
-        return f"""{name} AS (SELECT {k}measure, max(total) AS total, {deciles} FROM (
+        return f"""{name} AS (SELECT {k}measure, max(total) AS total, {quartiles} FROM (
             SELECT {k}measure, bucket, sum(sum(n)) OVER (PARTITION BY {k}measure ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {k}measure) AS total
             FROM sk GROUP BY {k}measure, bucket) GROUP BY {k}measure)"""
 
-    pick = ", ".join(f"CASE WHEN o.total >= {p.min_group} THEN o.q{q} WHEN l.total >= {p.min_group} THEN l.q{q} ELSE a.q{q} END AS q{q}" for q in (10, 50, 90))
+    pick = ", ".join(f"(o.total * o.q{q} + {p.prior} * ((l.total * l.q{q} + {p.prior} * a.q{q}) // (l.total + {p.prior}))) // (o.total + {p.prior}) AS q{q}" for q in (25, 50, 75))
     slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v[3]}" for m, v in quality.MEASURES.items()) + " END"
-    high, low = f"q90 + {p.reach} * (q90 - q50) + {slack}", f"q10 - {p.reach} * (q50 - q10) - {slack}"
+    most = "CASE WHEN measure = 'word_length' THEN NULL ELSE 5000 END"
+    high, low = f"least(q75 + {p.reach} * (q75 - q50) + {slack}, {most})", f"q25 - {p.reach} * (q50 - q25) - {slack}"
     limits = ", ".join([f"max(CASE WHEN measure = '{m}' THEN {high} END) AS {m}_high, max(CASE WHEN measure = '{m}' THEN {low} END) AS {m}_low" for m in quality.MEASURES])
-    ok = " AND ".join([f"{m} <= coalesce({m}_high, {m})" for m in quality.MEASURES] + [f"{m} >= coalesce({m}_low, {m})" for m, v in quality.MEASURES.items() if v[4]])
-    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE n_words > 0" for m in quality.MEASURES)
+    ok = " AND ".join([f"{m} <= coalesce({m}_high, {m})" for m in quality.MEASURES] + ["word_length >= coalesce(word_length_low, word_length)"])
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed" for m in quality.MEASURES)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
