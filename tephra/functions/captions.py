@@ -1,4 +1,8 @@
-"""Captions of images from activity buckets: dictionaries and one template."""
+"""Captions of images from activity buckets: dictionaries and one template.
+
+Buckets that no image can have (extreme temperature, explosive and phreatic eruptions, plumes) and
+further wordings of the template are left out.
+"""
 
 from __future__ import annotations
 
@@ -49,8 +53,8 @@ TEMPERATURE = {
     "high": "bright orange-yellow incandescence from very hot volcanic material",
 }
 ERUPTION = {
-    "effusive": "Effusive eruption with steady continuous lava outflow from the crater.",
     "none": "",
+    "effusive": "Effusive eruption with steady continuous lava outflow from the crater.",
 }
 TAIL = "Rocky volcanic terrain with gray andesitic rock. Realistic monitoring camera image, natural photographic quality."
 DAY_NIGHT = {

@@ -34,6 +34,10 @@ def label_from_flag(flag: Column) -> Column:
     return F.when(flag == "dark", 1).when(flag == "cloudy", 0)
 
 
+#: The classes of activity.
+CLASSES = ["pyroclastique", "lave", "nuage", "normal"]
+
+
 def heuristic_class(has_features: bool = True) -> Column:
     """Ordered threshold rules over the feature columns; nulls count as 0."""
     if not has_features:

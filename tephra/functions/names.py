@@ -13,6 +13,14 @@ STAMPS = [
     r"(\d{4})-(\d{2})-(\d{2})_(\d{2})\.(\d{2})(?:\.(\d{2}))?",
 ]
 PARTS = ("year", "month", "day", "hour", "minute", "second")
+#: Endings of images, words of the site's own pictures, and names of its decorations.
+ENDINGS = r"\.(jpg|jpeg|JPG|JPEG|png|PNG)$"
+SITE_WORDS = "title|logo|barre"
+DECORATIONS = "barre_vert|barre_hor|_title|fleche|arrow|spacer"
+#: Folders and words of detail pages, and how names of known cameras begin.
+DETAIL_FOLDERS = "/html_images/|/html/"
+CAMERA_WORDS = "canon|cam|kalor|suki"
+KNOWN = "^(kalor|suki|canon|cam)"
 
 
 def stamp_parts(filename: Column) -> Column:
@@ -67,16 +75,21 @@ def stem_of(url: Column) -> Column:
 
 def is_image_url(url: Column) -> Column:
     path = F.regexp_replace(url, "[?#].*$", "")
-    return path.rlike(r"\.(jpg|jpeg|png|JPG|JPEG|PNG)$") & ~F.lower(url).rlike("title|logo|barre")
+    return path.rlike(ENDINGS) & ~F.lower(url).rlike(SITE_WORDS)
 
 
 def is_detail_page(href: Column) -> Column:
     low = F.lower(href)
-    return (href != "") & ~href.startswith("file://") & low.rlike("/html_images/|/html/") & low.endswith(".html") & low.rlike("canon|cam|kalor|suki")
+    return (href != "") & ~href.startswith("file://") & low.rlike(DETAIL_FOLDERS) & low.endswith(".html") & low.rlike(CAMERA_WORDS)
 
 
-def is_decoration(url: Column, patterns: tuple[str, ...] = ("bg_", "icon", "button", "banner")) -> Column:
-    return F.lower(stem_of(url)).rlike("|".join(patterns))
+def is_decoration(url: Column) -> Column:
+    return F.lower(stem_of(url)).rlike(DECORATIONS)
+
+
+def of_camera(url: Column, camera: str) -> Column:
+    """Whether the file is named after the camera, as it is or as a scaled copy."""
+    return F.lower(stem_of(url)).rlike(f"^(ech_)?{camera}")
 
 
 def rewritten(url: Column, base: str, year: Column, month: Column, public: bool = True) -> Column:
@@ -86,7 +99,7 @@ def rewritten(url: Column, base: str, year: Column, month: Column, public: bool
     stem, bare = stem_of(url), F.regexp_replace(stem_of(url), "^ech_", "")
     full = lambda folder, s: F.concat(F.lit(base), F.lit("/"), folder, F.lit("/html_images/ech_"), s, F.lit(".jpg"))
     filed = F.regexp_extract(url, r"(\d{4}_\d{2})[/\\]html_images", 1)
-    known = F.lower(stem).rlike("^(kalor|suki|canon|cam)")
+    known = F.lower(stem).rlike(KNOWN)
     icon = F.replace(url, F.lit("/icones/"), F.lit("/images_publiques/")) if public else full(ym, bare)
     return (
         F.when(url.startswith("file://"), F.when(known, full(F.coalesce(F.nullif(filed, F.lit("")), ym), stem)))

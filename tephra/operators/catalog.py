@@ -7,9 +7,10 @@ row per key first (the last arrival wins), so no join multiplies rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .select import first_of
+from .select import first_of, small
 
 
 def last_per_key(new: DataFrame, key: str, arrival: Column) -> DataFrame:
@@ -42,10 +43,13 @@ def update(index: DataFrame, changes: DataFrame, key: str, order: Column | None
     return joined.withColumns({c: F.coalesce(f"_{c}", c) if c in index.columns else F.col(f"_{c}") for c in cols} | {"updated": F.coalesce("_hit", F.lit(False))}).drop(*[f"_{c}" for c in cols], "_hit")
 
 
-def fix_unknown_flags(index: DataFrame, flag: Column) -> DataFrame:
-    """The flag recomputed where it is unknown, empty or null and there are statistics."""
-    open_ = F.coalesce("quality_flag", F.lit("")).isin("", "unknown")
-    return index.withColumn("quality_flag", F.when(open_ & F.col("mean_brightness").isNotNull(), flag).otherwise(F.col("quality_flag")))
+def fix_unknown_flags(index: DataFrame, dark: float = 30.0, flat: float = 50.0) -> DataFrame:
+    """Flag and is_night recomputed where the flag is unknown, empty or null and there is a
+    brightness: dark (by night), cloudy or usable. No variance counts as 0; `fixed` says where."""
+    open_ = F.coalesce("quality_flag", F.lit("unknown")).isin("", "unknown") & F.col("mean_brightness").isNotNull()
+    night = F.col("mean_brightness") < dark
+    flag = F.when(night, "dark").when(F.coalesce("variance", F.lit(0.0)) < flat, "cloudy").otherwise("usable")
+    return index.withColumns({"quality_flag": F.when(open_, flag).otherwise(F.col("quality_flag")), "is_night": F.when(open_, night).otherwise(F.col("is_night")), "fixed": open_})
 
 
 def reconcile(index: DataFrame, files: DataFrame) -> DataFrame:
@@ -78,6 +82,17 @@ def first_existing(candidates: DataFrame, files: DataFrame, key: str) -> DataFra
     return each.join(files.select("path"), "path", "left_semi").groupBy(key).agg(F.min_by("path", "pos").alias("path"))
 
 
+def nearest_in_time(points: DataFrame, at: str, rows: DataFrame, when: str, by: list[str]) -> DataFrame:
+    """For each point and each group of rows the row nearest in time; the earlier of two as near.
+
+    Points are few and broadcast once counted. Rows of a group meet each of them, and only the
+    best so far is kept and shuffled."""
+    far = F.struct(F.abs(F.date_diff(at, when)), when)
+    rest = [c for c in rows.columns if c not in by]
+    met = rows.join(small(points.distinct(), 1000))
+    return met.groupBy(at, *by).agg(F.min_by(F.struct(*rest), far).alias("_row")).select(at, *by, "_row.*")
+
+
 def missing_periods(index: DataFrame, first: str, last: str) -> DataFrame:
     """Months from first to last (yyyy-MM-dd) without a downloaded image."""
     spark = index.sparkSession
@@ -95,15 +110,22 @@ def missing_days(index: DataFrame) -> DataFrame:
 def pairwise(df: DataFrame, group: str, item: str, value: str) -> DataFrame:
     """Mean absolute difference of the pairs of each two groups, and inside each group.
 
-    The items are aggregates, such as one per day: the pairs grow with their square."""
-    a, b = (df.select(F.col(group).alias(f"{x}_group"), F.col(item).alias(f"{x}_item"), F.col(value).alias(f"{x}_value")) for x in "ab")
-    on = (F.col("a_group") < F.col("b_group")) | ((F.col("a_group") == F.col("b_group")) & (F.col("a_item") < F.col("b_item")))
-    return a.join(b, on).groupBy("a_group", "b_group").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.abs(F.col("a_value") - F.col("b_value"))).alias("mean_difference"))
+    For each pair of groups it is a sum over the values in order: a value is as far above the
+    lower ones as it times their number, less their sum. So sorted values with running counts
+    and sums replace the pairs, and the work grows with the values times the groups, which are few."""
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    groups = rows.select(F.col("g").alias("h")).distinct()
+    either = rows.join(F.broadcast(groups)).select(F.least("g", "h").alias("a_group"), F.greatest("g", "h").alias("b_group"), "g", "v")
+    lower = W.partitionBy("a_group", "b_group").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    of = lambda side, x: F.coalesce(F.sum(F.when(F.col("g") == F.col(side), x)).over(lower), F.lit(0.0))
+    other = F.when(F.col("g") == F.col("a_group"), F.col("v") * of("b_group", F.lit(1.0)) - of("b_group", F.col("v"))).otherwise(F.col("v") * of("a_group", F.lit(1.0)) - of("a_group", F.col("v")))
+    n = lambda side: F.count_if(F.col("g") == F.col(side))
+    out = either.withColumn("far", other).groupBy("a_group", "b_group").agg(F.sum("far").alias("far"), n("a_group").alias("n_a"), n("b_group").alias("n_b"))
+    pairs = F.when(F.col("a_group") == F.col("b_group"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
+    return out.select("a_group", "b_group", pairs.alias("pairs"), (F.col("far") / pairs).alias("mean_difference")).filter("pairs > 0")
 
 
 def zip_by_rank(a: DataFrame, b: DataFrame, key: str, by: str, order: str) -> DataFrame:
     """The i-th row of a with the i-th row of b inside each group, in name order."""
-    from pyspark.sql import Window as W
-
     ranked = [d.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(order, key))) for d in (a, b)]
     return ranked[0].select(by, "rank", F.col(key).alias("first")).join(ranked[1].select(by, "rank", F.col(key).alias("second")), [by, "rank"])

@@ -13,26 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import quantiles, sliced
 from .select import small
 
 
-def by_score(df: DataFrame, score: str, label: str, by: list[str], slices: int = 200) -> DataFrame:
-    """One row per distinct score: pos, neg, and above_pos, above_neg, the counts of higher scores."""
+def by_score(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """One row per distinct score: pos, neg, and above_pos, above_neg, the counts of higher scores.
+
+    Distinct scores are range-partitioned, and a partition is a slice: as many of them as the
+    data have, so that none is long, whatever the distribution of the scores."""
     counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s"))
     counts = counts.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    edges = counts.groupBy(*by).agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"))
-    placed = counts.join(edges, by) if by else counts.join(F.broadcast(edges))
-    width = (F.col("_hi") - F.col("_lo")) / slices
-    placed = placed.withColumn("_slice", F.when(width > 0, F.floor((F.col("s") - F.col("_lo")) / width)).otherwise(0)).drop("_lo", "_hi")
+    up = [*by, F.desc("s")]
+    placed = sliced(counts, up)
     totals = placed.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    up = W.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*by, "_slice", F.coalesce(F.sum("_p").over(up), F.lit(0)).alias("_up_p"), F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_up_n"))
+    above = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # slices, not rows
+    totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_slice").alias("_of"), F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_up_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_up_n"))
     inside = W.partitionBy(*by, "_slice").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, -1)
     for c in ("pos", "neg"):
         placed = placed.withColumn(f"above_{c}", F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    out = placed.join(totals, [*by, "_slice"])
-    return out.withColumns({"above_pos": F.col("above_pos") + F.col("_up_p"), "above_neg": F.col("above_neg") + F.col("_up_n")}).drop("_slice", "_up_p", "_up_n")
+    same = F.col("_slice") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = placed.join(totals, same)
+    return out.select(*by, "s", "pos", "neg", (F.col("above_pos") + F.col("_up_p")).alias("above_pos"), (F.col("above_neg") + F.col("_up_n")).alias("above_neg"))
 
 
 def ranked_stats(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -108,21 +112,31 @@ def triage_f1(index: DataFrame, predictions: DataFrame) -> DataFrame:
     return out.select("f1_macro", F.col("f1_positive").alias("f1_volcanic"), F.col("f1_negative").alias("f1_weather"), "accuracy")
 
 
+def report(ranked: DataFrame, signal: DataFrame, binary: DataFrame, triage: DataFrame, counts: DataFrame) -> DataFrame:
+    """The figures of frames of one row as one row; null where a frame has no row."""
+    one = counts.join(F.broadcast(ranked), F.lit(True), "left")
+    for df in (signal, binary, triage):
+        one = one.join(F.broadcast(df), F.lit(True), "left")
+    delta = F.col("auc_pr") - F.col("prevalence")
+    figures = {"auc_pr_baseline": F.col("prevalence"), "auc_pr_patchcore": F.col("auc_pr"), "auc_roc_patchcore": F.col("auc_roc"), "delta_auc_pr": delta}
+    rest = ["f1_macro_evaluate", "f1_anomaly", "f1_normal", "f1_macro_triage", "f1_volcanic", "f1_weather"]
+    return one.select(*[F.round(c, 6).alias(k) for k, c in figures.items()], F.round(F.when(F.col("prevalence") > 0, 100 * delta / F.col("prevalence")), 4).alias("improvement_pct"), *[F.round(c, 6).alias(c) for c in rest], F.round("p_value", 8).alias("mann_whitney_p"), F.round("effect_size", 6).alias("effect_size"), "n_train", "n_test", F.col("n_pos").alias("n_positive_proxy"))
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     n = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(truth)))
 
 
 def precursors(index: DataFrame, events: DataFrame, leads: tuple[int, ...] = (3, 7, 14), score: str = "patchcore_score", ratio: float = 1.1, least: int = 2) -> DataFrame:
-    """Scores in the days before each event against the usual ones.
+    """Scores of usable images in the days before each event against the usual ones.
 
     The window [event - lead, event) becomes an equi-join on the day: an event is
     expanded into the days of its longest lead (a fixed number), and every lead takes
     those within its reach. Background: median over usable day images."""
     at = F.make_timestamp_ntz("year", "month", "day", F.coalesce("hour", F.lit(0)), F.coalesce("minute", F.lit(0)), F.coalesce("second", F.lit(0)))
-    scored = index.filter(F.col(score).isNotNull()).select(at.alias("at"), F.make_date("year", "month", "day").alias("d"), F.col(score).alias("s"), "quality_flag", F.coalesce("hour", F.lit(0)).alias("h"))
-    usual = scored.filter("quality_flag = 'usable' and h between 6 and 17")
-    usual = quantiles(usual, "s", [], {"background_score": 0.5})
+    scored = index.filter(F.col(score).isNotNull() & (F.col("quality_flag") == "usable")).select(at.alias("at"), F.make_date("year", "month", "day").alias("d"), F.col(score).alias("s"), F.coalesce("hour", F.lit(0)).alias("h"))
+    usual = quantiles(scored.filter("h between 6 and 17"), "s", [], {"background_score": 0.5})
     days = events.select("event_date", "event_type", "event_intensity", F.explode(F.sequence(F.date_sub("event_date", max(leads)), F.date_sub("event_date", 1))).alias("d"))
     lead = F.explode(F.array(*map(F.lit, leads)))
     met = scored.join(small(days), "d").withColumn("lead_days", lead).filter(F.col("d") >= F.date_sub("event_date", F.col("lead_days")))
@@ -131,21 +145,22 @@ def precursors(index: DataFrame, events: DataFrame, leads: tuple[int, ...] = (3,
     return out.withColumn("triggered", F.coalesce(F.col("ratio") >= ratio, F.lit(False)))
 
 
-def threshold_analysis(found: DataFrame, thresholds: tuple[float, ...] = (1.0, 1.1, 1.2, 1.5, 2.0)) -> DataFrame:
+def threshold_analysis(found: DataFrame, thresholds: tuple[float, ...] = (1.0, 1.1, 1.2, 1.3, 1.4, 1.5)) -> DataFrame:
     """Triggers and ratio statistics per threshold and lead, from the rows of precursors()."""
     each = found.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     hit = F.count_if(F.col("ratio") >= F.col("threshold"))
     return each.groupBy("threshold", "lead_days").agg(F.count(F.lit(1)).alias("n_events"), hit.alias("n_triggers"), (hit / F.count(F.lit(1))).alias("trigger_rate"), F.avg("ratio").alias("ratio_mean"), F.percentile("ratio", F.lit(0.5)).alias("ratio_median"), F.max("ratio").alias("ratio_max"))
 
 
-def permutation_test(index: DataFrame, found: DataFrame, lead: int = 7, runs: int = 1000, score: str = "patchcore_score", key: str = "image_id") -> DataFrame:
-    """How often the mean score of random rows reaches the mean q90 of the events of one lead.
+def permutation_test(index: DataFrame, found: DataFrame, lead: int = 7, runs: int = 1000, score: str = "patchcore_score", key: str = "image_id", least: int = 10) -> DataFrame:
+    """How often the mean score of random usable rows reaches the mean q90 of the events of one lead;
+    empty without an event or with under `least` rows.
 
     Each run draws m rows: instead of crossing runs with rows, every run draws m row
     numbers by a hash and joins them, so the work is runs x m."""
     of = found.filter(F.col("lead_days") == lead)
     seen = of.agg(F.avg("q90_score").alias("q"), F.count(F.lit(1)).alias("k")).first()  # one row
-    rows = index.filter(F.col(score).isNotNull()).select(key, F.col(score).alias("s"))
+    rows = index.filter(F.col(score).isNotNull() & (F.col("quality_flag") == "usable")).select(key, F.col(score).alias("s"))
     h = (F.col(key) * 2654435761 + 42) % 4294967296
     slices = 256
     cut = rows.withColumns({"_slice": F.floor(h / (4294967296 / slices)), "_h": h})
@@ -155,7 +170,7 @@ def permutation_test(index: DataFrame, found: DataFrame, lead: int = 7, runs: in
     total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
     m = min(total, int(seen.k) * max(1, 2 * lead))
     spark = index.sparkSession
-    if not m or seen.q is None:
+    if total < least or seen.q is None:
         return spark.createDataFrame([], "lead_days int, n_permutations int, observed_mean double, null_mean double, null_std double, p_value double, significant boolean")
     # an affine walk visits m different row numbers of each run: no row twice in a run
     step = F.lit(next(s for s in range(max(1, int(total * 0.618)), total + 2) if math.gcd(s, total) == 1)).cast("long")

@@ -1,7 +1,10 @@
-"""Arrow-batched twins of the pixel kernels, for images that come as arrays."""
+"""Arrow-batched pixel kernels, for images that come as arrays; `pixels` has relational twins of most."""
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,6 +70,73 @@ def vector(img: np.ndarray, before: np.ndarray | None) -> dict[str, float]:
     }
 
 
+PAIR = ["night_score", "mad", "most", "p95", "temporal_change", "ssim_distance"]
+
+
+def pair(img: np.ndarray, before: np.ndarray | None, dim: float, dark: float = 30 / 255, bright: float = 60 / 255) -> tuple:
+    """Night score of a frame (its values times `dim`), and what sets it apart from an earlier one of the
+    same shape; null without one."""
+    low = img * dim
+    night = 0.0 if low.mean() >= dark else float((low > bright).mean())
+    if before is None or before.shape != img.shape:
+        return (night, *[None] * 5)
+    d = np.abs(img - before)
+    return night, float(d.mean()), float(d.max()), float(np.percentile(d, 95)), float(d.mean() / (1 + before.std() + 1e-6)), ssim_distance(img, before)
+
+
+def pair_scores(frames: DataFrame, keep: list[str], dim: float = 1.0) -> DataFrame:
+    """keep columns and the scores of PAIR, from frames(width, pixels, before): the pixels of a frame
+    and of the one it is compared with (null without) as arrays by rows."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            of = lambda x, w: None if x is None else np.asarray(x, float).reshape(-1, int(w))
+            rows = [pair(of(a, w), of(b, w), dim) for w, a, b in zip(pdf["width"], pdf["pixels"], pdf["before"], strict=True)]
+            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(rows, columns=PAIR, dtype="Float64")], axis=1)
+
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in keep)
+    return frames.select(*keep, "width", "pixels", "before").mapInPandas(run, kinds + ", " + ", ".join(f"{c} double" for c in PAIR))
+
+
+def png_of(img: np.ndarray) -> bytes:
+    """A PNG file of gray levels (rows x columns) or colours (rows x columns x 3)."""
+    img = np.asarray(img, dtype=np.uint8)
+    raw = b"".join(b"\x00" + row.tobytes() for row in img)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", img.shape[1], img.shape[0], 8, 0 if img.ndim == 2 else 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def gray_of_png(data: bytes) -> np.ndarray:
+    """Gray levels (rows x columns) of a PNG with 8-bit gray or colour samples; an error says why not."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, body, head = 8, b"", None
+    while at + 8 <= len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
+        body += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += n + 12
+    channels = {0: 1, 2: 3, 6: 4}.get(head[3]) if head and head[2] == 8 and not head[6] else None
+    if channels is None:
+        raise ValueError("not 8-bit gray or colour")
+    try:
+        raw = np.frombuffer(zlib.decompress(body), dtype=np.uint8)
+    except zlib.error as x:
+        raise ValueError(str(x)) from x
+    rows = raw.reshape(head[1], 1 + head[0] * channels)
+    out, above = np.zeros((head[1], head[0] * channels), dtype=np.int64), np.zeros(head[0] * channels, dtype=np.int64)
+    for y, (kind, *line) in enumerate(rows.tolist()):
+        for x, v in enumerate(line):  # each filter predicts a sample from those to the left and above
+            left, up, corner = (out[y, x - channels] if x >= channels else 0), above[x], (above[x - channels] if x >= channels else 0)
+            guess = left + up - corner
+            near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+            out[y, x] = (v + (0, left, up, (left + up) // 2, near)[kind]) & 255
+        above = out[y]
+    img = out.reshape(head[1], head[0], channels).astype(float)
+    return img[:, :, 0] if channels == 1 else img[:, :, :3] @ [0.299, 0.587, 0.114]
+
+
 def features(frames: DataFrame) -> DataFrame:
     """image_id and its ten features, from frames(image_id, width, pixels, before): the
     pixels of a frame and of the earlier one (null without) as arrays by rows."""

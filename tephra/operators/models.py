@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .evaluate import binary_scores
+from .sample import coreset, ranks
 
 
 def pca_2d(vectors: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -27,35 +29,38 @@ def pca_2d(vectors: DataFrame, column: str, keep: list[str]) -> DataFrame:
 def frechet_distance(vectors: DataFrame, column: str, group: str) -> DataFrame:
     """Distance of the two groups' Gaussians: means and covariances are summed in Spark, the
     d x d square root is taken of the two small results. Under two rows a side: infinity."""
-    base = vectors.select(group, F.transform(column, lambda x: x.cast("double")).alias("v"))
-    means = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("v") - 1)))
-    first = means.groupBy(group, "i").agg(F.avg(F.get("v", F.col("i"))).alias("m"), F.count(F.lit(1)).alias("n"))
-    second = means.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i")))).groupBy(group, "i", "j").agg(F.avg(F.get("v", F.col("i")) * F.get("v", F.col("j"))).alias("p"))
+    def sums(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            for g, rows in pdf.groupby(group):
+                x = np.array(rows[column].tolist(), dtype=np.float64)
+                yield pd.DataFrame({"g": [g], "n": [len(x)], "s": [x.sum(axis=0)], "p": [(x.T @ x).ravel()]})
+
+    kind = vectors.schema[group].dataType.simpleString()
+    parts = vectors.select(group, column).mapInPandas(sums, f"g {kind}, n long, s array<double>, p array<double>")
+    each = lambda c: F.posexplode(c).alias("i", "v")
     got: dict = {}
-    for r in first.collect():  # dims x 2 rows
-        got.setdefault(r[group], {"m": {}, "n": r.n, "p": {}})["m"][r.i] = r.m
-    for r in second.collect():  # dims x dims x 2 / 2 rows
-        got[r[group]]["p"][r.i, r.j] = r.p
+    for r in parts.groupBy("g").agg(F.sum("n").alias("n")).collect():  # a row for each group
+        got[r.g] = {"n": r.n}
+    for c in ("s", "p"):  # as many sums as dims, and as their square
+        for r in parts.select("g", each(c)).groupBy("g", "i").agg(F.sum("v").alias("v")).collect():
+            got[r.g].setdefault(c, {})[r.i] = r.v
     spark = vectors.sparkSession
     if len(got) != 2 or min(g["n"] for g in got.values()) < 2:
         return spark.createDataFrame([(float("inf"),)], "distance double")
     mu, cov = [], []
     for _, g in sorted(got.items()):
-        k = len(g["m"])
-        m = np.array([g["m"][i] for i in range(k)])
-        p = np.array([[g["p"][max(i, j), min(i, j)] for j in range(k)] for i in range(k)])
+        n, k = g["n"], len(g["s"])
+        m = np.array([g["s"][i] for i in range(k)]) / n
+        p = np.array([g["p"][i] for i in range(k * k)]).reshape(k, k) / n
         mu.append(m)
-        cov.append((p - np.outer(m, m)) * g["n"] / (g["n"] - 1))
+        cov.append((p - np.outer(m, m)) * n / (n - 1))
     root = np.sqrt(np.maximum(np.linalg.eigvals(cov[0] @ cov[1]).real, 0)).sum()
     return spark.createDataFrame([(float(((mu[0] - mu[1]) ** 2).sum() + np.trace(cov[0]) + np.trace(cov[1]) - 2 * root),)], "distance double")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """A fold number for each row, even within each class."""
-    by = W.partitionBy(label, "_slice").orderBy("_h", key)
-    h = (F.col(key) * 2654435761 + 42) % 4294967296
-    # slices of the hash keep windows small; an offset by slice keeps the folds even
-    return df.withColumn("_h", h).withColumn("_slice", F.pmod("_h", F.lit(64))).withColumn("fold", F.pmod(F.row_number().over(by) + F.col("_slice"), F.lit(k)).cast("int")).drop("_h", "_slice")
+    """A fold number for each row, even within each class: the rank of its hash in the class, by k."""
+    return ranks(df, label, key).withColumn("fold", F.pmod("rank", F.lit(k)).cast("int")).drop("rank", "n")
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,7 +72,7 @@ def weather_candidates() -> dict:
     """The classifiers that compete, by name."""
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     linear = {f"linear_{c}": Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", regParam=1 / c / 100, maxIter=40)]) for c in (0.1, 1, 10, 50)}
-    return linear | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=60, maxDepth=8, seed=42)])}
+    return linear | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=300, maxDepth=8, seed=42)])}
 
 
 def cv_macro_f1(df: DataFrame, estimator: Pipeline, key: str, k: int = 5) -> DataFrame:
@@ -82,7 +87,7 @@ def cv_macro_f1(df: DataFrame, estimator: Pipeline, key: str, k: int = 5) -> Dat
     return scores.agg(F.avg("f1_macro").alias("mean"), F.stddev_pop("f1_macro").alias("std"))
 
 
-def weather_fit(df: DataFrame, key: str, k: int = 3, gain: float = 0.02) -> tuple[PipelineModel, str]:
+def weather_fit(df: DataFrame, key: str, k: int = 5, gain: float = 0.02) -> tuple[PipelineModel, str]:
     """The best linear model by macro F1, or the forest if that is better by `gain`."""
     scores = {n: cv_macro_f1(df, e, key, k).first()["mean"] for n, e in weather_candidates().items()}
     best = max((n for n in scores if n != "forest"), key=lambda n: scores[n])
@@ -123,6 +128,16 @@ def volcano_predict(fitted: tuple[PipelineModel, list[str]], df: DataFrame, colu
     return out.select(*keep, F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).alias("volcano_class"), F.array_max(p).alias("class_confidence"), *[p[i].alias(f"p_{n}") for i, n in enumerate(names)])
 
 
+def volcano_proba(fitted: tuple[PipelineModel, list[str]] | None, df: DataFrame, columns: list[str], keep: list[str], classes: list[str]) -> DataFrame:
+    """volcano_class, class_confidence and a probability for each of the classes, 0 for one that the
+    model has not seen. Without a model the rules' `class` of df has probability 1."""
+    if fitted is None:
+        one = [F.when(F.col("class") == c, 1.0).otherwise(0.0).alias(f"p_{c}") for c in classes]
+        return df.select(*keep, F.col("class").alias("volcano_class"), F.lit(1.0).alias("class_confidence"), *one)
+    out = volcano_predict(fitted, df, columns, keep)
+    return out.select(*keep, "volcano_class", "class_confidence", *[F.col(f"p_{c}") if f"p_{c}" in out.columns else F.lit(0.0).alias(f"p_{c}") for c in classes])
+
+
 def importance(fitted: tuple[PipelineModel, list[str]], columns: list[str], df: DataFrame) -> DataFrame:
     values = fitted[0].stages[-1].featureImportances.toArray()
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, values, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
@@ -138,8 +153,6 @@ def load(path: str) -> PipelineModel:
 
 def patchcore_fit(patches: DataFrame, train_images: DataFrame, key: str) -> DataFrame:
     """The memory bank: of all non-zero patches of the training images a fixed share, at least 500."""
-    from .sample import coreset
-
     used = patches.join(train_images.select("image_id"), "image_id", "left_semi").filter(F.exists("features", lambda x: x != 0))
     return coreset(used, key)
 

@@ -10,39 +10,53 @@ from pyspark.sql import functions as F
 
 from ..functions import levels
 
-MAX_CORESET_BYTES = 100_000_000
+BLOCK_BYTES = 16_000_000
 
 
 def distances(queries: DataFrame, coreset: DataFrame, keep: list[str], dims: int) -> DataFrame:
     """keep columns of queries and `distance` to the nearest vector of coreset(features).
 
-    The coreset's size is checked, and it is sent to the tasks in blocks of bounded
-    size: every query meets each block once, and the least distance is kept. Inside a
-    task one matrix product serves a whole Arrow batch."""
+    The coreset is packed into rows of one block of vectors each. Every batch of queries meets
+    every block, as rows that Spark joins; a task then takes one matrix product for a batch and a
+    block, and the least distance of a query over the blocks is kept. Nothing passes the driver."""
+    per_block = max(1, BLOCK_BYTES // (8 * dims))
     n = coreset.count()
-    block = max(1, min(n, MAX_CORESET_BYTES // (4 * dims)))
-    parts = -(-n // block) if n else 0
-    spark, out = queries.sparkSession, None
-    numbered = coreset.select("features", F.pmod(F.xxhash64("features"), F.lit(max(parts, 1))).alias("part"))
+    blocks = max(1, -(-n // per_block))
+    of = F.pmod(F.xxhash64("features"), F.lit(blocks)).cast("int")
+    bank = coreset.select(of.alias("block"), F.transform("features", lambda x: x.cast("float")).alias("f")).groupBy("block").agg(F.flatten(F.collect_list("f")).alias("bank"))
     kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keep)
-    for p in range(parts):
-        bank = np.array([r.features for r in numbered.filter(F.col("part") == p).select("features").collect()], dtype=np.float32)  # at most about one block
-        sent, norms = spark.sparkContext.broadcast(bank), (bank.astype(np.float64) ** 2).sum(axis=1)
-
-        def run(batches, sent=sent, norms=norms):  # noqa: ANN001, ANN202
-            for pdf in batches:
-                q = np.array(pdf["features"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-                near = np.full(len(q), np.inf)
-                for i in range(0, len(norms), 4096):
-                    c = sent.value[i : i + 4096].astype(np.float64)
-                    near = np.minimum(near, ((q**2).sum(axis=1)[:, None] + norms[i : i + 4096] - 2 * q @ c.T).min(axis=1))
-                yield pd.DataFrame({**{c: pdf[c] for c in keep}, "distance": np.sqrt(np.maximum(near, 0))})
-
-        part = queries.select(*keep, "features").mapInPandas(run, f"{kinds}, distance double")
-        out = part if out is None else out.union(part)
-    if out is None:
+    if not n:
         return queries.select(*keep, F.lit(None).cast("double").alias("distance"))
-    return out if parts == 1 else out.groupBy(*keep).agg(F.min("distance").alias("distance"))
+
+    def near(key, pdf, banks):  # noqa: ANN001, ANN202
+        q = np.array(pdf["features"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+        best = np.full(len(q), np.inf)
+        for flat in banks["bank"]:
+            c = np.asarray(flat, dtype=np.float64).reshape(-1, dims)
+            for i in range(0, len(c), 4096):
+                part = c[i : i + 4096]
+                best = np.minimum(best, ((q**2).sum(axis=1)[:, None] + (part**2).sum(axis=1) - 2 * q @ part.T).min(axis=1))
+        return pd.DataFrame({**{c: pdf[c] for c in keep}, "distance": np.sqrt(np.maximum(best, 0))})
+
+    # each group is one share of the queries and one block: the bank is copied once per share
+    shares = max(1, -(-queries.count() * dims * 8 // BLOCK_BYTES))
+    share = F.pmod(F.xxhash64(*keep), F.lit(shares)).cast("int")
+    left = queries.select(*keep, "features", share.alias("share"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = bank.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    met = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInPandas(near, f"{kinds}, distance double")
+    return met if blocks == 1 else met.groupBy(*keep).agg(F.min("distance").alias("distance"))
+
+
+def score_all(images: DataFrame, scores: DataFrame, old: str, test_year: int = 2018) -> DataFrame:
+    """split, image_id, year, score of images(image_id, year, quality_flag) and scored_of_year, the
+    scored images of a split and year. `test` scores the usable images of the test year, `all` those
+    that are usable, dark or without a flag; `unfitted` takes the old score."""
+    joined = images.join(scores, "image_id")
+    usable_, year = F.col("quality_flag") == "usable", F.col("year") == test_year
+    of = {"test": F.when(year & usable_, F.col("score")), "all": F.when(F.col("quality_flag").isin("usable", "dark") | F.col("quality_flag").isNull(), F.col("score")), "unfitted": F.col(old)}
+    each = joined.select("image_id", "year", F.inline(F.array(*[F.struct(F.lit(k).alias("split"), v.alias("score")) for k, v in of.items()])))
+    counts = each.groupBy("split", "year").agg(F.count("score").alias("scored_of_year"))
+    return each.join(counts, ["split", "year"]).select("split", "image_id", "year", "score", "scored_of_year")
 
 
 def usable(features: DataFrame) -> DataFrame:
@@ -82,7 +96,7 @@ def weight(row: Column, col: Column) -> Column:
 
 
 def heatmap(df: DataFrame, score: str, by: list[str], size: int = 16) -> DataFrame:
-    """A size x size grid per group: mean of weight times score, scaled to its maximum.
+    """A size x size grid per group: mean and sum of weight times score, each scaled to its maximum.
 
     The weight is linear in the features, so the sums of score times feature are
     aggregated first and the grid is built from one row per group."""
@@ -93,13 +107,25 @@ def heatmap(df: DataFrame, score: str, by: list[str], size: int = 16) -> DataFra
     # dividing by the sum of scores gives mean features, for which the weight is taken once
     mean = sums.withColumns({c: F.col(c) / F.col("_s") for c in ("thermal_gradient", "edge_density", "bright_zone_area", "bright_pixel_ratio")})
     grid = mean.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    raw = grid.withColumn("v", weight(F.col("row") / (size - 1), F.col("col") / (size - 1)) * F.col("_s") / F.col("_n"))
-    top = F.max("v").over(W.partitionBy(*by))
-    return raw.select(*by, "row", "col", F.when(top > 0, F.col("v") / top).otherwise(F.col("v")).alias("value"))
+    total = weight(F.col("row") / (size - 1), F.col("col") / (size - 1)) * F.col("_s")
+    raw = grid.select(*by, "row", "col", total.alias("sum"), (total / F.col("_n")).alias("mean"))
+    top = lambda c: F.max(c).over(W.partitionBy(*by))
+    return raw.select(*by, "row", "col", *[F.when(top(c) > 0, F.col(c) / top(c)).otherwise(F.col(c)).alias(c) for c in ("mean", "sum")])
+
+
+def heatmap_max(df: DataFrame, score: str, by: list[str], size: int = 16) -> DataFrame:
+    """The grid of the greatest weight times score of any image, scaled to its maximum. It is no sum
+    over features, so every image meets every cell; partial maxima are all that is shuffled."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    s = F.col(score)
+    used = df.filter(s.isNotNull() & (s != 0)).select(*by, s.alias("_s"), *map(z, ("thermal_gradient", "edge_density", "bright_zone_area", "bright_pixel_ratio")))
+    cells = used.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    top = cells.groupBy(*by, "row", "col").agg(F.max(weight(F.col("row") / (size - 1), F.col("col") / (size - 1)) * F.col("_s")).alias("v"))
+    return top.withColumn("max", F.col("v") / F.max("v").over(W.partitionBy(*by))).drop("v")
 
 
 def clusters(grid: DataFrame, by: str, threshold: float = 0.5, least: int = 2) -> DataFrame:
-    """4-connected groups of cells over the threshold: centroid, mean, size and bounds.
+    """4-connected groups of cells at or over the threshold: centroid, mean, size, bounds, and rank by score.
 
     One grid, a fixed number of cells, is a group; labels spread inside it until
     nothing changes."""
@@ -107,7 +133,7 @@ def clusters(grid: DataFrame, by: str, threshold: float = 0.5, least: int = 2) -
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         value = np.full((int(pdf["row"].max()) + 3, int(pdf["col"].max()) + 3), -np.inf)
         value[pdf["row"] + 1, pdf["col"] + 1] = pdf["value"]
-        on = value > threshold
+        on = value >= threshold
         label = np.where(on, np.arange(on.size).reshape(on.shape), on.size)
         while True:
             near = np.minimum.reduce([label, *(np.roll(label, d, axis=a) for a in (0, 1) for d in (1, -1))])
@@ -121,9 +147,10 @@ def clusters(grid: DataFrame, by: str, threshold: float = 0.5, least: int = 2) -
             if len(r) >= least:
                 rows.append((r.mean() - 1, c.mean() - 1, value[r, c].mean(), len(r), r.min() - 1, r.max() - 1, c.min() - 1, c.max() - 1))
         names = ["centroid_row", "centroid_col", "score", "size", "row_min", "row_max", "col_min", "col_max"]
-        out = pd.DataFrame(rows, columns=names)
+        out = pd.DataFrame(sorted(rows, key=lambda r: -r[2]), columns=names)
+        out["rank"] = range(1, len(out) + 1)
         out.insert(0, by, pdf[by].iloc[0])
         return out
 
     kind = grid.schema[by].dataType.simpleString()
-    return grid.groupBy(by).applyInPandas(of, f"{by} {kind}, centroid_row double, centroid_col double, score double, size int, row_min int, row_max int, col_min int, col_max int")
+    return grid.groupBy(by).applyInPandas(of, f"{by} {kind}, centroid_row double, centroid_col double, score double, size int, row_min int, row_max int, col_min int, col_max int, rank int")

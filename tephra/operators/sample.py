@@ -2,8 +2,8 @@
 
 Samples order rows by a multiplicative hash of a key, so the same rows come back
 on every run and on every engine. Global samples of n rows use a top-k, which
-keeps n rows per task; strata are numbered inside a window only after their rows
-beyond the wanted number have been cut in each hash slice.
+keeps n rows per task. Strata are ranked in slices of the hash: as many as the square root of
+their rows asks for, so that neither a slice nor the list of the slices gets long.
 """
 
 from __future__ import annotations
@@ -39,23 +39,30 @@ def sample_n(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(hashed(key), key).limit(n)
 
 
-def stratified(df: DataFrame, by: list[str], key: str, n: int, slices: int = 64) -> DataFrame:
-    """n rows of each stratum. A large stratum is thinned to n rows in each of many slices first."""
+def ranks(df: DataFrame, by: str, key: str) -> DataFrame:
+    """`rank` (from 1) of each row in its stratum by hash, and `n`, the rows of the stratum; no task
+    numbers a whole stratum, whatever its size. A null stratum is one like any other."""
     h = hashed(key)
-    thin = df.withColumn("_slice", F.col(key) % slices).withColumn("_r", F.row_number().over(W.partitionBy(*by, "_slice").orderBy(h, key))).filter(F.col("_r") <= n)
-    return thin.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(h, key))).filter(F.col("_r") <= n).drop("_r", "_slice")
-
-
-def lowest(df: DataFrame, by: str, key: str, wanted: Column, slices: int = 1024) -> DataFrame:
-    """`rank` of each row in its stratum by hash, from slices of the hash range: no task
-    numbers a whole stratum. `wanted` may use n, the stratum's row count."""
-    h = hashed(key)
-    cut = df.withColumns({"_h": h, "_slice": F.floor(h / (4294967296 / slices))})
-    counts = cut.groupBy(by, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    all_ = W.partitionBy(by)
-    starts = counts.withColumns({"_start": F.coalesce(F.sum("_c").over(all_.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_c").over(all_)}).drop("_c")
-    inside = cut.withColumn("_at", F.row_number().over(W.partitionBy(by, "_slice").orderBy("_h", key)))
-    return inside.join(starts, [by, "_slice"]).withColumn("wanted", (F.col("_start") + F.col("_at")) <= wanted).drop("_h", "_slice", "_at", "_start", "n")
+    sizes = df.groupBy(F.col(by).alias("_of")).agg(F.count(F.lit(1)).alias("n"))
+    sized = df.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, F.col(by).eqNullSafe(F.col("_of")))
+    width = 4294967296 / F.greatest(F.ceil(F.sqrt("n")), F.lit(1))
+    cut = sized.withColumns({"_h": h, "_slice": F.floor(h / width)})
+    counts = cut.groupBy("_of", "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy("_of").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col("_of").alias("_by"), F.col("_slice").alias("_at_slice"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    inside = cut.withColumn("_at", F.row_number().over(W.partitionBy("_of", "_slice").orderBy("_h", key)))
+    out = inside.join(starts, F.col("_of").eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_at_slice")))
+    return out.select(*df.columns, "n", (F.col("_start") + F.col("_at")).alias("rank"))
+
+
+def stratified(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """n rows of each stratum."""
+    return ranks(df, by, key).filter(F.col("rank") <= n).drop("rank", "n")
+
+
+def lowest(df: DataFrame, by: str, key: str, wanted: Column) -> DataFrame:
+    """`wanted`: whether a row's rank in its stratum is within a bound, which may use n, the stratum's row count."""
+    return ranks(df, by, key).withColumn("wanted", F.col("rank") <= wanted).drop("rank", "n")
 
 
 def train_val(df: DataFrame, by: str, key: str, ratio: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from .quantiles import quantiles
 
 
@@ -58,8 +59,9 @@ def proxy_labels(df: DataFrame, score: str) -> DataFrame:
 
 
 def categories(df: DataFrame) -> DataFrame:
-    """A row for each of the overlapping categories that an image falls into."""
-    day, s = F.col("hour").between(6, 17), F.col("anomaly_score")
+    """A row for each of the overlapping categories that a usable image falls into; no score counts as 0."""
+    df = df.filter("quality_flag = 'usable'")
+    day, s = F.col("hour").between(6, 17), F.coalesce("anomaly_score", F.lit(0.0))
     found = [F.when(day & (s < 0.1), "day_calm"), F.when(day & (s >= 0.15), "day_active"), F.when(~day & (s >= 0.15), "night_active"), F.when(~day & (s < 0.05), "night_calm"), F.when(F.col("hour").between(18, 20), "dusk")]
     return df.withColumn("category", F.explode(F.array_compact(F.array(*found))))
 
@@ -69,12 +71,27 @@ def above(df: DataFrame, score: str, q: float) -> DataFrame:
     return df.join(F.broadcast(quantiles(df, score, [], {"_line": q}))).filter(F.col(score) > F.col("_line")).drop("_line")
 
 
-def links(pages: DataFrame, pattern: str) -> DataFrame:
-    """One row per address in the html, resolved against the page's own."""
+def links(pages: DataFrame, tag: str, attribute: str) -> DataFrame:
+    """pages with a row for each address (`href`) in an attribute of a kind of tag, and `link`, resolved
+    against the page's own."""
     base = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "[^/]*$", "")
-    each = pages.select("page_id", "url", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("href"))
+    found = F.regexp_extract_all("html", F.lit(rf"""(?i)<{tag}\b[^>]*?\b{attribute}\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    each = pages.withColumn("base", base).withColumn("href", F.explode(found))
     link = F.when(F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1), "href")).otherwise(F.concat("base", "href"))
-    return each.withColumn("link", link)
+    return each.withColumn("link", link).drop("base")
+
+
+def image_links(pages: DataFrame, base: str, camera: str) -> DataFrame:
+    """page_id and link, each once: the full images of one camera that pages(page_id, url, html, year,
+    month) show or link to. Thumbnails, detail pages and file links count as their full images,
+    decorations do not."""
+    shown = links(pages, "img", "src").filter(~F.col("href").startswith("file://") & names.is_image_url(F.col("href")))
+    linked = links(pages, "a", "href")
+    local = F.col("href").startswith("file://") & F.col("href").contains("/html_images/") & F.lower("href").endswith(".html")
+    linked = linked.filter(local | names.is_image_url(F.col("href")) | names.is_detail_page(F.col("link")))
+    full = lambda df, thumb: df.select("page_id", F.when(thumb, names.rewritten(F.col("link"), base, F.col("year"), F.col("month"))).otherwise(F.col("link")).alias("link"))
+    both = full(shown, F.lower("link").rlike("/icones/|/thumbnails/")).union(full(linked, local | ~names.is_image_url(F.col("href"))))
+    return both.filter(F.col("link").isNotNull() & ~names.is_decoration(F.col("link")) & names.of_camera(F.col("link"), camera)).distinct()
 
 
 def first_of(df: DataFrame, keys: list[str], order: Column, last: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import levels, names
 from ..operators import catalog, sample, select
 from .derived import CATEGORIES_SQL, CLASSED_SQL
 from .registry import query
-from .views import EVENTS_SQL, index
+from .views import EVENTS_SQL, event_catalogue, index
 
 _NEW = """, old AS (SELECT url, filename, quality_flag, file_size_bytes FROM idx WHERE image_id % 3 <> 0), new_ AS (SELECT url, filename, CASE WHEN image_id % 2 = 0 THEN 'usable' END AS quality_flag, CASE WHEN image_id % 4 <> 0 THEN file_size_bytes + 1 END AS file_size_bytes, image_id + 5 AS arrival FROM idx WHERE image_id % 3 = 0 OR image_id % 5 = 0
 UNION ALL SELECT url, filename, 'dark', NULL, image_id FROM idx WHERE image_id % 15 = 0), n AS (SELECT * FROM new_ QUALIFY row_number() OVER (PARTITION BY url ORDER BY arrival DESC) = 1)"""
@@ -56,10 +56,15 @@ def update_quality_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("updated").alias("n_updated"), F.count_if(F.col("quality_flag") == "cloudy").alias("n_cloudy"), F.round(F.sum("mean_brightness"), 3).alias("brightness"))
 
 
-@query("SELECT image_id, CASE WHEN coalesce(quality_flag, '') IN ('', 'unknown') THEN CASE WHEN file_size_bytes IS NULL OR file_size_bytes < 1000 OR NOT downloaded THEN 'corrupted' WHEN mean_brightness < 30 THEN 'dark' WHEN variance < 50 THEN 'cloudy' ELSE 'usable' END ELSE quality_flag END AS quality_flag FROM idx")
+_OPEN = """, g AS (SELECT *, CASE WHEN image_id % 9 = 1 THEN 'unknown' WHEN image_id % 9 = 2 THEN '' ELSE quality_flag END AS f, CASE WHEN image_id % 5 <> 3 THEN mean_brightness END AS m, CASE WHEN image_id % 4 <> 1 THEN variance END AS v FROM idx),
+o AS (SELECT *, coalesce(f, 'unknown') IN ('', 'unknown') AND m IS NOT NULL AS fixed FROM g)"""
+
+
+@query(_OPEN + " SELECT image_id, CASE WHEN fixed THEN CASE WHEN m < 30 THEN 'dark' WHEN coalesce(v, 0) < 50 THEN 'cloudy' ELSE 'usable' END ELSE f END AS quality_flag, CASE WHEN fixed THEN m < 30 ELSE is_night END AS is_night, fixed FROM o")
 def fix_unknown_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = levels.quality_flag(F.col("file_size_bytes"), F.col("downloaded"), F.col("mean_brightness"), F.col("variance"))
-    return catalog.fix_unknown_flags(index(spark, sf_dir), flag).select("image_id", "quality_flag")
+    df, i = index(spark, sf_dir), F.col("image_id")
+    open_ = df.withColumns({"quality_flag": F.when(i % 9 == 1, "unknown").when(i % 9 == 2, "").otherwise(F.col("quality_flag")), "mean_brightness": F.when(i % 5 != 3, F.col("mean_brightness")), "variance": F.when(i % 4 != 1, F.col("variance"))})
+    return catalog.fix_unknown_flags(open_).select("image_id", "quality_flag", "is_night", "fixed")
 
 
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,15 +122,12 @@ def coverage_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.join(df.filter("image_id % 4 = 0").select("filename"), "filename", "left_semi").agg(F.count(F.lit(1)).alias("n_common"), (F.count(F.lit(1)) < 20).alias("stale"))
 
 
-@query(f", {EVENTS_SQL}, m AS (SELECT camera, year, month, round(avg(patchcore_score), 6) AS mean_score FROM idx WHERE patchcore_score IS NOT NULL GROUP BY ALL), md AS (SELECT *, make_date(year, month, 1) AS m FROM m) SELECT event_date, camera, m AS month_start, mean_score FROM ev, md QUALIFY row_number() OVER (PARTITION BY event_date, camera ORDER BY abs(event_date - m), m) = 1")
+@query(f", {EVENTS_SQL}, md AS (SELECT camera, make_date(year, month, 1) AS m, max(patchcore_score) AS max_score FROM idx WHERE patchcore_score IS NOT NULL GROUP BY ALL) SELECT event_date, camera, m AS month_start, max_score FROM ev, md QUALIFY row_number() OVER (PARTITION BY event_date, camera ORDER BY abs(event_date - m), m) = 1")
 def nearest_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .views import event_catalogue
-
+    """The month nearest to each event, with its highest score."""
     scored = index(spark, sf_dir).filter("patchcore_score is not null")
-    monthly = scored.groupBy("camera", F.make_date("year", "month", F.lit(1)).alias("month_start")).agg(F.round(F.avg("patchcore_score"), 6).alias("mean_score"))
-    both = monthly.join(select.small(event_catalogue(spark), 1000))
-    far = F.struct(F.abs(F.date_diff("event_date", "month_start")), "month_start")
-    return both.groupBy("event_date", "camera").agg(F.min_by("month_start", far).alias("month_start"), F.min_by("mean_score", far).alias("mean_score"))
+    monthly = scored.groupBy("camera", F.make_date("year", "month", F.lit(1)).alias("month_start")).agg(F.max("patchcore_score").alias("max_score"))
+    return catalog.nearest_in_time(event_catalogue(spark).select("event_date"), "event_date", monthly, "month_start", ["camera"])
 
 
 @query(", a AS (SELECT unnest(generate_series(DATE '2023-10-01', DATE '2024-03-01', INTERVAL 1 MONTH))::DATE AS m) SELECT year(m)::INT AS year, month(m)::INT AS month FROM a WHERE (year(m), month(m)) NOT IN (SELECT (year, month) FROM idx WHERE downloaded)")
@@ -208,7 +210,7 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CATEGORIES_SQL + f" SELECT image_id, category FROM cat QUALIFY row_number() OVER (PARTITION BY category ORDER BY {_HASH}, image_id) <= 50")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.stratified(select.categories(index(spark, sf_dir)), ["category"], "image_id", 50).select("image_id", "category")
+    return sample.stratified(select.categories(index(spark, sf_dir)), "category", "image_id", 50).select("image_id", "category")
 
 
 @query(f", r AS (SELECT image_id, is_night, row_number() OVER (PARTITION BY is_night ORDER BY {_HASH}, image_id) AS r, count(*) OVER (PARTITION BY is_night) AS n FROM idx) SELECT image_id, CASE WHEN r <= greatest(1, floor(n * 0.1)) THEN 'val' ELSE 'train' END AS split FROM r")

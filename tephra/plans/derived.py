@@ -265,14 +265,14 @@ def cascade_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.cascade(index(spark, sf_dir), {"year": 2024, "month": 1, "day": 15, "quality_flag": "usable"})
 
 
-@query("SELECT image_id FROM idx WHERE year BETWEEN 2014 AND 2024")
+@query("SELECT image_id FROM idx WHERE year BETWEEN 2015 AND 2018")
 def year_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).filter(F.col("year").between(2014, 2024)).select("image_id")
+    return index(spark, sf_dir).filter(F.col("year").between(2015, 2018)).select("image_id")
 
 
-@query("SELECT image_id, CASE WHEN day BETWEEN 1 AND 20 AND hour BETWEEN 6 AND 17 THEN 'train' WHEN day > 20 THEN 'test' END AS split FROM idx WHERE quality_flag = 'usable' AND (day > 20 OR hour BETWEEN 6 AND 17)")
+@query("SELECT image_id, CASE WHEN year BETWEEN 2014 AND 2017 THEN 'train' ELSE 'test' END AS split FROM idx WHERE quality_flag = 'usable' AND (year = 2018 OR year BETWEEN 2014 AND 2017 AND hour BETWEEN 6 AND 17)")
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.temporal_split(index(spark, sf_dir), F.col("day").between(1, 20), F.col("day") > 20).select("image_id", "split")
+    return select.temporal_split(index(spark, sf_dir), F.col("year").between(2014, 2017), F.col("year") == 2018).select("image_id", "split")
 
 
 @query("SELECT image_id, CASE WHEN quality_flag = 'dark' THEN 1 ELSE 0 END AS y_true FROM idx WHERE patchcore_score IS NOT NULL AND (quality_flag = 'dark' OR (quality_flag = 'usable' AND hour BETWEEN 6 AND 17))")
@@ -285,8 +285,8 @@ def glow_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).filter(~(F.col("is_night") & (F.coalesce("anomaly_score", F.lit(0.0)) <= 0.05))).select("image_id")
 
 
-CATEGORIES_SQL = """, cat AS (SELECT image_id, camera, unnest([x for x in [CASE WHEN hour BETWEEN 6 AND 17 AND anomaly_score < 0.1 THEN 'day_calm' END, CASE WHEN hour BETWEEN 6 AND 17 AND anomaly_score >= 0.15 THEN 'day_active' END,
-CASE WHEN NOT hour BETWEEN 6 AND 17 AND anomaly_score >= 0.15 THEN 'night_active' END, CASE WHEN NOT hour BETWEEN 6 AND 17 AND anomaly_score < 0.05 THEN 'night_calm' END, CASE WHEN hour BETWEEN 18 AND 20 THEN 'dusk' END] if x IS NOT NULL]) AS category FROM idx)"""
+CATEGORIES_SQL = """, us AS (SELECT * REPLACE (coalesce(anomaly_score, 0) AS anomaly_score) FROM idx WHERE quality_flag = 'usable'), cat AS (SELECT image_id, camera, unnest([x for x in [CASE WHEN hour BETWEEN 6 AND 17 AND anomaly_score < 0.1 THEN 'day_calm' END, CASE WHEN hour BETWEEN 6 AND 17 AND anomaly_score >= 0.15 THEN 'day_active' END,
+CASE WHEN NOT hour BETWEEN 6 AND 17 AND anomaly_score >= 0.15 THEN 'night_active' END, CASE WHEN NOT hour BETWEEN 6 AND 17 AND anomaly_score < 0.05 THEN 'night_calm' END, CASE WHEN hour BETWEEN 18 AND 20 THEN 'dusk' END] if x IS NOT NULL]) AS category FROM us)"""
 
 
 @query(CATEGORIES_SQL + " SELECT image_id, category FROM cat")
@@ -304,12 +304,35 @@ def min_group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).groupBy("day", "hour").agg(F.count(F.lit(1)).alias("n")).filter("n >= 15")
 
 
+#: Pages of the archive made from the index: one for each day and camera, with images, detail pages and decorations.
+_PAGES = r""", ln AS (SELECT 'http://s/' || strftime(make_date(year, month, 1), '%Y_%m') || '/index.html' AS page, year, month, image_id, filename, regexp_replace(filename, '\.[^.]*$', '') AS stem FROM idx)"""
+
+
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, year, month, html: a month page of each day, with five kinds of tags by image."""
+    i, stem = F.col("image_id") % 7, F.regexp_replace("filename", r"\.[^.]*$", "")
+    tag = F.when(i == 0, F.concat(F.lit('<img alt="x" src="thumbnails/ech_'), "filename", F.lit('">'))).when(i == 1, F.concat(F.lit("<a href='/2024_01/images_publiques/"), "filename", F.lit("'>"))).when(i == 2, F.concat(F.lit('<a href="html_images/'), stem, F.lit('.html">'))).when(i == 3, F.concat(F.lit('<A class="q" HREF="file:///C|/x/2020_04/html_images/'), stem, F.lit('.html">')))
+    tag = tag.when(i == 4, F.concat(F.lit('<img src="http://s/img/arrow_kalor'), F.col("image_id").cast("string"), F.lit('.png">'))).when(i == 5, F.concat(F.lit('<img src="http://s/img/logo.png"><img src="http://t/'), "filename", F.lit('?v=1">'))).otherwise(F.concat(F.lit('<a href="other.html">'), F.col("image_id").cast("string"), F.lit("</a>")))
+    rows = index(spark, sf_dir).withColumn("tag", tag)
+    url = F.concat(F.lit("http://s/"), F.date_format(F.make_date("year", "month", F.lit(1)), "yyyy_MM"), F.lit("/index.html"))
+    pages = rows.groupBy("year", "month", "day").agg(F.concat_ws("\n", F.sort_array(F.collect_list("tag"))).alias("html"))
+    return pages.select((F.col("year") * 10000 + F.col("month") * 100 + F.col("day")).alias("page_id"), url.alias("url"), "year", "month", "html")
+
+
+@query(_PAGES + r""", l AS (SELECT year * 10000 + month * 100 + day AS page_id, CASE image_id % 7 WHEN 0 THEN 'http://b/' || strftime(make_date(year, month, 1), '%Y_%m') || '/html_images/ech_' || stem || '.jpg' WHEN 1 THEN 'http://s/2024_01/images_publiques/' || filename WHEN 2 THEN 'http://s/' || strftime(make_date(year, month, 1), '%Y_%m') || '/html_images/ech_' || stem || '.jpg'
+    WHEN 3 THEN 'http://b/2020_04/html_images/ech_' || stem || '.jpg' WHEN 5 THEN 'http://t/' || filename || '?v=1' END AS link, filename FROM (SELECT ln.*, idx.day FROM ln JOIN idx USING (image_id))) SELECT DISTINCT page_id, link FROM l WHERE link IS NOT NULL AND starts_with(filename, 'kalor')""")
+def extract_image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of one camera's full images on the month pages."""
+    return select.image_links(page_rows(spark, sf_dir), "http://b", "kalor").select("page_id", "link")
+
+
 _LINKS = r""", l AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)"""
 
 
 @query(_LINKS + r""" SELECT DISTINCT page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(page, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE regexp_replace(regexp_replace(page, '[?#].*$', ''), '[^/]*$', '') || href END AS link FROM l""", views="none_ AS (SELECT 1)")
-def extract_image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.links(spark.read.parquet(f"{sf_dir}/pages.parquet"), r'<a href="([^"]*)"').select("page_id", "link").distinct()
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of raw web pages, resolved."""
+    return select.links(spark.read.parquet(f"{sf_dir}/pages.parquet"), "a", "href").select("page_id", "link").distinct()
 
 
 _KINDS = """, u AS (SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'http://s/2024_01/thumbnails/ech_' || filename WHEN 1 THEN 'http://s/2024_01/icones/' || filename WHEN 2 THEN 'file:///C|/x/2024_02/html_images/' || replace(filename, '.jpg', '.html')
@@ -328,10 +351,21 @@ def rewrite_image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _odd_urls(spark, sf_dir).select("image_id", names.rewritten(F.col("u"), "http://b", F.col("year"), F.col("month")).alias("image_url"))
 
 
-@query(_KINDS + """ SELECT image_id, image_id % 5 IN (0, 1) AS is_image, image_id % 5 IN (3, 4) AND regexp_matches(lower(u), 'canon|cam|kalor|suki') AS is_detail, false AS is_decoration FROM u""")
+#: Addresses that hit or just miss each predicate, mixed by row into the odd ones.
+TELLTALES = ["http://s/barre_vert.gif", "http://s/x_title.png", "http://s/logo.jpg", "http://s/fleche_g.png", "http://s/Arrow.png?x=1", "http://s/spacer.gif", "http://s/a/arrow/kalor.jpeg", "http://s/x.GIF", "http://s/html/Suki.HTML", "file://s/html/suki.html", "http://s/html_images/a.html", ""]
+_TELL = "CASE image_id % 24 " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(TELLTALES)) + " ELSE u END"
+_SUFFIX = r"regexp_replace(regexp_replace(u, '[?#].*$', ''), '^.*/', '')"
+
+
+@query(_KINDS + f""", t AS (SELECT image_id, {_TELL} AS u FROM u) SELECT image_id, regexp_matches({_SUFFIX}, '\\.(jpg|jpeg|JPG|JPEG|png|PNG)$') AND NOT (contains(lower(u), 'title') OR contains(lower(u), 'logo') OR contains(lower(u), 'barre')) AS is_image,
+u <> '' AND NOT starts_with(u, 'file://') AND (contains(lower(u), '/html_images/') OR contains(lower(u), '/html/')) AND ends_with(lower(u), '.html') AND regexp_matches(lower(u), 'canon|cam|kalor|suki') AS is_detail,
+len([x for x in ['barre_vert', 'barre_hor', '_title', 'fleche', 'arrow', 'spacer'] if contains(lower(regexp_replace({_SUFFIX}, '\\.[^.]*$', '')), x)]) > 0 AS is_decoration FROM t""")
 def link_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("u")
-    return _odd_urls(spark, sf_dir).select("image_id", names.is_image_url(u).alias("is_image"), names.is_detail_page(u).alias("is_detail"), names.is_decoration(u).alias("is_decoration"))
+    i, u = F.col("image_id") % 24, F
+    for k, x in enumerate(TELLTALES):
+        u = u.when(i == k, x)
+    rows, u = _odd_urls(spark, sf_dir).withColumn("u", u.otherwise(F.col("u"))), F.col("u")
+    return rows.select("image_id", names.is_image_url(u).alias("is_image"), names.is_detail_page(u).alias("is_detail"), names.is_decoration(u).alias("is_decoration"))
 
 
 @query("SELECT DISTINCT year, month, 'http://b/' || year || '_' || lpad(month::VARCHAR, 2, '0') || '/' || year || '_' || lower(strftime(make_date(year, month, 1), '%b')) || '.html' AS page FROM idx")

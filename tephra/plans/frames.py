@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,18 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.filter("image_id > 0").withColumn("prev_id", F.col("image_id") - 1)
 
 
+def with_before(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """image_id, prev_id, width, pixels, before of pairs(image_id, prev_id, and others); before is null without prev_id."""
+    fr = views.frames(spark, sf_dir).select("image_id", "pixels")
+    before = fr.select(F.col("image_id").alias("prev_id"), F.col("pixels").alias("before"))
+    return pairs.join(fr, "image_id").join(before, "prev_id", "left").withColumn("width", F.lit(8))
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every frame against the one before it."""
+    return kernels.pair_scores(with_before(spark, sf_dir, pairs_of(spark, sf_dir)), ["image_id"])
+
+
 _G = "floor(v * 255)"
 _BOTH = ", bo AS (SELECT a.image_id, b.image_id AS prev_id, a.x, a.y, a.v, b.v AS w FROM px a JOIN px b ON b.image_id = a.image_id - 1 AND a.x = b.x AND a.y = b.y)"
 
@@ -53,6 +67,11 @@ def night_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.night_score(px_of(spark, sf_dir).withColumn("v", F.col("v") / 4)).withColumn("night_score", r6("night_score"))
 
 
+def single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of the frames by themselves."""
+    return kernels.features(views.frames(spark, sf_dir).select("image_id", "pixels", F.lit(8).alias("width"), F.lit(None).cast("array<double>").alias("before")))
+
+
 def _tap(kernel: dict) -> str:
     return " + ".join(f"({w}) * m[{(dy + 1) * 3 + dx + 2}]" for (dx, dy), w in kernel.items())
 
@@ -62,12 +81,12 @@ _NEAR = ", nb AS (SELECT c.image_id, c.x, c.y, list(p.v ORDER BY p.y, p.x) AS m
 
 @query(_NEAR + f" SELECT image_id, round(avg(sqrt(({_tap(pixels.SOBEL['gx'])}) ** 2 + ({_tap(pixels.SOBEL['gy'])}) ** 2)) / 1448, 8) AS thermal_gradient FROM nb GROUP BY image_id", FRAMES_SQL)
 def thermal_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.thermal_gradient(px_of(spark, sf_dir)).withColumn("thermal_gradient", F.round("thermal_gradient", 8))
+    return single(spark, sf_dir).select("image_id", F.round("thermal_gradient", 8).alias("thermal_gradient"))
 
 
 @query(_NEAR + f" SELECT image_id, round(stddev_pop({_tap(pixels.LAPLACE['lap'])}) / 255, 8) AS texture_roughness FROM nb GROUP BY image_id", FRAMES_SQL)
 def texture_roughness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.texture_roughness(px_of(spark, sf_dir)).withColumn("texture_roughness", F.round("texture_roughness", 8))
+    return single(spark, sf_dir).select("image_id", F.round("texture_roughness", 8).alias("texture_roughness"))
 
 
 @query(_NEAR + f", g AS (SELECT image_id, x, y, sqrt(({_tap(pixels.DIFFERENCE['gx'])}) ** 2 + ({_tap(pixels.DIFFERENCE['gy'])}) ** 2) / 2 AS m FROM nb) SELECT a.image_id, round(avg(CASE WHEN a.m > 0.1 AND EXISTS (SELECT 1 FROM g b WHERE b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 AND b.m > 0.3) THEN 1 ELSE 0 END), 6) AS edge_density FROM g a GROUP BY a.image_id", FRAMES_SQL)
@@ -106,12 +125,12 @@ ss AS (SELECT image_id, 1 - avg((2 * mv * mw + (0.01 * r) ** 2) * (2 * vw + (0.0
 
 @query(_SSIM + " SELECT image_id, round(d, 4) AS ssim_distance FROM ss", FRAMES_SQL)
 def ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.ssim(pixels.frame_pairs(px_of(spark, sf_dir), pairs_of(spark, sf_dir))).select("image_id", F.round("ssim_distance", 4).alias("ssim_distance"))
+    return compared(spark, sf_dir).select("image_id", F.round("ssim_distance", 4).alias("ssim_distance"))
 
 
 @query(_SSIM + " SELECT count(*) AS n, round(avg(1 - d), 5) AS mean, round(stddev_pop(1 - d), 5) AS std FROM ss", FRAMES_SQL)
 def ssim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pixels.ssim(pixels.frame_pairs(px_of(spark, sf_dir), pairs_of(spark, sf_dir)))
+    s = compared(spark, sf_dir)
     return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(1 - F.col("ssim_distance")), 5).alias("mean"), F.round(F.stddev_pop(1 - F.col("ssim_distance")), 5).alias("std"))
 
 
@@ -137,31 +156,39 @@ def attention_grid_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", r6("norm").alias("norm"), (F.col("y") * 8 + F.col("x")).alias("patch"))
 
 
-_META = "idx AS (SELECT vec_id AS image_id, vec_id // 24 % 30 + 1 AS day, vec_id % 24 AS hour FROM embeddings), " + FRAMES_SQL
+#: One frame an hour from 2019 on, thirty days a month.
+_META = "idx AS (SELECT vec_id AS image_id, (2019 + vec_id // 8640)::INT AS year, (vec_id // 720 % 12 + 1)::INT AS month, (vec_id // 24 % 30 + 1)::INT AS day, (vec_id % 24)::INT AS hour FROM embeddings), " + FRAMES_SQL
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day and hour of the frames: one an hour."""
-    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"))
-    return ids.withColumns({"day": (F.floor(F.col("image_id") / 24) % 30 + 1).cast("int"), "hour": (F.col("image_id") % 24).cast("int")})
+    ids, i = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id")), F.col("image_id")
+    whole = {"year": 2019 + F.floor(i / 8640), "month": F.floor(i / 720) % 12 + 1, "day": F.floor(i / 24) % 30 + 1, "hour": i % 24}
+    return ids.withColumns({k: c.cast("int") for k, c in whole.items()})
+
 
+_BOTH_MONTH = _BOTH.replace("b.image_id = a.image_id - 1", "b.image_id = a.image_id - 1 AND a.image_id % 720 <> 0")
+_SSIM_MONTH = _SSIM.replace(_BOTH, _BOTH_MONTH)
 
-@query(", b AS (SELECT a.image_id, a.day, a.hour, CASE WHEN avg(v / 4) >= 30 / 255 THEN 0 ELSE avg(CASE WHEN v / 4 > 60 / 255 THEN 1 ELSE 0 END) END AS night FROM idx a JOIN px USING (image_id) GROUP BY ALL)" + _SSIM + ", md AS (SELECT image_id, avg(abs(v - w)) AS m FROM bo GROUP BY image_id), c AS (SELECT b.*, m, d, (night + coalesce(m, 0) + coalesce(d, 0)) / (1 + (m IS NOT NULL)::INT + (d IS NOT NULL)::INT) AS s FROM b LEFT JOIN md USING (image_id) LEFT JOIN ss USING (image_id)), t AS (SELECT avg(s) + 2 * stddev_samp(s) AS t FROM c) SELECT image_id, round(s, 4) AS combined, s > t AS is_anomaly, round(t, 4) AS threshold FROM c, t", _META)
+
+@query(", b AS (SELECT a.*, CASE WHEN avg(v / 4) >= 30 / 255 THEN 0 ELSE avg(CASE WHEN v / 4 > 60 / 255 THEN 1 ELSE 0 END) END AS night FROM idx a JOIN px USING (image_id) GROUP BY ALL)" + _SSIM_MONTH + ", md AS (SELECT image_id, avg(abs(v - w)) AS m FROM bo GROUP BY image_id), c AS (SELECT b.*, m, d, (night + coalesce(m, 0) + coalesce(d, 0)) / (1 + (m IS NOT NULL)::INT + (d IS NOT NULL)::INT) AS s FROM b LEFT JOIN md USING (image_id) LEFT JOIN ss USING (image_id)), t AS (SELECT year, month, avg(s) + 2 * stddev_samp(s) AS t FROM c GROUP BY ALL) SELECT image_id, year, month, day, hour, round(night, 4) AS night_score, round(m, 4) AS mad_prev, round(d, 4) AS ssim_prev, round(s, 4) AS combined_score, round(t, 4) AS threshold, s > t AS is_anomaly, round(s - t, 4) AS distance_to_threshold FROM c JOIN t USING (year, month)", _META)
 def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = px_of(spark, sf_dir)
-    both = pixels.frame_pairs(px, pairs_of(spark, sf_dir))
-    night = pixels.night_score(px.withColumn("v", F.col("v") / 4))
-    scored = night.join(pixels.mad(both).select("image_id", "mad"), "image_id", "left").join(pixels.ssim(both).select("image_id", "ssim_distance"), "image_id", "left")
-    scored = scored.withColumn("combined", levels.mean_of_present(F.col("night_score"), F.col("mad"), F.col("ssim_distance")))
-    out = report.mu_2sigma(scored, "combined", [])
-    return out.select("image_id", F.round("combined", 4).alias("combined"), "is_anomaly", F.round("threshold", 4).alias("threshold"))
+    """Scores of every frame of a month against the one before it in the month, and the month's threshold."""
+    rows = meta(spark, sf_dir).withColumns({"camera": F.lit("a"), "minute": F.lit(0), "filename": F.lit("f"), "readable": F.lit(True)})
+    found = kernels.pair_scores(with_before(spark, sf_dir, pixels.previous_in_month(rows)), ["image_id", "year", "month", "day", "hour"], dim=0.25)
+    scored = found.withColumn("combined", levels.mean_of_present(F.col("night_score"), F.col("mad"), F.col("ssim_distance")))
+    out = report.mu_2sigma(scored, "combined", ["year", "month"])
+    names = {"night_score": "night_score", "mad": "mad_prev", "ssim_distance": "ssim_prev", "combined": "combined_score", "threshold": "threshold", "distance_to_threshold": "distance_to_threshold"}
+    return out.select("image_id", "year", "month", "day", "hour", "is_anomaly", *[F.round(c, 4).alias(n) for c, n in names.items()])
 
 
-@query(", n AS (SELECT image_id AS prev_id, hour, day, lead(image_id) OVER (PARTITION BY hour ORDER BY day, image_id) AS image_id FROM idx WHERE hour = 12 AND image_id < 720) SELECT n.prev_id, n.image_id, round(avg(abs(a.v - b.v)), 6) AS mad_score FROM n JOIN px a ON a.image_id = n.image_id JOIN px b ON b.image_id = n.prev_id AND a.x = b.x AND a.y = b.y GROUP BY ALL", _META)
+@query(_SSIM.replace(_BOTH, _BOTH.replace("a.image_id - 1", "a.image_id - 24 AND a.image_id % 720 >= 24")) + " SELECT image_id, b.day AS day_a, a.day AS day_b, a.year, a.month, a.hour, round(avg(abs(v - w)), 6) AS mad_score, round(any_value(d), 4) AS ssim_score FROM bo JOIN ss USING (image_id) JOIN idx a USING (image_id) JOIN idx b ON b.image_id = prev_id GROUP BY ALL", _META)
 def same_hour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = meta(spark, sf_dir).filter("hour = 12 and image_id < 720")
-    pairs = at.select(F.col("image_id").alias("prev_id"), F.lead("image_id").over(W.partitionBy("hour").orderBy("day", "image_id")).alias("image_id")).filter("image_id is not null")
-    return pixels.mad(pixels.frame_pairs(px_of(spark, sf_dir), pairs)).select("prev_id", "image_id", r6("mad").alias("mad_score"))
+    """Every frame against the one of the next day at its hour, in every month."""
+    after = W.partitionBy("year", "month", "hour").orderBy("day", "image_id")  # the days of one month
+    at = meta(spark, sf_dir).select(F.col("image_id").alias("prev_id"), F.col("day").alias("day_a"), "year", "month", "hour", F.lead("image_id").over(after).alias("image_id"), F.lead("day").over(after).alias("day_b"))
+    keep = ["image_id", "day_a", "day_b", "year", "month", "hour"]
+    found = kernels.pair_scores(with_before(spark, sf_dir, at.filter("image_id is not null")), keep)
+    return found.select(*keep, r6("mad").alias("mad_score"), F.round("ssim_distance", 4).alias("ssim_score"))
 
 
 @query(", r AS (SELECT * FROM idx WHERE quality_flag IS DISTINCT FROM 'corrupted') SELECT image_id, lag(image_id) OVER (PARTITION BY camera, year, month ORDER BY day, hour, minute, filename, image_id) AS prev_id FROM r")
@@ -176,27 +203,45 @@ def prev_frame_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.previous_in_gap(df).select("image_id", "prev_id")
 
 
-@query()
+#: Frames come in twos of one camera, seven minutes apart; the next two of it follow after its gap.
+_TWOS = "idx AS (SELECT vec_id AS image_id, CASE WHEN vec_id % 11 <> 5 THEN 'usable' ELSE 'corrupted' END AS quality_flag FROM embeddings), " + FRAMES_SQL.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 11 <> 5)")
+_POINTS = [(round(-3 * math.sin(2 * math.pi * i / 24), 5), round(3 * math.cos(2 * math.pi * i / 24), 5)) for i in range(24)]
+_TWO_BOTH = _BOTH.replace("a.image_id - 1", "a.image_id - 1 AND a.image_id % 2 = 1")
+_LBP = f""", pt AS (SELECT i, floor(dy)::INT AS y0, floor(dx)::INT AS x0, dy - floor(dy) AS fy, dx - floor(dx) AS fx FROM (VALUES {", ".join(f"({i}, {dy}::DOUBLE, {dx}::DOUBLE)" for i, (dy, dx) in enumerate(_POINTS))}) AS v(i, dy, dx)),
+gr AS (SELECT image_id, [floor(v * 255) for v in pixels] AS g FROM fr), at_ AS (SELECT image_id, g, p, p % 8 AS x, p // 8 AS y, i, fx, fy, p % 8 + x0 AS a, p // 8 + y0 AS b FROM gr, (SELECT unnest(range(64)) AS p), pt),
+bt AS (SELECT image_id, p, i, ({" + ".join(f"CASE WHEN a + {j} BETWEEN 0 AND 7 AND b + {k} BETWEEN 0 AND 7 THEN g[(b + {k}) * 8 + a + {j} + 1] ELSE 0 END * {'fy' if k else '(1 - fy)'} * {'fx' if j else '(1 - fx)'}" for k in (0, 1) for j in (0, 1))}) - g[p + 1] >= -1e-12 AS bit FROM at_),
+bl AS (SELECT image_id, p, list(bit::INT ORDER BY i) AS m FROM bt GROUP BY ALL), cd AS (SELECT image_id, CASE WHEN list_sum([(m[k] <> m[(k + 22) % 24 + 1])::INT for k in range(1, 25)]) <= 2 THEN list_sum(m) ELSE 25 END AS c FROM bl),
+cn AS (SELECT image_id, c, count(*) AS n FROM cd GROUP BY ALL), wd AS (SELECT image_id, CASE WHEN max(c) > min(c) THEN (max(c) - min(c)) / 26 ELSE 1 / 26 END AS w FROM cn GROUP BY image_id), lb AS (SELECT image_id, -sum(n / (64 * w) * log2(n / (64 * w))) AS h FROM cn JOIN wd USING (image_id) GROUP BY image_id)"""
+_FEATURES = _NEAR + f", tg AS (SELECT image_id, avg(sqrt(({_tap(pixels.SOBEL['gx'])}) ** 2 + ({_tap(pixels.SOBEL['gy'])}) ** 2)) / 1448 AS g, stddev_pop({_tap(pixels.LAPLACE['lap'])}) / 255 AS r FROM nb GROUP BY image_id)" + _TWO_BOTH + f", d AS (SELECT image_id, avg(abs(v - w)) AS d, avg(abs(v - w)) / (1 + stddev_pop(w) + 1e-6) AS t FROM bo GROUP BY image_id), b AS (SELECT image_id, avg(CASE WHEN {_G} > 200 THEN 1 ELSE 0 END) AS b, avg(CASE WHEN {_G} > 180 THEN 1 ELSE 0 END) AS z FROM px GROUP BY image_id)" + _LBP
+
+
+@query(_FEATURES + " SELECT image_id, 0.0::DOUBLE AS optical_flow_mag, round(h, 5) AS lbp_entropy, round(b, 6) AS bright_pixel_ratio, 1.0::DOUBLE AS contour_convexity, round(coalesce(d, 0), 6) AS pixel_diff_mean, round(g, 6) AS thermal_gradient, round(z, 6) AS bright_zone_area, round(r, 6) AS texture_roughness, 0.0::DOUBLE AS edge_density, round(coalesce(t, 0), 6) AS temporal_change_score FROM b JOIN tg USING (image_id) JOIN lb USING (image_id) LEFT JOIN d USING (image_id)", _TWOS)
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten features of every frame, paired with the frame before."""
-    fr = views.frames(spark, sf_dir).select("image_id", "pixels", F.lit(8).alias("width"))
-    before = fr.select((F.col("image_id") + 1).alias("image_id"), F.col("pixels").alias("before"))
-    out = kernels.features(fr.join(before, "image_id", "left"))
-    return out.select("image_id", *[F.round(c, 6).alias(c) for c in kernels.FEATURES])
+    """The ten features of every frame that is not corrupted, paired with its camera's last one of
+    the twenty minutes before. Gradients of frames in [0, 1] stay below the edge thresholds."""
+    i = F.col("image_id")
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id")).filter(i % 11 != 5)
+    at = F.timestamp_add("MINUTE", (F.floor(i / 2) * 30 + i % 2 * 7).cast("int"), F.lit("2019-01-01").cast("timestamp_ntz"))
+    rows = ids.withColumns({"camera": F.element_at(F.array(*map(F.lit, ("kalor", "suki", "kali"))), (F.floor(i / 2) % 3 + 1).cast("int")), "at": at})
+    out = kernels.features(with_before(spark, sf_dir, pixels.previous_in_gap(rows).select("image_id", "prev_id")))
+    return out.select("image_id", *[F.round(c, 5 if c == "lbp_entropy" else 6).alias(c) for c in kernels.FEATURES])
 
 
-@query()
+@query(_LBP + " SELECT image_id, round(h, 5) AS lbp_entropy FROM lb", FRAMES_SQL)
 def lbp_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features_all(spark, sf_dir).select("image_id", "lbp_entropy")
+    return single(spark, sf_dir).select("image_id", F.round("lbp_entropy", 5).alias("lbp_entropy"))
 
 
-@query(_NEAR + f", tg AS (SELECT image_id, avg(sqrt(({_tap(pixels.SOBEL['gx'])}) ** 2 + ({_tap(pixels.SOBEL['gy'])}) ** 2)) / 1448 AS g, stddev_pop({_tap(pixels.LAPLACE['lap'])}) / 255 AS r FROM nb GROUP BY image_id)" + _BOTH + f", d AS (SELECT image_id, avg(abs(v - w)) AS d, avg(abs(v - w)) / (1 + stddev_pop(w) + 1e-6) AS t FROM bo GROUP BY image_id), b AS (SELECT image_id, avg(CASE WHEN {_G} > 200 THEN 1 ELSE 0 END) AS b FROM px GROUP BY image_id) SELECT image_id, round(coalesce(d, 0), 6) AS pixel_diff_mean, round(coalesce(t, 0), 6) AS temporal_change_score, round(b, 6) AS bright_pixel_ratio, round(g, 6) AS thermal_gradient, round(r, 6) AS texture_roughness FROM b JOIN tg USING (image_id) LEFT JOIN d USING (image_id)", FRAMES_SQL)
+@query(_FEATURES + " SELECT image_id, round(coalesce(d, 0), 6) AS pixel_diff_mean, round(coalesce(t, 0), 6) AS temporal_change_score, round(b, 6) AS bright_pixel_ratio, round(z, 6) AS bright_zone_area, round(g, 6) AS thermal_gradient, round(r, 6) AS texture_roughness, round(h, 5) AS lbp_entropy FROM b JOIN tg USING (image_id) JOIN lb USING (image_id) LEFT JOIN d USING (image_id)", _TWOS)
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Arrow kernels against their relational SQL twins."""
-    return features_all(spark, sf_dir).select("image_id", "pixel_diff_mean", "temporal_change_score", "bright_pixel_ratio", "thermal_gradient", "texture_roughness")
+    return features_all(spark, sf_dir).select("image_id", "pixel_diff_mean", "temporal_change_score", "bright_pixel_ratio", "bright_zone_area", "thermal_gradient", "texture_roughness", "lbp_entropy")
+
+
+_SHRUNK = ", z AS (SELECT image_id, i, j, sum(v * 255 * greatest(0, least(y, 1.5 * (i + 1)) - greatest(y - 1, 1.5 * i)) * greatest(0, least(x + 1, 2 * (j + 1)) - greatest(x, 2 * j))) / 3 / 255 AS a FROM px, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j) WHERE y BETWEEN 1 AND 6 GROUP BY ALL), e AS (SELECT image_id, min(a) AS lo, max(a) AS hi FROM z GROUP BY image_id), g AS (SELECT image_id, i, j, floor((a - lo) / (hi - lo) * 255) AS g FROM z JOIN e USING (image_id))"
 
 
-@query()
+@query(_SHRUNK + " SELECT 'frame/' || image_id AS path, list(g::INT ORDER BY i, j) AS pixels, round(avg(g), 6) AS mean, CASE WHEN avg(g) < 30 THEN 'dark' WHEN var_pop(g) < 50 THEN 'cloudy' ELSE 'usable' END AS flag, NULL::VARCHAR AS error FROM g GROUP BY image_id", FRAMES_SQL)
 def preprocess_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames cropped, resized to 4 x 4 and stretched; quality from the result."""
     fr = views.frames(spark, sf_dir).select(F.concat(F.lit("frame/"), F.col("image_id").cast("string")).alias("path"), F.lit(8).alias("width"), F.transform("pixels", lambda v: v * 255).alias("pixels"))

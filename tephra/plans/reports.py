@@ -9,6 +9,7 @@ from ..functions import levels
 from ..operators import report
 from ..operators.quantiles import quantiles
 from ..operators.report import r6
+from ..sources import catalog_files
 from .derived import CLASSED_SQL
 from .registry import query
 from .views import index
@@ -121,12 +122,13 @@ def timeline_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_WEEKS = _TL + f", w AS (SELECT camera, {_BINS['W']} AS bin, avg(patchcore_score) AS mean_score, max(patchcore_score) AS max_score, count(*) AS n_images FROM t GROUP BY ALL HAVING count(*) >= 2)"
+_WEEKS = _TL + f", u AS (SELECT * FROM t WHERE quality_flag = 'usable'), w AS (SELECT camera, {_BINS['W']} AS bin, avg(patchcore_score) AS mean_score, max(patchcore_score) AS max_score, count(*) AS n_images FROM u GROUP BY ALL HAVING count(*) >= 2)"
 
 
-@query(_WEEKS + ", p AS (SELECT quantile_cont(patchcore_score, 0.9) AS p90 FROM idx) SELECT camera, bin, round(mean_score, 6) AS mean_score, max_score, n_images, round(stddev_samp(mean_score) OVER (PARTITION BY camera ORDER BY bin ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS band, round(p90, 6) AS p90 FROM w, p")
+@query(_WEEKS + ", p AS (SELECT quantile_cont(patchcore_score, 0.9) AS p90 FROM u) SELECT camera, bin, round(mean_score, 6) AS mean_score, max_score, n_images, round(stddev_samp(mean_score) OVER (PARTITION BY camera ORDER BY bin ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS band, round(p90, 6) AS p90 FROM w, p")
 def weekly_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = index(spark, sf_dir)
+    """Weeks of the usable images: mean, highest, band and the 90th percentile of all."""
+    df = index(spark, sf_dir).filter("quality_flag = 'usable'")
     weeks = report.rolling_std(report.timeline(df, "patchcore_score", "W", ["camera"]).filter("n_images >= 2"), ["camera"], "bin", "mean_score")
     line = quantiles(df, "patchcore_score", [], {"p90": 0.9}).select(r6("p90").alias("p90"))
     return weeks.join(F.broadcast(line)).withColumns({"mean_score": r6("mean_score"), "band": r6("band")})
@@ -134,7 +136,7 @@ def weekly_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WEEKS + " SELECT camera, bin, round(stddev_samp(mean_score) OVER (PARTITION BY camera ORDER BY bin ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS band FROM w")
 def rolling_std4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = report.timeline(index(spark, sf_dir), "patchcore_score", "W", ["camera"]).filter("n_images >= 2")
+    weeks = report.timeline(index(spark, sf_dir).filter("quality_flag = 'usable'"), "patchcore_score", "W", ["camera"]).filter("n_images >= 2")
     return report.rolling_std(weeks, ["camera"], "bin", "mean_score").select("camera", "bin", r6("band").alias("band"))
 
 
@@ -170,7 +172,7 @@ def resolution_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.class_shares(df, "size").select("size.width", "size.height", "n", "percent")
 
 
-@query("SELECT camera, round(avg(n), 6) AS mean_per_day FROM (SELECT camera, day, count(*) AS n FROM idx GROUP BY ALL) GROUP BY camera")
+@query("SELECT camera, round(avg(n), 6) AS mean_per_day FROM (SELECT camera, year, month, day, count(*) AS n FROM idx GROUP BY ALL) GROUP BY camera")
 def daily_mean_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).groupBy("camera", "year", "month", "day").agg(_n().alias("n")).groupBy("camera").agg(r6(F.avg("n")).alias("mean_per_day"))
 
@@ -284,11 +286,16 @@ def series_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("series").agg(r6(F.avg("v")).alias("mean"), r6(F.max("threshold")).alias("line"), F.count_if("is_anomaly").alias("n_above"))
 
 
-@query("SELECT count(*) AS n, min(year) AS first_year, max(year) AS last_year, count(DISTINCT camera) AS cameras FROM idx")
-def read_index_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources import catalog_files
-
-    df = catalog_files.enriched(index(spark, sf_dir), camera=None)
-    return df.agg(_n().alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.countDistinct("camera").alias("cameras"))
+_ENRICHED = """, g AS (SELECT image_id, filename, local_path, year, month, CASE WHEN image_id % 4 <> 0 THEN day END AS d, CASE WHEN image_id % 6 <> 1 THEN hour END AS h, day, hour, minute, second, CASE WHEN image_id % 3 <> 0 THEN patchcore_score END AS p, anomaly_score FROM idx),
+sc AS (SELECT filename, arg_min(patchcore_score, patchcore_score) AS s FROM idx WHERE patchcore_score IS NOT NULL GROUP BY filename), disk AS (SELECT DISTINCT local_path AS path FROM idx WHERE image_id % 7 <> 0)"""
 
 
+@query(_ENRICHED + " SELECT image_id, day, hour, minute, second, round(coalesce(p, s), 6) AS patchcore_score, round(coalesce(anomaly_score, p, s), 6) AS anomaly_score, path IS NOT NULL AS on_disk FROM g LEFT JOIN sc USING (filename) LEFT JOIN disk ON path = local_path WHERE contains(lower(filename), 'kalor')")
+def read_index_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index with gaps, filled from file names and a table of scores, with the files that are there."""
+    df, i = index(spark, sf_dir), F.col("image_id")
+    scores = df.select("filename", "patchcore_score").filter("patchcore_score is not null")
+    files = df.filter(i % 7 != 0).select(F.col("local_path").alias("path")).distinct()
+    holes = df.withColumns({"day": F.when(i % 4 != 0, F.col("day")), "hour": F.when(i % 6 != 1, F.col("hour")), "patchcore_score": F.when(i % 3 != 0, F.col("patchcore_score"))})
+    out = catalog_files.enriched(holes, scores, files)
+    return out.select("image_id", "day", "hour", "minute", "second", r6("patchcore_score").alias("patchcore_score"), r6("anomaly_score").alias("anomaly_score"), "on_disk")

@@ -15,7 +15,7 @@ from .derived import CLASSED_SQL
 from .registry import query
 from .views import EVENTS_SQL, FRAMES_SQL, index
 
-_PRE = f""", {EVENTS_SQL}, t AS (SELECT *, make_timestamp(year, month, day, hour, minute, second::DOUBLE) AS at_ FROM idx WHERE patchcore_score IS NOT NULL), bg AS (SELECT quantile_cont(patchcore_score, 0.5) AS background_score FROM t WHERE quality_flag = 'usable' AND hour BETWEEN 6 AND 17),
+_PRE = f""", {EVENTS_SQL}, t AS (SELECT *, make_timestamp(year, month, day, hour, minute, second::DOUBLE) AS at_ FROM idx WHERE patchcore_score IS NOT NULL AND quality_flag = 'usable'), bg AS (SELECT quantile_cont(patchcore_score, 0.5) AS background_score FROM t WHERE hour BETWEEN 6 AND 17),
 pre AS (SELECT event_date, event_type, event_intensity, lead_days, count(*) AS n_images, avg(patchcore_score) AS mean_score, quantile_cont(patchcore_score, 0.9) AS q90_score, max(patchcore_score) AS max_score, any_value(background_score) AS background_score, quantile_cont(patchcore_score, 0.9) / any_value(background_score) AS ratio
 FROM ev, (SELECT unnest([3, 7, 14]) AS lead_days), t, bg WHERE at_ >= event_date::TIMESTAMP - to_days(lead_days) AND at_ < event_date::TIMESTAMP GROUP BY ALL HAVING count(*) >= 2)"""
 _ROUNDED = ("mean_score", "q90_score", "max_score", "background_score", "ratio")
@@ -35,13 +35,13 @@ def precursor_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).select("event_date", "lead_days", "n_images")
 
 
-@query(_PRE + " SELECT threshold, lead_days, count(*) AS n_events, count(*) FILTER (ratio >= threshold) AS n_triggers, round(count(*) FILTER (ratio >= threshold) / count(*), 4) AS trigger_rate, round(avg(ratio), 4) AS ratio_mean, round(quantile_cont(ratio, 0.5), 4) AS ratio_median, round(max(ratio), 4) AS ratio_max FROM pre, (SELECT unnest([1.0, 1.1, 1.2, 1.5, 2.0])::DOUBLE AS threshold) GROUP BY ALL")
+@query(_PRE + " SELECT threshold, lead_days, count(*) AS n_events, count(*) FILTER (ratio >= threshold) AS n_triggers, round(count(*) FILTER (ratio >= threshold) / count(*), 3) AS trigger_rate, round(avg(ratio), 4) AS ratio_mean, round(quantile_cont(ratio, 0.5), 4) AS ratio_median, round(max(ratio), 4) AS ratio_max FROM pre, (SELECT unnest([1.0, 1.1, 1.2, 1.3, 1.4, 1.5])::DOUBLE AS threshold) GROUP BY ALL")
 def threshold_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.threshold_analysis(found(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 4) for c in ("trigger_rate", "ratio_mean", "ratio_median", "ratio_max")})
+    return out.withColumns({c: F.round(c, 3 if c == "trigger_rate" else 4) for c in ("trigger_rate", "ratio_mean", "ratio_median", "ratio_max")})
 
 
-_RUNS = """, e AS (SELECT avg(q90_score) AS q, count(*) AS k FROM pre WHERE lead_days = 7), r AS (SELECT patchcore_score AS s, row_number() OVER (ORDER BY (image_id * 2654435761 + 42) % 4294967296, image_id) - 1 AS at_ FROM idx WHERE patchcore_score IS NOT NULL), n AS (SELECT count(*) AS n FROM r),
+_RUNS = """, e AS (SELECT avg(q90_score) AS q, count(*) AS k FROM pre WHERE lead_days = 7), r AS (SELECT patchcore_score AS s, row_number() OVER (ORDER BY (image_id * 2654435761 + 42) % 4294967296, image_id) - 1 AS at_ FROM idx WHERE patchcore_score IS NOT NULL AND quality_flag = 'usable'), n AS (SELECT count(*) AS n FROM r),
 st AS (SELECT min(x) AS step FROM (SELECT unnest(range(greatest(1, floor(n * 0.618)::BIGINT), n + 2)) AS x, n FROM n) WHERE gcd(x, n) = 1), d AS (SELECT run, ((run * 2654435761 + 7) % 4294967296 + j * step) % n AS at_ FROM (SELECT unnest(range(1000)) AS run), (SELECT unnest(range(least(n, k * 14))) AS j FROM n, e), st, n),
 m AS (SELECT run, avg(s) AS mean FROM d JOIN r USING (at_) GROUP BY run)"""
 
@@ -84,22 +84,35 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("u", r6("effect_size").alias("effect_size"), "n_pos", "n_neg")
 
 
-@query()
+_TIES = "tie AS (SELECT sum(n::DOUBLE ** 3 - n) AS ties FROM (SELECT count(*) AS n FROM y GROUP BY s)), mw AS (SELECT u, n1, n2, (u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u, tie, (SELECT count(*) FILTER (y = 1)::DOUBLE AS n1, count(*) FILTER (y = 0)::DOUBLE AS n2 FROM y))"
+#: The upper tail of the normal distribution by Simpson's rule, from z to z + 12 in 6,000 steps.
+_TAIL = "(SELECT sum(CASE WHEN k IN (0, 6000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-((z + k * 0.002) ** 2) / 2)) * 0.002 / 3 / sqrt(2 * pi()) FROM range(6001) AS r(k), mw)"
+_ALL_U = _U.replace("SELECT camera, sum", "SELECT sum").replace(" JOIN (SELECT camera, s FROM y WHERE y = 0) b USING (camera) GROUP BY camera", ", (SELECT s FROM y WHERE y = 0) b")
+
+
+@query(_PROXY + _ALL_U + f", {_TIES} SELECT u, round({_TAIL}, 8) AS p_value, round(2 * u / (n1 * n2) - 1, 6) AS effect_size FROM mw")
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The p value, which needs the error function."""
-    return evaluate.mann_whitney(proxies(spark, sf_dir), "patchcore_score", "y_true").select("u", "p_value", "effect_size")
+    return evaluate.mann_whitney(proxies(spark, sf_dir), "patchcore_score", "y_true").select("u", F.round("p_value", 8).alias("p_value"), r6("effect_size").alias("effect_size"))
 
 
 _CELLS = "count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 0 AND p = 0) AS tn"
 _F1 = "round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_{a}, round(coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0), 6) AS f1_{b}, round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2, 6) AS f1_macro, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy"
 
 
-@query(_PROXY + f", q AS (SELECT quantile_cont(s, 0.9) AS p90 FROM y), c AS (SELECT {_CELLS} FROM (SELECT y, (s > p90)::INT AS p FROM y, q)) SELECT tp, fp, fn, tn, {_F1.format(a='positive', b='negative')} FROM c")
-def binary_f1_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = proxies(spark, sf_dir)
+_P90 = "y AS (SELECT patchcore_score AS s, (quality_flag = 'dark')::INT AS y FROM idx WHERE patchcore_score IS NOT NULL AND quality_flag IN ('dark', 'usable'))"
+
+
+def p90_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dark against usable images of all hours, called dark above the 90th percentile of their scores."""
+    df = index(spark, sf_dir).filter("patchcore_score is not null and quality_flag in ('dark', 'usable')").withColumn("y", (F.col("quality_flag") == "dark").cast("int"))
     line = quantiles(df, "patchcore_score", [], {"p90": 0.9})
-    out = evaluate.binary_scores(df.join(F.broadcast(line)).withColumn("p", (F.col("patchcore_score") > F.col("p90")).cast("int")), "y_true", "p")
-    return out.withColumns({c: r6(c) for c in ("f1_positive", "f1_negative", "f1_macro", "accuracy")})
+    return evaluate.binary_scores(df.join(F.broadcast(line)).withColumn("p", (F.col("patchcore_score") > F.col("p90")).cast("int")), "y", "p")
+
+
+@query(f", {_P90}, q AS (SELECT quantile_cont(s, 0.9) AS p90 FROM y), c AS (SELECT {_CELLS} FROM (SELECT y, (s > p90)::INT AS p FROM y, q)) SELECT tp, fp, fn, tn, {_F1.format(a='positive', b='negative')} FROM c")
+def binary_f1_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p90_scores(spark, sf_dir).withColumns({c: r6(c) for c in ("f1_positive", "f1_negative", "f1_macro", "accuracy")})
 
 
 @query(f", y AS (SELECT CASE quality_flag WHEN 'dark' THEN 1 WHEN 'cloudy' THEN 0 END AS y, predicted AS p FROM idx), c AS (SELECT {_CELLS} FROM y) SELECT {_F1.format(a='volcanic', b='weather')} FROM c")
@@ -131,12 +144,23 @@ def score_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.histogram(df, "patchcore_score", 40, ["y_true"]).join(middle, "y_true")
 
 
-@query(_PROXY + ", " + _AP.format(n="a", g="", t="y", k="1") + _U.replace("SELECT camera, sum", "SELECT sum").replace(" JOIN (SELECT camera, s FROM y WHERE y = 0) b USING (camera) GROUP BY camera", ", (SELECT s FROM y WHERE y = 0) b") + " SELECT round((SELECT sum(p / np * tp / a) FROM ac), 6) AS auc_pr, round((SELECT u / m FROM u), 6) AS auc_roc, (SELECT count(*) FILTER (y = 1) FROM y) AS n_positive, (SELECT count(*) FROM idx WHERE quality_flag = 'usable') AS n_train, (SELECT count(*) FROM y) AS n_test")
+_REPORT = (
+    _PROXY + ", " + _AP.format(n="a", g="", t="y", k="1") + _ALL_U + ", " + _TIES + f", b {_P90[2:]}, c AS (SELECT {_CELLS} FROM (SELECT y, (s > p90)::INT AS p FROM b, (SELECT quantile_cont(s, 0.9) AS p90 FROM b))), f AS (SELECT {_F1.format(a='anomaly', b='normal')} FROM c)"
+    f", g AS (SELECT {_CELLS} FROM (SELECT CASE quality_flag WHEN 'dark' THEN 1 WHEN 'cloudy' THEN 0 END AS y, predicted AS p FROM idx)), h AS (SELECT {_F1.format(a='volcanic', b='weather')} FROM g), r AS (SELECT (SELECT sum(p / np * tp / a) FROM ac) AS ap, (SELECT count(*) FILTER (y = 1) / count(*) FROM y) AS prevalence)"
+)
+
+
+@query(_REPORT + f" SELECT round(prevalence, 6) AS auc_pr_baseline, round(ap, 6) AS auc_pr_patchcore, round(u / (n1 * n2), 6) AS auc_roc_patchcore, round(ap - prevalence, 6) AS delta_auc_pr, round(100 * (ap - prevalence) / prevalence, 4) AS improvement_pct, f.f1_macro AS f1_macro_evaluate, f1_anomaly, f1_normal, h.f1_macro AS f1_macro_triage, f1_volcanic, f1_weather, round({_TAIL}, 8) AS mann_whitney_p, round(2 * u / (n1 * n2) - 1, 6) AS effect_size, (SELECT count(*) FROM idx WHERE quality_flag = 'usable' AND year BETWEEN 2014 AND 2017) AS n_train, (SELECT count(*) FROM idx WHERE year = 2018 AND patchcore_score IS NOT NULL) AS n_test, n1::BIGINT AS n_positive_proxy FROM mw, r, f, h")
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of the 16 figures of the report."""
     df = index(spark, sf_dir)
-    one = evaluate.ranked_stats(proxies(spark, sf_dir), "patchcore_score", "y_true")
-    train = df.agg(F.count_if(F.col("quality_flag") == "usable").alias("n_train"))
-    return one.join(train).select(r6("auc_pr").alias("auc_pr"), r6("auc_roc").alias("auc_roc"), F.col("n_pos").alias("n_positive"), "n_train", (F.col("n_pos") + F.col("n_neg")).alias("n_test"))
+    ranked = evaluate.ranked_stats(proxies(spark, sf_dir), "patchcore_score", "y_true")
+    signal = evaluate.mann_whitney(proxies(spark, sf_dir), "patchcore_score", "y_true").select("p_value", "effect_size")
+    binary = p90_scores(spark, sf_dir).select(F.col("f1_macro").alias("f1_macro_evaluate"), F.col("f1_positive").alias("f1_anomaly"), F.col("f1_negative").alias("f1_normal"))
+    named = df.withColumn("filename", F.col("image_id").cast("string"))
+    triage = evaluate.triage_f1(named, named.select("filename", F.col("predicted").alias("weather_label"))).select(F.col("f1_macro").alias("f1_macro_triage"), "f1_volcanic", "f1_weather")
+    counts = df.agg(F.count_if((F.col("quality_flag") == "usable") & F.col("year").between(2014, 2017)).alias("n_train"), F.count_if((F.col("year") == 2018) & F.col("patchcore_score").isNotNull()).alias("n_test"))
+    return evaluate.report(ranked, signal, binary, triage, counts)
 
 
 @query(_PROXY + _U.replace("SELECT camera, sum", "SELECT sum").replace(" JOIN (SELECT camera, s FROM y WHERE y = 0) b USING (camera) GROUP BY camera", ", (SELECT s FROM y WHERE y = 0) b") + " SELECT round(u / m, 6) AS auc_roc, round(1 - u / m, 6) AS auc_roc_inverted, u / m < 0.5 AS invert FROM u")
@@ -147,19 +171,21 @@ def score_inversion_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(other).select(r6("auc_roc").alias("auc_roc"), r6("b").alias("auc_roc_inverted"), (F.col("auc_roc") < 0.5).alias("invert"))
 
 
-@query("SELECT count(patchcore_score) AS scored, count(patchcore_score) FILTER (day > 20) AS scored_test, count(patchcore_score) FILTER (quality_flag = 'dark') AS scored_dark FROM idx")
+@query("SELECT count(patchcore_score) AS scored, count(patchcore_score) FILTER (year = 2018) AS scored_test, count(patchcore_score) FILTER (quality_flag = 'dark') AS scored_dark FROM idx")
 def pre_eval_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("patchcore_score").isNotNull()
-    return index(spark, sf_dir).agg(F.count_if(s).alias("scored"), F.count_if(s & (F.col("day") > 20)).alias("scored_test"), F.count_if(s & (F.col("quality_flag") == "dark")).alias("scored_dark"))
+    return index(spark, sf_dir).agg(F.count_if(s).alias("scored"), F.count_if(s & (F.col("year") == 2018)).alias("scored_test"), F.count_if(s & (F.col("quality_flag") == "dark")).alias("scored_dark"))
 
 
 _HEAT = """, g AS (SELECT camera, r, c, exp(-((r / 15 - 0.4) ** 2 + (c / 15 - 0.5) ** 2) / (2 * 0.25 ** 2)) AS w1, exp(-((sqrt((r / 15 - 0.5) ** 2 + (c / 15 - 0.5) ** 2) - 0.3) ** 2) / (2 * 0.15 ** 2)) AS w2, exp(-((r / 15 - 0.75) ** 2) / (2 * 0.2 ** 2)) AS w3
-FROM (SELECT DISTINCT camera FROM idx), (SELECT unnest(range(16)) AS r), (SELECT unnest(range(16)) AS c)), h AS (SELECT camera, r, c, avg(patchcore_score * (w1 * (0.4 + 0.6 * thermal_gradient) + w2 * edge_density + w3 * (bright_zone_area + bright_pixel_ratio) + 0.1)) AS v FROM g JOIN idx USING (camera) WHERE patchcore_score IS NOT NULL AND patchcore_score <> 0 GROUP BY ALL)"""
+FROM (SELECT DISTINCT camera FROM idx), (SELECT unnest(range(16)) AS r), (SELECT unnest(range(16)) AS c)), h AS (SELECT camera, r, c, avg(x) AS mean, sum(x) AS "sum", max(x) AS "max" FROM (SELECT camera, r, c, patchcore_score * (w1 * (0.4 + 0.6 * thermal_gradient) + w2 * edge_density + w3 * (bright_zone_area + bright_pixel_ratio) + 0.1) AS x FROM g JOIN idx USING (camera) WHERE patchcore_score IS NOT NULL AND patchcore_score <> 0) GROUP BY ALL)"""
 
 
-@query(_HEAT + " SELECT camera, r::INT AS row, c::INT AS col, round(v / max(v) OVER (PARTITION BY camera), 6) AS value FROM h")
+@query(_HEAT + " SELECT camera, r::INT AS row, c::INT AS col, " + ", ".join(f'round("{k}" / max("{k}") OVER (PARTITION BY camera), 6) AS "{k}"' for k in ("mean", "sum", "max")) + " FROM h")
 def activity_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest.heatmap(index(spark, sf_dir), "patchcore_score", ["camera"]).withColumn("value", r6("value"))
+    df = index(spark, sf_dir)
+    both = nearest.heatmap(df, "patchcore_score", ["camera"]).join(nearest.heatmap_max(df, "patchcore_score", ["camera"]), ["camera", "row", "col"])
+    return both.withColumns({c: r6(c) for c in ("mean", "sum", "max")})
 
 
 @query("SELECT image_id, round(quantile_cont(v, 0.9), 6) AS activity FROM px GROUP BY image_id", FRAMES_SQL)
@@ -167,22 +193,23 @@ def activity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.pixels(spark, sf_dir).groupBy("image_id").agg(r6(F.percentile("v", F.lit(0.9))).alias("activity"))
 
 
-_REACH = """on_ AS (SELECT image_id, y * 8 + x AS p, x, y, v FROM px WHERE v > 0.6), ed AS (SELECT a.image_id, a.p AS a, b.p AS b FROM on_ a JOIN on_ b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1),
+_REACH = """on_ AS (SELECT image_id, y * 8 + x AS p, x, y, v FROM px WHERE v >= 0.6), ed AS (SELECT a.image_id, a.p AS a, b.p AS b FROM on_ a JOIN on_ b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1),
 rc AS (SELECT image_id, a AS p, b AS l FROM ed UNION SELECT r.image_id, e.a, r.l FROM rc r JOIN ed e ON e.image_id = r.image_id AND e.b = r.p), lb AS (SELECT image_id, p, min(l) AS l FROM rc GROUP BY ALL)"""
 
 
-@query(f", {_REACH} SELECT image_id, round(avg(y), 6) AS centroid_row, round(avg(x), 6) AS centroid_col, round(avg(v), 6) AS score, count(*)::INT AS size, min(y)::INT AS row_min, max(y)::INT AS row_max, min(x)::INT AS col_min, max(x)::INT AS col_max FROM on_ JOIN lb USING (image_id, p) GROUP BY image_id, l HAVING count(*) >= 2", "RECURSIVE " + FRAMES_SQL)
+@query(f", {_REACH} SELECT image_id, round(avg(y), 6) AS centroid_row, round(avg(x), 6) AS centroid_col, round(avg(v), 6) AS score, count(*)::INT AS size, min(y)::INT AS row_min, max(y)::INT AS row_max, min(x)::INT AS col_min, max(x)::INT AS col_max, row_number() OVER (PARTITION BY image_id ORDER BY avg(v) DESC)::INT AS rank FROM on_ JOIN lb USING (image_id, p) GROUP BY image_id, l HAVING count(*) >= 2", "RECURSIVE " + FRAMES_SQL)
 def active_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = views.pixels(spark, sf_dir).select("image_id", F.col("y").alias("row"), F.col("x").alias("col"), F.col("v").alias("value"))
     return nearest.clusters(grid, "image_id", 0.6).withColumns({c: r6(c) for c in ("centroid_row", "centroid_col", "score")})
 
 
-_BANK = "bank AS (SELECT embedding AS e FROM embeddings WHERE label = 0 AND vec_id % 2 = 0), nn AS (SELECT vec_id, vec_id // 16 AS image_id, (vec_id % 16)::INT AS patch_id, min(list_distance(embedding::DOUBLE[], e::DOUBLE[])) AS d FROM embeddings, bank GROUP BY vec_id)"
+_BANK = "bank AS (SELECT embedding AS e FROM (SELECT embedding, row_number() OVER (ORDER BY (vec_id * 2654435761 + 42) % 4294967296, vec_id) AS r, count(*) OVER () AS n FROM embeddings WHERE label = 0) WHERE r <= least(n, greatest(500, floor(0.15 * n)))), nn AS (SELECT vec_id, vec_id // 16 AS image_id, (vec_id % 16)::INT AS patch_id, min(list_distance(embedding::DOUBLE[], e::DOUBLE[])) AS d FROM embeddings, bank GROUP BY vec_id)"
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all patches to the memory bank of the normal ones."""
     p = views.patches(spark, sf_dir)
-    bank = p.filter("label = 0 and patch_id % 2 = 0").select("features")
+    bank = sample.coreset(nearest.usable(p.filter("label = 0")).withColumn("vec_id", F.col("image_id") * 16 + F.col("patch_id")), "vec_id").select("features")
     return nearest.distances(p, bank, ["image_id", "patch_id"], 64)
 
 
@@ -196,13 +223,22 @@ def patchcore_score_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir).groupBy("image_id").agg(F.round(F.max("distance"), 5).alias("score"))
 
 
-@query(", s AS (SELECT image_id, max(d) AS score FROM nn GROUP BY image_id) SELECT image_id, round(CASE WHEN image_id % 5 = 0 THEN image_id / 100 ELSE score END, 5) AS score, image_id % 5 <> 0 AS fitted FROM s", _BANK)
+_SPLIT = "m AS (SELECT DISTINCT vec_id // 16 AS image_id, 2014 + (vec_id // 16 % 6)::INT AS year, CASE (vec_id // 16) % 7 WHEN 0 THEN NULL WHEN 1 THEN 'dark' WHEN 2 THEN 'cloudy' ELSE 'usable' END AS quality_flag, (vec_id // 16) / 100 AS old FROM embeddings)"
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of the patches with a year, a flag and an earlier score."""
+    ids = views.patches(spark, sf_dir).select("image_id").distinct()
+    k = F.col("image_id") % 7
+    return ids.withColumns({"year": (2014 + F.col("image_id") % 6).cast("int"), "quality_flag": F.when(k == 0, None).when(k == 1, "dark").when(k == 2, "cloudy").otherwise("usable"), "old": F.col("image_id") / 100})
+
+
+@query(f", {_SPLIT}, s AS (SELECT image_id, max(d) AS score FROM nn GROUP BY image_id) SELECT split, image_id, year, round(score, 5) AS score, count(score) OVER (PARTITION BY split, year) AS scored_of_year FROM (SELECT 'test' AS split, m.image_id, year, CASE WHEN year = 2018 AND quality_flag = 'usable' THEN score END AS score FROM m JOIN s USING (image_id) UNION ALL SELECT 'all', m.image_id, year, CASE WHEN quality_flag IN ('usable', 'dark') OR quality_flag IS NULL THEN score END FROM m JOIN s USING (image_id) UNION ALL SELECT 'unfitted', image_id, year, old FROM m)", _BANK)
 def patchcore_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images that were not scored fall back on the score they had."""
-    scores = neighbours(spark, sf_dir).groupBy("image_id").agg(F.max("distance").alias("new"))
-    all_ = scores.select("image_id", (F.col("image_id") / 100).alias("old"))
-    out = all_.join(scores.filter("image_id % 5 != 0"), "image_id", "left")
-    return out.select("image_id", F.round(F.coalesce("new", "old"), 5).alias("score"), F.col("new").isNotNull().alias("fitted"))
+    """The scores of both splits, with the scored images of each year, and the earlier scores that
+    stand in where nothing was fitted."""
+    found = neighbours(spark, sf_dir).groupBy("image_id").agg(F.max("distance").alias("score"))
+    return nearest.score_all(archive(spark, sf_dir), found, "old").withColumn("score", F.round("score", 5))
 
 
 _MAP = ", mp AS (SELECT image_id, patch_id, (d - min(d) OVER w) / nullif(max(d) OVER w - min(d) OVER w, 0) AS norm FROM nn WINDOW w AS (PARTITION BY image_id))"
@@ -234,10 +270,12 @@ def zone_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", F.round("active_percent", 4).alias("active_percent"), r6("centroid_x").alias("centroid_x"), r6("centroid_y").alias("centroid_y"), "n_active")
 
 
-@query(", u AS (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 2654435761 + 42) % 4294967296, vec_id) AS r, count(*) OVER () AS n FROM embeddings WHERE vec_id // 16 % 2 = 0) SELECT vec_id FROM u WHERE r <= least(n, greatest(500, floor(0.15 * n)))", "none_ AS (SELECT 1)")
+@query(", tr AS (SELECT image_id FROM m WHERE year BETWEEN 2014 AND 2017 AND quality_flag = 'usable' ORDER BY (image_id * 2654435761 + 42) % 4294967296, image_id LIMIT 500), u AS (SELECT vec_id, row_number() OVER (ORDER BY (vec_id * 2654435761 + 42) % 4294967296, vec_id) AS r, count(*) OVER () AS n FROM embeddings WHERE vec_id // 16 IN (SELECT image_id FROM tr)) SELECT vec_id FROM u WHERE r <= least(n, greatest(500, floor(0.15 * n)))", _SPLIT)
 def patchcore_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory bank of at most 500 usable images of the training years."""
     p = views.patches(spark, sf_dir).withColumn("vec_id", F.col("image_id") * 16 + F.col("patch_id"))
-    return models.patchcore_fit(p, p.select("image_id").distinct().filter("image_id % 2 = 0"), "vec_id").select("vec_id")
+    train = sample.sample_n(archive(spark, sf_dir).filter(F.col("year").between(2014, 2017) & (F.col("quality_flag") == "usable")), "image_id", 500)
+    return models.patchcore_fit(p, train, "vec_id").select("vec_id")
 
 
 @query()
@@ -276,7 +314,7 @@ def weather_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.weather_predict(model, rows.filter("quality_flag in ('usable', 'cloudy', 'dark')"), ["image_id"]).withColumn("weather_proba", F.round("weather_proba", 4))
 
 
-def _forest(spark: SparkSession, sf_dir: str, trees: int = 40):  # noqa: ANN202
+def _forest(spark: SparkSession, sf_dir: str, trees: int = 200):  # noqa: ANN202
     df = index(spark, sf_dir).withColumn("class", levels.heuristic_class()).withColumn("night", F.col("is_night").cast("double"))
     return df, models.volcano_fit(df, "class", [*FEATURES, "night"], trees)
 
@@ -308,10 +346,18 @@ def cv_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.cv_macro_f1(rows, best, "image_id").select(r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@query(CLASSED_SQL + " SELECT image_id, class, 1.0::DOUBLE AS confidence FROM cl")
+@query()
+def volcano_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probability for each of the four classes, 0 for those without a training row."""
+    df, fitted = _forest(spark, sf_dir)
+    return models.volcano_proba(fitted, df, [*FEATURES, "night"], ["image_id"], levels.CLASSES)
+
+
+@query(CLASSED_SQL + " SELECT image_id, class, 1.0::DOUBLE AS confidence, " + ", ".join(f"(class = '{c}')::INT::DOUBLE AS p_{c}" for c in ("pyroclastique", "lave", "nuage", "normal")) + " FROM cl")
 def classify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules' classes with full confidence, as used where no model can be fitted."""
-    return index(spark, sf_dir).select("image_id", levels.heuristic_class().alias("class"), F.lit(1.0).alias("confidence"))
+    """The rules' classes, sure of themselves, as used where no model can be fitted."""
+    df = index(spark, sf_dir).withColumn("class", levels.heuristic_class())
+    return models.volcano_proba(None, df, [], ["image_id", "class"], levels.CLASSES).select("image_id", "class", F.col("class_confidence").alias("confidence"), *[f"p_{c}" for c in levels.CLASSES])
 
 
 @query("SELECT 'train' AS split, is_night, count(*) AS n FROM (SELECT is_night, row_number() OVER (PARTITION BY is_night ORDER BY (image_id * 2654435761 + 42) % 4294967296, image_id) AS r, count(*) OVER (PARTITION BY is_night) AS n FROM idx) WHERE r > greatest(1, floor(n * 0.1)) GROUP BY is_night UNION ALL SELECT 'val', is_night, greatest(1, floor(count(*) * 0.1))::BIGINT FROM idx GROUP BY is_night")

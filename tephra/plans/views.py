@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The image index with scores and features, one row per event."""
+    """The image index with scores and features, one row per event.
+
+    The log spans one month, so the rows of some users are put back by whole months: the index
+    has years from 2014 to 2024 of unequal size, and not every camera has rows in each."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    u = F.col("user_id") % 8
+    back = F.when(u == 4, 72).when(u == 5, 73 + F.col("event_id") % 3).when((u == 6) & (F.col("user_id") % 3 != 2), 100).when(u == 7, 109 + F.col("event_id") % 12).otherwise(0)
+    e = e.withColumn("ts", F.col("ts") - F.make_ym_interval(F.lit(0), back.cast("int")))
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     e = e.select(F.col("event_id").alias("image_id"), "ts", "user_id", "event_type", "value", k.alias("k"))
     part = lambda p: F.date_part(F.lit(p), "ts").cast("int")
@@ -33,8 +39,9 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-INDEX_SQL = r"""raw_ AS (SELECT *, event_id AS image_id, regexp_extract(props, '[0-9]+')::INT AS k, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second,
-    CASE user_id % 3 WHEN 0 THEN 'kalor' WHEN 1 THEN 'suki' ELSE 'kali' END AS camera FROM events),
+INDEX_SQL = r"""moved_ AS (SELECT * REPLACE (ts - to_months((CASE WHEN user_id % 8 = 4 THEN 72 WHEN user_id % 8 = 5 THEN 73 + event_id % 3 WHEN user_id % 8 = 6 AND user_id % 3 <> 2 THEN 100 WHEN user_id % 8 = 7 THEN 109 + event_id % 12 ELSE 0 END)::INT) AS ts) FROM events),
+raw_ AS (SELECT *, event_id AS image_id, regexp_extract(props, '[0-9]+')::INT AS k, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second,
+    CASE user_id % 3 WHEN 0 THEN 'kalor' WHEN 1 THEN 'suki' ELSE 'kali' END AS camera FROM moved_),
 named_ AS (SELECT *, camera || '_Canon_' || strftime(ts, '%Y-%m-%d_%H.%M.%S') || '.jpg' AS filename, strftime(ts, '%Y/%m') AS folder FROM raw_),
 idx AS (SELECT image_id, 'http://cams.example/' || folder || '/' || image_id || '/' || filename AS url, filename, camera, 'data/raw/' || folder || '/' || filename AS local_path, '.jpg' AS extension, year, month, day, hour, minute, second,
     CASE WHEN image_id % 29 = 0 THEN NULL WHEN event_type IN ('view', 'purchase') THEN 'usable' WHEN event_type = 'error' THEN 'dark' WHEN event_type = 'click' THEN 'cloudy' ELSE 'corrupted' END AS quality_flag,
@@ -46,7 +53,7 @@ idx AS (SELECT image_id, 'http://cams.example/' || folder || '/' || image_id ||
 
 
 #: Documented events that stand in for an event catalogue.
-EVENTS = [("2024-01-06", "phreatic", "moderate"), ("2024-01-10", "dome", "minor"), ("2024-01-15", "phreatic", "major"), ("2024-01-20", "lava", "moderate"), ("2024-01-25", "dome", "major"), ("2024-02-01", "phreatic", "minor")]
+EVENTS = [("2015-09-20", "dome", "minor"), ("2018-01-12", "phreatic", "moderate"), ("2024-01-06", "phreatic", "moderate"), ("2024-01-10", "dome", "minor"), ("2024-01-15", "phreatic", "major"), ("2024-01-20", "lava", "moderate"), ("2024-01-25", "dome", "major"), ("2024-02-01", "phreatic", "minor")]
 EVENTS_SQL = "ev AS (SELECT a::DATE AS event_date, b AS event_type, c AS event_intensity FROM (VALUES " + ", ".join(map(str, EVENTS)) + ") AS v(a, b, c))"
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import names
+from ..operators.catalog import fill_scores
+from ..operators.kernels import gray_of_png
+from ..operators.sample import ranks
 
 #: The columns of the index with their types, and the texts that mean null.
 INDEX = {
@@ -46,16 +51,22 @@ def safe_read(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "url string")
 
 
-def enriched(index: DataFrame, camera: str | None = "kalor") -> DataFrame:
-    """Index rows with gaps filled from the file name, the fallback score and one camera's rows only."""
+def enriched(index: DataFrame, scores: DataFrame | None = None, files: DataFrame | None = None, camera: str | None = "kalor") -> DataFrame:
+    """Index rows of one camera with gaps filled: dates from the file name, scores from a table
+    (filename, patchcore_score), anomaly scores from these; `on_disk` says whether files(path) has the row's."""
     df = names.fill_from_name(index)
+    if "patchcore_score" in df.columns and scores is not None:
+        df = fill_scores(df, scores, "patchcore_score", F.col("patchcore_score"))
     if "patchcore_score" in df.columns:
         df = df.withColumn("anomaly_score", F.coalesce("anomaly_score", "patchcore_score"))
+    if files is not None:
+        there = files.select(F.col("path").alias("local_path"), F.lit(True).alias("on_disk")).distinct()
+        df = df.join(there, "local_path", "left").withColumn("on_disk", F.coalesce("on_disk", F.lit(False)))
     return df if camera is None else df.filter(F.lower("filename").contains(camera))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).option("header", True).option("mode", "PERMISSIVE").csv(path).filter("date is not null").orderBy("date")
+    return spark.read.schema(EVENTS).option("header", True).option("escape", "\"").option("mode", "PERMISSIVE").csv(path).filter("date is not null").orderBy("date")
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.{jpg,jpeg,png,JPG,JPEG,PNG}") -> DataFrame:
@@ -73,11 +84,42 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, width, height, pixels (gray, 0..255 by rows) of the images below path; an image that
     cannot be decoded has null pixels. Spark decodes them; bytes come as blue, green, red."""
     rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
-    b = lambda i: F.conv(F.hex(F.substring("image.data", i, F.lit(1))), 16, 10).cast("int")
-    c, n = F.col("image.nChannels"), F.col("image.width") * F.col("image.height")
-    gray = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.when(c == 1, b(p + 1).cast("double")).otherwise(0.114 * b(p * c + 1) + 0.587 * b(p * c + 2) + 0.299 * b(p * c + 3)))
-    ok = F.col("image.height") > 0
-    return rows.select(F.col("image.origin").alias("path"), F.when(ok, F.col("image.width")).alias("width"), F.when(ok, F.col("image.height")).alias("height"), F.when(ok, gray).alias("pixels"))
+
+    def gray(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for origin, w, h, c, data in zip(pdf["origin"], pdf["width"], pdf["height"], pdf["nChannels"], pdf["data"], strict=True):
+                if h > 0:
+                    px = np.frombuffer(data, dtype=np.uint8).reshape(-1, c).astype(np.float64)
+                    out.append((origin, w, h, px[:, 0] if c == 1 else px[:, :3] @ [0.114, 0.587, 0.299]))
+                else:
+                    out.append((origin, None, None, None))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "pixels"]).astype({"width": "Int32", "height": "Int32"})
+
+    return rows.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").mapInPandas(gray, "path string, width int, height int, pixels array<double>")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """path, length, width, height, pixels (gray, by rows), error of PNG files(path, content), such as
+    the binaryFile source gives; a file that cannot be decoded has its error and null pixels."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    img = gray_of_png(data or b"")
+                    out.append((path, len(data), img.shape[1], img.shape[0], img.ravel(), None))
+                except ValueError as x:
+                    out.append((path, len(data or b""), None, None, None, str(x)))
+            yield pd.DataFrame(out, columns=["path", "length", "width", "height", "pixels", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, length long, width int, height int, pixels array<double>, error string")
+
+
+def audit(read: DataFrame, min_bytes: int = 1024) -> DataFrame:
+    """Every file of decoded() with `valid`: large enough and decodable."""
+    return read.select("path", "length", "error", ((F.col("length") >= min_bytes) & F.col("error").isNull()).alias("valid"))
 
 
 def audit_images(spark: SparkSession, path: str, min_bytes: int = 1024) -> DataFrame:
@@ -102,9 +144,9 @@ def write_scores(scores: DataFrame, path: str, form: str = "csv") -> None:
     scores.write.mode("overwrite").option("header", True).format(form).save(path)
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    """Caption rows as JSON lines by split and period, with running file names in each."""
-    from pyspark.sql import Window as W
-
-    numbered = rows.withColumn("file_name", F.format_string("%06d.png", F.row_number().over(W.partitionBy("split", "period").orderBy("original_filename")) - 1))
-    numbered.write.mode("overwrite").partitionBy("split", "period").json(path)
+def write_jsonl(rows: DataFrame, path: str, key: str) -> None:
+    """Caption rows as JSON lines by split and period, with running file names in each, in the order
+    of a hash of a whole-number key; no task numbers a whole split."""
+    each = ranks(rows.withColumn("_stratum", F.concat_ws("/", "split", "period")), "_stratum", key)
+    named = each.withColumn("file_name", F.format_string("%06d.png", F.col("rank") - 1)).drop("_stratum", "rank", "n", key)
+    named.write.mode("overwrite").partitionBy("split", "period").json(path)

@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir. Where that is unset: in the warehouse on a cluster,
-    in a temporary folder in local mode."""
+    """A new path in spark.checkpoint.dir, which a cluster has to name. In local mode a temporary
+    folder stands in for it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/work/{name}-{uuid.uuid4().hex}"

@@ -173,7 +173,7 @@ def test_distances_in_blocks(spark, monkeypatch):
     make = lambda m: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "i long, features array<float>")
     want = np.sqrt(((q[:, None] - c[None]) ** 2).sum(axis=2)).min(axis=1)
     for most in (10**8, 200):  # one block, several blocks
-        monkeypatch.setattr(nearest, "MAX_CORESET_BYTES", most)
+        monkeypatch.setattr(nearest, "BLOCK_BYTES", most)
         got = {r.i: r.distance for r in nearest.distances(make(q), make(c), ["i"], 5).collect()}
         assert np.allclose([got[i] for i in range(40)], want, atol=1e-5)
     assert nearest.distances(make(q), make(c).limit(0), ["i"], 5).filter("distance is null").count() == 40
@@ -183,7 +183,7 @@ def test_samples_and_splits(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).alias("night"))
     split = {r["split"] + str(r.night): r["count"] for r in sample.train_val(df, "night", "k", 0.1).groupBy("split", "night").count().collect()}
     assert split == {"valFalse": 90, "trainFalse": 810, "valTrue": 10, "trainTrue": 90}
-    assert sample.stratified(df, ["night"], "k", 7).count() == 14 and sample.coreset(df, "k").count() == 500
+    assert sample.stratified(df, "night", "k", 7).count() == 14 and sample.coreset(df, "k").count() == 500
 
 
 def test_histogram_closes_last_bin(spark):
@@ -236,12 +236,126 @@ def test_streams(spark, tmp_path):
 
 
 def test_image_links(spark):
-    page = '<img src="thumbnails/ech_kalor_1.jpg"><img src="/logo.png"><a href="http://x/y.html">t</a><img src="http://z/a.JPG?s=1">'
-    df = spark.createDataFrame([(1, "http://h.org/2024_01/2024_jan.html?x=1", page), (2, "http://h.org/p", None)], "page_id long, url string, html string")
-    links = [r.link for r in select.links(df, r'<(?:img src|a href)="([^"]*)"').collect()]
-    assert links == ["http://h.org/2024_01/thumbnails/ech_kalor_1.jpg", "http://h.org/logo.png", "http://x/y.html", "http://z/a.JPG?s=1"]
-    seen = spark.createDataFrame([(x,) for x in links], "link string").select(names.is_image_url(F.col("link")), names.rewritten(F.col("link"), "http://b", F.lit(2024), F.lit(1)))
-    assert [tuple(r) for r in seen.collect()] == [(True, "http://b/2024_01/html_images/ech_kalor_1.jpg"), (False, links[1]), (False, links[2]), (True, links[3])]
+    page = '<img src="thumbnails/ech_kalor_1.jpg"><img src="/logo.png"><A class=x HREF=\'http://x/y.html\'>t</a><img src="http://z/a.JPG?s=1"><img src="http://z/kalor_arrow.png"><a href="html_images/kalor_2.html"><a href="file:///C|/u/2020_04/html_images/kalor_3.html"><a href="file:///C|/u/2020_04/html_images/other_3.html"><img src="http://z/kalor_4.png">'
+    df = spark.createDataFrame([(1, "http://h.org/2024_01/2024_jan.html?x=1", 2024, 1, page), (2, "http://h.org/p", 2024, 1, None)], "page_id long, url string, year int, month int, html string")
+    links = [r.link for r in select.links(df, "img", "src").collect()]
+    assert links == ["http://h.org/2024_01/thumbnails/ech_kalor_1.jpg", "http://h.org/logo.png", "http://z/a.JPG?s=1", "http://z/kalor_arrow.png", "http://z/kalor_4.png"]
+    assert [r.link for r in select.links(df, "a", "href").collect()][0] == "http://x/y.html"
+    seen = spark.createDataFrame([(x,) for x in links], "link string").select(names.is_image_url(F.col("link")), names.rewritten(F.col("link"), "http://b", F.lit(2024), F.lit(1)), names.is_decoration(F.col("link")))
+    assert [tuple(r) for r in seen.collect()] == [(True, "http://b/2024_01/html_images/ech_kalor_1.jpg", False), (False, links[1], False), (True, links[2], False), (True, links[3], True), (True, links[4], False)]
+    full = {r.link for r in select.image_links(df, "http://b", "kalor").collect()}
+    assert full == {"http://b/2024_01/html_images/ech_kalor_1.jpg", "http://h.org/2024_01/html_images/ech_kalor_2.jpg", "http://b/2020_04/html_images/ech_kalor_3.jpg", "http://z/kalor_4.png"}
+
+
+def scored_index(spark, rows):
+    """rows of (day, hour, flag, score) in January 2024."""
+    schema = "image_id long, year int, month int, day int, hour int, minute int, second int, quality_flag string, patchcore_score double"
+    return spark.createDataFrame([(i, 2024, 1, d, h, 0, 0, q, s) for i, (d, h, q, s) in enumerate(rows)], schema)
+
+
+def test_precursors_take_usable_images_only(spark):
+    rows = [(d, 12, "usable", 10.0) for d in range(1, 15)] + [(9, 12, "dark", 99.0), (9, 13, "cloudy", 98.0), (8, 2, None, 97.0)]
+    events = spark.createDataFrame([("2024-01-10", "x", "y")], "event_date string, event_type string, event_intensity string").withColumn("event_date", F.to_date("event_date"))
+    index = scored_index(spark, rows)
+    found = evaluate.precursors(index, events)
+    got = {r.lead_days: (r.n_images, r.max_score, r.q90_score, r.ratio, r.triggered) for r in found.collect()}
+    assert got == {3: (3, 10.0, 10.0, 1.0, False), 7: (7, 10.0, 10.0, 1.0, False), 14: (9, 10.0, 10.0, 1.0, False)}
+    assert {(r.threshold, r.n_triggers) for r in evaluate.threshold_analysis(found).collect()} == {(1.0, 1), (1.1, 0), (1.2, 0), (1.3, 0), (1.4, 0), (1.5, 0)}
+    test = evaluate.permutation_test(index, found).first()
+    assert (test.observed_mean, test.null_mean, test.p_value) == (10.0, 10.0, 1.0)  # other flags are no part of what is drawn from
+    assert evaluate.permutation_test(scored_index(spark, rows[:9]), found).count() == 0  # too few usable rows
+
+
+def test_categories_of_usable_images(spark):
+    df = spark.createDataFrame([(1, 12, "usable", None), (2, 12, "dark", 0.0), (3, 2, "usable", None), (4, 19, "usable", 0.2), (5, 12, None, 0.5)], "image_id long, hour int, quality_flag string, anomaly_score double")
+    assert {(r.image_id, r.category) for r in select.categories(df).collect()} == {(1, "day_calm"), (3, "night_calm"), (4, "night_active"), (4, "dusk")}
+
+
+def test_unknown_flags(spark):
+    rows = [("unknown", 10.0, None, False), ("", 40.0, None, True), (None, 40.0, 60.0, True), ("unknown", None, 5.0, True), ("corrupted", 10.0, 1.0, False)]
+    df = spark.createDataFrame(rows, "quality_flag string, mean_brightness double, variance double, is_night boolean")
+    assert [tuple(r) for r in catalog.fix_unknown_flags(df).select("quality_flag", "is_night", "fixed").collect()] == [("dark", True, True), ("cloudy", False, True), ("usable", False, True), ("unknown", True, False), ("corrupted", False, False)]
+
+
+def test_nearest_month_and_pairs(spark):
+    points = spark.createDataFrame([("2024-03-10",), ("2024-03-31",)], "at string").select(F.to_date("at").alias("at"))
+    rows = spark.createDataFrame([("a", "2024-03-01", 5.0), ("a", "2024-04-01", 7.0), ("b", "2023-01-01", 1.0)], "g string, m string, s double").withColumn("m", F.to_date("m"))
+    assert {(str(r["at"]), r.g, r.s) for r in catalog.nearest_in_time(points, "at", rows, "m", ["g"]).collect()} == {("2024-03-10", "a", 5.0), ("2024-03-31", "a", 7.0), ("2024-03-10", "b", 1.0), ("2024-03-31", "b", 1.0)}
+    rng = np.random.default_rng(5)
+    values = [(g, i, float(np.round(rng.random(), 1))) for g in "abc" for i in range({"a": 7, "b": 12, "c": 1}[g])]
+    want = {}
+    for (g, i, v), (h, j, w) in itertools.combinations(values, 2):
+        want.setdefault((min(g, h), max(g, h)), []).append(abs(v - w))
+    got = {(r.a_group, r.b_group): (r.pairs, r.mean_difference) for r in catalog.pairwise(spark.createDataFrame(values, "g string, i long, v double"), "g", "i", "v").collect()}
+    assert {k: len(v) for k, v in want.items()} == {k: n for k, (n, _) in got.items()} and all(got[k][1] == pytest.approx(np.mean(v)) for k, v in want.items())
+
+
+def test_clusters_take_cells_at_the_threshold(spark):
+    cells = [(1, r, c, 0.5 if (r, c) in {(0, 0), (0, 1)} else 0.9 if (r, c) in {(2, 2), (3, 2)} else 0.49) for r in range(4) for c in range(4)]
+    got = [(r.rank, r["size"], r.score) for r in nearest.clusters(spark.createDataFrame(cells, "g long, row int, col int, value double"), "g", 0.5).orderBy("rank").collect()]
+    assert got == [(1, 2, pytest.approx(0.9)), (2, 2, pytest.approx(0.5))]
+
+
+def test_png_files_round_trip(spark):
+    rng = np.random.default_rng(3)
+    gray, colour = rng.integers(0, 256, (5, 7)), rng.integers(0, 256, (4, 6, 3))
+    assert (kernels.gray_of_png(kernels.png_of(gray)) == gray).all()
+    assert np.allclose(kernels.gray_of_png(kernels.png_of(colour)), colour @ [0.299, 0.587, 0.114])
+    filtered = bytearray()  # the same rows as every filter would write them
+    px = rng.integers(0, 256, (5, 6)).astype(int)
+    for y in range(5):
+        filtered.append(y)
+        for x in range(6):
+            a, b, c = (px[y, x - 1] if x else 0), (px[y - 1, x] if y else 0), (px[y - 1, x - 1] if x and y else 0)
+            p = a + b - c
+            near = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            filtered.append((px[y, x] - [0, a, b, (a + b) // 2, near][y]) % 256)
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(filtered))) + chunk(b"IEND", b"")
+    assert (kernels.gray_of_png(data) == px).all()
+    files = [("a", kernels.png_of(gray)), ("b", data[:40]), ("c", b""), ("d", None)]
+    got = {r.path: (r.width, r.error is None) for r in catalog_files.decoded(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got == {"a": (7, True), "b": (None, False), "c": (None, False), "d": (None, False)}
+
+
+def test_pair_scores_match_the_relational_kernels(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.random((9, 8)), rng.random((9, 8))
+    frames = spark.createDataFrame([(1, 8, a.ravel().tolist(), b.ravel().tolist()), (2, 8, b.ravel().tolist(), None)], "image_id long, width int, pixels array<double>, before array<double>")
+    got = {r.image_id: r for r in kernels.pair_scores(frames, ["image_id"]).collect()}
+    px = spark.createDataFrame([(i, x, y, float(m[y, x])) for i, m in ((1, a), (2, b)) for y in range(9) for x in range(8)], "image_id long, x int, y int, v double")
+    both = pixels.frame_pairs(px, spark.createDataFrame([(1, 2)], "image_id long, prev_id long"))
+    m, s = pixels.mad(both).first(), pixels.ssim(both).first()
+    assert (got[1].mad, got[1].most, got[1].p95, got[1].temporal_change, got[1].ssim_distance) == pytest.approx((m.mad, m.most, m.p95, m.temporal_change, s.ssim_distance))
+    assert got[2].mad is None and got[2].night_score == 0.0
+
+
+def test_pca_and_folds(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 5)) @ np.diag([5, 3, 1, 0.5, 0.1])
+    out = models.pca_2d(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>"), "v", ["i"]).orderBy("i").collect()
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs([[r.x, r.y] for r in out]), np.abs(u[:, :2] * s[:2])) and (out[0].explained_x, out[0].explained_y) == pytest.approx(tuple((s**2 / (s**2).sum())[:2]))
+    f = models.folds(spark.range(1003).select("id", (F.col("id") % 7 == 0).cast("int").alias("y")), "y", "id", 5).groupBy("y", "fold").count().collect()
+    sizes = {y: [r["count"] for r in f if r.y == y] for y in (0, 1)}
+    assert all(len(v) == 5 and max(v) - min(v) <= 1 for v in sizes.values())
+
+
+def test_probabilities_of_classes(spark):
+    df = spark.createDataFrame([(i, float(i % 2), ["lave", "normal"][i % 2]) for i in range(60)], "image_id long, f double, class string")
+    fitted = models.volcano_fit(df, "class", ["f"], trees=5)
+    rows = models.volcano_proba(fitted, df, ["f"], ["image_id"], ["lave", "nuage", "normal"]).collect()
+    assert all(r.p_nuage == 0 and r.p_lave + r.p_normal == pytest.approx(1) and (r.volcano_class == "lave") == (r.image_id % 2 == 0) for r in rows)
+    rules = models.volcano_proba(None, df, [], ["image_id"], ["lave", "nuage", "normal"]).filter("image_id = 3").first()
+    assert (rules.volcano_class, rules.class_confidence, rules.p_lave, rules.p_normal) == ("normal", 1.0, 0.0, 1.0)
+
+
+def test_saved_model_predicts_the_same(spark, tmp_path):
+    rows = models.assembled(spark.createDataFrame([(i, float(i % 9), i % 2) for i in range(80)], "image_id long, f double, label int"), ["f"]).withColumn("label", F.col("label").cast("double"))
+    model = models.weather_candidates()["linear_1"].fit(rows)
+    models.save(model, str(tmp_path / "m"))
+    one, two = (models.weather_predict(m, rows, ["image_id"]).orderBy("image_id").collect() for m in (model, models.load(str(tmp_path / "m"))))
+    assert one == two
 
 
 def test_safe_read(spark, tmp_path):
