@@ -25,15 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests, a folder of this application's own
-    is taken: the warehouse on a cluster, a temporary folder in local mode.
+    A cluster has to name one. Only in local mode, as in tests, a temporary folder
+    of this application's own stands in for it.
     """
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if app not in _own_dirs:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/work-{app}"
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
     return _own_dirs[app]
 
 
@@ -59,14 +60,56 @@ def discard(*cuts: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only if df, counted here, has max_rows rows at most.
+def small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32_000_000) -> DataFrame:
+    """Hint a broadcast only if df, counted and then measured here, is within both bounds.
 
-    Beyond that the frame comes back without a hint: Spark then shuffles both
+    Beyond them the frame comes back without a hint: Spark then shuffles both
     sides and splits skewed keys at run time, with the same result. df should
     be a table that cut() wrote, so that counting it costs nothing.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    if df.count() > max_rows:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
+
+
+def met(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 100_000) -> DataFrame:
+    """The inner join of rows with side, which has one row per key and says in `count` how many rows have it.
+
+    A hot key never lands in one task. Keys with over a 1/most of all rows, and over
+    10,000, are broadcast; there are fewer than `most` of them, whatever the size of
+    the tables. The other keys shuffle, and none of them is hot. side should be
+    a table that cut() wrote.
+    """
+    if side.count() <= most:
+        return rows.join(small(side, most), key)
+    hot = F.col(count) > max(10_000, (side.agg(F.sum(count)).first()[0] or 0) // most)
+    often = side.filter(hot)
+    seldom = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(side.filter(~hot), key)
+    return rows.join(F.broadcast(often), key).unionByName(seldom)
+
+
+def unmet(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 100_000) -> DataFrame:
+    """The rows whose key side does not have; the counterpart of met()."""
+    keys = side.select(key, count)
+    if keys.count() <= most:
+        return rows.join(small(keys.select(key), most), key, "left_anti")
+    hot = F.col(count) > max(10_000, (keys.agg(F.sum(count)).first()[0] or 0) // most)
+    return rows.join(F.broadcast(keys.filter(hot).select(key)), key, "left_anti").join(keys.filter(~hot).select(key), key, "left_anti")
+
+
+def sampled(docs: DataFrame, n: int, condition: Column | None = None, over: int = 8) -> DataFrame:
+    """(text, h): at most n distinct texts, those of the lowest hashes that meet a condition on `text`.
+
+    Only texts whose hash is among the lowest, a share that about over * n rows have,
+    are looked at. Hashes alone go through one task, over * n or so of them; copies count once.
+    """
+    share = over * n / max(1, docs.count())
+    bound = (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)
+    few = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").isNotNull() & (F.col("h") <= bound))
+    few = cut((few if condition is None else few.filter(condition)).dropDuplicates(["h"]), "sample")
+    last = few.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return few.filter(F.col("h") <= F.lit(last).cast("long"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,20 +148,21 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return cut(docs.select(columns, number.alias("uid")), name)
 
 
-def running(df: DataFrame, key: str, count: str, order: str, name: str, value: Column | None = None, run: int = 1024) -> DataFrame:
+def running(df: DataFrame, key: str, count: str, order: list[str], name: str, value: Column | None = None, run: int = 32) -> DataFrame:
     """Add the sum of `value` (1 if not given: a gapless 0-based position) over the
-    earlier rows of the same key, in the order of a hash column.
+    earlier rows of the same key, in an order whose first column is a hash.
 
     No task gets a whole key: a key of `count` rows (a column) is dealt by its
-    hash into runs of about `run` rows, or of the square root of `count` if that is
+    hash into runs of about `run` rows, or of a quarter of the square root of `count` if that is
     more, so neither a run nor the list of a key's runs gets long. Sums are taken
-    inside a run, and each run starts where the totals of the earlier runs end. Rows with equal hashes come
-    in any order.
+    inside a run, and each run starts where the totals of the earlier runs end. The
+    order should be total, then reruns agree.
     """
     value = F.lit(1).cast("long") if value is None else value
-    dealt = df.withColumns({"_run": F.pmod(F.shiftrightunsigned(F.col(order), 17), F.greatest(F.ceil(F.col(count) / F.greatest(F.lit(run), F.sqrt(count))), F.lit(1))), "_value": value})
+    runs = F.greatest(F.ceil(F.col(count) / F.greatest(F.lit(run), F.sqrt(count) / 4)), F.lit(1))
+    # said outright, as rows that a join has left dealt by the key alone would be taken to suit the windows
+    dealt = df.withColumns({"_run": F.pmod(F.shiftrightunsigned(F.col(order[0]), 17), runs), "_value": value}).repartition(F.col(key), F.col("_run"))
     before = W.partitionBy(key).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy(key, "_run").agg(F.sum("_value").alias("_total")).select(key, "_run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum("_value").over(W.partitionBy(key, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # said outright, as rows that a join has left dealt by the key alone would be taken to suit the window
-    return dealt.repartition(F.col(key), F.col("_run")).withColumn("_at", inside).join(starts, [key, "_run"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_run", "_start", "_at", "_value")
+    inside = F.coalesce(F.sum("_value").over(W.partitionBy(key, "_run").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_at", inside).join(starts, [key, "_run"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_run", "_start", "_at", "_value")

@@ -12,11 +12,16 @@ each shard then shuffles what it drew by a hash.
 
 Sources are dealt into a fixed number of buckets; the tree runs over the buckets
 first and inside every bucket afterwards, which is the same distribution, so
-neither the driver nor a task ever holds all sources.
+neither the driver nor a task ever holds all sources. Sources are numbered by a
+range sort and the counts of its partitions; the water level comes from a few
+aggregates over the sources.
 
 Defined results: null text has size 0, and a document of size 0 is never drawn;
 a null source is a source of its own, last in order; repeated rows are drawn as
-documents of their own; an empty table gives an empty result.
+documents of their own; rows with equal hashes come in the order of doc_id and
+then of their place, so reruns agree; a long text takes a task memory for itself and
+its draws, one for about every 512 words of a pass; an empty table gives an empty result; other
+columns, of whatever names, are passed on by mixed_documents alone.
 """
 
 from __future__ import annotations
@@ -31,20 +36,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import WORD, cut, keyed, running, small, words
+from .common import WORD, cut, keyed, met, running, words
 
 CAP = 3  # passes over a source at most
 BUCKETS = 256
-MAX_BLOCKS = 500_000_000  # in all; the block length grows with the corpus instead
+NUMPY_MOST = 1_000_000_000  # numpy draws from fewer items only
 DRAWS = ("epoch", "draw", "shard", "first", "n")
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without return from good + bad items are good; exact for any numbers.
+
+    From many items each is taken with probability n / all first, which leaves a set that is
+    uniform given its size; about sqrt(n) draws then put the size right, by the same rule."""
+    if n == 0 or good == 0:
+        return 0
+    if good + bad < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, n))
+    x, y = (int(rng.binomial(k, n / (good + bad))) for k in (good, bad))
+    return x - hypergeometric(rng, x, y, x + y - n) if x + y > n else x + hypergeometric(rng, good - x, bad - y, n - x - y)
+
+
+def split(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n draws without return from so many items of each kind, by kind."""
+    left, out = int(quotas.sum()), np.zeros_like(quotas)
+    if left < NUMPY_MOST:
+        return rng.multivariate_hypergeometric(quotas, n, method="marginals")
+    for i, q in enumerate(map(int, quotas)):
+        out[i] = hypergeometric(rng, q, left - q, n)
+        left, n = left - q, n - int(out[i])
+    return out
+
+
 def split_tree(quotas: np.ndarray, capacities: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Rows: shards; columns: how many of each kind's draws the shard gets."""
     if len(capacities) == 1:
         return quotas[None, :]
     half = len(capacities) // 2
-    left = rng.multivariate_hypergeometric(quotas, int(capacities[:half].sum()), method="marginals")
+    left = split(quotas, int(capacities[:half].sum()), rng)
     return np.vstack([split_tree(left, capacities[:half], rng), split_tree(quotas - left, capacities[half:], rng)])
 
 
@@ -67,17 +96,33 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with `sid`, the rank of its source: a range sort, and the row counts of its partitions."""
+    at = cut(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sources")
+    at = at.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)})
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition of the sort
+    starts = at.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    return at.join(F.broadcast(starts), "part").withColumn("sid", F.col("start") + F.col("at")).drop("part", "at", "start")
+
+
+def water_level(plan: DataFrame) -> float:
+    """Target words for each unit of weight of the sources that do not stop at `most`."""
+    one = plan.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("rest")).first()
+    level = (one.total or 0) / (one.rest or 1)
+    while True:  # each round resets the excess of the sources that were found full, as the rule says
+        full = F.col("most") <= F.col("weight") * level
+        now = plan.agg(F.sum(F.when(full, F.col("most")).otherwise(0)).alias("spent"), F.sum(F.when(full, 0).otherwise(F.col("weight"))).alias("rest")).first()
+        after = (one.total - now.spent) / now.rest if now.rest else level
+        if after <= level:
+            return level
+        level = after
+
+
 def source_plan(sizes: DataFrame, seed: int, block_words: int) -> DataFrame:
     """Per source of sizes(source, source_size, n_docs): target, sid, and its block quota."""
-    ranked = sizes.withColumns({"sid": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1, "total": F.sum("source_size").over(W.partitionBy())})
-    ranked = ranked.withColumns({"weight": F.col("sid") % 3 + 1, "most": F.col("source_size") * CAP})
-    order = W.orderBy(F.col("most") / F.col("weight"), "sid")
-    spent = F.coalesce(F.sum("most").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    share = (F.col("total") - spent) / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    filled = ranked.withColumn("share", share).withColumn("full", F.col("most") / F.col("weight") <= F.col("share"))
-    level = F.max(F.when(~F.col("full"), F.col("share"))).over(W.partitionBy())  # the first one not full has the largest share
-    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(level * F.col("weight"))
-    plan = filled.withColumn("target", target).withColumn("q", block_quota(seed, block_words)("sid", "source_size", "target", "total"))
+    plan = cut(ranked(sizes).withColumns({"weight": F.col("sid") % 3 + 1, "most": F.col("source_size") * CAP}), "ranked")
+    target = F.least(F.col("most").cast("double"), F.col("weight") * water_level(plan))
+    plan = plan.withColumn("target", target).withColumn("q", block_quota(seed, block_words)("sid", "source_size", "target"))
     return plan.select("source", "source_size", "n_docs", "target", "sid", "q.*", F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
@@ -87,10 +132,10 @@ _QUOTA = StructType([StructField(c, LongType()) for c in ("block", "blocks", "ep
 def block_quota(seed: int, block_words: int):  # noqa: ANN201
     """Block length and number, whole passes, further blocks, words of one more block, draws in all."""
 
-    def of(sid: int, size: int, target: float, total: int) -> tuple:
+    def of(sid: int, size: int, target: float) -> tuple:
         if not size:
             return 1, 1, 0, 0, 0, 0
-        blocks = max(1, size // max(block_words, -(-CAP * total // MAX_BLOCKS)))
+        blocks = max(1, size // block_words)
         block = -(-size // blocks)
         blocks = -(-size // block)
         epochs = min(CAP, int(target // size))
@@ -104,8 +149,8 @@ def block_quota(seed: int, block_words: int):  # noqa: ANN201
         return block, blocks, epochs, extra, rest, epochs * blocks + extra + (rest > 0)
 
     @pandas_udf(_QUOTA)
-    def quota(sid: pd.Series, size: pd.Series, target: pd.Series, total: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(int(a), int(b), float(c), int(d)) for a, b, c, d in zip(sid, size, target, total, strict=True)], columns=_QUOTA.names, dtype="int64")
+    def quota(sid: pd.Series, size: pd.Series, target: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(int(a), int(b), float(c)) for a, b, c in zip(sid, size, target, strict=True)], columns=_QUOTA.names, dtype="int64")
 
     return quota
 
@@ -126,9 +171,9 @@ def with_shards(plan: DataFrame, n_shards: int, seed: int) -> DataFrame:
         b = int(pdf["bucket"].iloc[0])
         pdf = pdf.sort_values("sid")
         quotas = split_tree(pdf["quota"].to_numpy(np.int64), tree[:, b], np.random.default_rng([seed, b]))
-        return pd.DataFrame({"sid": pdf["sid"].to_numpy(np.int32), "upto": list(np.cumsum(quotas, axis=0).T)})
+        return pd.DataFrame({"sid": pdf["sid"].to_numpy(np.int64), "upto": list(np.cumsum(quotas, axis=0).T)})
 
-    shares = plan.select("bucket", "sid", "quota").groupBy("bucket").applyInPandas(inside, "sid int, upto array<long>")
+    shares = plan.select("bucket", "sid", "quota").groupBy("bucket").applyInPandas(inside, "sid long, upto array<long>")
     return plan.drop("bucket").join(shares, "sid")
 
 
@@ -176,11 +221,12 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_words: int = 5
     first + n of the document are drawn). keep_row adds the input row as `row`."""
     whole = keyed(docs, "rows")
     text, doc_id = F.col("row.text"), F.col("row.doc_id")
-    rows = cut(whole.select("uid", doc_id.alias("doc_id"), F.col("row.source").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("order")), "mix")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rows = whole.select("uid", doc_id.alias("doc_id"), F.col("row.source").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("order"))
+    rows = cut(rows.withColumn("key", key), "mix")
     plan = cut(source_plan(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), seed, block_words), "plan")
-    plan = cut(with_shards(plan, n_shards, seed), "plan").withColumnRenamed("source", "of")
-    slim = rows.join(small(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = running(slim, "sid", "n_docs", "order", "at", F.col("size"))
+    plan = cut(with_shards(plan, n_shards, seed).withColumn("key", key).drop("source"), "plan")
+    placed = running(met(rows, plan, "key", "n_docs"), "sid", "n_docs", ["order", "doc_id", "uid"], "at", F.col("size"))
     found = placed.withColumn("d", drawn(seed)("at", "size", "sid", "block", "blocks", "epochs", "extra", "rest", "upto"))
     found = found.select("uid", "doc_id", "source", "size", "source_size", "target", "d.*")
     return found.join(whole, "uid").drop("uid") if keep_row else found.drop("uid")

@@ -9,8 +9,14 @@ the other way, and as many as the free places of the target allow. Documents
 without links fill the remaining places, so the counts of any two shards differ
 by one at most (law `rows`).
 
+Hot hubs: rows meet the layout of their hub by met(), which never deals a hot hub to
+one task, and are numbered in runs.
+
 Defined results: null texts form one group, apart from empty texts; repeated rows
-are documents of their own; an empty table gives an empty result.
+are documents of their own; of equally full shards a hub's hash picks one; slots follow a
+hash of doc_id and text, then doc_id, then the row's place; long texts are only hashed and measured; an
+empty table gives an empty result; other columns, of whatever names, are passed on
+by sharded_documents alone.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, keyed, running
+from .common import cut, discard, keyed, met, running, unmet
 
 
 def text_hub(text: Column) -> Column:
@@ -38,7 +44,7 @@ def propagate(hubs: DataFrame, n_linked: int, capacity: list[int], rounds: int)
     """(hub, shard, n) from hubs(hub, n): even at first, then moved towards each hub's fullest shard."""
     p = len(capacity)
     n_hubs = hubs.count()
-    placed = running(hubs.withColumns({"all": F.lit(0), "hubs": F.lit(n_hubs), "order": F.xxhash64("hub")}), "all", "hubs", "order", "at", F.col("n"))
+    placed = running(hubs.withColumns({"all": F.lit(0), "hubs": F.lit(n_hubs), "order": F.xxhash64("hub")}), "all", "hubs", ["order", "hub"], "at", F.col("n"))
     i = F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(p)).cast("int") - 1))
     state = placed.select("hub", "at", "n", i.alias("i")).select("hub", F.pmod(F.col("at") + F.col("i"), F.lit(p)).cast("int").alias("shard"), F.floor((F.col("n") - F.col("i") + p - 1) / p).cast("long").alias("n"))
     state = cut(state, "state")
@@ -53,7 +59,7 @@ def propagate(hubs: DataFrame, n_linked: int, capacity: list[int], rounds: int)
             break
         by_lane = lambda d: F.create_map(*[F.lit(x).cast("long") for (s, t), v in d.items() for x in (s * p + t, v)])[F.col("lane").cast("long")]
         asks = asks.withColumns({"granted": by_lane(grant), "asks": by_lane({(r.shard, r.to): r.c for r in lanes})})
-        moved = running(asks, "lane", "asks", "order", "before", F.col("n")).withColumn("n", F.least(F.col("n"), F.greatest(F.lit(0), F.col("granted") - F.col("before")))).filter("n > 0")
+        moved = running(asks, "lane", "asks", ["order", "hub"], "before", F.col("n")).withColumn("n", F.least(F.col("n"), F.greatest(F.lit(0), F.col("granted") - F.col("before")))).filter("n > 0")
         change = moved.select("hub", "shard", (-F.col("n")).alias("n")).union(moved.select("hub", "to", "n"))
         after = cut(state.union(change).groupBy("hub", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "state")
         discard(state)
@@ -67,7 +73,7 @@ def shard(docs: DataFrame, hub: Callable[[Column], Column] = text_hub, n_shards:
     whole = keyed(docs, "rows")
     text = F.coalesce("row.text", F.lit(""))
     rows = cut(whole.select("uid", F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), hub(F.col("row.text")).alias("hub")), "shard")
-    slim = rows.withColumn("order", F.xxhash64("doc_id", "hub", "uid"))
+    slim, order = rows.withColumn("order", F.xxhash64("doc_id", "hub")), ["order", "doc_id", "uid"]
     hubs = cut(slim.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "hubs")
     total, linked = slim.count(), hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -76,18 +82,18 @@ def shard(docs: DataFrame, hub: Callable[[Column], Column] = text_hub, n_shards:
 
     upto = lambda a: F.transform(a, lambda x, i: F.struct(x["shard"].alias("shard"), F.aggregate(F.slice(a, 1, i + 1), F.lit(0).cast("long"), lambda z, y: z + y["n"]).alias("end")))
     layout = state.groupBy("hub").agg(F.sum("n").alias("of"), F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("a")).select("hub", "of", upto(F.col("a")).alias("ends"))
-    layout = cut(layout, "layout")  # else the rows of a hub meet it in the aggregation's partitions, which Spark does not split
+    layout = cut(layout, "layout")
     where = lambda ends: F.get(F.filter(ends, lambda e: F.col("at") < e["end"]), F.lit(0))["shard"]
-    tied = running(slim.join(layout, "hub"), "hub", "of", "order", "at").withColumn("shard", where(F.col("ends")))
+    tied = running(met(slim, layout, "hub", "of"), "hub", "of", order, "at").withColumn("shard", where(F.col("ends")))
     room, end = [], 0
     for s, c in enumerate(capacity):
         end += c - load.get(s, 0)
         room.append(F.struct(F.lit(s).alias("shard"), F.lit(end).cast("long").alias("end")))
-    free = slim.join(hubs.select("hub"), "hub", "left_anti").withColumns({"all": F.lit(0), "of": F.lit(total - linked)})
-    free = running(free, "all", "of", "order", "at").withColumn("shard", where(F.array(*room)))
+    free = unmet(slim, hubs, "hub", "n").withColumns({"all": F.lit(0), "of": F.lit(total - linked)})
+    free = running(free, "all", "of", order, "at").withColumn("shard", where(F.array(*room)))
     names = ["uid", "doc_id", "size", "text_crc32", "hub", "order", "shard"]
     dealt = cut(tied.select(names).union(free.select(names)), "dealt").withColumn("of", F.get(F.array(*map(F.lit, capacity)), F.col("shard")))
-    out = running(dealt, "shard", "of", "order", "slot").select("uid", "doc_id", "size", "text_crc32", "hub", "shard", "slot")
+    out = running(dealt, "shard", "of", order, "slot").select("uid", "doc_id", "size", "text_crc32", "hub", "shard", "slot")
     return out.join(whole, "uid").drop("uid") if keep_row else out.drop("uid")
 
 
