@@ -7,7 +7,7 @@ others, the best-scored of those that overlap is taken, and none that overlaps
 a base span.
 
 There are no span labels, so training rows come from a bounded sample of
-documents (SAMPLE_DOCS texts with a digit group or an @): base spans are the
+distinct texts (SAMPLE_DOCS texts with a digit group or an @): base spans are the
 positives, rewritten into the looser formats that the generators propose
 (national phone numbers, spelled-out addresses), and the same spans damaged so
 that they are no personal data any more (dates, decimals, amounts, failed check
@@ -15,9 +15,11 @@ digits) are the negatives, all in their own contexts. Spark's GBTClassifier fits
 the trees; a task applies them to the candidates of its documents.
 
 Defined results: null text counts as empty; texts are read whole, by patterns
-that need time in proportion to the length; offsets are code points; a sample
-without any base span leaves only base spans; repeated rows each get a row; an
-empty table gives an empty result.
+that need time in proportion to the length, and candidates meet the taken spans in a
+sorted list; offsets are code points; of overlapping candidates with equal scores the
+first by start, then by end, is taken; a sample without any base span leaves only base
+spans; repeated rows each get a row; an empty table gives an empty result; other columns,
+of whatever names, are ignored, or kept by redact.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import cut
+from .common import cut, sampled
 
 SAMPLE_DOCS = 3000
 PRECISION = 0.99
@@ -182,8 +185,8 @@ def flat(tree) -> list[tuple[int, float, int, int, float]]:  # noqa: ANN001
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """Train on `sample` documents with a possible base span, chosen by a hash of their text."""
-    chosen = docs.filter(F.col("text").rlike("@|[0-9]{3}")).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
+    """Train on `sample` distinct texts with a possible base span, chosen by a hash."""
+    chosen = sampled(docs, sample, F.col("text").rlike("@|[0-9]{3}"))
 
     def rows(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
@@ -206,15 +209,37 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     return Model([(w, flat(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)], line)
 
 
+class Taken:
+    """Disjoint intervals in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, z in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(z, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def add(self, a: int, z: int) -> bool:
+        """Take a span unless it overlaps a taken one."""
+        i = bisect_left(self.starts, z)
+        if i and self.ends[i - 1] > a:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, z)
+        return True
+
+
 def all_spans(t: str, model: Model) -> list[tuple[str, int, int, float]]:
     base = base_spans(t)
     out = [(*b, 1.0) for b in base]
     if model.trees and (c := candidates(t)):
         p = model.scores(np.array([features(t, *x) for x in c], dtype=float))
-        taken = sorted((a, z) for _, a, z in base)
+        taken = Taken([(a, z) for _, a, z in base])
         for s, (kind, a, z) in sorted(((float(s), x) for s, x in zip(p, c, strict=True) if s >= model.thresholds.get(x[0], math.inf)), key=lambda y: (-y[0], y[1][1:])):
-            if all(z <= b or a >= e for b, e in taken):
-                taken.append((a, z))
+            if taken.add(a, z):
                 out.append((kind, a, z, s))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
