@@ -8,9 +8,19 @@ scored by its log-likelihood per character against a background model of
 ordinary tokens, and a threshold calibrated on held-out tokens decides. Base
 spans are exact and always stay.
 
-Defined results: null text counts as empty; texts are read whole; offsets are
-code points; without labelled credentials only base spans remain; repeated rows
-each get a row; an empty table gives an empty result.
+A candidate is any run of six or more characters of which an assigned value may be
+made, except a plain word: letters only, all of one case but for the first. Such a word
+has the form of most of the text, and nothing in its form could tell that it is a secret.
+
+The fit takes a bounded sample: at most SAMPLE distinct credentials from all texts, and
+at most PLAIN distinct ordinary tokens from ORDINARY_TEXTS texts, both by hash.
+Credentials of over LONGEST characters are left out of the automaton, which has one
+state for a character; they are found all the same.
+
+Defined results: null text counts as empty; texts are read whole, in time in proportion
+to their length; offsets are code points; candidates do not overlap, so there are no ties; without labelled
+credentials only base spans remain; repeated rows each get a row; an empty table gives
+an empty result; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +34,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType
 
-from .pii import SPANS
+from .common import cut, sampled
+from .pii import SPANS, Taken
 
-SAMPLE = 2000  # labelled credentials, and as many ordinary tokens
+SAMPLE = 2000  # labelled credentials
+PLAIN = 20_000  # ordinary tokens
+ORDINARY_TEXTS = 4000  # texts that these come from
+LONGEST = 256
 ALPHA = 0.05
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
@@ -41,7 +55,10 @@ def _either(word: str) -> str:
 _ASSIGN = re.compile("(" + "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")]) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_RUN = "[A-Za-z0-9+/_.=-]"
+# a run that goes on behind its first plain word; it is looked at from its first character only
+_TOKEN = re.compile(rf"(?<!{_RUN})(?:[A-Z]?[a-z]++|[A-Z]++)?+(?=[.=-]*+[A-Za-z0-9+/_]){_RUN}++")
+_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 
 def base_spans(t: str) -> list[tuple[str, int, int]]:
@@ -53,8 +70,14 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(t: str) -> list[tuple[int, int]]:
-    """Long tokens with a letter and a digit."""
-    return [m.span() for m in _TOKEN.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    """Runs of six or more characters of a value that are no plain words, without marks around them."""
+    out = []
+    for m in _TOKEN.finditer(t):
+        x = m[0].rstrip(".-")
+        z, x = m.start() + len(x), x.lstrip(".=-")
+        if len(x) >= 6 and not _WORD.fullmatch(x):
+            out.append((z - len(x), z))
+    return out
 
 
 def shape(s: str) -> str:
@@ -155,23 +178,32 @@ class Model:
         return likelihood(self.states, s) - ordinary
 
 
-def labelled(docs: DataFrame, sample: int) -> tuple[list[str], list[str]]:
-    """A sample, by hash, of distinct credentials and of distinct ordinary long tokens."""
-    kind = ArrayType(StructType([StructField("token", StringType()), StructField("good", IntegerType())]))
+def labelled(docs: DataFrame, sample: int = SAMPLE, plain: int = PLAIN, texts: int = ORDINARY_TEXTS) -> tuple[list[str], list[str]]:
+    """Samples, by hash, of distinct credentials and of distinct ordinary tokens."""
 
-    @pandas_udf(kind)
-    def tokens(text: pd.Series) -> pd.Series:
-        def of(t: str) -> list[dict]:
+    @pandas_udf(ArrayType(StringType()))
+    def secret(text: pd.Series) -> pd.Series:
+        def of(t: str) -> list[str]:
             found = {t[a:z] for k, a, z in base_spans(t) if k != "assign"} | {m[2] for m in _ASSIGN.finditer(t) if len(m[2]) >= 6}
-            plain = {t[a:z] for a, z in candidates(t)} if found else set(re.findall(r"[A-Za-z]{12,40}", t))
-            return [{"token": x, "good": 1} for x in found if len(x) < 256] + [{"token": x, "good": 0} for x in plain if len(x) < 256 and not any(x in y or y in x for y in found)]
+            return [x for x in found if len(x) < LONGEST]
 
-        return pd.Series([of(t or "") for t in text])
+        return pd.Series([of(t) for t in text])
 
-    docs = docs.filter(F.col("text").rlike("(?i)pass|secret|token|api|AKIA|[0-9a-f]{24}") | (F.pmod(F.xxhash64("text"), F.lit(50)) == 0))
-    each = docs.select(F.explode(tokens("text")).alias("x")).select("x.*").distinct().withColumn("h", F.xxhash64("token"))
-    pick = lambda good: [r.token for r in each.filter(F.col("good") == good).orderBy("h").limit(sample).collect()]  # noqa: E731  at most `sample` short strings
-    return pick(1), pick(0)
+    @pandas_udf(ArrayType(StringType()))
+    def ordinary(text: pd.Series) -> pd.Series:
+        def of(t: str) -> list[str]:
+            base = Taken([(a, z) for _, a, z in base_spans(t)])
+            return list({t[a:z] for a, z in candidates(t) if z - a < LONGEST and base.add(a, z)} | set(re.findall(r"[A-Za-z]{12,40}", t)))
+
+        return pd.Series([of(t) for t in text])
+
+    def lowest(each: DataFrame, n: int) -> list[str]:
+        """At most n of the distinct short strings."""
+        return [r.token for r in each.distinct().orderBy(F.xxhash64("token"), "token").limit(n).collect()]
+
+    with_secret = docs.filter(F.col("text").rlike("(?i)pass|secret|token|api|AKIA|[0-9a-f]{24}"))  # no base span is without one of these
+    good = lowest(with_secret.select(F.explode(secret("text")).alias("token")), sample)
+    return good, lowest(cut(sampled(docs, texts).select(F.explode(ordinary("text")).alias("token")), "ordinary"), plain)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -185,7 +217,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             pairs[a][b] += 1
     background = {a: {b: math.log((n + 0.1) / (c.total() + 1)) for b, n in c.items()} for a, c in pairs.items()}
     model = Model(alergia([shape(x) for x in rest]), background, 0.0)
-    bad = sorted(model.score(x) for x in plain[::2])
+    known = set(good)
+    bad = sorted(model.score(x) for x in plain[::2] if x not in known)
+    # nineteen in twenty held-out credentials pass, unless ordinary tokens would; of these one in a thousand may
     model.threshold = max(sorted(model.score(x) for x in held)[len(held) // 20], (bad[-1 - len(bad) // 1000] if bad else 0.0) + 0.1)
     return model
 
@@ -193,9 +227,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 def all_spans(t: str, model: Model | None) -> list[tuple[str, int, int, float]]:
     out = [(*b, 1.0) for b in base_spans(t)]
     if model:
-        taken = [b[1:3] for b in out]
+        taken = Taken([b[1:3] for b in out])
         for a, z in candidates(t):
-            if all(z <= b or a >= e for b, e in taken) and (s := model.score(t[a:z])) >= model.threshold:
+            if taken.add(a, z) and (s := model.score(t[a:z])) >= model.threshold:
                 out.append(("format", a, z, s))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
