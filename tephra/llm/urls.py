@@ -12,8 +12,9 @@ that a held-out fifth of the labelled strings calibrates.
 Weights are millionths of a nat as whole numbers, so sums do not depend on their
 order. Defined results: a null url, or one without ://, has an empty host and
 path and no rule; without labels on both sides the threshold is 0 and an unseen
-string is allowed; repeated rows each get a row; an empty table gives an empty
-result.
+string is allowed; a ratio at the threshold is allowed, and of equally good thresholds the one
+nearest to 0, then the lower, is taken; a long url takes four rows a character; repeated rows each get a
+row; an empty table gives an empty result; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hash_of, small
+from .common import cut, hash_of, met, small
 from .decontaminate import LOWER, UPPER
 
 #: Verdict, host and path of each rule.
@@ -100,7 +101,8 @@ def scores(strings: DataFrame, table: DataFrame) -> DataFrame:
     start = table.filter("gram = ''").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     each = strings.select("shape", F.explode(all_substrings(F.col("shape"))).alias("gram")).join(small(table, 2_000_000), "gram", "left")
     sums = each.groupBy("shape").agg(F.sum(F.coalesce("w", F.lit(0))).alias("s"))
-    return strings.join(sums, "shape").withColumn("ratio", F.floor((F.col("s") + start * F.length("shape")) / (F.length("shape") * BIN)).cast("long")).drop("s")
+    length = F.length("shape").cast("long")
+    return strings.join(sums, "shape").withColumn("ratio", F.floor((F.col("s") + F.lit(start).cast("long") * length) / (length * BIN)).cast("long")).drop("s")
 
 
 def threshold(scored: DataFrame) -> int:
@@ -108,7 +110,7 @@ def threshold(scored: DataFrame) -> int:
     bins = scored.filter("fold = 0 and yes + no > 0").groupBy("ratio").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     below = W.orderBy("ratio").rowsBetween(W.unboundedPreceding, -1)  # bins of ratios, not rows
     all_ = W.partitionBy()
-    cuts = bins.withColumns({"rejected": F.coalesce(F.sum("no").over(below), F.lit(0)) / F.sum("no").over(all_), "lost": F.coalesce(F.sum("yes").over(below), F.lit(0)) / F.sum("yes").over(all_)})
+    cuts = bins.withColumns({"rejected": F.try_divide(F.coalesce(F.sum("no").over(below), F.lit(0)), F.sum("no").over(all_)), "lost": F.try_divide(F.coalesce(F.sum("yes").over(below), F.lit(0)), F.sum("yes").over(all_))})
     best = cuts.select("ratio", (F.col("rejected") - F.col("lost")).alias("gain")).filter("gain is not null").orderBy(F.desc("gain"), F.abs("ratio"), "ratio").first()
     return best.ratio if best else 0
 
@@ -117,10 +119,10 @@ def filter_urls(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, ratio (null where a rule decides)."""
     rows = labelled(pages)
     count = lambda v: F.count_if(F.coalesce(F.col("label") == v, F.lit(False)))
-    strings = rows.groupBy("shape").agg(count("allow").alias("yes"), count("block").alias("no"))
+    strings = rows.groupBy("shape").agg(count("allow").alias("yes"), count("block").alias("no"), F.count(F.lit(1)).alias("n"))
     strings = cut(strings.withColumn("fold", hash_of("shape") % FOLDS), "strings")
     scored = cut(scores(strings, cut(weights(strings), "weights")), "scored")
     line = threshold(scored)
-    joined = rows.join(small(scored.select("shape", "ratio")), "shape")
+    joined = met(rows, scored.select("shape", "ratio", "n"), "shape", "n")
     verdict = F.coalesce("label", F.when(F.col("ratio") >= line, "allow").otherwise("block"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("ratio")).alias("ratio"))
