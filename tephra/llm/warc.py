@@ -1,17 +1,19 @@
 """Not-modified revisits of a web archive, resolved to the full response they confirm.
 
 An as-of join by canonical URL finds, for every revisit, the latest earlier full
-response. Time is cut into slices at quantiles of all captures, so a hot URL is
-many small groups: inside a slice a window carries the last response forward,
+response. Captures are range-partitioned by URL, time and record, so a hot URL is
+cut into slices of the size of a partition: inside a slice a window carries the last response forward,
 and between slices only the last response of each slice is carried (a URL has as
-many of these as there are slices, at most). Validators are compared (entity
+many of these as there are partitions, at most). Validators are compared (entity
 tags weakly, then dates), and the headers that a not-modified answer may update
 are merged into those of the stored response.
 
 Defined results: outcome is `confirmed`, `changed` (validators differ),
 `unchecked` (no validator on both sides) or `missing` (no earlier response); a
 null URL or time never matches; captures at equal times come in the order of
-record_id; repeated rows each get a row; an empty table gives an empty result.
+record_id; of repeated responses any one is taken, as they are equal; repeated revisits each get a
+row; a long URL is one key like any other; an empty table gives an empty result; other columns, of
+whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, hash_of
 
-SLICES = 64
 #: Headers that describe the body or one connection; a not-modified answer does not update them.
 NOT_MERGED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 
@@ -49,12 +50,10 @@ def merged(stored: Column, update: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """Every revisit (status 304) of records(record_id, url, ts, status, etag,
     last_modified, headers) with: canonical_url, response_id, outcome, merged headers."""
-    rows = cut(records.select("record_id", "ts", "status", "etag", "last_modified", "headers", canonical(records["url"]).alias("canonical_url")), "records")
+    rows = records.select("record_id", "ts", "status", "etag", "last_modified", "headers", canonical(records["url"]).alias("canonical_url"))
     full = F.when(F.col("status") == 200, F.struct("ts", "record_id", "etag", "last_modified", "headers"))
     known = rows.filter("canonical_url is not null and ts is not null and status in (200, 304)")
-    bounds = known.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
-    slice_ = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= F.col("ts"))) if bounds else F.lit(0)
-    known = known.withColumns({"slice": slice_, "full": full})
+    known = cut(known.repartitionByRange("canonical_url", "ts", "record_id").withColumn("slice", F.spark_partition_id()), "records").withColumn("full", full)
     last = known.filter("full is not null").groupBy("canonical_url", "slice").agg(F.max(F.struct("full.ts", "full.record_id", "full.etag", "full.last_modified")).alias("f"), F.max_by("full.headers", F.struct("full.ts", "full.record_id")).alias("h"))
     revisited = known.filter("status = 304").select("canonical_url", "slice").distinct()
     ends = last.select("canonical_url", "slice", F.struct("f.ts", "f.record_id", "f.etag", "f.last_modified", F.col("h").alias("headers")).alias("end"))
