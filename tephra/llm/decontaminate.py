@@ -1,13 +1,16 @@
 """Benchmark decontamination (native: DataFrame functions only).
 
-The set of normalised test n-grams is broadcast, if its counted size is within
-a bound, and the windows of every document are looked up in it; equality of the
-whole window text verifies a hit. Only hits and one marker row per document are
-shuffled. Beyond the bound Spark joins by shuffle, with the same result.
+The hashes of all normalised test n-grams are broadcast, if their counted size is within
+a bound, and the windows of every document are looked up among them. Documents with a hit, few as a rule,
+are read again, and equality of the whole window text verifies each hit. Only hits and word counts are
+written; texts are neither copied for their windows nor shuffled, unless those with a hit, whose keys
+alone are broadcast, are too many for that: then Spark joins by shuffle, with the same result.
 
 Defined results: null or wordless texts have no windows; items with a null
-item_id mark hits but are not listed; repeated rows are judged one by one;
-without items nothing is hit; an empty table gives an empty result.
+item_id mark hits but are not listed; repeated rows are judged one by one, repeated items
+count once, and overlapping windows hit a word once; a long text takes 24 bytes a word for each length of
+a window, of which there are ten at most; without items nothing is hit; an empty table gives an
+empty result; other columns, of whatever names, are ignored, or kept by decontaminate.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from .common import cut, keyed, let, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text that has not been lower-cased.
+INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 
 
@@ -26,16 +31,23 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS, -1), "")
 
 
-def windows(w: Column, k: int) -> Column:
-    """All runs of k words, space-joined, by position."""
-    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda _, i: F.array_join(F.slice(w, i + 1, k), " "))
+def windows(w: Column, k: int, text: bool = False) -> Column:
+    """All runs of k words, as structs of their place, k, a hash, and, if asked for, their words space-joined."""
+
+    def one(x: Column, i: Column) -> Column:
+        h = F.xxhash64(F.lit(k), x, *[F.get(w, i + d) for d in range(1, k)])
+        gram = [F.array_join(F.slice(w, i + 1, k), " ").alias("gram")] if text else []
+        return F.struct(i.cast("int").alias("at"), F.lit(k).alias("k"), h.alias("h"), *gram)
+
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), one)
 
 
 def test_ngrams(bench: DataFrame) -> DataFrame:
-    """Distinct windows of the items: gram, k (its words), items that hold it."""
+    """Distinct windows of the items: h, gram, k (its words), items that hold it."""
     w = bench.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    grams = w.select("item", F.least(F.size("w"), F.lit(WINDOW)).alias("k"), F.explode(F.when(F.size("w") < WINDOW, F.array(F.array_join("w", " "))).otherwise(windows(F.col("w"), WINDOW))).alias("gram"))
-    return grams.groupBy("gram", "k").agg(F.collect_set("item").alias("items"))
+    of = lambda k: F.size("w") >= k if k == WINDOW else F.size("w") == k
+    each = F.coalesce(*[F.when(of(k), windows(F.col("w"), k, text=True)) for k in range(1, WINDOW + 1)])
+    return w.select("item", F.inline(each)).groupBy("h", "gram", "k").agg(F.collect_set("item").alias("items"))
 
 
 def covered(hits: Column) -> Column:
@@ -44,53 +56,63 @@ def covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"].cast("long"))
 
 
-def hits(rows: DataFrame, bench: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
-    """Per row of rows(uid, doc_id, text): uid, doc_id, n_words, spans (at, k of hit windows), items.
-
-    The marker of a row stands at -1 and has the number of words as its k."""
-    grams = cut(test_ngrams(bench), "grams")
+def likely(rows: DataFrame, grams: DataFrame, counts: bool, max_broadcast: int = 2_000_000) -> DataFrame:
+    """Per window of rows(uid, text) whose hash a test n-gram has: uid and its place `at`; with counts
+    also a row for each text, with its number of words as k, at -1."""
     lengths = sorted(r.k for r in grams.select("k").distinct().collect())  # 10 values at most
-    spot = lambda at, k, g: F.struct(at.cast("int").alias("at"), k.alias("k"), g.alias("gram"))
+    hashes = small(cut(grams.select("h").distinct().withColumn("known", F.lit(True)), "hashes"), max_broadcast)
+    marker = lambda w: F.array(F.struct(F.lit(-1).alias("at"), F.size(w).alias("k"), F.lit(None).cast("long").alias("h")))
+    each = let(normal_words(F.col("text")), lambda w: F.concat(marker(w), *[windows(w, k) for k in lengths]))
+    met = rows.select("uid", F.inline(each)).join(hashes, "h", "left")
+    return cut(met.filter("known or at < 0" if counts else "known").select("uid", "at", "k"), "likely")
 
-    def of_length(w: Column, k: int) -> Column:
-        return F.transform(windows(w, k), lambda g, i: spot(i, F.lit(k), g))
 
-    def spots(w: Column) -> Column:
-        return F.concat(F.array(spot(F.lit(-1), F.size(w), F.lit(None).cast("string"))), *[of_length(w, k) for k in lengths])
-
-    seen = rows.select("uid", "doc_id", F.inline(let(normal_words(F.col("text")), spots)))
-    met = seen.join(small(grams.select("gram", "k", "items"), max_broadcast), ["gram", "k"], "left").filter("at < 0 or items is not null")
-    span = F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "k")))
-    return met.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.max(F.when(F.col("at") < 0, F.col("k"))).cast("long").alias("n_words"), span.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+def hits(rows: DataFrame, grams: DataFrame, found: DataFrame) -> DataFrame:
+    """uid, at, k, gram of every window of rows(uid, text) that a test n-gram equals; only rows of likely() are read."""
+    lengths = sorted(r.k for r in grams.select("k").distinct().collect())  # 10 values at most
+    some = rows.join(small(cut(found.filter("at >= 0").select("uid").distinct(), "touched")), "uid", "left_semi")
+    if not lengths:
+        return some.select("uid", F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit("").alias("gram")).limit(0)
+    each = some.select("uid", F.inline(let(normal_words(F.col("text")), lambda w: F.concat(*[windows(w, k, text=True) for k in lengths]))))
+    return cut(each.join(small(cut(grams.select("h", "k", "gram"), "texts")), ["h", "k", "gram"], "left_semi").select("uid", "at", "k", "gram"), "hits")
 
 
 def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, contaminated."""
-    found = hits(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), bench)
-    n_hit = covered(F.col("spans"))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("spans") > 0).alias("contaminated"))
+    grams = cut(test_ngrams(bench), "grams")
+    rows = keyed(docs.select("doc_id", "text"), "rows").select("uid", "row.doc_id", "row.text")
+    found = likely(rows.select("uid", "text"), grams, counts=True)
+    hit = hits(rows.select("uid", "text"), grams, found)
+    held = hit.select("uid", "k", "gram").distinct().join(small(cut(grams.select("k", "gram", F.explode("items").alias("item")), "held")), ["k", "gram"])
+    items = held.groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = hit.groupBy("uid").agg(covered(F.collect_set(F.struct("at", "k"))).alias("n_hit"))
+    each = small(cut(spans.join(items, "uid", "left"), "each"))
+    slim = rows.select("uid", "doc_id").join(found.filter("at < 0").select("uid", F.col("k").cast("long").alias("n_words")), "uid")
+    out = slim.join(each, "uid", "left")
+    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents") -> DataFrame:
     """docs without the documents that are hit, or, with remove="spans", without the hit words."""
-    rows = keyed(docs, "rows")
-    found = hits(rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), bench).filter(F.size("spans") > 0)
+    rows, grams = keyed(docs, "rows"), cut(test_ngrams(bench), "grams")
+    texts = rows.select("uid", F.col("row.text").alias("text"))
+    hit = hits(texts, grams, likely(texts, grams, counts=False))
     if remove == "documents":
-        return rows.join(found, "uid", "left_anti").select("row.*")
+        return rows.join(small(cut(hit.select("uid").distinct(), "gone")), "uid", "left_anti").select("row.*")
     if remove != "spans":
         raise ValueError(f"remove must be documents or spans, not {remove}")
-    joined = rows.join(found.select("uid", "spans"), "uid", "left")
+    joined = rows.join(small(cut(hit.groupBy("uid").agg(F.collect_set(F.struct("at", "k")).alias("spans")), "spans")), "uid", "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(without(F.col("row.text"), F.col("spans")))
     return joined.select(*[text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def without(text: Column, spans: Column) -> Column:
     """The text without the words inside the spans; what stands between words stays."""
-    inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(text, F.lit(rf"{inside}|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(rf"{INSIDE}|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
 
     def kept(p: Column) -> Column:
-        lead = F.when(F.get(p, F.lit(0)).rlike(f"^{inside}"), 0).otherwise(1)
+        lead = F.when(F.get(p, F.lit(0)).rlike(f"^{INSIDE}"), 0).otherwise(1)
         hit = lambda i: F.exists(spans, lambda s: (F.floor((i - lead) / 2) >= s["at"]) & (F.floor((i - lead) / 2) < s["at"] + s["k"]))
         return F.array_join(F.filter(p, lambda _, i: (F.pmod(i - lead, F.lit(2)) == 1) | ~hit(i)), "")
 

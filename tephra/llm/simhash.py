@@ -11,11 +11,17 @@ from alternating large-star and small-star steps on the links.
 Two edited words in a hundred already move more bits than that. So one_of_each can
 also link texts by the Jaccard similarity of their shingles: MinHash values are
 compared in bands, each meeting is a link to one member of the band, and the share
-of equal values verifies it. Links by fingerprint stay.
+of equal values verifies it; those that a member turns away meet again around another one, ROUNDS
+times. Links by fingerprint stay.
+
+Rows join their fingerprint, and fingerprints their class, by met(), which deals no hot
+key to one task.
 
 Defined results: null or wordless text has fingerprint zero and links like any
-other; a class without any non-null doc_id has a null component_id; repeated
-rows each get a row; an empty table gives an empty result.
+other; a bit set in just half of the shingles is 0; a class without any non-null doc_id has a null
+component_id; repeated rows each get a row, and one of them stays; long texts are read whole, in
+time in proportion to their length; an empty table gives an empty result; other columns, of
+whatever names, are ignored, or kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -29,11 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from .common import cut, discard, keyed
+from .common import cut, discard, keyed, met, small
 
 SEED = 42
 SHINGLE = 3
 BANDS, IN_BAND = 20, 5  # texts of similarity 0.8 meet in a band with probability 0.9996
+ROUNDS = 3
 
 
 def hashes_of(text: str | None, k: int) -> np.ndarray:
@@ -77,24 +84,32 @@ def minhash_of(text: str | None, k: int) -> np.ndarray:
 def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b), a > b, of fingerprints of rows(fp, values) whose texts share so many MinHash values.
 
-    A text is compared in each band with one text of the band, another one in each."""
+    A text is compared in each band with the centre of its cell, another one in each band. Members
+    that are not similar to the centre stay in the cell, which takes a new centre."""
     texts = cut(rows.select("fp", "values").distinct().withColumn("id", F.xxhash64("fp", "values")), "texts")
     cells = texts.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("values", i * IN_BAND + 1, IN_BAND)))).alias("cell"))
-    centres = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", "cell"), "id")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", F.col("x.id").alias("centre"))
-    pairs = cut(cells.join(centres, "cell").filter("id != centre").select("id", "centre").distinct(), "pairs")
     one, other = texts.select("id", F.col("fp").alias("f"), F.col("values").alias("v")), texts.select(F.col("id").alias("centre"), F.col("fp").alias("g"), F.col("values").alias("w"))
-    equal = F.size(F.filter(F.zip_with("v", "w", lambda x, y: x == y), lambda e: e))
-    near = pairs.join(one, "id").join(other, "centre").filter((F.col("f") != F.col("g")) & (equal >= similarity * BANDS * IN_BAND))
-    return near.select(F.greatest("f", "g").alias("a"), F.least("f", "g").alias("b")).distinct()
+    equal, links = F.size(F.filter(F.zip_with("v", "w", lambda x, y: x == y), lambda e: e)), None
+    for k in range(ROUNDS):
+        centres = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", "cell", F.lit(k)), "id")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        members = cut(met(cells, cut(centres.select("cell", F.col("x.id").alias("centre"), "n"), "centres"), "cell", "n").filter("id != centre").select("id", "centre", "cell"), "members")
+        stars = cut(members.groupBy("centre").agg(F.countDistinct("id").alias("n")), "stars")
+        pairs = members.select("id", "centre").distinct().join(one, "id")
+        pairs = met(pairs, cut(stars.join(other, "centre"), "stars"), "centre", "n").withColumn("near", equal >= similarity * BANDS * IN_BAND)
+        pairs = cut(pairs.select("id", "centre", "f", "g", "near"), "pairs")
+        found = pairs.filter("near and f != g").select(F.greatest("f", "g").alias("a"), F.least("f", "g").alias("b"))
+        links = found if links is None else links.union(found)
+        cells = members.join(pairs.filter("not near").select("id", "centre"), ["id", "centre"], "left_semi").select("id", "cell")
+    return links.distinct()
 
 
 def ball_links(prints: DataFrame) -> DataFrame:
     """Links (a, b), a > b, that join all distinct fingerprints within 2 bits of each other."""
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     ball = prints.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
-    met = ball.withColumn("least", F.min("fp").over(W.partitionBy("variant")))
+    meeting = ball.withColumn("least", F.min("fp").over(W.partitionBy("variant")))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 2
-    return met.filter((F.col("fp") > F.col("least")) & near).select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    return meeting.filter((F.col("fp") > F.col("least")) & near).select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -124,27 +139,28 @@ def classes(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def components(rows: DataFrame, similarity: float | None = None) -> DataFrame:
-    """(fp, root, component_id) for each distinct fp of rows(doc_id, fp), a written table.
+    """(fp, n, root, component_id) for each distinct fp of rows(doc_id, fp), a written table; n rows have it.
 
     With a similarity, rows(values) link too."""
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "prints")
     links = ball_links(prints)
     roots = classes(links if similarity is None else links.union(similar_links(rows, similarity)).distinct())
-    rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = cut(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root")), "roots")
+    least = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("prints")), "least")
+    return cut(met(rooted, least, "root", "prints").select("fp", "n", "root", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp (signed), component_id."""
     rows = cut(docs.select("doc_id", fingerprint("text").alias("fp")), "fp")
-    return rows.join(components(rows), "fp").select("doc_id", "fp", "component_id")
+    return met(rows, components(rows), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the smallest doc_id stays.
 
-    With a similarity, texts whose shingles of so many words are that similar are near-duplicates too."""
+    With a similarity, texts whose shingles of so many words are that similar are near-duplicates too.
+    Rows that go are the smaller part: they are broadcast if they are few, and shuffled if not."""
 
     @pandas_udf(ArrayType(IntegerType()))
     def minhash(text: pd.Series) -> pd.Series:
@@ -153,6 +169,6 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     rows = keyed(docs, "rows")
     extra = [] if similarity is None else [minhash("row.text").alias("values")]
     slim = cut(rows.select(F.col("row.doc_id").alias("doc_id"), fingerprint("row.text").alias("fp"), "uid", *extra), "fp")
-    rooted = slim.select("doc_id", "fp", "uid").join(components(slim, similarity), "fp")
+    rooted = cut(met(slim.select("doc_id", "fp", "uid"), components(slim, similarity), "fp", "n").select("root", "doc_id", "uid"), "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("x")).select("x.uid")
-    return rows.join(first, "uid", "left_semi").select("row.*")
+    return rows.join(small(cut(rooted.select("uid").join(first, "uid", "left_anti"), "gone")), "uid", "left_anti").select("row.*")
