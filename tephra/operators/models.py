@@ -72,7 +72,7 @@ def weather_candidates() -> dict:
     """The classifiers that compete, by name."""
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     linear = {f"linear_{c}": Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", regParam=1 / c / 100, maxIter=40)]) for c in (0.1, 1, 10, 50)}
-    return linear | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=300, maxDepth=8, seed=42)])}
+    return linear | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=300, maxDepth=8, maxBins=16, maxMemoryInMB=1024, seed=42)])}
 
 
 def cv_macro_f1(df: DataFrame, estimator: Pipeline, key: str, k: int = 5) -> DataFrame:
@@ -116,7 +116,7 @@ def volcano_fit(df: DataFrame, label: str, columns: list[str], trees: int = 200)
     names = sorted(sizes)
     index = F.array_position(F.array(*map(F.lit, names)), F.col(label)).cast("double") - 1
     train = balanced(assembled(df, columns).withColumn("label", index), "label")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, weightCol="weight", seed=42)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, maxBins=16, maxMemoryInMB=1024, weightCol="weight", seed=42)
     return Pipeline(stages=[forest]).fit(train), names
 
 

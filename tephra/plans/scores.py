@@ -314,9 +314,15 @@ def weather_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.weather_predict(model, rows.filter("quality_flag in ('usable', 'cloudy', 'dark')"), ["image_id"]).withColumn("weather_proba", F.round("weather_proba", 4))
 
 
+_fitted: dict = {}  # the forest of a session and a table: four queries read the same one
+
+
 def _forest(spark: SparkSession, sf_dir: str, trees: int = 200):  # noqa: ANN202
     df = index(spark, sf_dir).withColumn("class", levels.heuristic_class()).withColumn("night", F.col("is_night").cast("double"))
-    return df, models.volcano_fit(df, "class", [*FEATURES, "night"], trees)
+    of = (spark.sparkContext.applicationId, sf_dir, trees)
+    if of not in _fitted:
+        _fitted[of] = models.volcano_fit(df, "class", [*FEATURES, "night"], trees)
+    return df, _fitted[of]
 
 
 @query()
