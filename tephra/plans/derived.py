@@ -336,7 +336,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KINDS = """, u AS (SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'http://s/2024_01/thumbnails/ech_' || filename WHEN 1 THEN 'http://s/2024_01/icones/' || filename WHEN 2 THEN 'file:///C|/x/2024_02/html_images/' || replace(filename, '.jpg', '.html')
-WHEN 3 THEN 'http://s/2024_01/html_images/' || replace(filename, '.jpg', '.html') ELSE 'http://s/2014/html/' || replace(filename, '.jpg', '.html') END AS u, regexp_replace(filename, '\\.[^.]*$', '') AS stem FROM idx)"""
+WHEN 3 THEN 'http://s/2024_01/html_images/' || replace(filename, '.jpg', '.html') ELSE 'http://s/2014/html/' || replace(filename, '.jpg', '.html') END AS u, regexp_replace(filename, '\\.[^.]*$', '') AS stem, year, month FROM idx)"""
 
 
 def _odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +345,7 @@ def _odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).withColumn("u", u.when(i == 3, F.concat(F.lit("http://s/2024_01/html_images/"), page)).otherwise(F.concat(F.lit("http://s/2014/html/"), page)))
 
 
-@query(_KINDS + """ SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'http://b/2024_01/html_images/ech_' || stem || '.jpg' WHEN 1 THEN 'http://s/2024_01/images_publiques/' || stem || '.jpg' WHEN 2 THEN CASE WHEN regexp_matches(lower(stem), '^(kalor|suki|canon|cam)') THEN 'http://b/2024_02/html_images/ech_' || stem || '.jpg' END
+@query(_KINDS + """ SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'http://b/' || strftime(make_date(year, month, 1), '%Y_%m') || '/html_images/ech_' || stem || '.jpg' WHEN 1 THEN 'http://s/2024_01/images_publiques/' || stem || '.jpg' WHEN 2 THEN CASE WHEN regexp_matches(lower(stem), '^(kalor|suki|canon|cam)') THEN 'http://b/2024_02/html_images/ech_' || stem || '.jpg' END
 WHEN 3 THEN 'http://s/2024_01/html_images/ech_' || stem || '.jpg' ELSE 'http://s/2014/images_publiques/' || stem || '.jpg' END AS image_url FROM u""")
 def rewrite_image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _odd_urls(spark, sf_dir).select("image_id", names.rewritten(F.col("u"), "http://b", F.col("year"), F.col("month")).alias("image_url"))
