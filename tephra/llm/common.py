@@ -81,8 +81,8 @@ def met(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 100_
     the tables. The other keys shuffle, and none of them is hot. side should be
     a table that cut() wrote.
     """
-    if side.count() <= most:
-        return rows.join(small(side, most), key)
+    if (few := small(side, most)) is not side:
+        return rows.join(few, key)
     hot = F.col(count) > max(10_000, (side.agg(F.sum(count)).first()[0] or 0) // most)
     often = side.filter(hot)
     seldom = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(side.filter(~hot), key)
@@ -92,8 +92,8 @@ def met(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 100_
 def unmet(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 100_000) -> DataFrame:
     """The rows whose key side does not have; the counterpart of met()."""
     keys = side.select(key, count)
-    if keys.count() <= most:
-        return rows.join(small(keys.select(key), most), key, "left_anti")
+    if (few := small(keys, most)) is not keys:
+        return rows.join(few.select(key), key, "left_anti")
     hot = F.col(count) > max(10_000, (keys.agg(F.sum(count)).first()[0] or 0) // most)
     return rows.join(F.broadcast(keys.filter(hot).select(key)), key, "left_anti").join(keys.filter(~hot).select(key), key, "left_anti")
 
