@@ -68,11 +68,11 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
 
 
-def weather_candidates() -> dict:
+def weather_candidates(trees: int = 300) -> dict:
     """The classifiers that compete, by name."""
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     linear = {f"linear_{c}": Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", regParam=1 / c / 100, maxIter=40)]) for c in (0.1, 1, 10, 50)}
-    return linear | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=300, maxDepth=8, maxBins=16, maxMemoryInMB=1024, seed=42)])}
+    return linear | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=trees, maxDepth=8, maxBins=16, maxMemoryInMB=1024, seed=42)])}
 
 
 def cv_macro_f1(df: DataFrame, estimator: Pipeline, key: str, k: int = 5) -> DataFrame:
@@ -87,12 +87,12 @@ def cv_macro_f1(df: DataFrame, estimator: Pipeline, key: str, k: int = 5) -> Dat
     return scores.agg(F.avg("f1_macro").alias("mean"), F.stddev_pop("f1_macro").alias("std"))
 
 
-def weather_fit(df: DataFrame, key: str, k: int = 5, gain: float = 0.02) -> tuple[PipelineModel, str]:
+def weather_fit(df: DataFrame, key: str, k: int = 5, gain: float = 0.02, trees: int = 300) -> tuple[PipelineModel, str]:
     """The best linear model by macro F1, or the forest if that is better by `gain`."""
-    scores = {n: cv_macro_f1(df, e, key, k).first()["mean"] for n, e in weather_candidates().items()}
+    scores = {n: cv_macro_f1(df, e, key, k).first()["mean"] for n, e in weather_candidates(trees).items()}
     best = max((n for n in scores if n != "forest"), key=lambda n: scores[n])
     name = "forest" if scores["forest"] > scores[best] + gain else best
-    return weather_candidates()[name].fit(df), name
+    return weather_candidates(trees)[name].fit(df), name
 
 
 def weather_predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
