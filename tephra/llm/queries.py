@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10 and, where SQL can express them, their SQL."""
+"""The registered queries op1 to op13 and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, mixing, pii, quality, secrets, sharding, simhash, urls, warc
+from . import conversations, decontaminate, licences, mixing, pii, quality, secrets, sharding, simhash, urls, warc
 from .common import table
 
 
@@ -63,8 +63,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", headers)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    turns = conversations.damaged(given)
+    found = conversations.repair(turns)
+    out = given.select("conv_id").distinct().alias("o").join(found.alias("f"), F.col("o.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    out = out.join(conversations.digests(turns, found).alias("d"), F.col("o.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("o.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op5_licences, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op5_licences, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits, op11_conversation_repair)}
 
 
 def _op1_sql() -> str:
@@ -162,5 +172,46 @@ SELECT record_id, canonical_url, ts, response_id, response_ts, CASE WHEN respons
     CASE WHEN response_id IS NOT NULL AND coalesce(same, true) THEN 'age=' || h || '; content-length=' || n || '; content-type=text/html; date=' || page_id END AS headers FROM o"""
 
 
+#: The 256 remainders of the CRC-32 as a list, by its rule.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, e: xor(c >> 1, (c & 1) * 3988292384))) AS crc_table)"
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of the UTF-8 bytes of an expression; the query joins `crc`."""
+    octets = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda k: ('0x' || substr(hex(encode({text})), k, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"
+
+
+def _op11_sql() -> str:
+    edit = lambda x, letter, cost, row: f"{{'c': {x}.c + {cost}, 'a': '{letter}' || {x}.a, 'r': {row}{x}.r}}"
+    role = {2: "user", 3: "assistant"}
+    into = lambda x, q: edit(x, "I", 2, f"chr(10) || '{role[q]}:' || ")
+    first = lambda options: f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+    b = [f"b[{k}]" for k in (1, 2, 3, 4)]
+    settled = [first([b[0], into(b[2], 2), into(f"({into(b[3], 3)})", 2)]), first([b[1], into(b[2], 2), into(f"({into(b[3], 3)})", 2)]), first([b[2], into(b[3], 3)]), first([b[3], into(b[2], 2)])]
+    settle = f"[{', '.join(settled)}]"
+    plain = []
+    for q in range(4):
+        v, made = f"v[{q + 1}]", conversations.MADE[q]
+        other = edit(f"v[{made + 1}]", "R", "2 + late", f"chr(10) || '{role[made]}:' || text || ")
+        kept = [f"CASE WHEN stays AND c = '{c}' THEN {edit(f'v[{to + 1}]', 'K', 'late', 'chr(10) || role || chr(58) || text || ')} END" for (state, c), to in conversations.KEPT.items() if state == q]
+        plain.append(first([edit(v, "D", 3, ""), f"CASE WHEN stays THEN {other} END", *kept]))
+    end = "{'c': 0, 'a': '', 'r': ''}"
+    never = "{'c': 1000000000, 'a': '', 'r': ''}"
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM g WHERE h <> 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z FROM d),
+f AS (SELECT *, left(role, 1) AS c, CASE WHEN z = '' THEN 1 WHEN seen > 1 THEN 2 WHEN z NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i FROM s),
+r AS (SELECT *, (fault = 3)::INT AS late, fault NOT IN (1, 2) AS stays, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows_ FROM r GROUP BY conv_id),
+t AS (SELECT conv_id, rows_ + 1 AS i, {settle} AS v FROM (SELECT *, [{end}, {never}, {never}, {end}] AS b FROM n)
+    UNION ALL SELECT conv_id, i, {settle} FROM (SELECT r.conv_id, r.i, [{", ".join(plain)}] AS b FROM t JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i - 1))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(substr(v[1].r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON o.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN (SELECT * FROM t WHERE i = 1) t ON o.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL, "op9_url_filter": _op9_sql(), "op10_warc_revisits": _OP10_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL, "op9_url_filter": _op9_sql(), "op10_warc_revisits": _OP10_SQL, "op11_conversation_repair": _op11_sql()}
