@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, licences, mixing, pii, quality, secrets, sharding, simhash, urls, warc
+from . import conversations, decontaminate, licences, mixing, pii, quality, secrets, sharding, simhash, spelling, urls, warc
 from .common import table
 
 
@@ -73,8 +73,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op5_licences, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits, op11_conversation_repair)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op5_licences, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits, op11_conversation_repair, op13_spelling_variants)}
 
 
 def _op1_sql() -> str:
@@ -213,5 +217,21 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON o.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN (SELECT * FROM t WHERE i = 1) t ON o.conv_id IS NOT DISTINCT FROM t.conv_id"""
 
 
+def _op13_sql() -> str:
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+a AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+b AS (SELECT doc_id, w, count(*) AS n FROM a GROUP BY ALL),
+h AS (SELECT w, n, {_crc32("(coalesce(doc_id::VARCHAR, '') || ':' || w)")} AS h FROM b, crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % {spelling.DAMAGE} = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h) WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT x.word, y.word AS near, y.n FROM d x JOIN d y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+    UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+q AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS best, max(n) AS best_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN q ON v.word = q.word),
+r AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word WHERE r.next IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL, "op9_url_filter": _op9_sql(), "op10_warc_revisits": _OP10_SQL, "op11_conversation_repair": _op11_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL, "op9_url_filter": _op9_sql(), "op10_warc_revisits": _OP10_SQL, "op11_conversation_repair": _op11_sql(), "op13_spelling_variants": _op13_sql()}
