@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, licences, mixing, pii, quality, secrets, sharding, simhash, spelling, urls, warc
+from . import conversations, decontaminate, licences, mixing, ngram_join, pii, quality, secrets, sharding, simhash, spelling, urls, warc
 from .common import table
 
 
@@ -73,12 +73,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op5_licences, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits, op11_conversation_repair, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_sharding, op5_licences, op6_secrets, op7_simhash, op8_decontamination, op9_url_filter, op10_warc_revisits, op11_conversation_repair, op12_ngram_join, op13_spelling_variants)}
 
 
 def _op1_sql() -> str:
@@ -217,6 +221,19 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON o.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN (SELECT * FROM t WHERE i = 1) t ON o.conv_id IS NOT DISTINCT FROM t.conv_id"""
 
 
+_OP12_SQL = r"""
+WITH RECURSIVE lower_case AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x20\x09-\x0D]+') AS ws FROM documents, lower_case),
+s AS (SELECT rid, doc_id, list_distinct([array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') for i in range(1, greatest(len(ws) - 3, 2)) if len(ws) > 0]) AS grams FROM w),
+d AS (SELECT md5(array_to_string(list_sort(grams), chr(10))) AS set_id, any_value(grams) AS grams, min(doc_id) AS least_id FROM s WHERE len(grams) > 0 GROUP BY 1),
+g AS (SELECT set_id, len(grams) AS n, unnest(grams) AS gram FROM d),
+p AS (SELECT x.set_id AS a, y.set_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.set_id <> y.set_id GROUP BY x.set_id, y.set_id HAVING 100 * count(*) >= 80 * (max(x.n) + max(y.n) - count(*))),
+r AS (SELECT set_id AS a, set_id AS b FROM d UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS set_id, min(least_id) AS component_id FROM r JOIN d ON r.b = d.set_id GROUP BY a)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, CASE WHEN len(grams) > 0 THEN component_id ELSE doc_id END AS component_id
+FROM s LEFT JOIN c ON c.set_id = md5(array_to_string(list_sort(grams), chr(10)))"""
+
+
 def _op13_sql() -> str:
     return rf"""
 WITH RECURSIVE {_CRC_TABLE},
@@ -234,4 +251,4 @@ SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL, "op9_url_filter": _op9_sql(), "op10_warc_revisits": _OP10_SQL, "op11_conversation_repair": _op11_sql(), "op13_spelling_variants": _op13_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op8_decontamination": _OP8_SQL, "op9_url_filter": _op9_sql(), "op10_warc_revisits": _OP10_SQL, "op11_conversation_repair": _op11_sql(), "op12_ngram_join": _OP12_SQL, "op13_spelling_variants": _op13_sql()}
