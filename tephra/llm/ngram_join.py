@@ -13,7 +13,7 @@ partner mostly pay for nothing at all, and segments of shared passages are passe
 
 Cells of one key are not expanded into pairs. First each set is compared with the one of the cells'
 leading probes that it shares most cells with. Links merge classes, and from then on only cells that hold several
-classes are looked at: some of their probes, four times as many each round, are
+classes are looked at: some of their probes, eight times as many each round, are
 compared with the members of other classes, until each probe of a cell has been compared or
 its cell is one class. So classes are complete, and a group of near copies costs few comparisons for each copy.
 Pairs are dismissed if the parity bits of their shingles differ in more than H, and otherwise verified on the whole sets.
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -62,8 +63,8 @@ _U = np.uint64
 _RANDOM = np.random.default_rng(42)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=_U) * _U(2) + _U(1)
 _P, _Q = (int(x) for x in _RANDOM.integers(1 << 40, 1 << 62, 2) * 2 + 1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+_LETTER = np.ones(256, dtype=bool)
+_LETTER[[32, *range(9, 14)]] = False
 _powers: list[np.ndarray] = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 
@@ -83,22 +84,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def totals(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2 ... numbers, modulo 2**64."""
+    out = np.zeros(len(x) + 1, dtype=_U)
+    np.cumsum(x, dtype=_U, out=out[1:])
+    return out
+
+
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of the k-word shingles of one text; of all words if they are fewer."""
     letters = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
-    inside = np.r_[False, ~_SPACE[letters], False]
+    inside = np.zeros(len(letters) + 2, dtype=bool)
+    np.take(_LETTER, letters, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, dtype=_U)
     up, down = powers(len(letters) + 1)
-    sums = np.r_[_U(0), np.cumsum(_BYTE[letters] * up[: len(letters)], dtype=_U)]
+    sums = totals(_BYTE[letters] * up[: len(letters)])
     words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
     k = min(k, len(words))
     grams = np.full(len(words) - k + 1, k, dtype=_U)
     for i in range(k):
-        grams = grams * _U(_Q) + words[i : len(words) - k + 1 + i]
-    return np.unique(mix(grams))
+        grams *= _U(_Q)
+        grams += words[i : len(words) - k + 1 + i]
+    grams = mix(grams)
+    grams.sort()
+    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -128,23 +140,31 @@ def units(n: int, band: int) -> int:
     return (n + largest) // 9 + 1 if largest >= BANDS[band] else 0
 
 
-def keys_of(hashes: np.ndarray, band: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their meaning, position * 8 + 4 for the next band + kind, of one set in one band."""
+@cache
+def salts(band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers that keep the keys of bands, segments and kinds apart, and the meaning of the keys of whole segments."""
+    m, r = shape(band)
+    at = np.arange(m, dtype=np.int32) << 3
+    of = lambda n, deleted: mix(_U((band * 2 + deleted) * 0xD6E8FEB86659FD93 % (1 << 64)) + np.arange(n, dtype=_U))
+    return of(m, 0), of(r, 1), np.concatenate([at | EXACT, at[:r] | PROBE_DELETED])
+
+
+def keys_of(hashes: np.ndarray, mixed: np.ndarray, sums: np.ndarray, band: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their meaning, position * 8 + 4 for the next band + kind, of one set in one band; sums are the totals of mixed hashes."""
     m, r = shape(band)
-    segment = ((hashes >> _U(32)) * _U(m)) >> _U(32)
-    bounds = np.searchsorted(segment, np.arange(m + 1, dtype=_U))
-    mixed = mix(hashes ^ _U(0x9E3779B97F4A7C15))
-    sums = np.r_[_U(0), np.cumsum(mixed, dtype=_U)]
-    whole = sums[bounds[1:]] - sums[bounds[:-1]]
-    at = np.arange(m, dtype=_U)
-    salt = lambda p, deleted: mix(_U((band * 2 + deleted) * 0xD6E8FEB86659FD93 % (1 << 64)) + p)
-    few = bounds[r]  # the shingles of the first r segments come first
-    less, where = whole[segment[:few].astype(np.int64)] - mixed[:few], segment[:few]
-    parts = [(mix(whole + salt(at, 0)), at, EXACT), (mix(whole[:r] + salt(at[:r], 1)), at[:r], PROBE_DELETED), (mix(less + salt(where, 0)), where, PROBE_EXACT)]
+    exact, deleted, what = salts(band)
+    segment = (((hashes >> _U(32)) * _U(m)) >> _U(32)).astype(np.int32)
+    bounds = np.zeros(m + 1, dtype=np.int64)
+    np.cumsum(np.bincount(segment, minlength=m), out=bounds[1:])
+    ends = sums[bounds]
+    whole = ends[1:] - ends[:-1]
+    where = segment[: bounds[r]]  # the shingles of the first r segments come first
+    less, place = whole[where] - mixed[: bounds[r]], where << 3
+    parts, meant = [whole + exact, whole[:r] + deleted, less + exact[where]], [what, place | PROBE_EXACT]
     if own:
-        parts.append((mix(less + salt(where, 1)), where, DELETED))
-    keys = np.concatenate([p[0] for p in parts]).view(np.int64)
-    return keys, np.concatenate([(p[1].astype(np.int32) << 3) | p[2] | (0 if own else 4) for p in parts])
+        parts.append(less + deleted[where])
+        meant.append(place | DELETED)
+    return mix(np.concatenate(parts)).view(np.int64), np.concatenate(meant) | np.int32(0 if own else 4)
 
 
 def signatures(rows: DataFrame, k: int) -> DataFrame:
@@ -156,10 +176,11 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
             for text in b.column(0):
                 hashes = shingles(text.as_py(), k)
                 if len(hashes) >= LEAST:
-                    name, band = set_id(hashes), band_of(len(hashes))
+                    name, band, mixed = set_id(hashes), band_of(len(hashes)), mix(hashes ^ _U(0x9E3779B97F4A7C15))
+                    sums = totals(mixed)
                     for x in (band, band + 1):
                         if units(len(hashes), x):
-                            keys, what = keys_of(hashes, x, x == band)
+                            keys, what = keys_of(hashes, mixed, sums, x, x == band)
                             found.append((keys, np.full(len(keys), name), what))
                             size += len(keys)
                 if size > 200_000:
@@ -246,8 +267,10 @@ def links(members: DataFrame, asking: DataFrame, sets: DataFrame, rows: DataFram
     first = met(members, lead, "key", "n").filter("id != lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("id").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead")).select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
     edges, width = cut(similar(cut(first, "pairs"), sets, rows, k), "edges"), 8
+    roots, n = None, 0
     while True:
-        roots = cut(classes(edges), "roots") if edges.head(1) else None
+        if n < (n := edges.count()):
+            roots = cut(classes(edges), "roots")
         of = lambda df: df.select("key", "id", F.col("id").alias("class")) if roots is None else df.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("class"))  # noqa: E731, B023
         both = of(members).withColumn("ask", F.lit(0)).union(of(asking).withColumn("ask", F.lit(1)))
         both = cut(both, "both")
@@ -261,7 +284,7 @@ def links(members: DataFrame, asking: DataFrame, sets: DataFrame, rows: DataFram
         centres = both.filter("ask = 1").withColumn("now", now)
         pairs = members.alias("m").join(centres.filter("now").alias("c"), "key").filter("m.class != c.class").select(F.greatest("m.id", "c.id").alias("a"), F.least("m.id", "c.id").alias("b")).distinct()
         edges = cut(edges.union(similar(cut(pairs, "pairs"), sets, rows, k)).distinct(), "edges")
-        asking, width = centres.filter("NOT now"), width * 4
+        asking, width = centres.filter("NOT now"), width * 8
 
 
 def linked(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
