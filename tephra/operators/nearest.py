@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,42 +11,178 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import levels
+from ..sources.work import written
+from .quantiles import quantiles
 
 BLOCK_BYTES = 16_000_000
+#: At most so many pivots stand for the memory bank; they are the only vectors that pass the driver.
+MOST_PIVOTS = 1024
 
 
-def distances(queries: DataFrame, coreset: DataFrame, keep: list[str], dims: int) -> DataFrame:
-    """keep columns of queries and `distance` to the nearest vector of coreset(features).
+def pivots_of(bank: DataFrame, most: int = MOST_PIVOTS) -> np.ndarray:
+    """About as many vectors of bank(features) as the root of its rows, by the lowest hashes, as rows of a matrix."""
+    n = min(most, max(1, math.isqrt(bank.count())))
+    rows = bank.select("features", F.xxhash64("features").alias("h")).orderBy("h", "features").limit(n).collect()  # n is bounded
+    return np.unique(np.array([r.features for r in rows], dtype=np.float64), axis=0)
+
+
+def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two matrices."""
+    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, 0))
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
+
+
+def celled(vectors: DataFrame, pivots: np.ndarray, keep: list[str]) -> DataFrame:
+    """keep, features, cell (the nearest pivot) and far (its distance)."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            if len(pdf):
+                d = gaps(matrix(pdf["features"]), pivots)
+                yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
 
-    The coreset is packed into rows of one block of vectors each. Every batch of queries meets
-    every block, as rows that Spark joins; a task then takes one matrix product for a batch and a
-    block, and the least distance of a query over the blocks is kept. Nothing passes the driver."""
+    kinds = "".join(f"{c} {vectors.schema[c].dataType.simpleString()}, " for c in [*keep, "features"])
+    return vectors.select(*keep, "features").mapInPandas(run, f"{kinds}cell int, far double")
+
+
+def further_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, keep: list[str]) -> DataFrame:
+    """keep, features, cell: the cells besides its own that can hold a vector nearer than `distance` to a query.
+
+    A vector of a cell is at least as far as the pivot less the radius, and as the plane between the
+    pivots of the cell and of the query. Cells without vectors have radius -1."""
+    between = gaps(pivots, pivots)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            if len(pdf):
+                q = matrix(pdf["features"])
+                d, own, best = gaps(q, pivots), pdf["cell"].to_numpy(), pdf["distance"].to_numpy()[:, None]
+                mine = d[np.arange(len(q)), own][:, None]
+                apart = np.where(between[own] > 0, between[own], np.inf)
+                bound = np.maximum(d - radius, (d**2 - mine**2) / (2 * apart))
+                slack = 1e-6 * (1 + np.abs(q).max(axis=1))[:, None]  # for rounding
+                ask = (bound <= best + slack) & (radius >= 0) & (np.arange(len(pivots)) != own[:, None])
+                i, cell = np.nonzero(ask)
+                yield pdf.iloc[i].assign(cell=cell.astype(np.int32))[[*keep, "features", "cell"]]
+
+    kinds = "".join(f"{c} {queries.schema[c].dataType.simpleString()}, " for c in [*keep, "features"])
+    return queries.mapInPandas(run, f"{kinds}cell int")
+
+
+def met_in_cells(asked: DataFrame, bank: DataFrame, sizes: dict[int, int], keep: list[str], dims: int) -> DataFrame:
+    """keep, features, cell, distance: of asked(keep, features, cell), a written table, to the nearest vector of bank(cell, features).
+
+    Large cells are cut into pieces and many queries of a cell into shares; each group is one share and one piece."""
     per_block = max(1, BLOCK_BYTES // (8 * dims))
-    n = coreset.count()
-    blocks = max(1, -(-n // per_block))
-    of = F.pmod(F.xxhash64("features"), F.lit(blocks)).cast("int")
-    bank = coreset.select(of.alias("block"), F.transform("features", lambda x: x.cast("float")).alias("f")).groupBy("block").agg(F.flatten(F.collect_list("f")).alias("bank"))
-    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keep)
-    if not n:
+    asks = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}  # one row per pivot at most
+    cells = [c for c in asks if sizes.get(c)]
+    plan = asked.sparkSession.createDataFrame([(c, -(-asks[c] // per_block), -(-sizes[c] // per_block)) for c in cells], "cell int, shares int, pieces int")
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(F.broadcast(plan), "cell").select(*keep, "features", "cell", dealt("shares", *keep).alias("share"), each("pieces").alias("piece"))
+    right = bank.join(F.broadcast(plan), "cell").select("cell", "features", each("shares").alias("share"), dealt("pieces", "features").alias("piece"))
+
+    def near(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        q, best = matrix(queries["features"]), np.full(len(queries), np.inf)
+        c = matrix(vectors["features"])
+        for i in range(0, len(c), 4096):
+            best = np.minimum(best, gaps(q, c[i : i + 4096]).min(axis=1)) if len(q) else best
+        return queries[[*keep, "features", "cell"]].assign(distance=best)
+
+    kinds = "".join(f"{c} {asked.schema[c].dataType.simpleString()}, " for c in [*keep, "features"])
+    by = ["cell", "share", "piece"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, f"{kinds}cell int, distance double")
+
+
+def distances(queries: DataFrame, coreset: DataFrame, keep: list[str], dims: int) -> DataFrame:
+    """keep columns of queries, which name a query, and `distance` to the nearest vector of coreset(features).
+
+    Pivots of the coreset cut it into cells. A query first meets the cell of its nearest pivot; what it
+    finds there bounds its distance, and of the other cells it meets only those that the triangle inequality
+    leaves. So a query meets few vectors where these lie in clusters, and never one cell twice."""
+    if not coreset.head(1):
         return queries.select(*keep, F.lit(None).cast("double").alias("distance"))
+    pivots = pivots_of(coreset)
+    bank = written(celled(coreset, pivots, []), "bank")
+    stats = {r.cell: r for r in bank.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # one row per pivot at most
+    sizes, radius = {c: r.n for c, r in stats.items()}, np.array([stats[c].far if c in stats else -1.0 for c in range(len(pivots))])
+    first = met_in_cells(written(celled(queries, pivots, keep), "queries"), bank, sizes, keep, dims)
+    first = written(first.groupBy(*keep).agg(F.min("distance").alias("distance"), F.any_value("features").alias("features"), F.any_value("cell").alias("cell")), "first")
+    more = met_in_cells(written(further_cells(first, pivots, radius, keep), "asked"), bank, sizes, keep, dims)
+    return first.select(*keep, "distance").union(more.select(*keep, "distance")).groupBy(*keep).agg(F.min("distance").alias("distance"))
+
+
+def probed(queries: DataFrame, bank: DataFrame, keep: list[str], dims: int, tables: int = 24, bits: int = 6, seed: int = 42) -> DataFrame:
+    """Like distances(), approximately: of the vectors that share a bucket with the query in any of the tables.
+
+    A bucket is given by the signs of `bits` random projections; a query also probes the buckets next to its own, across
+    the projection that it is nearest to and the second nearest. Candidates are ranked by their exact distance. A query without any has an infinite one.
+    A bucket is one cell of met_in_cells, so buckets of any size are cut into pieces."""
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+    middle = bank.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).collect()  # dims rows
+    centre = np.array([v for _, v in sorted((r.i, r.v) for r in middle)] or [0.0] * dims)
+
+    def bucket(frame: DataFrame, columns: list[str], probes: int) -> DataFrame:
+        def run(batches):  # noqa: ANN001, ANN202
+            for pdf in batches:
+                if len(pdf):
+                    x = matrix(pdf["features"]) - centre
+                    for t in range(tables):
+                        side = x @ planes[t].T
+                        code = t * 2**bits + (side > 0) @ (1 << np.arange(bits))
+                        close = np.argsort(np.abs(side), axis=1)
+                        yield pdf.assign(cell=code.astype(np.int32))
+                        for k in range(probes):
+                            yield pdf.assign(cell=(code ^ (1 << close[:, k])).astype(np.int32))
+
+        kinds = "".join(f"{c} {frame.schema[c].dataType.simpleString()}, " for c in [*columns, "features"])
+        return frame.select(*columns, "features").mapInPandas(run, f"{kinds}cell int")
+
+    held = written(bucket(bank, [], 0), "buckets")
+    sizes = {r.cell: r["count"] for r in held.groupBy("cell").count().collect()}  # one row per bucket, of which there are tables * 2 ** bits
+    found = met_in_cells(written(bucket(queries, keep, 2), "probes"), held, sizes, keep, dims)
+    none = queries.select(*keep, F.lit(float("inf")).alias("distance"))
+    return none.union(found.select(*keep, "distance")).groupBy(*keep).agg(F.min("distance").alias("distance"))
+
+
+def greedy_order(vectors: np.ndarray) -> np.ndarray:
+    """Farthest-first traversal from the first vector: how far each was from those taken before it; 1e300 for the first."""
+    out, left = np.full(len(vectors), 1e300), gaps(vectors, vectors[:1])[:, 0]
+    for _ in range(1, len(vectors)):
+        k = int(left.argmax())
+        out[k], left[k] = left[k], -1.0
+        near = np.sqrt(np.maximum(((vectors - vectors[k]) ** 2).sum(axis=1), 0))
+        left = np.where(left < 0, left, np.minimum(left, near))
+    return out
+
+
+def greedy_coreset(vectors: DataFrame, key: str, share: float = 0.15, least: int = 500, piece: int = 2000) -> DataFrame:
+    """The rows of vectors(key, features) that a greedy k-center selection takes: so large a share, at least `least`.
+
+    Every cell of a pivot, in pieces of some `piece` vectors, is traversed farthest first, which says for each vector
+    how far it is from those before it. The k rows that are farthest are taken over all cells, so the cells are cut at one
+    radius, within which every row has a taken one. Rows that are just as far as the last one are taken too."""
+    total = vectors.count()
+    k = min(total, max(least, math.floor(share * total)))
+    if not k:
+        return vectors.limit(0)
+    cells = written(celled(vectors, pivots_of(vectors), [key]), "cells")
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # one row per pivot at most
+    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("piece", F.pmod(F.xxhash64(key), F.ceil(F.col("n") / piece)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["far", key])
+        return pd.DataFrame({key: pdf[key], "ahead": greedy_order(matrix(pdf["features"]))})
 
-    def near(key, pdf, banks):  # noqa: ANN001, ANN202
-        q = np.array(pdf["features"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-        best = np.full(len(q), np.inf)
-        for flat in banks["bank"]:
-            c = np.asarray(flat, dtype=np.float64).reshape(-1, dims)
-            for i in range(0, len(c), 4096):
-                part = c[i : i + 4096]
-                best = np.minimum(best, ((q**2).sum(axis=1)[:, None] + (part**2).sum(axis=1) - 2 * q @ part.T).min(axis=1))
-        return pd.DataFrame({**{c: pdf[c] for c in keep}, "distance": np.sqrt(np.maximum(best, 0))})
-
-    # each group is one share of the queries and one block: the bank is copied once per share
-    shares = max(1, -(-queries.count() * dims * 8 // BLOCK_BYTES))
-    share = F.pmod(F.xxhash64(*keep), F.lit(shares)).cast("int")
-    left = queries.select(*keep, "features", share.alias("share"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = bank.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    met = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInPandas(near, f"{kinds}, distance double")
-    return met if blocks == 1 else met.groupBy(*keep).agg(F.min("distance").alias("distance"))
+    ahead = written(dealt.groupBy("cell", "piece").applyInPandas(run, f"{key} {vectors.schema[key].dataType.simpleString()}, ahead double"), "ahead")
+    if k == total:
+        return vectors
+    # between the k-th and the next value, from counts of distinct values in slices
+    radius = quantiles(ahead, "ahead", [], {"radius": (total - k - 0.5) / (total - 1)}).first().radius
+    return vectors.join(ahead.filter(F.col("ahead") >= radius).select(key), key, "left_semi")
 
 
 def score_all(images: DataFrame, scores: DataFrame, old: str, test_year: int = 2018) -> DataFrame:

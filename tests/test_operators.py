@@ -179,6 +179,59 @@ def test_distances_in_blocks(spark, monkeypatch):
     assert nearest.distances(make(q), make(c).limit(0), ["i"], 5).filter("distance is null").count() == 40
 
 
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "i long, features array<double>")
+
+
+def clustered(rng, centres, n, dims=8):
+    return (rng.normal(size=(centres, dims)) * 20)[rng.integers(0, centres, n)] + rng.normal(size=(n, dims))
+
+
+def test_pivots_leave_few_cells(spark, monkeypatch):
+    """Equal to all distances at two sizes, with as many meetings for each query at ten times the data."""
+    asked = []
+    monkeypatch.setattr(nearest, "met_in_cells", lambda a, *rest, was=nearest.met_in_cells: asked.append(a.count()) or was(a, *rest))
+    per_query = []
+    for n in (300, 3000):
+        rng = np.random.default_rng(4)
+        x = clustered(rng, n // 30, 2 * n)
+        q, c = np.r_[x[:n], rng.normal(size=(5, 8)) * 100], np.r_[x[n:], x[n : n + 7]]
+        asked.clear()
+        got = {r.i: r.distance for r in nearest.distances(vectors_of(spark, q), vectors_of(spark, c), ["i"], 8).collect()}
+        want = [np.sqrt(((c - v) ** 2).sum(axis=1)).min() for v in q]
+        assert np.allclose([got[i] for i in range(len(q))], want, atol=1e-5)
+        per_query.append(sum(asked) / len(q))
+    assert per_query[1] <= 1.2 * per_query[0] and per_query[1] < 4
+
+
+def test_projections_find_most_neighbours(spark):
+    """Recall of the approximate search, on vectors in clusters and on vectors without any."""
+    rng = np.random.default_rng(5)
+    for x, least in ((clustered(rng, 40, 4000), 0.95), (rng.normal(size=(4000, 16)), 0.9)):
+        q, c = x[:400], x[400:]
+        got = {r.i: r.distance for r in nearest.probed(vectors_of(spark, q), vectors_of(spark, c), ["i"], x.shape[1]).collect()}
+        want = np.array([np.sqrt(((c - v) ** 2).sum(axis=1)).min() for v in q])
+        found = np.array([got[i] for i in range(400)])
+        assert (found >= want - 1e-6).all() and (found <= want + 1e-6).mean() >= least
+
+
+def test_greedy_coreset_covers(spark):
+    """Its covering radius is at most twice that of a plain greedy run, and below that of a sample by hash."""
+    rng = np.random.default_rng(6)
+    x = np.r_[clustered(rng, 30, 1800), rng.normal(size=(60, 8)) * 60]
+    df = vectors_of(spark, x)
+    cover = lambda ids: nearest.gaps(x, x[list(ids)]).min(axis=1).max()
+    taken = [r.i for r in nearest.greedy_coreset(df, "i", 0.1, 50, piece=200).collect()]
+    left, plain = nearest.gaps(x, x[:1])[:, 0], [0]
+    while len(plain) < 186:
+        plain.append(int(left.argmax()))
+        left = np.minimum(left, nearest.gaps(x, x[plain[-1:]])[:, 0])
+    assert len(taken) == len(set(taken)) == 186
+    assert cover(taken) <= 2 * cover(plain) and cover(taken) < cover(r.i for r in sample.coreset(df, "i", 0.1, 50).collect())
+    same = vectors_of(spark, np.ones((40, 3)))
+    assert nearest.greedy_coreset(same, "i", 0.1, 50).count() == 40 and nearest.greedy_coreset(same.limit(0), "i").count() == 0 and nearest.greedy_coreset(same, "i", 0.1, 1).count() >= 4
+
+
 def test_samples_and_splits(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).alias("night"))
     split = {r["split"] + str(r.night): r["count"] for r in sample.train_val(df, "night", "k", 0.1).groupBy("split", "night").count().collect()}
