@@ -111,32 +111,49 @@ def gray_of_png(data: bytes) -> np.ndarray:
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
     at, body, head = 8, b"", None
-    while at + 8 <= len(data):
-        n, kind = struct.unpack(">I4s", data[at : at + 8])
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
-        body += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
-        at += n + 12
-    channels = {0: 1, 2: 3, 6: 4}.get(head[3]) if head and head[2] == 8 and not head[6] else None
-    if channels is None:
-        raise ValueError("not 8-bit gray or colour")
     try:
-        raw = np.frombuffer(zlib.decompress(body), dtype=np.uint8)
-    except zlib.error as x:
-        raise ValueError(str(x)) from x
-    rows = raw.reshape(head[1], 1 + head[0] * channels)
-    out, above = np.zeros((head[1], head[0] * channels), dtype=np.int64), np.zeros(head[0] * channels, dtype=np.int64)
-    for y, (kind, *line) in enumerate(rows.tolist()):
-        for x, v in enumerate(line):  # each filter predicts a sample from those to the left and above
-            left, up, corner = (out[y, x - channels] if x >= channels else 0), above[x], (above[x - channels] if x >= channels else 0)
-            guess = left + up - corner
-            near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
-            out[y, x] = (v + (0, left, up, (left + up) // 2, near)[kind]) & 255
-        above = out[y]
-    img = out.reshape(head[1], head[0], channels).astype(float)
+        while at + 8 <= len(data):
+            n, kind = struct.unpack(">I4s", data[at : at + 8])
+            if kind == b"IHDR":
+                head = struct.unpack(">IIBBBBB", data[at + 8 : at + 21])
+            body += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += n + 12
+        channels = {0: 1, 2: 3, 6: 4}.get(head[3]) if head and head[2] == 8 and not head[6] else None
+        if channels is None:
+            raise ValueError("not 8-bit gray or colour")
+        rows = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(head[1], 1 + head[0] * channels)
+        img = unfiltered(rows, channels).reshape(head[1], head[0], channels).astype(float)
+    except (struct.error, zlib.error, IndexError) as x:  # a damaged file, whatever is wrong with it
+        raise ValueError(f"damaged: {x}") from x
     return img[:, :, 0] if channels == 1 else img[:, :, :3] @ [0.299, 0.587, 0.114]
 
 
+def unfiltered(rows: np.ndarray, channels: int) -> np.ndarray:
+    """The samples of filtered rows, whose first byte names the filter: each predicts a sample from those to the left and above."""
+    out, above = np.zeros((len(rows), rows.shape[1] - 1), dtype=np.int64), np.zeros(rows.shape[1] - 1, dtype=np.int64)
+    for y, (kind, line) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1:].astype(np.int64), strict=True)):
+        if kind > 4:
+            raise IndexError("no such filter")
+        if kind == 0:
+            out[y] = line
+        elif kind == 1:
+            out[y] = line.reshape(-1, channels).cumsum(axis=0).ravel() & 255
+        elif kind == 2:
+            out[y] = (line + above) & 255
+        else:
+            for x in range(0, len(line), channels):
+                left, corner = (out[y, x - channels : x], above[x - channels : x]) if x else (0, 0)
+                up = above[x : x + channels]
+                if kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                out[y, x : x + channels] = (line[x : x + channels] + guess) & 255
+        above = out[y]
+    return out
+
+
 def features(frames: DataFrame) -> DataFrame:
     """image_id and its ten features, from frames(image_id, width, pixels, before): the
     pixels of a frame and of the earlier one (null without) as arrays by rows."""

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import written
 from .evaluate import binary_scores
 from .sample import coreset, ranks
 
@@ -68,31 +77,98 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
 
 
-def weather_candidates(trees: int = 300) -> dict:
-    """The classifiers that compete, by name."""
+class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Random Fourier features of a Gaussian kernel: a linear model on them is a kernel model.
+
+    Products of the cosines of `size` random projections have the kernel exp(-gamma |x - y|^2) as their expectation."""
+
+    gamma = Param(Params._dummy(), "gamma", "width of the kernel", TypeConverters.toFloat)
+    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "of the projections", TypeConverters.toInt)
+
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None, gamma: float = 0.1, size: int = 200, seed: int = 42) -> None:  # noqa: N803
+        super().__init__()
+        self._setDefault(gamma=0.1, size=200, seed=42)
+        self._set(**{k: v for k, v in {"inputCol": inputCol, "outputCol": outputCol, "gamma": gamma, "size": size, "seed": seed}.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        gamma, size, seed = (self.getOrDefault(p) for p in (self.gamma, self.size, self.seed))
+
+        @F.pandas_udf("array<double>")
+        def cosines(x: pd.Series) -> pd.Series:
+            m = np.array(x.tolist(), dtype=np.float64).reshape(len(x), -1)
+            rng = np.random.default_rng(seed)
+            turns, shift = rng.normal(size=(m.shape[1], size)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, size)
+            return pd.Series(list(np.cos(m @ turns + shift) * np.sqrt(2 / size)), dtype=object)
+
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(cosines(vector_to_array(self.getInputCol()))))
+
+
+class MacroF1(Evaluator):
+    """Macro F1 of `prediction` against `label`, for model selection."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return binary_scores(dataset.select("label", "prediction"), "label", "prediction").first()["f1_macro"]
+
+
+STRENGTHS = (0.1, 1, 10, 50)
+
+
+def weather_candidates(trees: int = 300, weight: str | None = None) -> dict:
+    """The classifiers that compete, by name: linear ones, ones of a Gaussian kernel and a forest. weight: a column of row weights."""
+    w = {"weightCol": weight} if weight else {}
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    linear = {f"linear_{c}": Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", regParam=1 / c / 100, maxIter=40)]) for c in (0.1, 1, 10, 50)}
-    return linear | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=trees, maxDepth=8, maxBins=16, maxMemoryInMB=1024, seed=42)])}
+    turned = FourierFeatures(inputCol="scaled", outputCol="turned")
+    linear = {f"linear_{c}": Pipeline(stages=[scale, LogisticRegression(featuresCol="scaled", regParam=1 / c / 100, maxIter=40, **w)]) for c in STRENGTHS}
+    kernel = {f"kernel_{c}": Pipeline(stages=[scale, turned, LogisticRegression(featuresCol="turned", regParam=1 / c / 1000, maxIter=40, **w)]) for c in STRENGTHS}
+    return linear | kernel | {"forest": Pipeline(stages=[RandomForestClassifier(numTrees=trees, maxDepth=8, maxMemoryInMB=1024, seed=42, **w)])}
+
+
+def competed(df: DataFrame, key: str, candidates: dict, k: int = 5, parallelism: int = 8) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of macro F1 of each candidate over k stratified folds of df(features, label, key).
+
+    The rows with their folds are written once; Spark's CrossValidator deals the folds, and fits run in parallel."""
+    rows = written(folds(df, "label", key, k), "folds")
+    slot = Pipeline(stages=[])
+    grid = [{slot.stages: e.getStages()} for e in candidates.values()]
+    done = Scores(estimator=slot, estimatorParamMaps=grid, evaluator=MacroF1(), numFolds=k, foldCol="fold", parallelism=parallelism).scores(rows)
+    return {n: (float(m.mean()), float(m.std())) for n, m in zip(candidates, done.T, strict=True)}
+
+
+class Scores(CrossValidator):
+    """The metrics of a cross-validation, a row for each fold, without the refit on all rows."""
+
+    def scores(self, dataset: DataFrame) -> np.ndarray:
+        parts, grid = self._kFold(dataset), self.getEstimatorParamMaps()
+        out = np.zeros((len(parts), len(grid)))
+
+        def one(task: tuple[int, int]) -> None:
+            (train, test), params = parts[task[0]], grid[task[1]]
+            out[task] = self.getEvaluator().evaluate(self.getEstimator().fit(train, params).transform(test))
+
+        with ThreadPool(self.getParallelism()) as pool:  # all folds at once, the last candidates, which take longest, first
+            list(pool.imap_unordered(inheritable_thread_target(dataset.sparkSession)(one), [(i, j) for j in reversed(range(len(grid))) for i in range(len(parts))]))
+        return out
 
 
 def cv_macro_f1(df: DataFrame, estimator: Pipeline, key: str, k: int = 5) -> DataFrame:
     """Mean and population deviation of macro F1 over k stratified folds of df(features, label)."""
-    cut = folds(df, "label", key, k).cache()
-    scores = None
-    for i in range(k):
-        model = estimator.fit(cut.filter(F.col("fold") != i))
-        out = model.transform(cut.filter(F.col("fold") == i)).select("label", "prediction")
-        one = binary_scores(out, "label", "prediction").select("f1_macro")
-        scores = one if scores is None else scores.union(one)
-    return scores.agg(F.avg("f1_macro").alias("mean"), F.stddev_pop("f1_macro").alias("std"))
+    return df.sparkSession.createDataFrame([competed(df, key, {"one": estimator}, k)["one"]], "mean double, std double")
+
+
+def winner(scores: dict[str, tuple[float, float]], gain: float = 0.02) -> str:
+    """The best of the linear and kernel models by mean, or the forest if that is better by `gain`."""
+    best = max((n for n in scores if n != "forest"), key=lambda n: scores[n][0])
+    return "forest" if scores["forest"][0] > scores[best][0] + gain else best
 
 
-def weather_fit(df: DataFrame, key: str, k: int = 5, gain: float = 0.02, trees: int = 300) -> tuple[PipelineModel, str]:
-    """The best linear model by macro F1, or the forest if that is better by `gain`."""
-    scores = {n: cv_macro_f1(df, e, key, k).first()["mean"] for n, e in weather_candidates(trees).items()}
-    best = max((n for n in scores if n != "forest"), key=lambda n: scores[n])
-    name = "forest" if scores["forest"] > scores[best] + gain else best
-    return weather_candidates(trees)[name].fit(df), name
+def weather_fit(df: DataFrame, key: str, k: int = 5, gain: float = 0.02, trees: int = 300) -> tuple[PipelineModel, str, dict[str, tuple[float, float]]]:
+    """The winner of the competition, its name and all scores; classes count alike, whatever their sizes."""
+    even = balanced(df, "label")
+    candidates = weather_candidates(trees, "weight")
+    scores = competed(even, key, candidates, k)
+    name = winner(scores, gain)
+    return candidates[name].fit(even), name, scores
 
 
 def weather_predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -116,7 +192,7 @@ def volcano_fit(df: DataFrame, label: str, columns: list[str], trees: int = 200)
     names = sorted(sizes)
     index = F.array_position(F.array(*map(F.lit, names)), F.col(label)).cast("double") - 1
     train = balanced(assembled(df, columns).withColumn("label", index), "label")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, maxBins=16, maxMemoryInMB=1024, weightCol="weight", seed=42)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, maxMemoryInMB=1024, weightCol="weight", seed=42)
     return Pipeline(stages=[forest]).fit(train), names
 
 

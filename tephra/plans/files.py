@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import captions, dates
 from ..operators import kernels, models, sample
 from ..sources import catalog_files as files
-from ..sources.work import work_path
+from ..sources.work import work_path, written
 from ..streaming import ingest as stream
 from . import views
 from .registry import query
@@ -125,17 +125,27 @@ def png_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.frames(spark, sf_dir).select("image_id", "pixels").mapInPandas(run, "path string, content binary")
 
 
+def image_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in the shared one with the PNG files."""
+    path = work_path(spark, "images")
+    written(files.write_files(png_files(spark, sf_dir), path), "names")
+    return path
+
+
+_NAME = "regexp_extract(path, '(frame/[0-9]+[.]png)$', 1)"
+
+
 @query(_PNG + " SELECT 'frame/' || image_id || '.png' AS path, CASE WHEN image_id % 10 NOT IN (3, 7) THEN 8 END::INT AS width, CASE WHEN image_id % 10 NOT IN (3, 7) THEN 8 END::INT AS height, CASE WHEN image_id % 10 NOT IN (3, 7) THEN round(mean, 6) END AS mean FROM t", views.FRAMES_SQL)
 def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gray levels of image files; one that cannot be decoded has none."""
+    """Gray levels of the image files of a folder, read by Spark's image source; one that cannot be decoded has none."""
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / F.size("pixels")
-    return files.decoded(png_files(spark, sf_dir)).select("path", "width", "height", F.round(mean, 6).alias("mean"))
+    return files.read_images(spark, image_folder(spark, sf_dir)).select(F.expr(_NAME).alias("path"), "width", "height", F.round(mean, 6).alias("mean"))
 
 
-@query(_PNG + " SELECT 'frame/' || image_id || '.png' AS path, image_id % 10 NOT IN (3, 7) AS valid FROM t", views.FRAMES_SQL)
+@query(_PNG + " SELECT 'frame/' || image_id || '.png' AS path, image_id % 10 NOT IN (3, 7) AS valid, CASE image_id % 10 WHEN 3 THEN 'damaged' WHEN 7 THEN 'short' END AS reason FROM t", views.FRAMES_SQL)
 def audit_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which files are whole images of a least size."""
-    return files.audit(files.decoded(png_files(spark, sf_dir)), min_bytes=70).select("path", "valid")
+    """Which files of a folder are whole images of a least size, and what is wrong with the others."""
+    return files.audit_images(spark, image_folder(spark, sf_dir), min_bytes=40).select(F.expr(_NAME).alias("path"), "valid", "reason")
 
 
 @query()

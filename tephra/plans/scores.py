@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,6 +222,21 @@ def patchcore_score_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir).groupBy("image_id").agg(F.round(F.max("distance"), 5).alias("score"))
 
 
+@query()
+def nn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances again by random projections, never below the exact ones."""
+    p = views.patches(spark, sf_dir)
+    bank = sample.coreset(nearest.usable(p.filter("label = 0")).withColumn("vec_id", F.col("image_id") * 16 + F.col("patch_id")), "vec_id").select("features")
+    return nearest.probed(p, bank, ["image_id", "patch_id"], 64).withColumn("distance", F.round("distance", 5) + 0.0)
+
+
+@query()
+def coreset_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory bank by farthest-first selection among the normal patches."""
+    p = nearest.usable(views.patches(spark, sf_dir).filter("label = 0")).select((F.col("image_id") * 16 + F.col("patch_id")).alias("vec_id"), "features")
+    return nearest.greedy_coreset(p, "vec_id").select("vec_id")
+
+
 _SPLIT = "m AS (SELECT DISTINCT vec_id // 16 AS image_id, 2014 + (vec_id // 16 % 6)::INT AS year, CASE (vec_id // 16) % 7 WHEN 0 THEN NULL WHEN 1 THEN 'dark' WHEN 2 THEN 'cloudy' ELSE 'usable' END AS quality_flag, (vec_id // 16) / 100 AS old FROM embeddings)"
 
 
@@ -298,32 +312,32 @@ def weather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.assembled(df, [*FEATURES, "hour_sin", "hour_cos", "month_sin", "month_cos"]).withColumn("label", levels.label_from_flag(F.col("quality_flag")).cast("double"))
 
 
+_TRIAGED = "quality_flag in ('usable', 'cloudy', 'dark')"
+
+
 @query()
 def weather_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which classifier wins, and what it predicts for labelled and usable rows. The forest has 60
-    trees here; with the 300 of the operator the query takes over 150 s at sf0.01."""
+    """Which classifier wins, and what it predicts for labelled and usable rows."""
     rows = weather_rows(spark, sf_dir)
-    model, name = models.weather_fit(rows.filter("label is not null"), "image_id", trees=60)
-    out = models.weather_predict(model, rows.filter("quality_flag in ('usable', 'cloudy', 'dark')"), ["image_id"])
+    model, name, _ = models.weather_fit(rows.filter("label is not null"), "image_id")
+    out = models.weather_predict(model, rows.filter(_TRIAGED), ["image_id"])
     return out.select("image_id", "weather_label", F.round("weather_proba", 4).alias("weather_proba"), F.lit(name).alias("model"))
 
 
 @query()
 def weather_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the best model that is not a forest, chosen by cross-validation."""
     rows = weather_rows(spark, sf_dir)
-    model = models.weather_candidates()["linear_1"].fit(rows.filter("label is not null"))
-    return models.weather_predict(model, rows.filter("quality_flag in ('usable', 'cloudy', 'dark')"), ["image_id"]).withColumn("weather_proba", F.round("weather_proba", 4))
-
-
-_fitted: dict = {}  # the forest of a session and a table: four queries read the same one
+    known = models.balanced(rows.filter("label is not null"), "label")
+    candidates = {n: e for n, e in models.weather_candidates(weight="weight").items() if n != "forest"}
+    scores = models.competed(known, "image_id", candidates)
+    model = candidates[max(scores, key=lambda n: scores[n][0])].fit(known)
+    return models.weather_predict(model, rows.filter(_TRIAGED), ["image_id"]).withColumn("weather_proba", F.round("weather_proba", 4))
 
 
 def _forest(spark: SparkSession, sf_dir: str, trees: int = 200):  # noqa: ANN202
     df = index(spark, sf_dir).withColumn("class", levels.heuristic_class()).withColumn("night", F.col("is_night").cast("double"))
-    of = (spark.sparkContext.applicationId, sf_dir, trees)
-    if of not in _fitted:
-        _fitted[of] = models.volcano_fit(df, "class", [*FEATURES, "night"], trees)
-    return df, _fitted[of]
+    return df, models.volcano_fit(df, "class", [*FEATURES, "night"], trees)
 
 
 @query()
@@ -348,9 +362,11 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cv_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = weather_rows(spark, sf_dir).filter("label is not null")
-    best: Pipeline = models.weather_candidates()["linear_1"]
-    return models.cv_macro_f1(rows, best, "image_id").select(r6("mean").alias("mean"), r6("std").alias("std"))
+    """Mean and deviation of macro F1 of every candidate over five stratified folds."""
+    known = models.balanced(weather_rows(spark, sf_dir).filter("label is not null"), "label")
+    scores = models.competed(known, "image_id", models.weather_candidates(weight="weight"))
+    out = spark.createDataFrame([(n, *map(float, x)) for n, x in scores.items()], "model string, mean double, std double")
+    return out.select("model", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
 @query()

@@ -82,7 +82,7 @@ def discover_months(files: DataFrame) -> DataFrame:
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, width, height, pixels (gray, 0..255 by rows) of the images below path; an image that
-    cannot be decoded has null pixels. Spark decodes them; bytes come as blue, green, red."""
+    cannot be decoded has null pixels, and files without any bytes are not listed. Spark decodes them; bytes come as blue, green, red."""
     rows = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
 
     def gray(batches):  # noqa: ANN001, ANN202
@@ -123,10 +123,31 @@ def audit(read: DataFrame, min_bytes: int = 1024) -> DataFrame:
 
 
 def audit_images(spark: SparkSession, path: str, min_bytes: int = 1024) -> DataFrame:
-    """Every file below path with its size and whether it is large enough and decodable."""
+    """Every file below path with its size, whether Spark decodes it, whether it is `valid`, and why not: `short`
+    or `damaged`. Rows that are not valid are those to be put aside. Files without any bytes are not listed by Spark."""
     sizes = list_files(spark, path, "*").select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
     seen = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select(F.regexp_replace("image.origin", "^file:/+", "/").alias("path"), (F.col("image.height") > 0).alias("decoded"))
-    return sizes.join(seen, "path", "left").withColumn("valid", (F.col("length") >= min_bytes) & F.coalesce("decoded", F.lit(False)))
+    reason = F.when(F.col("length") < min_bytes, "short").when(~F.coalesce("decoded", F.lit(False)), "damaged")
+    return sizes.join(seen, "path", "left").withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+
+
+def write_files(files: DataFrame, path: str) -> DataFrame:
+    """Write files(path, content), names and bytes, below a folder that all executors share; each task writes its own.
+
+    Returns the names and sizes that were written."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                store.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(data or b"")
+            yield pd.DataFrame({"path": pdf["path"], "length": [len(x or b"") for x in pdf["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, length long")
 
 
 def write_index(index: DataFrame, path: str) -> None:

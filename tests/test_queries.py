@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tephra.operators import models
 from tephra.plans.registry import QUERIES, SQL
 
 TABLES = "events documents embeddings pages labels".split()
-SLOW = {"weather_fit", "cv_macro_f1"}
 
 
 @pytest.fixture(scope="module")
@@ -41,11 +41,20 @@ def test_same_rows_as_sql(spark, sf, duck, name):
     assert rows == sorted((tuple(map(norm, r)) for r in want.fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"cv_macro_f1", "weather_fit"}))
 def test_queries_without_sql_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_competition_of_classifiers(spark, sf):
+    """Every candidate has a score, and the rows get the classes of the winner."""
+    scores = {r.model: (r.mean, r.std) for r in QUERIES["cv_macro_f1"](spark, sf).collect()}
+    assert len(scores) == 9 and all(0.3 < mean < 1 and 0 <= std < 0.3 for mean, std in scores.values())
+    out = QUERIES["weather_fit"](spark, sf).collect()
+    assert {r.model for r in out} == {models.winner(scores)} and {r.weather_label for r in out} <= {0, 1}
+    assert all((r.weather_proba >= 0.5) == (r.weather_label == 1) for r in out if abs(r.weather_proba - 0.5) > 1e-4)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
