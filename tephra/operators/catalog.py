@@ -125,6 +125,24 @@ def pairwise(df: DataFrame, group: str, item: str, value: str) -> DataFrame:
     return out.select("a_group", "b_group", pairs.alias("pairs"), (F.col("far") / pairs).alias("mean_difference")).filter("pairs > 0")
 
 
+def similar_groups(df: DataFrame, group: str, features: str) -> DataFrame:
+    """a_group, b_group, pairs, similarity: mean cosine of the pairs of images of each two groups, and inside each group.
+
+    No pair is made: the mean cosine of two groups is the product of the means of their unit vectors, and inside a
+    group of n it is (|sum|^2 - n) / (n (n - 1)). Vectors of zeros have no direction and are left out. Sums are one row for
+    each group and dimension."""
+    length = F.sqrt(F.aggregate(features, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    units = df.select(F.col(group).alias("g"), F.col(features).alias("f"), length.alias("size")).filter("size > 0")
+    each = units.select("g", F.posexplode(F.transform("f", lambda x: x.cast("double") / F.col("size"))).alias("i", "u"))
+    sums = each.groupBy("g", "i").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
+    one, other = sums.toDF("a_group", "i", "sa", "na"), sums.toDF("b_group", "i", "sb", "nb")
+    both = one.join(other, "i").filter("a_group <= b_group").groupBy("a_group", "b_group").agg(F.sum(F.col("sa") * F.col("sb")).alias("dot"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    inside = F.col("a_group") == F.col("b_group")
+    pairs = F.when(inside, F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb")).cast("long")
+    total = F.when(inside, (F.col("dot") - F.col("na")) / 2).otherwise(F.col("dot"))
+    return both.select("a_group", "b_group", pairs.alias("pairs"), total.alias("total")).filter("pairs > 0").select("a_group", "b_group", "pairs", (F.col("total") / F.col("pairs")).alias("similarity"))
+
+
 def zip_by_rank(a: DataFrame, b: DataFrame, key: str, by: str, order: str) -> DataFrame:
     """The i-th row of a with the i-th row of b inside each group, in name order."""
     ranked = [d.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(order, key))) for d in (a, b)]

@@ -89,6 +89,30 @@ def pr_curve(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     return t.join(total, by).select(*by, F.col("s").alias("threshold"), (tp / all_).alias("precision"), (tp / F.col("_all")).alias("recall"))
 
 
+def pr_curves(df: DataFrame, scores: list[str], label: str) -> DataFrame:
+    """detector, threshold, precision, recall of several score columns, each over the rows that have it, and of a random
+    detector: the share of positives among the rows with the first score, at recall 0 and 1."""
+    long = df.select(label, F.explode(F.array(*[F.struct(F.lit(c).alias("detector"), F.col(c).cast("double").alias("score")) for c in scores])).alias("x")).select(label, "x.*").filter("score is not null")
+    share = df.filter(F.col(scores[0]).isNotNull()).agg((F.count_if(F.col(label) == 1) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("precision"))  # one row
+    line = share.select(F.lit("random").alias("detector"), F.lit(None).cast("double").alias("threshold"), "precision", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("recall"))
+    return pr_curve(long, "score", label, ["detector"]).unionByName(line)
+
+
+def inversion(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row: areas of the score and of its inverse against the share of positives, and advice.
+
+    Scores only count by their order, so the inverse is the negative. `advice`: keep, invert, or that the labels are unsuited, if the
+    inverse is better but no better than chance."""
+    long = df.select(label, F.explode(F.array(F.struct(F.lit(False).alias("turned"), F.col(score).alias("s")), F.struct(F.lit(True).alias("turned"), (-F.col(score)).alias("s")))).alias("x")).select(label, "x.*")
+    both = ranked_stats(long, "s", label, ["turned"])
+    of = lambda c, turned: F.max(F.when(F.col("turned") == turned, F.col(c)))
+    row = both.agg(of("auc_roc", False).alias("a"), of("auc_roc", True).alias("b"), of("auc_pr", False).alias("c"), of("auc_pr", True).alias("d"), F.max("prevalence").alias("e"))
+    better, above, above_turned = F.col("d") > F.col("c"), F.col("c") > F.col("e"), F.col("d") > F.col("e")
+    advice = F.when(better & above_turned, "invert").when(better, "unsuited labels").otherwise("keep")
+    areas = {"auc_roc": "a", "auc_roc_inverted": "b", "auc_pr": "c", "auc_pr_inverted": "d", "prevalence": "e"}
+    return row.select(*[F.round(c, 6).alias(n) for n, c in areas.items()], (F.col("a") < 0.5).alias("invert"), above.alias("above_random"), above_turned.alias("above_random_inverted"), advice.alias("advice"))
+
+
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
     """F1 with 0 where it is undefined."""
     return F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))

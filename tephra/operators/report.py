@@ -59,13 +59,13 @@ def rolling_std(bins: DataFrame, by: list[str], order: str, value: str, width: i
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
-    """Counts and density per group over shared edges; the last bin is closed."""
+    """Counts and density per group over shared edges; the last bin is closed. Equal values are all in the last bin, which has no width and so no density."""
     df = df.filter(F.col(value).isNotNull())
     edges = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))  # one row
     step = (F.col("hi") - F.col("lo")) / bins
-    place = F.least(F.floor((F.col(value) - F.col("lo")) / step), F.lit(bins - 1)).cast("int")
+    place = F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), step)), F.lit(bins - 1)).cast("int")
     counted = df.join(F.broadcast(edges)).groupBy(*by, place.alias("bin"), step.alias("width")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("density", r6(F.col("n") / (F.sum("n").over(W.partitionBy(*by)) * F.col("width")))).drop("width")
+    return counted.withColumn("density", r6(F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy(*by)) * F.col("width")))).drop("width")
 
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:

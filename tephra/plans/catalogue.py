@@ -146,6 +146,12 @@ def pairwise_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.pairwise(daily, "camera", "day", "v").withColumn("mean_difference", F.round("mean_difference", 6))
 
 
+@query(" SELECT a.label AS a_group, b.label AS b_group, count(*) AS pairs, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS similarity FROM e a JOIN e b ON a.label < b.label OR (a.label = b.label AND a.vec_id < b.vec_id) GROUP BY ALL", "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)")
+def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the images of each two groups are."""
+    return catalog.similar_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "label", "embedding").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(", a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY filename, image_id) AS rank FROM idx WHERE camera = 'suki'), b AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY filename, image_id) AS rank FROM idx WHERE camera = 'kali') SELECT day, rank, a.image_id AS first, b.image_id AS second FROM a JOIN b USING (day, rank)")
 def zip_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = index(spark, sf_dir)

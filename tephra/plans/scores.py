@@ -128,7 +128,7 @@ def compare_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = evaluate.ranked_stats(long, "score", "y_true", ["detector"])
     one = by.agg(F.max(F.when(F.col("detector") == "patchcore_score", F.col("auc_pr"))).alias("a"), F.max(F.when(F.col("detector") == "anomaly_score", F.col("auc_pr"))).alias("b"))
     a, b = F.col("a"), F.col("b")
-    return one.select(r6(a).alias("auc_pr_first"), r6(b).alias("auc_pr_second"), r6(b - a).alias("delta"), F.round(100 * (b - a) / a, 4).alias("percent"))
+    return one.select(r6(a).alias("auc_pr_first"), r6(b).alias("auc_pr_second"), r6(b - a).alias("delta"), F.round(F.try_divide(100 * (b - a), a), 4).alias("percent"))
 
 
 @query(" SELECT quality, toxic, n, round(n / sum(n) OVER (PARTITION BY quality), 6) AS share FROM c", "c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic)")
@@ -162,12 +162,28 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.report(ranked, signal, binary, triage, counts)
 
 
-@query(_PROXY + _U.replace("SELECT camera, sum", "SELECT sum").replace(" JOIN (SELECT camera, s FROM y WHERE y = 0) b USING (camera) GROUP BY camera", ", (SELECT s FROM y WHERE y = 0) b") + " SELECT round(u / m, 6) AS auc_roc, round(1 - u / m, 6) AS auc_roc_inverted, u / m < 0.5 AS invert FROM u")
+_ADVICE = "CASE WHEN turned > plain AND turned > prevalence THEN 'invert' WHEN turned > plain THEN 'unsuited labels' ELSE 'keep' END"
+
+
+@query(_PROXY + ", v AS (SELECT -s AS s, y FROM y), " + _AP.format(n="a", g="", t="y", k="1") + ", " + _AP.format(n="b", g="", t="v", k="1") + _U.replace("SELECT camera, sum", "SELECT sum").replace(" JOIN (SELECT camera, s FROM y WHERE y = 0) b USING (camera) GROUP BY camera", ", (SELECT s FROM y WHERE y = 0) b") + f", r AS (SELECT (SELECT sum(p / np * tp / a) FROM ac) AS plain, (SELECT sum(p / np * tp / a) FROM bc) AS turned, (SELECT count(*) FILTER (y = 1) / count(*) FROM y) AS prevalence) SELECT round(u / m, 6) AS auc_roc, round(1 - u / m, 6) AS auc_roc_inverted, u / m < 0.5 AS invert, round(plain, 6) AS auc_pr, round(turned, 6) AS auc_pr_inverted, round(prevalence, 6) AS prevalence, plain > prevalence AS above_random, turned > prevalence AS above_random_inverted, {_ADVICE} AS advice FROM u, r")
 def score_inversion_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = evaluate.ranked_stats(proxies(spark, sf_dir), "patchcore_score", "y_true")
-    turned = proxies(spark, sf_dir).withColumn("turned", -F.col("patchcore_score"))
-    other = evaluate.ranked_stats(turned, "turned", "y_true").select(F.col("auc_roc").alias("b"))
-    return one.join(other).select(r6("auc_roc").alias("auc_roc"), r6("b").alias("auc_roc_inverted"), (F.col("auc_roc") < 0.5).alias("invert"))
+    """Both areas of the score and of its inverse, and which of the two to use."""
+    return evaluate.inversion(proxies(spark, sf_dir), "patchcore_score", "y_true")
+
+
+@query(_PROXY + " SELECT y AS y_true, count(*) AS n, " + ", ".join(f"round({f}, 6) AS {n}" for n, f in {"mean": "avg(s)", "median": "quantile_cont(s, 0.5)", "std": "stddev_samp(s)", "min": "min(s)", "max": "max(s)", "p10": "quantile_cont(s, 0.1)", "p90": "quantile_cont(s, 0.9)"}.items()) + " FROM y GROUP BY y")
+def score_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of each class in figures."""
+    df, s = proxies(spark, sf_dir).filter("patchcore_score is not null"), F.col("patchcore_score")
+    middle = quantiles(df, "patchcore_score", ["y_true"], {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    out = df.groupBy("y_true").agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max")).join(middle, "y_true")
+    return out.select("y_true", "n", *[r6(c).alias(c) for c in ("mean", "median", "std", "min", "max", "p10", "p90")])
+
+
+@query(_PROXY + ", z AS (SELECT s2 AS s, y FROM y WHERE s2 IS NOT NULL), " + _AP.format(n="a", g="", t="y", k="1") + ", " + _AP.format(n="b", g="", t="z", k="1") + " SELECT 'patchcore_score' AS detector, s AS threshold, round(tp / a, 6) AS precision, round(tp / np, 6) AS recall FROM ac UNION ALL SELECT 'anomaly_score', s, round(tp / a, 6), round(tp / np, 6) FROM bc UNION ALL SELECT 'random', NULL, round((SELECT count(*) FILTER (y = 1) / count(*) FROM y), 6), unnest([0.0, 1.0])::DOUBLE")
+def pr_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curves of several detectors, and the line of a random one."""
+    return evaluate.pr_curves(proxies(spark, sf_dir), ["patchcore_score", "anomaly_score"], "y_true").withColumns({"precision": r6("precision"), "recall": r6("recall")})
 
 
 @query("SELECT count(patchcore_score) AS scored, count(patchcore_score) FILTER (year = 2018) AS scored_test, count(patchcore_score) FILTER (quality_flag = 'dark') AS scored_dark FROM idx")

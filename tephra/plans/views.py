@@ -66,7 +66,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vector read as an 8 x 8 gray frame: image_id, label, pixels scaled to [0, 1]."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("raw"))
     low, high = F.array_min("raw"), F.array_max("raw")
-    return e.select("image_id", "label", F.transform("raw", lambda x: (x - low) / (high - low)).alias("pixels"))
+    return e.select("image_id", "label", F.transform("raw", lambda x: F.try_divide(x - low, high - low)).alias("pixels"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

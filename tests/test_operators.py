@@ -179,6 +179,30 @@ def test_distances_in_blocks(spark, monkeypatch):
     assert nearest.distances(make(q), make(c).limit(0), ["i"], 5).filter("distance is null").count() == 40
 
 
+def test_equal_values_and_similar_groups(spark):
+    same = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("b", 2.0)], "g string, v double")
+    assert {(r.g, r.bin, r.n, r.density) for r in report.histogram(same, "v", 5, ["g"]).collect()} == {("a", 4, 1, None), ("b", 4, 2, None)}
+    rng = np.random.default_rng(9)
+    x, g = rng.normal(size=(60, 5)), ["abc"[i % 3] for i in range(60)]
+    x[7] = 0
+    got = {(r.a_group, r.b_group): (r.pairs, r.similarity) for r in catalog.similar_groups(spark.createDataFrame([(k, [float(v) for v in row]) for k, row in zip(g, x, strict=True)] + [("d", [1.0] * 5)], "g string, f array<double>"), "g", "f").collect()}
+    u = np.delete(x, 7, axis=0) / np.linalg.norm(np.delete(x, 7, axis=0), axis=1)[:, None]
+    of = [k for i, k in enumerate(g) if i != 7]
+    for a, b in itertools.combinations_with_replacement("abc", 2):
+        pairs = [u[i] @ u[j] for i in range(59) for j in range(59) if of[i] == a and of[j] == b and (a != b or i < j)]
+        assert got[a, b][0] == len(pairs) and got[a, b][1] == pytest.approx(np.mean(pairs))
+    assert ("d", "d") not in got and got["a", "d"][0] == sum(k == "a" for k in of)
+
+
+def test_inversion_advice(spark):
+    rows = [(float(i), int(i < 10)) for i in range(40)]
+    got = evaluate.inversion(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
+    assert (got.auc_roc, got.auc_roc_inverted, got.auc_pr_inverted, got.advice, got.invert, got.above_random) == (0, 1, 1, "invert", True, False)
+    assert evaluate.inversion(spark.createDataFrame([(-s, y) for s, y in rows], "s double, y int"), "s", "y").first().advice == "keep"
+    line = evaluate.pr_curves(spark.createDataFrame(rows, "s double, y int").withColumn("z", F.lit(1.0)), ["s", "z"], "y")
+    assert {(r.precision, r.recall) for r in line.filter("detector = 'random'").collect()} == {(0.25, 0.0), (0.25, 1.0)} and line.filter("detector = 'z'").count() == 1
+
+
 def test_damaged_files_are_rows(spark, tmp_path):
     """A PNG file cut at every length, one with a filter that does not exist, and a JPEG file, by both readers."""
     gray = np.arange(64).reshape(8, 8)
