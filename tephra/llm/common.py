@@ -101,10 +101,10 @@ def unmet(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 10
 def sampled(docs: DataFrame, n: int, condition: Column | None = None, over: int = 8) -> DataFrame:
     """(text, h): at most n distinct texts, those of the lowest hashes that meet a condition on `text`.
 
-    Only texts whose hash is among the lowest, a share that about over * n rows have,
-    are looked at. Hashes alone go through one task, over * n or so of them; copies count once.
+    Rows that meet the condition are counted first. Of these, only those whose hash is among the lowest, a share that about
+    over * n of them have, are looked at. Hashes alone go through one task, over * n or so of them; copies count once.
     """
-    share = over * n / max(1, docs.count())
+    share = over * n / max(1, (docs if condition is None else docs.filter(condition)).count())
     bound = (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)
     few = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").isNotNull() & (F.col("h") <= bound))
     few = cut((few if condition is None else few.filter(condition)).dropDuplicates(["h"]), "sample")

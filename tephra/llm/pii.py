@@ -52,9 +52,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z.])[(+]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,24}(?![0-9A-Za-z])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z.])[(+]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
 _AT = re.compile(r"\x20?(?:[(\[{]at[)\]}]|\x20at\x20)\x20?", re.I | re.A)
-_SPELLED = re.compile(r"[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{]dot[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}", re.I | re.A)
+_SPELLED = re.compile(r"[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{]dot[)\]}]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63})+", re.I | re.A)
 _ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 _CUE = re.compile(r"mail|contact|phone|tel|call|fax|mobile|card|visa|iban|account|ssn|write|reach", re.I)
 _DATE = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}")
