@@ -13,7 +13,7 @@ partner mostly pay for nothing at all, and segments of shared passages are passe
 
 Cells of one key are not expanded into pairs. First each set is compared with the one of the cells'
 leading probes that it shares most cells with. Links merge classes, and from then on only cells that hold several
-classes are looked at: some of their probes, eight times as many each round, are
+classes are looked at: some of their probes, 64 times as many each round, are
 compared with the members of other classes, until each probe of a cell has been compared or
 its cell is one class. So classes are complete, and a group of near copies costs few comparisons for each copy.
 Pairs are dismissed if the parity bits of their shingles differ in more than H, and otherwise verified on the whole sets.
@@ -240,51 +240,63 @@ def probes(found: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(sets.select("id", "n"), "id").select("id", F.explode(allocated("n", "higher", part("what"), part("key"), part("cost"))).alias("key"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Of distinct pairs (a, b) of sets those that link; whole sets are read only of pairs whose sizes and parity bits allow it."""
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb: of distinct pairs (a, b) of sets those whose sizes and parity bits allow a link."""
     one, other = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
     half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, (F.size(x) / 2 + 1).cast("int"), F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
     folded = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)  # noqa: E731  sizes of partners differ by a quarter, so by one fold
     change = F.aggregate(F.zip_with(folded(F.col("xa"), F.col("xb")), folded(F.col("xb"), F.col("xa")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    near = pairs.join(one, "a").join(other, "b").filter((F.least("na", "nb") * OF >= F.greatest("na", "nb") * SHARE) & (change * 9 <= F.col("na") + F.col("nb")))
-    near = cut(near.select("a", "b", "na", "nb"), "near")
+    met = pairs.join(one, "a").join(other, "b").filter((F.least("na", "nb") * OF >= F.greatest("na", "nb") * SHARE) & (change * 9 <= F.col("na") + F.col("nb")))
+    return cut(met.select("a", "b", "na", "nb"), "near")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, texts: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
+    """Of distinct pairs (a, b) of sets those that link, and the whole sets (id, set) read so far.
+
+    Whole sets are read only of pairs that near() lets pass, each once in all rounds."""
 
     @pandas_udf(ArrayType(LongType()))
     def whole(text: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, k).view(np.int64) for t in text], dtype=object)
 
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "uid"), "id")
-    texts = cut(rows.join(small(cut(wanted, "wanted")), "uid").select("id", whole("text").alias("set")), "sets")
-    both = near.join(texts.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    close = near(pairs, sets)
+    wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = wanted if texts is None else wanted.join(texts.select("id"), "id", "left_anti")
+    wanted = cut(wanted.join(sets.select("id", "uid"), "id"), "wanted")
+    if texts is None or wanted.head(1):
+        fresh = cut(rows.join(small(wanted), "uid").select("id", whole("text").alias("set")), "sets")
+        texts = fresh if texts is None else texts.union(fresh)
+    both = close.join(texts.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common * OF >= (F.col("na") + F.col("nb") - common) * SHARE).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    linked = both.filter(common * OF >= (F.col("na") + F.col("nb") - common) * SHARE)
+    return cut(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges"), texts
 
 
 def links(members: DataFrame, asking: DataFrame, sets: DataFrame, rows: DataFrame, k: int) -> DataFrame | None:
-    """(node, root) of the classes of all sets that meet in cells: members(key, id) and asking(key, id), written tables."""
+    """(node, root) of the classes of all sets that meet in cells: members(key, id) and asking(key, id), written tables.
+
+    Rounds are few, as each is some twenty small stages: a cell is asked by 8, 512, 32,768 ... probes."""
     lead = asking.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("lead"))
     lead = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(lead, "key"), "lead")
     first = met(members, lead, "key", "n").filter("id != lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("id").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead")).select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
-    edges, width = cut(similar(cut(first, "pairs"), sets, rows, k), "edges"), 8
-    roots, n = None, 0
+    edges, texts = similar(first, sets, rows, None, k)
+    both = members.withColumn("ask", F.lit(0)).unionByName(asking.withColumn("ask", F.lit(1))).withColumn("class", F.col("id"))
+    roots, width = None, 8
     while True:
-        if n < (n := edges.count()):
-            roots = cut(classes(edges), "roots")
-        of = lambda df: df.select("key", "id", F.col("id").alias("class")) if roots is None else df.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("class"))  # noqa: E731, B023
-        both = of(members).withColumn("ask", F.lit(0)).union(of(asking).withColumn("ask", F.lit(1)))
-        both = cut(both, "both")
+        if edges.head(1):  # classes so far are stars, so only new links are many
+            roots = cut(classes(edges if roots is None else edges.union(roots.filter("node != root").select("node", "root")).distinct()), "roots")
+            both = both.select("key", "id", "ask").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "ask", F.coalesce("root", "id").alias("class"))
+            both = cut(both, "both")
         mixed = both.groupBy("key").agg(F.sum("ask").alias("probes"), F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("largest"))
         mixed = cut(mixed.filter("probes > 0 AND least < largest").select("key", "probes", "n"), "mixed")
         if not mixed.head(1):
             return roots
-        both = cut(met(both, mixed, "key", "n"), "both")
-        members = both.filter("ask = 0")
         now = F.pmod(F.xxhash64("id", "key", F.lit(width)), F.lit(1 << 20)) * F.col("probes") < F.lit(width << 20)
-        centres = both.filter("ask = 1").withColumn("now", now)
-        pairs = members.alias("m").join(centres.filter("now").alias("c"), "key").filter("m.class != c.class").select(F.greatest("m.id", "c.id").alias("a"), F.least("m.id", "c.id").alias("b")).distinct()
-        edges = cut(edges.union(similar(cut(pairs, "pairs"), sets, rows, k)).distinct(), "edges")
-        asking, width = centres.filter("NOT now"), width * 8
+        placed = cut(met(both, mixed, "key", "n").withColumn("now", now & (F.col("ask") == 1)).select("key", "id", "ask", "class", "now"), "placed")
+        pairs = placed.filter("ask = 0").alias("m").join(placed.filter("now").alias("c"), "key").filter("m.class != c.class")
+        edges, texts = similar(pairs.select(F.greatest("m.id", "c.id").alias("a"), F.least("m.id", "c.id").alias("b")).distinct(), sets, rows, texts, k)
+        both, width = placed.filter("NOT now").drop("now"), width * 64
 
 
 def linked(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -302,8 +314,7 @@ def linked(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     rows = whole.join(small(cut(others, "others")), "uid", "left_anti").select("uid", "text")
     found = cells(rows, k)
     asking = cut(probes(found, sets), "probes")
-    asked = cut(asking.select("key").distinct(), "asked")
-    members = cut(found.filter(_INDEXED).select("key", "id").join(asked, "key", "left_semi"), "members")
+    members = cut(found.filter(_INDEXED).select("key", "id").join(asking.select("key").distinct(), "key", "left_semi"), "members")
     roots = links(members, asking, sets, rows, k)
     if roots is None:
         classed = sets.select("id", "copies", F.col("least_id").alias("component_id"))
