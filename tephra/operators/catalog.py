@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .select import first_of, small
+from .quantiles import sliced
+from .sample import positions
+from .select import first_of
 
 
 def last_per_key(new: DataFrame, key: str, arrival: Column) -> DataFrame:
@@ -83,14 +85,30 @@ def first_existing(candidates: DataFrame, files: DataFrame, key: str) -> DataFra
 
 
 def nearest_in_time(points: DataFrame, at: str, rows: DataFrame, when: str, by: list[str]) -> DataFrame:
-    """For each point and each group of rows the row nearest in time; the earlier of two as near.
-
-    Points are few and broadcast once counted. Rows of a group meet each of them, and only the
-    best so far is kept and shuffled."""
-    far = F.struct(F.abs(F.date_diff(at, when)), when)
-    rest = [c for c in rows.columns if c not in by]
-    met = rows.join(small(points.distinct(), 1000))
-    return met.groupBy(at, *by).agg(F.min_by(F.struct(*rest), far).alias("_row")).select(at, *by, "_row.*")
+    """For each point and each group of rows the row nearest in days; the earlier of two as near, then the smallest.
+
+    An as-of join to both sides: rows and points are range-partitioned by day, and in a partition each point sees
+    the last row and the next one of every group. What lies outside comes from the first and last rows of the
+    partitions, which are carried on to the others. Rows and points without a time are left out."""
+    rest = [when, *[c for c in rows.columns if c not in by and c != when]]
+    days = rows.select(F.struct(*by).alias("_g"), F.to_date(when).alias("_t"), F.struct(*rest).alias("_row")).filter("_t is not null")
+    days = days.groupBy("_g", "_t").agg(F.min("_row").alias("_row"))
+    asked = points.select(F.col(at).alias("_at"), F.to_date(at).alias("_t")).filter("_t is not null").distinct()
+    placed = sliced(days.unionByName(asked, allowMissingColumns=True), ["_t"])
+    there, asks = placed.filter("_g is not null").drop("_at"), placed.filter("_g is null").select("_at", "_t", "_slice")
+    last = placed.agg(F.coalesce(F.max("_slice"), F.lit(0))).first()[0]
+    row = F.struct("_t", "_row")
+    ends = there.groupBy("_g", "_slice").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    ends = there.select("_g").distinct().select("_g", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_slice")).join(ends, ["_g", "_slice"], "left")
+    carried = lambda c, order: F.last(c, True).over(W.partitionBy("_g").orderBy(order).rowsBetween(W.unboundedPreceding, -1))  # noqa: E731  slices, not rows
+    around = ends.select("_g", "_slice", carried("_last", F.asc("_slice")).alias("_before"), carried("_first", F.desc("_slice")).alias("_after"))
+    each = asks.join(around, "_slice").withColumn("_ask", F.lit(1))
+    both = each.unionByName(there.join(asks.select("_slice").distinct(), "_slice", "left_semi").withColumn("_ask", F.lit(0)), allowMissingColumns=True)
+    seen = lambda order: F.last(F.when(F.col("_ask") == 0, row), True).over(W.partitionBy("_g", "_slice").orderBy(order, "_ask").rowsBetween(W.unboundedPreceding, 0))
+    near = both.withColumns({"_lower": seen(F.asc("_t")), "_upper": seen(F.desc("_t"))}).filter("_ask = 1")
+    far = lambda x: F.struct(F.abs(F.date_diff("_t", x["_t"])).alias("far"), x["_t"].alias("t"), x["_row"].alias("row"))
+    best = F.array_min(F.transform(F.array_compact(F.array("_lower", "_upper", "_before", "_after")), far))
+    return near.select(F.col("_at").alias(at), "_g.*", best["row"].alias("_row")).select(at, *by, "_row.*")
 
 
 def missing_periods(index: DataFrame, first: str, last: str) -> DataFrame:
@@ -144,6 +162,6 @@ def similar_groups(df: DataFrame, group: str, features: str) -> DataFrame:
 
 
 def zip_by_rank(a: DataFrame, b: DataFrame, key: str, by: str, order: str) -> DataFrame:
-    """The i-th row of a with the i-th row of b inside each group, in name order."""
-    ranked = [d.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(order, key))) for d in (a, b)]
+    """The i-th row of a with the i-th row of b inside each group, in name order; no task numbers a whole group."""
+    ranked = [positions(d.select(by, order, key), [by], [order, key], "rank") for d in (a, b)]
     return ranked[0].select(by, "rank", F.col(key).alias("first")).join(ranked[1].select(by, "rank", F.col(key).alias("second")), [by, "rank"])

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles, sliced
+from .sample import ranks
 from .select import small
 
 
@@ -176,31 +177,48 @@ def threshold_analysis(found: DataFrame, thresholds: tuple[float, ...] = (1.0, 1
     return each.groupBy("threshold", "lead_days").agg(F.count(F.lit(1)).alias("n_events"), hit.alias("n_triggers"), (hit / F.count(F.lit(1))).alias("trigger_rate"), F.avg("ratio").alias("ratio_mean"), F.percentile("ratio", F.lit(0.5)).alias("ratio_median"), F.max("ratio").alias("ratio_max"))
 
 
+def spread(total: int) -> tuple[int, int]:
+    """Sides of a rectangle of total cells or a few more: of up to 1,000 sides from the root of total on, that with the fewest."""
+    root = math.isqrt(total)
+    side = min(range(root, root + min(1000, root + 1)), key=lambda a: (-total % a, a))
+    return side, -(-total // side)
+
+
+def drawn(spark: SparkSession, runs: int, m: int, total: int) -> DataFrame:
+    """run, at: for each run m different numbers below total, drawn at random without replacement.
+
+    A run is a keyed permutation of the cells of a rectangle that holds `total` of them: six Feistel steps add to the column
+    a hash of the line, or the other way round. Its first m images that are below total are the draw; a few cells are not."""
+    a, b = spread(total)
+    out = spark.range(runs).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m + a * b - total - 1).cast("long"))).alias("j"))
+    out = out.select("run", "j", (F.col("j") % a).alias("x"), F.floor(F.col("j") / a).alias("y"))
+    # names its argument once: the filter below is pushed down through all steps, which would double it each time
+    stirred = lambda h: F.shiftright(h * 1540483477, 16) % 4294967296
+    for i in range(6):
+        to, of, size = ("x", "y", a) if i % 2 == 0 else ("y", "x", b)
+        key = stirred((F.col("run") * 6 + i + 1) * 2246822519 % 4294967296)
+        h = stirred(stirred((F.col(of) * 2654435761 + key) % 4294967296))
+        out = out.withColumn(to, (F.col(to) + F.shiftright(h, 6)) % size)
+    inside = out.select("run", "j", (F.col("y") * a + F.col("x")).alias("at")).filter(F.col("at") < total)
+    return inside.withColumn("i", F.row_number().over(W.partitionBy("run").orderBy("j"))).filter(F.col("i") <= m).select("run", "at")
+
+
 def permutation_test(index: DataFrame, found: DataFrame, lead: int = 7, runs: int = 1000, score: str = "patchcore_score", key: str = "image_id", least: int = 10) -> DataFrame:
     """How often the mean score of random usable rows reaches the mean q90 of the events of one lead;
     empty without an event or with under `least` rows.
 
-    Each run draws m rows: instead of crossing runs with rows, every run draws m row
-    numbers by a hash and joins them, so the work is runs x m."""
+    Each run draws m rows without replacement: instead of crossing runs with rows, every run draws m row
+    numbers and joins them, so the work is runs x m."""
     of = found.filter(F.col("lead_days") == lead)
     seen = of.agg(F.avg("q90_score").alias("q"), F.count(F.lit(1)).alias("k")).first()  # one row
-    rows = index.filter(F.col(score).isNotNull() & (F.col("quality_flag") == "usable")).select(key, F.col(score).alias("s"))
-    h = (F.col(key) * 2654435761 + 42) % 4294967296
-    slices = 256
-    cut = rows.withColumns({"_slice": F.floor(h / (4294967296 / slices)), "_h": h})
-    counts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select("_slice", F.coalesce(F.sum("_c").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # slices, not rows
-    numbered = cut.withColumn("_at", F.row_number().over(W.partitionBy("_slice").orderBy("_h", key))).join(F.broadcast(starts), "_slice").select((F.col("_start") + F.col("_at") - 1).alias("at"), "s")
-    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    rows = index.filter(F.col(score).isNotNull() & (F.col("quality_flag") == "usable")).select(F.lit(0).alias("all"), key, F.col(score).alias("s"))
+    total = rows.count()
     m = min(total, int(seen.k) * max(1, 2 * lead))
     spark = index.sparkSession
     if total < least or seen.q is None:
         return spark.createDataFrame([], "lead_days int, n_permutations int, observed_mean double, null_mean double, null_std double, p_value double, significant boolean")
-    # an affine walk visits m different row numbers of each run: no row twice in a run
-    step = F.lit(next(s for s in range(max(1, int(total * 0.618)), total + 2) if math.gcd(s, total) == 1)).cast("long")
-    draw = spark.range(runs).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-    draw = draw.select("run", F.pmod((F.col("run") * 2654435761 + 7) % 4294967296 + F.col("j") * step, F.lit(total)).alias("at"))
-    means = draw.join(numbered, "at").groupBy("run").agg(F.avg("s").alias("mean"))
+    numbered = ranks(rows, "all", key).select((F.col("rank") - 1).alias("at"), "s")
+    means = drawn(spark, runs, m, total).join(numbered, "at").groupBy("run").agg(F.avg("s").alias("mean"))
     q = F.lit(float(seen.q))
     p = F.count_if(F.col("mean") >= q) / F.count(F.lit(1))
     return means.agg(F.lit(lead).alias("lead_days"), F.count(F.lit(1)).cast("int").alias("n_permutations"), F.first(q).alias("observed_mean"), F.avg("mean").alias("null_mean"), F.stddev_pop("mean").alias("null_std"), p.alias("p_value"), (p < 0.05).alias("significant"))

@@ -37,13 +37,15 @@ def ssim_distance(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
     spread = max(np.ptp(a), np.ptp(b))
     spread = 1.0 if spread < 1e-8 else spread
     n = window * window
-
-    def mean(x: np.ndarray) -> np.ndarray:
-        return np.lib.stride_tricks.sliding_window_view(x, (window, window)).mean(axis=(2, 3))
-
-    ma, mb = mean(a), mean(b)
+    # window sums are differences of summed areas; frames are centred first, so that these stay small and exact
+    far_a, far_b = a.mean(), b.mean()
+    a, b = a - far_a, b - far_b
+    areas = np.zeros((5, a.shape[0] + 1, a.shape[1] + 1))
+    np.stack([a, b, a * a, b * b, a * b]).cumsum(axis=1).cumsum(axis=2, out=areas[:, 1:, 1:])
+    ma, mb, aa, bb, ab = (areas[:, window:, window:] - areas[:, :-window, window:] - areas[:, window:, :-window] + areas[:, :-window, :-window]) / n
     k = n / (n - 1)
-    va, vb, cov = k * (mean(a * a) - ma * ma), k * (mean(b * b) - mb * mb), k * (mean(a * b) - ma * mb)
+    va, vb, cov = k * (aa - ma * ma), k * (bb - mb * mb), k * (ab - ma * mb)
+    ma, mb = ma + far_a, mb + far_b
     c1, c2 = (0.01 * spread) ** 2, (0.03 * spread) ** 2
     return float(1 - ((2 * ma * mb + c1) * (2 * cov + c2) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
 

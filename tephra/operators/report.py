@@ -23,10 +23,13 @@ def summary(df: DataFrame) -> DataFrame:
     return out.agg(scope.alias("scope"), F.count(F.lit(1)).alias("n"), F.count_if("downloaded").alias("downloaded"), F.count_if(~F.col("downloaded")).alias("missing"))
 
 
-def score_stats(df: DataFrame, score: str, by: list[str]) -> DataFrame:
+def score_stats(df: DataFrame, score: str, by: list[str], wanted: dict[str, float] = QUARTILES) -> DataFrame:
+    """Count, mean, deviation, extremes and the wanted quantiles; without any of these it is a single aggregate."""
     c = F.col(score)
     few = [F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
-    q = quantiles(df, score, by, QUARTILES).select(*[F.col(b).alias(f"_{b}") for b in by], *[r6(n).alias(n) for n in QUARTILES])
+    if not wanted:
+        return df.groupBy(*by).agg(*few)
+    q = quantiles(df, score, by, wanted).select(*[F.col(b).alias(f"_{b}") for b in by], *[r6(n).alias(n) for n in wanted])
     same = F.lit(True)
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))

@@ -2,7 +2,8 @@
 
 Samples order rows by a multiplicative hash of a key, so the same rows come back
 on every run and on every engine. Global samples of n rows use a top-k, which
-keeps n rows per task. Strata are ranked in slices of the hash: as many as the square root of
+keeps n rows per task. Positions in an order, and ranks of scores, are taken in range partitions of
+that order, which start where the earlier ones end. Strata are ranked in slices of the hash: as many as the square root of
 their rows asks for, so that neither a slice nor the list of the slices gets long.
 """
 
@@ -12,27 +13,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import sliced
+
 
 def hashed(key: str, seed: int = 42) -> Column:
     return (F.col(key) * 2654435761 + seed) % 4294967296
 
 
+def alike(columns: list[str]) -> Column:
+    """Whether `c` and `_by_c` are the same for each of the columns, nulls too."""
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return same
+
+
+def starting(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Of counts(by, _part, _c) how many rows come before each part, as (_by_..., _of, _start)."""
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # parts, not rows
+    return counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+
+
 def rank_min(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    return df.withColumn("rank", F.rank().over(W.partitionBy(*by).orderBy(F.desc(score))))
+    """`rank` in each group by falling score, the smallest of its tie; nulls come last.
+
+    Rows are counted by score first, so ties are one row, and ranks are sums over range partitions of the scores."""
+    scores = sliced(df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c")), [*by, F.desc(score)]).withColumnRenamed("_slice", "_part")
+    starts = starting(scores.groupBy(*by, "_part").agg(F.sum("_c").alias("_c")), by)
+    higher = F.coalesce(F.sum("_c").over(W.partitionBy(*by, "_part").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = scores.withColumn("_at", higher).join(starts, alike(by) & F.col("_part").eqNullSafe(F.col("_of")))
+    ranked = placed.select(*[F.col(c).alias(f"_by_{c}") for c in (*by, score)], (F.col("_start") + F.col("_at") + 1).alias("rank"))
+    return df.join(ranked, alike([*by, score])).select(*df.columns, "rank")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, slices: int) -> DataFrame:
     """Positions from 1 in each group. The first `slices` columns of the order, such as the
     date, cut a group into parts that are numbered apart and start where the earlier end."""
     cut = df.withColumn("_part", F.struct(*[F.col(c) for c in order[:slices]]))
-    counts = cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_of"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    inside = cut.withColumn("_at", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order[slices:])))
-    same = F.col("_part").eqNullSafe(F.col("_of"))
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return inside.join(starts, same).withColumn(name, F.col("_start") + F.col("_at")).select(*df.columns, name)
+    return in_parts(cut, by, order[slices:], name).select(*df.columns, name)
+
+
+def in_parts(cut: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Positions from 1 in each group of rows that say their `_part`, in an order inside the parts."""
+    starts = starting(cut.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c")), by)
+    inside = cut.withColumn("_at", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order)))
+    return inside.join(starts, alike(by) & F.col("_part").eqNullSafe(F.col("_of"))).withColumn(name, F.col("_start") + F.col("_at"))
+
+
+def positions(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Positions from 1 in each group, where no column of the order cuts it into parts: range partitions of the order do."""
+    cut = sliced(df, [*by, *order]).withColumnRenamed("_slice", "_part")
+    return in_parts(cut, by, order, name).select(*df.columns, name)
 
 
 def sample_n(df: DataFrame, key: str, n: int) -> DataFrame:

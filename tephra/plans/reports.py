@@ -100,7 +100,7 @@ def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT year, round(avg(patchcore_score), 6) AS mean, max(patchcore_score) AS max, round(stddev_samp(patchcore_score), 6) AS std FROM idx GROUP BY year")
 def score_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.score_stats(index(spark, sf_dir), "patchcore_score", ["year"]).select("year", "mean", "max", "std")
+    return report.score_stats(index(spark, sf_dir), "patchcore_score", ["year"], {}).select("year", "mean", "max", "std")
 
 
 @query("SELECT camera, make_date(year, month, 1) AS month_start, round(avg(patchcore_score), 6) AS mean, max(patchcore_score) AS max, count(*) AS n FROM idx WHERE patchcore_score IS NOT NULL GROUP BY ALL")

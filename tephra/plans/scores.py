@@ -41,7 +41,11 @@ def threshold_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUNS = """, e AS (SELECT avg(q90_score) AS q, count(*) AS k FROM pre WHERE lead_days = 7), r AS (SELECT patchcore_score AS s, row_number() OVER (ORDER BY (image_id * 2654435761 + 42) % 4294967296, image_id) - 1 AS at_ FROM idx WHERE patchcore_score IS NOT NULL AND quality_flag = 'usable'), n AS (SELECT count(*) AS n FROM r),
-st AS (SELECT min(x) AS step FROM (SELECT unnest(range(greatest(1, floor(n * 0.618)::BIGINT), n + 2)) AS x, n FROM n) WHERE gcd(x, n) = 1), d AS (SELECT run, ((run * 2654435761 + 7) % 4294967296 + j * step) % n AS at_ FROM (SELECT unnest(range(1000)) AS run), (SELECT unnest(range(least(n, k * 14))) AS j FROM n, e), st, n),
+sides AS (SELECT n, a, (a - n % a) % a AS over, (n + (a - n % a) % a) // a AS b FROM (SELECT n, unnest(range(floor(sqrt(n))::BIGINT, floor(sqrt(n))::BIGINT + least(1000, floor(sqrt(n))::BIGINT + 1))) AS a FROM n) ORDER BY over, a LIMIT 1),
+d0 AS (SELECT run, j, n, k, a, b, j % a AS x, j // a AS y FROM (SELECT unnest(range(1000)) AS run), (SELECT unnest(range(least(n, k * 14) + over)) AS j FROM sides, e), sides, e),
+""" + "".join(f"""h{i} AS (SELECT *, ({of} * 2654435761 + ((run * 6 + {i + 1}) * 2246822519 % 4294967296 * 1540483477 >> 16) % 4294967296) % 4294967296 AS h FROM d{i}),
+d{i + 1} AS (SELECT run, j, n, k, a, b, {other}, ({to} + (((h * 1540483477 >> 16) % 4294967296 * 1540483477 >> 16) % 4294967296 >> 6)) % {size} AS {to} FROM h{i}),
+""" for i, (to, of, size, other) in enumerate([("x", "y", "a", "y"), ("y", "x", "b", "x")] * 3)) + """d AS (SELECT run, y * a + x AS at_ FROM d6 WHERE y * a + x < n QUALIFY row_number() OVER (PARTITION BY run ORDER BY j) <= least(any_value(n) OVER (), any_value(k) OVER () * 14)),
 m AS (SELECT run, avg(s) AS mean FROM d JOIN r USING (at_) GROUP BY run)"""
 
 

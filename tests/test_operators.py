@@ -486,3 +486,76 @@ def test_safe_read(spark, tmp_path):
     (tmp_path / "i.csv").write_text("url,year,is_night,downloaded,anomaly_score\nu,2014.0,True,false,nan\n")
     r = catalog_files.read_index(spark, str(tmp_path / "i.csv")).first()
     assert (r.url, r.year, r.is_night, r.downloaded, r.anomaly_score, r.notes) == ("u", 2014, True, False, None, None)
+
+
+def test_nearest_in_time_matches_all_pairs(spark):
+    """Both sides of several partitions, ties to the earlier, rows of a day to the smallest, null times and groups."""
+    rng = np.random.default_rng(3)
+    day = lambda n: None if n < 0 else f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}"
+    rows = [(None if g == 3 else f"g{g}", day(int(n)), float(s)) for g, n, s in zip(rng.integers(0, 4, 90), rng.integers(-4, 330, 90), rng.integers(0, 5, 90))]
+    rows += [("late", day(300), 1.0), ("tie", day(100), 1.0), ("tie", day(104), 2.0), ("tie", day(104), 1.5), ("never", None, 1.0)]
+    points = [(day(n),) for n in (-1, 0, 56, 102, 102, 200, 329)]
+    df = spark.createDataFrame(rows, "g string, m string, s double").withColumn("m", F.to_date("m")).repartition(5)
+    at = spark.createDataFrame(points, "at string").withColumn("at", F.to_date("at"))
+    out = catalog.nearest_in_time(at, "at", df, "m", ["g"])
+    want = set()
+    for p in {r["at"] for r in at.collect()} - {None}:
+        for g in {r.g for r in df.collect()} - {"never"}:
+            want.add((p, g, *min((abs((p - r.m).days), r.m, r.s) for r in df.collect() if r.g == g and r.m)[1:]))
+    assert sorted(map(str, out.select("at", "g", "m", "s").collect())) == sorted(str(out.sparkSession.createDataFrame([w], out.schema).first()) for w in want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert catalog.nearest_in_time(at, "at", df.filter("false"), "m", ["g"]).count() == 0
+    assert catalog.nearest_in_time(at.filter("false"), "at", df, "m", ["g"]).count() == 0
+
+
+@pytest.mark.parametrize(("m", "total"), [(12, 12), (30, 101), (7, 1009), (40, 5000)])
+def test_draws_are_random_subsets(spark, m, total):
+    """Every run draws m different rows, every row as often as any other, and two runs share as many as chance has it."""
+    runs = 400
+    of = {}
+    for r in evaluate.drawn(spark, runs, m, total).collect():
+        of.setdefault(r.run, []).append(r["at"])
+    assert len(of) == runs and all(len(set(x)) == len(x) == m and 0 <= min(x) and max(x) < total for x in of.values())
+    counts = np.bincount([x for v in of.values() for x in v], minlength=total)
+    expected = runs * m / total
+    assert m == total or ((counts - expected) ** 2).sum() / expected / (1 - m / total) == pytest.approx(total, abs=6 * math.sqrt(2 * total))
+    shared = np.mean([len(set(of[i]) & set(of[i + 1])) for i in range(runs - 1)])
+    assert shared == pytest.approx(m * m / total, rel=0.1, abs=0.05)
+
+
+def test_permutations_have_the_deviation_of_a_finite_population(spark):
+    values = np.random.default_rng(5).gamma(2, 10, 700)
+    rows = [(i, float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "image_id long, patchcore_score double").withColumn("quality_flag", F.lit("usable"))
+    found = spark.createDataFrame([(7, 25.0)] * 10, "lead_days int, q90_score double")
+    test = evaluate.permutation_test(df, found).first()
+    m, n = 140, len(values)
+    deviation = math.sqrt(values.var() / m * (n - m) / (n - 1))
+    assert test.null_mean == pytest.approx(values.mean(), abs=4 * deviation / math.sqrt(1000))
+    assert test.null_std == pytest.approx(deviation, rel=0.1)
+
+
+def test_ranks_and_positions_in_range_partitions(spark):
+    """As windows over whole groups give them, with nulls, ties and a group that holds most rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, None if g > 8 else "hot" if g > 2 else f"g{g}", None if s > 18 else float(s)) for i, (g, s) in enumerate(zip(rng.integers(0, 10, 600), rng.integers(0, 20, 600)))]
+    df = spark.createDataFrame(rows, "id long, g string, s double").repartition(6)
+    ranked = {(r.id, r["rank"]) for r in sample.rank_min(df, ["g"], "s").collect()}
+    assert ranked == {(r.id, r["r"]) for r in df.selectExpr("id", "rank() over (partition by g order by s desc) as r").collect()}
+    placed = {(r.id, r.at) for r in sample.positions(df, ["g"], ["s", "id"], "at").collect()}
+    assert placed == {(r.id, r["r"]) for r in df.selectExpr("id", "row_number() over (partition by g order by s, id) as r").collect()}
+    assert sample.rank_min(df.filter("false"), ["g"], "s").count() == sample.positions(df.filter("false"), ["g"], ["id"], "at").count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 255.0])
+def test_ssim_by_summed_areas(scale):
+    rng = np.random.default_rng(1)
+    a = (rng.random((40, 52)) + 3) * scale
+    b = a + rng.normal(0, 0.1, a.shape) * scale
+    means = lambda x: np.lib.stride_tricks.sliding_window_view(x, (7, 7)).mean(axis=(2, 3))
+    near = lambda x, y: 49 / 48 * means((x - 3.5 * scale) * (y - 3.5 * scale)) - 49 / 48 * means(x - 3.5 * scale) * means(y - 3.5 * scale)
+    spread = max(np.ptp(a), np.ptp(b))
+    c1, c2 = (0.01 * spread) ** 2, (0.03 * spread) ** 2
+    want = 1 - ((2 * means(a) * means(b) + c1) * (2 * near(a, b) + c2) / ((means(a) ** 2 + means(b) ** 2 + c1) * (near(a, a) + near(b, b) + c2))).mean()
+    assert kernels.ssim_distance(a, b) == pytest.approx(want, rel=1e-7)
