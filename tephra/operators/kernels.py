@@ -57,17 +57,23 @@ def sobel(img: np.ndarray) -> np.ndarray:
     return np.hypot(gx, gy)
 
 
-def vector(img: np.ndarray, before: np.ndarray | None) -> dict[str, float]:
+#: What the differences of a frame in [0, 1] are multiplied by. The published features divide them by bounds that hold for gray
+#: levels, so that an edge is never found; `unit` takes them on gray levels.
+SCALES = {"reference": 1.0, "unit": 255.0}
+
+
+def vector(img: np.ndarray, before: np.ndarray | None, scale: str = "reference") -> dict[str, float]:
     """The ten features of a frame in [0, 1]; those of a pair are 0 without an earlier frame."""
+    gain = SCALES[scale]
     gray = np.floor(img * 255)
     lap = img[1:-1, 2:] + img[1:-1, :-2] + img[2:, 1:-1] + img[:-2, 1:-1] - 4 * img[1:-1, 1:-1]
-    m = np.hypot(img[1:-1, 2:] - img[1:-1, :-2], img[2:, 1:-1] - img[:-2, 1:-1]) / 510
+    m = np.hypot(img[1:-1, 2:] - img[1:-1, :-2], img[2:, 1:-1] - img[:-2, 1:-1]) * gain / 510
     strong = np.pad(m > 0.3, 1)
     near = strong[1:-1, 1:-1] | strong[:-2, 1:-1] | strong[2:, 1:-1] | strong[1:-1, :-2] | strong[1:-1, 2:]
     diff = float(np.abs(img - before).mean()) if before is not None else 0.0
     return {
         "optical_flow_mag": 0.0, "lbp_entropy": lbp_entropy(gray), "bright_pixel_ratio": float((gray > 200).mean()), "contour_convexity": 1.0, "pixel_diff_mean": diff,
-        "thermal_gradient": float(sobel(img).mean() / 1448), "bright_zone_area": float((gray > 180).mean()), "texture_roughness": float(lap.std() / 255), "edge_density": float(((m > 0.1) & near).mean()),
+        "thermal_gradient": float(sobel(img).mean() * gain / 1448), "bright_zone_area": float((gray > 180).mean()), "texture_roughness": float(lap.std() * gain / 255), "edge_density": float(((m > 0.1) & near).mean()),
         "temporal_change_score": diff / (1 + float(before.std()) + 1e-6) if before is not None else 0.0,
     }
 
@@ -75,31 +81,61 @@ def vector(img: np.ndarray, before: np.ndarray | None) -> dict[str, float]:
 PAIR = ["night_score", "mad", "most", "p95", "temporal_change", "ssim_distance"]
 
 
-def pair(img: np.ndarray, before: np.ndarray | None, dim: float, dark: float = 30 / 255, bright: float = 60 / 255) -> tuple:
+def pair(img: np.ndarray, before: np.ndarray | None, dim: float, dark: float = 30 / 255, bright: float = 60 / 255, similarity: bool = True) -> tuple:
     """Night score of a frame (its values times `dim`), and what sets it apart from an earlier one of the
-    same shape; null without one."""
+    same shape; null without one. SSIM, the dearest, is null too without `similarity`."""
     low = img * dim
     night = 0.0 if low.mean() >= dark else float((low > bright).mean())
     if before is None or before.shape != img.shape:
         return (night, *[None] * 5)
     d = np.abs(img - before)
-    return night, float(d.mean()), float(d.max()), float(np.percentile(d, 95)), float(d.mean() / (1 + before.std() + 1e-6)), ssim_distance(img, before)
+    return night, float(d.mean()), float(d.max()), float(np.percentile(d, 95)), float(d.mean() / (1 + before.std() + 1e-6)), ssim_distance(img, before) if similarity else None
 
 
-def pair_scores(frames: DataFrame, keep: list[str], dim: float = 1.0) -> DataFrame:
+def pair_scores(frames: DataFrame, keep: list[str], dim: float = 1.0, similarity: bool = True) -> DataFrame:
     """keep columns and the scores of PAIR, from frames(width, pixels, before): the pixels of a frame
     and of the one it is compared with (null without) as arrays by rows."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             of = lambda x, w: None if x is None else np.asarray(x, float).reshape(-1, int(w))
-            rows = [pair(of(a, w), of(b, w), dim) for w, a, b in zip(pdf["width"], pdf["pixels"], pdf["before"], strict=True)]
+            rows = [pair(of(a, w), of(b, w), dim, similarity=similarity) for w, a, b in zip(pdf["width"], pdf["pixels"], pdf["before"], strict=True)]
             yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(rows, columns=PAIR, dtype="Float64")], axis=1)
 
     kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in keep)
     return frames.select(*keep, "width", "pixels", "before").mapInPandas(run, kinds + ", " + ", ".join(f"{c} double" for c in PAIR))
 
 
+STATS = ["mean", "std", "variance", "low", "high", "entropy", "above_200", "above_180", "night_score", "p90", "gray_mean", "gray_variance"]
+
+
+def single(img: np.ndarray, dim: float) -> tuple:
+    """STATS of the values of one frame in [0, 1]; the night score is that of values times dim."""
+    gray = np.floor(img * 255)
+    _, n = np.unique(gray, return_counts=True)
+    share = n / img.size
+    return (
+        img.mean(), img.std(), img.var(), img.min(), img.max(), abs((share * np.log2(share)).sum()), (gray > 200).mean(), (gray > 180).mean(),
+        pair(img, None, dim)[0], np.percentile(img, 90), gray.mean(), gray.var(),
+    )
+
+
+def frame_stats(frames: DataFrame, keep: list[str], dim: float = 1.0) -> DataFrame:
+    """keep columns and STATS, from frames(pixels): an array by rows. Null arrays, arrays without values and arrays with a missing value give nulls.
+
+    An image is one row and is never shuffled; `pixels` has relational twins."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            of = lambda x: None if x is None or not len(x) else np.asarray(x, float)
+            images = map(of, pdf["pixels"])
+            rows = [(None,) * len(STATS) if x is None or np.isnan(x).any() else single(x, dim) for x in images]
+            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(rows, columns=STATS, dtype="Float64")], axis=1)
+
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in keep)
+    return frames.select(*keep, "pixels").mapInPandas(run, kinds + ", " + ", ".join(f"{c} double" for c in STATS))
+
+
 def png_of(img: np.ndarray) -> bytes:
     """A PNG file of gray levels (rows x columns) or colours (rows x columns x 3)."""
     img = np.asarray(img, dtype=np.uint8)
@@ -156,16 +192,16 @@ def unfiltered(rows: np.ndarray, channels: int) -> np.ndarray:
     return out
 
 
-def features(frames: DataFrame) -> DataFrame:
+def features(frames: DataFrame, scale: str = "reference") -> DataFrame:
     """image_id and its ten features, from frames(image_id, width, pixels, before): the
-    pixels of a frame and of the earlier one (null without) as arrays by rows."""
+    pixels of a frame and of the earlier one (null without) as arrays by rows; scale: one of SCALES."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             rows = []
             for i, w, a, b in zip(pdf["image_id"], pdf["width"], pdf["pixels"], pdf["before"], strict=True):
                 shape = (-1, int(w))
-                rows.append({"image_id": i, **vector(np.asarray(a, float).reshape(shape), None if b is None else np.asarray(b, float).reshape(shape))})
+                rows.append({"image_id": i, **vector(np.asarray(a, float).reshape(shape), None if b is None else np.asarray(b, float).reshape(shape), scale)})
             yield pd.DataFrame(rows, columns=["image_id", *FEATURES])
 
     return frames.select("image_id", "width", "pixels", "before").mapInPandas(run, "image_id long, " + ", ".join(f"{f} double" for f in FEATURES))

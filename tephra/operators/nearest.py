@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels
 from ..sources.work import written
+from .graph import merged
 from .quantiles import quantiles
 
 BLOCK_BYTES = 16_000_000
@@ -224,11 +225,16 @@ def zone_metrics(maps: DataFrame, width: int, threshold: float = 0.7) -> DataFra
     return maps.groupBy("image_id").agg((100 * F.count_if(on) / F.count(F.lit(1))).alias("active_percent"), middle(x).alias("centroid_x"), middle(y).alias("centroid_y"), F.max("norm").alias("highest"), F.count_if(on).alias("n_active"))
 
 
+def weight_parts(row, col, exp=np.exp, sqrt=np.sqrt):  # noqa: ANN001, ANN201
+    """Crater, ring around it and slope at places of the unit square, as arrays or (with Spark's functions) columns."""
+    crater = exp(-((row - 0.4) * (row - 0.4) + (col - 0.5) * (col - 0.5)) / (2 * 0.25**2))
+    off = sqrt((row - 0.5) * (row - 0.5) + (col - 0.5) * (col - 0.5)) - 0.3
+    return crater, exp(-off * off / (2 * 0.15**2)), exp(-(row - 0.75) * (row - 0.75) / (2 * 0.2**2))
+
+
 def weight(row: Column, col: Column) -> Column:
     """Where activity is to be expected: crater, ring around it and slope, by the features."""
-    crater = F.exp(-((row - 0.4) * (row - 0.4) + (col - 0.5) * (col - 0.5)) / (2 * 0.25**2))
-    off = F.sqrt((row - 0.5) * (row - 0.5) + (col - 0.5) * (col - 0.5)) - 0.3
-    ring, slope = F.exp(-off * off / (2 * 0.15**2)), F.exp(-(row - 0.75) * (row - 0.75) / (2 * 0.2**2))
+    crater, ring, slope = weight_parts(row, col, F.exp, F.sqrt)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return crater * (0.4 + 0.6 * z("thermal_gradient")) + ring * z("edge_density") + slope * (z("bright_zone_area") + z("bright_pixel_ratio")) + 0.1
 
@@ -252,43 +258,88 @@ def heatmap(df: DataFrame, score: str, by: list[str], size: int = 16) -> DataFra
 
 
 def heatmap_max(df: DataFrame, score: str, by: list[str], size: int = 16) -> DataFrame:
-    """The grid of the greatest weight times score of any image, scaled to its maximum. It is no sum
-    over features, so every image meets every cell; partial maxima are all that is shuffled."""
+    """The grid of the greatest weight times score of any image, scaled to its maximum.
+
+    It is no sum over features, so every image meets every cell: the weight is a product of four numbers of an image with four of a
+    cell, and each Arrow batch gives one row of maxima for each of its groups. No cell of an image becomes a row."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     s = F.col(score)
-    used = df.filter(s.isNotNull() & (s != 0)).select(*by, s.alias("_s"), *map(z, ("thermal_gradient", "edge_density", "bright_zone_area", "bright_pixel_ratio")))
-    cells = used.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    top = cells.groupBy(*by, "row", "col").agg(F.max(weight(F.col("row") / (size - 1), F.col("col") / (size - 1)) * F.col("_s")).alias("v"))
-    return top.withColumn("max", F.col("v") / F.max("v").over(W.partitionBy(*by))).drop("v")
-
+    used = df.filter(s.isNotNull() & (s != 0)).select(*by, s.cast("double").alias("_s"), *map(z, ("thermal_gradient", "edge_density", "bright_zone_area", "bright_pixel_ratio")))
+    at = np.arange(size) / (size - 1)
+    crater, ring, slope = (np.ravel(x) for x in np.broadcast_arrays(*weight_parts(at[:, None], at[None, :])))
+    cell = np.stack([0.4 * crater + 0.1, 0.6 * crater, ring, slope])
 
-def clusters(grid: DataFrame, by: str, threshold: float = 0.5, least: int = 2) -> DataFrame:
-    """4-connected groups of cells at or over the threshold: centroid, mean, size, bounds, and rank by score.
-
-    One grid, a fixed number of cells, is a group; labels spread inside it until
-    nothing changes."""
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            group = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+            score_ = pdf["_s"].to_numpy()
+            image = np.stack([score_, score_ * pdf["thermal_gradient"], score_ * pdf["edge_density"], score_ * (pdf["bright_zone_area"] + pdf["bright_pixel_ratio"])], axis=1)
+            out = pdf[by].iloc[order[first]].reset_index(drop=True)
+            out["top"] = list(np.maximum.reduceat((image @ cell)[order], first, axis=0))
+            yield out
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    tops = used.mapInPandas(run, f"{kinds}, top array<double>").select(*by, F.posexplode("top").alias("at", "v"))
+    tops = tops.groupBy(*by, "at").agg(F.max("v").alias("v"))
+    return tops.select(*by, F.floor(F.col("at") / size).cast("int").alias("row"), (F.col("at") % size).alias("col"), (F.col("v") / F.max("v").over(W.partitionBy(*by))).alias("max"))
+
+
+def labelled(value: np.ndarray, threshold: float) -> np.ndarray:
+    """For cells at or over the threshold the smallest position (by rows) in their 4-connected group; for others the number of cells."""
+    on = value >= threshold
+    label = np.where(on, np.arange(on.size).reshape(on.shape), on.size)
+    while True:
+        framed = np.pad(label, 1, constant_values=on.size)
+        near = np.minimum.reduce([label, framed[:-2, 1:-1], framed[2:, 1:-1], framed[1:-1, :-2], framed[1:-1, 2:]])
+        after = np.where(on, near, on.size)
+        after = np.where(on, np.minimum(after, np.r_[after.ravel(), on.size][after]), on.size)  # a label may point on
+        if (after == label).all():
+            return label
+        label = after
+
+
+def clusters(grid: DataFrame, by: str, threshold: float = 0.5, least: int = 2, tile: int = 64) -> DataFrame:
+    """4-connected groups of cells at or over the threshold: centroid, mean, size, bounds, and rank by score (ties: the first cell by rows).
+
+    Cells are labelled in tiles of tile x tile cells, each a task's group, whatever the size of a grid. A tile gives one row for each of its
+    groups: sums, bounds and the seams (sides between two tiles) that it touches. Two groups that touch one seam are linked, and the
+    classes of links are merged; a grid of one tile has none."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = np.full((int(pdf["row"].max()) + 3, int(pdf["col"].max()) + 3), -np.inf)
-        value[pdf["row"] + 1, pdf["col"] + 1] = pdf["value"]
-        on = value >= threshold
-        label = np.where(on, np.arange(on.size).reshape(on.shape), on.size)
-        while True:
-            near = np.minimum.reduce([label, *(np.roll(label, d, axis=a) for a in (0, 1) for d in (1, -1))])
-            after = np.where(on, near, on.size)
-            if (after == label).all():
-                break
-            label = after
-        rows = []
-        for k in np.unique(label[on]):
-            r, c = np.nonzero(label == k)
-            if len(r) >= least:
-                rows.append((r.mean() - 1, c.mean() - 1, value[r, c].mean(), len(r), r.min() - 1, r.max() - 1, c.min() - 1, c.max() - 1))
-        names = ["centroid_row", "centroid_col", "score", "size", "row_min", "row_max", "col_min", "col_max"]
-        out = pd.DataFrame(sorted(rows, key=lambda r: -r[2]), columns=names)
-        out["rank"] = range(1, len(out) + 1)
+        pdf = pdf.drop_duplicates(["row", "col"], keep="last")  # a cell has one value
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        top, left = row[0] // tile * tile, col[0] // tile * tile
+        value = np.full((tile, tile), -np.inf)
+        value[row - top, col - left] = pdf["value"]
+        label = labelled(value, threshold)[row - top, col - left]
+        cells = pd.DataFrame({"label": label, "row": row, "col": col, "value": pdf["value"].to_numpy()})
+        names = {"n": ("row", "size"), "rows": ("row", "sum"), "cols": ("col", "sum"), "total": ("value", "sum"), "row_min": ("row", "min"), "row_max": ("row", "max"), "col_min": ("col", "min"), "col_max": ("col", "max")}
+        out = cells.groupby("label").agg(**names)
+        touched: dict[int, list] = {k: [] for k in out.index}
+        for side, on in ((0, row == top), (1, col == left), (2, row == top + tile - 1), (3, col == left + tile - 1)):  # a seam is named by the cell below or to the right of it
+            for k, r, c in zip(label[on].tolist(), row[on].tolist(), col[on].tolist(), strict=True):
+                touched[k].append((side % 2, r + (side == 2), c + (side == 3)))
+        out["seams"] = list(touched.values())
+        out = out.reset_index()
+        out["label"] = (top + out["label"] // tile) * (1 << 31) + left + out["label"] % tile
         out.insert(0, by, pdf[by].iloc[0])
         return out
 
     kind = grid.schema[by].dataType.simpleString()
-    return grid.groupBy(by).applyInPandas(of, f"{by} {kind}, centroid_row double, centroid_col double, score double, size int, row_min int, row_max int, col_min int, col_max int, rank int")
+    on = grid.filter((F.col("value") >= threshold) & ~F.isnan("value")).select(by, "row", "col", "value", F.floor(F.col("row") / tile).alias("_y"), F.floor(F.col("col") / tile).alias("_x"))
+    fields = "label long, n long, rows double, cols double, total double, row_min int, row_max int, col_min int, col_max int, seams array<struct<side: int, row: long, col: long>>"
+    parts = written(on.groupBy(by, "_y", "_x").applyInPandas(of, f"`{by}` {kind}, {fields}"), "tiles")
+    seams = parts.select(by, "label", F.explode("seams").alias("seam")).groupBy(by, "seam").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    roots = merged(seams.filter("n > 1"), by)
+    same = F.col("p.label").eqNullSafe(F.col("r.label")) & F.col(f"p.{by}").eqNullSafe(F.col(f"r.{by}"))
+    rooted = parts.alias("p").join(roots.alias("r"), same, "left").select("p.*", F.coalesce("root", "p.label").alias("first"))
+    n = F.sum("n")
+    whole = rooted.groupBy(by, "first").agg(
+        (F.sum("rows") / n).alias("centroid_row"), (F.sum("cols") / n).alias("centroid_col"), (F.sum("total") / n).alias("score"), n.cast("int").alias("size"),
+        F.min("row_min").alias("row_min"), F.max("row_max").alias("row_max"), F.min("col_min").alias("col_min"), F.max("col_max").alias("col_max"))
+    rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "first"))
+    return whole.filter(F.col("size") >= least).withColumn("rank", rank).drop("first")

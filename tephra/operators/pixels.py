@@ -7,6 +7,8 @@ windows over whole images.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,6 +117,23 @@ def normalised(px: DataFrame, how: str = "minmax") -> DataFrame:
     return px.join(of, "image_id").withColumn("norm", F.when(flat, 0.0).otherwise(scaled)).withColumn("gray", level(F.col("norm"))).drop("_a", "_z", "_m", "_s")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row however often body names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stretched(values: Column, low: Column, high: Column, flat: float | None = 0.0) -> Column:
+    """An array by its own range: bounds are computed once for each array. `flat` takes the place of all values of one without a range."""
+    span = lambda b: F.transform(values, lambda x: F.when(b["z"] - b["a"] < 1e-6, F.lit(flat)).otherwise(F.try_divide(x - b["a"], b["z"] - b["a"])))
+    return let(F.struct(low.alias("a"), high.alias("z")), span)
+
+
+def exploded(frames: DataFrame, value: str, width: Column) -> DataFrame:
+    """image_id, x, y, v of an array by rows: pixels without a shuffle."""
+    at = frames.select("image_id", width.alias("_w"), F.posexplode(value).alias("_p", "v"))
+    return at.select("image_id", (F.col("_p") % F.col("_w")).alias("x"), F.floor(F.col("_p") / F.col("_w")).cast("int").alias("y"), "v")
+
+
 def crop(px: DataFrame, x_min: int | None = None, x_max: int | None = None, y_min: int | None = None, y_max: int | None = None) -> DataFrame:
     """Pixels inside the bounds with the origin moved there; without all four bounds the whole image."""
     if None in (x_min, x_max, y_min, y_max):

@@ -33,9 +33,14 @@ def with_before(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame
     return pairs.join(fr, "image_id").join(before, "prev_id", "left").withColumn("width", F.lit(8))
 
 
-def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores of every frame against the one before it."""
-    return kernels.pair_scores(with_before(spark, sf_dir, pairs_of(spark, sf_dir)), ["image_id"])
+def compared(spark: SparkSession, sf_dir: str, similarity: bool = True) -> DataFrame:
+    """The scores of every frame against the one before it; frames meet as arrays."""
+    return kernels.pair_scores(with_before(spark, sf_dir, pairs_of(spark, sf_dir)), ["image_id"], similarity=similarity)
+
+
+def stats_of(spark: SparkSession, sf_dir: str, dim: float = 1.0) -> DataFrame:
+    """The statistics of every frame by itself, in one pass without a shuffle."""
+    return kernels.frame_stats(views.frames(spark, sf_dir), ["image_id"], dim)
 
 
 _G = "floor(v * 255)"
@@ -44,32 +49,32 @@ _BOTH = ", bo AS (SELECT a.image_id, b.image_id AS prev_id, a.x, a.y, a.v, b.v A
 
 @query("SELECT image_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(var_pop(v), 6) AS variance, min(v) AS low, max(v) AS high, (max(x) + 1)::INT AS width, (max(y) + 1)::INT AS height FROM px GROUP BY image_id", FRAMES_SQL)
 def pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.stats(px_of(spark, sf_dir)).withColumns({c: r6(c) for c in ("mean", "std", "variance")})
+    return stats_of(spark, sf_dir).select("image_id", *[r6(c).alias(c) for c in ("mean", "std", "variance")], "low", "high", F.lit(8).alias("width"), F.lit(8).alias("height"))
 
 
 @query(f", c AS (SELECT image_id, {_G} AS g, count(*) AS c FROM px GROUP BY ALL) SELECT image_id, round(-sum(c / 64 * log2(c / 64)), 6) + 0.0 AS entropy FROM c GROUP BY image_id", FRAMES_SQL)
 def pixel_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.entropy(px_of(spark, sf_dir)).withColumn("entropy", r6("entropy") + 0.0)
+    return stats_of(spark, sf_dir).select("image_id", (r6("entropy") + 0.0).alias("entropy"))
 
 
 @query(f"SELECT image_id, round(avg(CASE WHEN {_G} > 200 THEN 1 ELSE 0 END), 6) AS above_200, round(avg(CASE WHEN {_G} > 180 THEN 1 ELSE 0 END), 6) AS above_180 FROM px GROUP BY image_id", FRAMES_SQL)
 def bright_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.bright_share(px_of(spark, sf_dir), 200, 180).withColumns({"above_200": r6("above_200"), "above_180": r6("above_180")})
+    return stats_of(spark, sf_dir).select("image_id", r6("above_200").alias("above_200"), r6("above_180").alias("above_180"))
 
 
 @query(f"SELECT image_id, round(avg(CASE WHEN {_G} > 180 THEN 1 ELSE 0 END), 6) AS above_180 FROM px GROUP BY image_id", FRAMES_SQL)
 def bright_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.bright_share(px_of(spark, sf_dir), 180).withColumn("above_180", r6("above_180"))
+    return stats_of(spark, sf_dir).select("image_id", r6("above_180").alias("above_180"))
 
 
 @query("SELECT image_id, round(CASE WHEN avg(v / 4) >= 30 / 255 THEN 0 ELSE avg(CASE WHEN v / 4 > 60 / 255 THEN 1 ELSE 0 END) END, 6) AS night_score FROM px GROUP BY image_id", FRAMES_SQL)
 def night_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.night_score(px_of(spark, sf_dir).withColumn("v", F.col("v") / 4)).withColumn("night_score", r6("night_score"))
+    return stats_of(spark, sf_dir, dim=0.25).select("image_id", r6("night_score").alias("night_score"))
 
 
-def single(spark: SparkSession, sf_dir: str) -> DataFrame:
+def single(spark: SparkSession, sf_dir: str, scale: str = "reference") -> DataFrame:
     """The features of the frames by themselves."""
-    return kernels.features(views.frames(spark, sf_dir).select("image_id", "pixels", F.lit(8).alias("width"), F.lit(None).cast("array<double>").alias("before")))
+    return kernels.features(views.frames(spark, sf_dir).select("image_id", "pixels", F.lit(8).alias("width"), F.lit(None).cast("array<double>").alias("before")), scale)
 
 
 def _tap(kernel: dict) -> str:
@@ -89,9 +94,12 @@ def texture_roughness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(spark, sf_dir).select("image_id", F.round("texture_roughness", 8).alias("texture_roughness"))
 
 
-@query(_NEAR + f", g AS (SELECT image_id, x, y, sqrt(({_tap(pixels.DIFFERENCE['gx'])}) ** 2 + ({_tap(pixels.DIFFERENCE['gy'])}) ** 2) / 2 AS m FROM nb) SELECT a.image_id, round(avg(CASE WHEN a.m > 0.1 AND EXISTS (SELECT 1 FROM g b WHERE b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 AND b.m > 0.3) THEN 1 ELSE 0 END), 6) AS edge_density FROM g a GROUP BY a.image_id", FRAMES_SQL)
+_EDGES = f"g AS (SELECT image_id, x, y, sqrt(({_tap(pixels.DIFFERENCE['gx'])}) ** 2 + ({_tap(pixels.DIFFERENCE['gy'])}) ** 2) / 2 AS m FROM nb), eg AS (SELECT a.image_id, avg(CASE WHEN a.m > 0.1 AND EXISTS (SELECT 1 FROM g b WHERE b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 AND b.m > 0.3) THEN 1 ELSE 0 END) AS e FROM g a GROUP BY a.image_id)"
+
+
+@query(_NEAR + f", {_EDGES} SELECT image_id, round(e, 6) AS edge_density FROM eg", FRAMES_SQL)
 def edge_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.edge_density(px_of(spark, sf_dir), scale=2.0).withColumn("edge_density", r6("edge_density"))
+    return single(spark, sf_dir, "unit").select("image_id", r6("edge_density").alias("edge_density"))
 
 
 _MAD = _BOTH + " SELECT image_id, {c} FROM bo GROUP BY image_id"
@@ -99,22 +107,22 @@ _MAD = _BOTH + " SELECT image_id, {c} FROM bo GROUP BY image_id"
 
 @query(_MAD.format(c="round(avg(abs(v - w)), 6) AS mad"), FRAMES_SQL)
 def mad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.mad(pixels.frame_pairs(px_of(spark, sf_dir), pairs_of(spark, sf_dir))).select("image_id", r6("mad").alias("mad"))
+    return compared(spark, sf_dir, similarity=False).select("image_id", r6("mad").alias("mad"))
 
 
 @query(_MAD.format(c="round(avg(abs(v - w)), 6) AS pixel_diff"), FRAMES_SQL)
 def pixel_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.mad(pixels.frame_pairs(px_of(spark, sf_dir), pairs_of(spark, sf_dir))).select("image_id", r6("mad").alias("pixel_diff"))
+    return compared(spark, sf_dir, similarity=False).select("image_id", r6("mad").alias("pixel_diff"))
 
 
 @query(_MAD.format(c="round(avg(abs(v - w)) / (1 + stddev_pop(w) + 1e-6), 6) AS temporal_change"), FRAMES_SQL)
 def temporal_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.mad(pixels.frame_pairs(px_of(spark, sf_dir), pairs_of(spark, sf_dir))).select("image_id", r6("temporal_change").alias("temporal_change"))
+    return compared(spark, sf_dir, similarity=False).select("image_id", r6("temporal_change").alias("temporal_change"))
 
 
 @query(_MAD.format(c="round(100 * avg(abs(v - w)), 4) AS mean_percent, round(100 * max(abs(v - w)), 4) AS max_percent, round(100 * quantile_cont(abs(v - w), 0.95), 4) AS p95_percent"), FRAMES_SQL)
 def recon_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pixels.mad(pixels.frame_pairs(px_of(spark, sf_dir), pairs_of(spark, sf_dir)))
+    d = compared(spark, sf_dir, similarity=False)
     return d.select("image_id", *[F.round(100 * F.col(c), 4).alias(n) for c, n in (("mad", "mean_percent"), ("most", "max_percent"), ("p95", "p95_percent"))])
 
 
@@ -136,7 +144,9 @@ def ssim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", q AS (SELECT image_id, x, y, v / 2 + 0.1 AS v FROM px), m AS (SELECT image_id, min(v) AS a, max(v) AS z FROM q GROUP BY image_id) SELECT image_id, x, y, round((v - a) / (z - a), 6) AS norm FROM q JOIN m USING (image_id)", FRAMES_SQL)
 def normalize_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.normalised(px_of(spark, sf_dir).withColumn("v", F.col("v") / 2 + 0.1)).select("image_id", "x", "y", r6("norm").alias("norm"))
+    dull = views.frames(spark, sf_dir).select("image_id", F.transform("pixels", lambda v: v / 2 + 0.1).alias("v"))
+    norm = dull.select("image_id", pixels.stretched(F.col("v"), F.array_min("v"), F.array_max("v")).alias("norm"))
+    return pixels.exploded(norm, "norm", F.lit(8)).select("image_id", "x", "y", r6("v").alias("norm"))
 
 
 @query("SELECT image_id, x - 2 AS x, y - 1 AS y, v FROM px WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 6", FRAMES_SQL)
@@ -152,8 +162,8 @@ def pixel_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT image_id, round((pixels[p] - a) / (z - a), 6) AS norm, p - 1 AS patch FROM (SELECT image_id, pixels, list_min(pixels) AS a, list_max(pixels) AS z, unnest(range(1, 65)) AS p FROM fr)", FRAMES_SQL)
 def attention_grid_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pixels.normalised(px_of(spark, sf_dir))
-    return out.select("image_id", r6("norm").alias("norm"), (F.col("y") * 8 + F.col("x")).alias("patch"))
+    norm = pixels.stretched(F.col("pixels"), F.array_min("pixels"), F.array_max("pixels"))
+    return views.frames(spark, sf_dir).select("image_id", F.posexplode(norm).alias("patch", "norm")).select("image_id", r6("norm").alias("norm"), "patch")
 
 
 #: One frame an hour from 2019 on, thirty days a month.
@@ -216,14 +226,14 @@ _FEATURES = _NEAR + f", tg AS (SELECT image_id, avg(sqrt(({_tap(pixels.SOBEL['gx
 
 
 @query(_FEATURES + " SELECT image_id, 0.0::DOUBLE AS optical_flow_mag, round(h, 5) AS lbp_entropy, round(b, 6) AS bright_pixel_ratio, 1.0::DOUBLE AS contour_convexity, round(coalesce(d, 0), 6) AS pixel_diff_mean, round(g, 6) AS thermal_gradient, round(z, 6) AS bright_zone_area, round(r, 6) AS texture_roughness, 0.0::DOUBLE AS edge_density, round(coalesce(t, 0), 6) AS temporal_change_score FROM b JOIN tg USING (image_id) JOIN lb USING (image_id) LEFT JOIN d USING (image_id)", _TWOS)
-def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features_all(spark: SparkSession, sf_dir: str, scale: str = "reference") -> DataFrame:
     """The ten features of every frame that is not corrupted, paired with its camera's last one of
-    the twenty minutes before. Gradients of frames in [0, 1] stay below the edge thresholds."""
+    the twenty minutes before. In the published scale no edge of a frame in [0, 1] is found (see `kernels.SCALES`)."""
     i = F.col("image_id")
     ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id")).filter(i % 11 != 5)
     at = F.timestamp_add("MINUTE", (F.floor(i / 2) * 30 + i % 2 * 7).cast("int"), F.lit("2019-01-01").cast("timestamp_ntz"))
     rows = ids.withColumns({"camera": F.element_at(F.array(*map(F.lit, ("kalor", "suki", "kali"))), (F.floor(i / 2) % 3 + 1).cast("int")), "at": at})
-    out = kernels.features(with_before(spark, sf_dir, pixels.previous_in_gap(rows).select("image_id", "prev_id")))
+    out = kernels.features(with_before(spark, sf_dir, pixels.previous_in_gap(rows).select("image_id", "prev_id")), scale)
     return out.select("image_id", *[F.round(c, 5 if c == "lbp_entropy" else 6).alias(c) for c in kernels.FEATURES])
 
 
@@ -232,10 +242,10 @@ def lbp_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return single(spark, sf_dir).select("image_id", F.round("lbp_entropy", 5).alias("lbp_entropy"))
 
 
-@query(_FEATURES + " SELECT image_id, round(coalesce(d, 0), 6) AS pixel_diff_mean, round(coalesce(t, 0), 6) AS temporal_change_score, round(b, 6) AS bright_pixel_ratio, round(z, 6) AS bright_zone_area, round(g, 6) AS thermal_gradient, round(r, 6) AS texture_roughness, round(h, 5) AS lbp_entropy FROM b JOIN tg USING (image_id) JOIN lb USING (image_id) LEFT JOIN d USING (image_id)", _TWOS)
+@query(_FEATURES + f", {_EDGES} SELECT image_id, round(coalesce(d, 0), 6) AS pixel_diff_mean, round(coalesce(t, 0), 6) AS temporal_change_score, round(b, 6) AS bright_pixel_ratio, round(z, 6) AS bright_zone_area, round(g * 255, 6) AS thermal_gradient, round(r * 255, 6) AS texture_roughness, round(h, 5) AS lbp_entropy, round(e, 6) AS edge_density FROM b JOIN tg USING (image_id) JOIN lb USING (image_id) JOIN eg USING (image_id) LEFT JOIN d USING (image_id)", _TWOS)
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Arrow kernels against their relational SQL twins."""
-    return features_all(spark, sf_dir).select("image_id", "pixel_diff_mean", "temporal_change_score", "bright_pixel_ratio", "bright_zone_area", "thermal_gradient", "texture_roughness", "lbp_entropy")
+    """The features in the unit scale, in which frames have edges."""
+    return features_all(spark, sf_dir, "unit").select("image_id", "pixel_diff_mean", "temporal_change_score", "bright_pixel_ratio", "bright_zone_area", "thermal_gradient", "texture_roughness", "lbp_entropy", "edge_density")
 
 
 _SHRUNK = ", z AS (SELECT image_id, i, j, sum(v * 255 * greatest(0, least(y, 1.5 * (i + 1)) - greatest(y - 1, 1.5 * i)) * greatest(0, least(x + 1, 2 * (j + 1)) - greatest(x, 2 * j))) / 3 / 255 AS a FROM px, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j) WHERE y BETWEEN 1 AND 6 GROUP BY ALL), e AS (SELECT image_id, min(a) AS lo, max(a) AS hi FROM z GROUP BY image_id), g AS (SELECT image_id, i, j, floor((a - lo) / (hi - lo) * 255) AS g FROM z JOIN e USING (image_id))"
@@ -252,6 +262,5 @@ def preprocess_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f", m AS (SELECT image_id, avg({_G}) AS mean, var_pop({_G}) AS var FROM px GROUP BY image_id), f AS (SELECT image_id, CASE WHEN mean < 30 THEN 'dark' WHEN var < 50 THEN 'cloudy' ELSE 'usable' END AS flag FROM m) SELECT flag, count(*) AS n FROM f GROUP BY flag", FRAMES_SQL)
 def rebuild_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pixels.stats(px_of(spark, sf_dir).withColumn("v", pixels.level(F.col("v")).cast("double")))
-    flag = levels.quality_flag(F.lit(5000), F.lit(True), F.col("mean"), F.col("variance"))
-    return s.groupBy(flag.alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    flag = levels.quality_flag(F.lit(5000), F.lit(True), F.col("gray_mean"), F.col("gray_variance"))
+    return stats_of(spark, sf_dir).groupBy(flag.alias("flag")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, levels
-from ..operators import evaluate, models, nearest, report, sample, select
+from ..operators import evaluate, kernels, models, nearest, report, sample, select
 from ..operators.quantiles import quantiles
 from ..operators.report import r6
 from . import views
@@ -209,7 +209,7 @@ def activity_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT image_id, round(quantile_cont(v, 0.9), 6) AS activity FROM px GROUP BY image_id", FRAMES_SQL)
 def activity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.pixels(spark, sf_dir).groupBy("image_id").agg(r6(F.percentile("v", F.lit(0.9))).alias("activity"))
+    return kernels.frame_stats(views.frames(spark, sf_dir), ["image_id"]).select("image_id", r6("p90").alias("activity"))
 
 
 _REACH = """on_ AS (SELECT image_id, y * 8 + x AS p, x, y, v FROM px WHERE v >= 0.6), ed AS (SELECT a.image_id, a.p AS a, b.p AS b FROM on_ a JOIN on_ b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) <= 1),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import pixels as pixel_kernels
+
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image index with scores and features, one row per event.
@@ -65,13 +67,14 @@ def event_catalogue(spark: SparkSession) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vector read as an 8 x 8 gray frame: image_id, label, pixels scaled to [0, 1]."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("raw"))
-    low, high = F.array_min("raw"), F.array_max("raw")
-    return e.select("image_id", "label", F.transform("raw", lambda x: F.try_divide(x - low, high - low)).alias("pixels"))
+    bounds = F.struct(F.array_min("raw").alias("low"), F.array_max("raw").alias("high"))
+    scaled = pixel_kernels.let(bounds, lambda b: F.transform("raw", lambda x: F.try_divide(x - b["low"], b["high"] - b["low"])))  # bounds once a frame, not once a pixel
+    return e.select("image_id", "label", scaled.alias("pixels"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames one pixel a row: image_id, x, y, v."""
-    return frames(spark, sf_dir).select("image_id", F.posexplode("pixels").alias("p", "v")).select("image_id", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "v")
+    return pixel_kernels.exploded(frames(spark, sf_dir), "pixels", F.lit(8))
 
 
 FRAMES_SQL = """fr AS (SELECT vec_id AS image_id, label, [(x::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) for x in embedding] AS pixels FROM embeddings),

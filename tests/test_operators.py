@@ -559,3 +559,87 @@ def test_ssim_by_summed_areas(scale):
     c1, c2 = (0.01 * spread) ** 2, (0.03 * spread) ** 2
     want = 1 - ((2 * means(a) * means(b) + c1) * (2 * near(a, b) + c2) / ((means(a) ** 2 + means(b) ** 2 + c1) * (near(a, a) + near(b, b) + c2))).mean()
     assert kernels.ssim_distance(a, b) == pytest.approx(want, rel=1e-7)
+
+
+def flooded(on):
+    """4-connected groups of a set of cells."""
+    left, groups = set(on), []
+    while left:
+        todo, group = [min(left)], set()
+        while todo:
+            cell = todo.pop()
+            if cell in left:
+                left.discard(cell)
+                group.add(cell)
+                todo += [(cell[0] + 1, cell[1]), (cell[0] - 1, cell[1]), (cell[0], cell[1] + 1), (cell[0], cell[1] - 1)]
+        groups.append(group)
+    return groups
+
+
+@pytest.mark.parametrize("tile", [2, 3, 64])
+def test_clusters_over_tiles(spark, tile):
+    """Groups that cross many tiles, a snake through all of them, a grid without a name and one without active cells."""
+    rng = np.random.default_rng(tile)
+    grids = {"a": rng.random((13, 17)), "b": rng.random((13, 17)) + 0.12, None: rng.random((7, 9)), "off": np.full((4, 4), 0.1)}
+    snake = np.full((11, 12), 0.0)
+    snake[::2] = 0.9
+    snake[1::4, -1] = snake[3::4, 0] = 0.8
+    grids["snake"] = snake
+    cells = [(k, r, c, float(v)) for k, g in grids.items() for (r, c), v in np.ndenumerate(g)] + [("off", 9, 9, float("nan")), ("off", 9, 8, None)]
+    got = {}
+    for r in nearest.clusters(spark.createDataFrame(cells, "k string, row int, col int, value double"), "k", 0.5, 2, tile).collect():
+        got.setdefault(r.k, {})[r["rank"]] = (r["size"], r.row_min, r.row_max, r.col_min, r.col_max, r.centroid_row, r.centroid_col, r.score)
+    assert set(got) == {"a", "b", None, "snake"}
+    for k, found in got.items():
+        g = grids[k]
+        groups = [x for x in flooded(zip(*(i.tolist() for i in np.nonzero(g >= 0.5)), strict=True)) if len(x) >= 2]
+        groups.sort(key=lambda x: (-np.mean([g[i] for i in x]), min(x)))
+        of = lambda x: (len(x), min(r for r, _ in x), max(r for r, _ in x), min(c for _, c in x), max(c for _, c in x), np.mean([r for r, _ in x]), np.mean([c for _, c in x]), np.mean([g[i] for i in x]))  # noqa: B023, E731
+        assert sorted(found) == list(range(1, len(groups) + 1))
+        assert all(found[i + 1] == pytest.approx(of(x)) for i, x in enumerate(groups))
+    assert len(got["snake"]) == 1
+
+
+def test_heatmap_of_maxima(spark):
+    rng = np.random.default_rng(8)
+    names = ["thermal_gradient", "edge_density", "bright_zone_area", "bright_pixel_ratio"]
+    rows = [(["x", "y", None][i % 3], i % 2, *[None if rng.random() < 0.1 else float(v) for v in rng.random(4)], [None, 0.0, float(rng.normal())][min(2, i % 7)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "camera string, year int, " + ", ".join(f"{n} double" for n in names) + ", s double")
+    got = {(r.camera, r.year, r.row, r.col): r.max for r in nearest.heatmap_max(df.repartition(3), "s", ["camera", "year"], 5).collect()}
+    used = df.filter("s <> 0").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    want = used.groupBy("camera", "year", "row", "col").agg(F.max(nearest.weight(F.col("row") / 4, F.col("col") / 4) * F.col("s")).alias("v")).collect()
+    top = {}
+    for r in want:
+        top[r.camera, r.year] = max(top.get((r.camera, r.year), -9.0), r.v)
+    assert got == pytest.approx({(r.camera, r.year, r.row, r.col): r.v / top[r.camera, r.year] for r in want}) and len(got) == 6 * 25
+
+
+def test_frame_stats_match_the_relational_kernels(spark):
+    rng = np.random.default_rng(4)
+    images = {1: rng.random((9, 7)), 2: np.full((9, 7), 0.25), 3: rng.random((9, 7)) / 12, 4: np.floor(rng.random((9, 7)) * 3) / 2}
+    rows = [(i, m.ravel().tolist()) for i, m in images.items()] + [(5, None), (6, []), (7, [0.1, None])]
+    frames = spark.createDataFrame(rows, "image_id long, pixels array<double>")
+    got = {r.image_id: r for r in kernels.frame_stats(frames, ["image_id"], 0.5).collect()}
+    px = pixels.exploded(frames.filter("image_id < 5"), "pixels", F.lit(7))
+    twins = [pixels.stats(px), pixels.entropy(px), pixels.bright_share(px, 200, 180), pixels.night_score(px.withColumn("v", F.col("v") / 2)), px.groupBy("image_id").agg(F.percentile("v", F.lit(0.9)).alias("p90"))]
+    gray = pixels.stats(px.withColumn("v", pixels.level(F.col("v")).cast("double"))).select("image_id", F.col("mean").alias("gray_mean"), F.col("variance").alias("gray_variance"))
+    for df in (*twins, gray):
+        for r in df.collect():
+            assert all(got[r.image_id][c] == pytest.approx(r[c], abs=1e-9) for c in df.columns if c in kernels.STATS)
+    assert all(got[i][c] is None for i in (5, 6, 7) for c in kernels.STATS)
+    norm = frames.select("image_id", pixels.stretched(F.col("pixels"), F.array_min("pixels"), F.array_max("pixels")).alias("n"))
+    far = {(r.image_id, r.x, r.y): r.v for r in pixels.exploded(norm.filter("image_id < 5"), "n", F.lit(7)).collect()}
+    assert far == pytest.approx({(r.image_id, r.x, r.y): r.norm for r in pixels.normalised(px).collect()})
+
+
+def test_edges_exist_in_the_unit_scale(spark):
+    rng = np.random.default_rng(2)
+    step = np.zeros((9, 10))
+    step[:, 5:] = 1.0
+    for img in (step, rng.random((9, 10)), np.full((9, 10), 0.5)):
+        px = as_pixels(spark, img)
+        v = kernels.vector(img, None, "unit")
+        assert v["edge_density"] == pytest.approx(pixels.edge_density(px, scale=2.0).first().edge_density)
+        assert v["thermal_gradient"] == pytest.approx(255 * pixels.thermal_gradient(px).first().thermal_gradient)
+        assert v["texture_roughness"] == pytest.approx(255 * pixels.texture_roughness(px).first().texture_roughness)
+    assert kernels.vector(step, None, "unit")["edge_density"] == pytest.approx(2 / 8) and kernels.vector(step, None)["edge_density"] == 0
