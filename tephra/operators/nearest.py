@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -309,30 +310,34 @@ def clusters(grid: DataFrame, by: str, threshold: float = 0.5, least: int = 2, t
     groups: sums, bounds and the seams (sides between two tiles) that it touches. Two groups that touch one seam are linked, and the
     classes of links are merged; a grid of one tile has none."""
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["row", "col"], keep="last")  # a cell has one value
-        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
-        top, left = row[0] // tile * tile, col[0] // tile * tile
-        value = np.full((tile, tile), -np.inf)
-        value[row - top, col - left] = pdf["value"]
-        label = labelled(value, threshold)[row - top, col - left]
-        cells = pd.DataFrame({"label": label, "row": row, "col": col, "value": pdf["value"].to_numpy()})
-        names = {"n": ("row", "size"), "rows": ("row", "sum"), "cols": ("col", "sum"), "total": ("value", "sum"), "row_min": ("row", "min"), "row_max": ("row", "max"), "col_min": ("col", "min"), "col_max": ("col", "max")}
-        out = cells.groupby("label").agg(**names)
-        touched: dict[int, list] = {k: [] for k in out.index}
-        for side, on in ((0, row == top), (1, col == left), (2, row == top + tile - 1), (3, col == left + tile - 1)):  # a seam is named by the cell below or to the right of it
-            for k, r, c in zip(label[on].tolist(), row[on].tolist(), col[on].tolist(), strict=True):
-                touched[k].append((side % 2, r + (side == 2), c + (side == 3)))
-        out["seams"] = list(touched.values())
-        out = out.reset_index()
-        out["label"] = (top + out["label"] // tile) * (1 << 31) + left + out["label"] % tile
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
+    def of(cells: pa.Table) -> pa.Table:
+        row, col, value = (cells.column(c).to_numpy() for c in ("row", "col", "value"))
+        up, left = row[0] // tile * tile, col[0] // tile * tile
+        y, x = row.min(), col.min()  # no more than the active part of the tile is labelled
+        grid_ = np.full((row.max() - y + 1, col.max() - x + 1), -np.inf)
+        grid_[row - y, col - x] = value  # a cell has one value
+        rows, cols = np.nonzero(grid_ >= threshold)
+        label, at = np.unique(labelled(grid_, threshold)[rows, cols], return_inverse=True)
+        values, width = grid_[rows, cols], grid_.shape[1]
+        rows, cols = rows + y, cols + x
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        each = lambda f, v: f.reduceat(v[order], starts)
+        seams: list[list] = [[] for _ in label]
+        for side, on in ((0, rows == up), (1, cols == left), (2, rows == up + tile - 1), (3, cols == left + tile - 1)):  # a seam is named by the cell below or to the right of it
+            for k, r, c in zip(at[on].tolist(), rows[on].tolist(), cols[on].tolist(), strict=True):
+                seams[k].append({"side": side % 2, "row": r + (side == 2), "col": c + (side == 3)})
+        found = [(label // width + y) * (1 << 31) + label % width + x, np.diff(np.r_[starts, len(at)]), each(np.add, rows), each(np.add, cols), each(np.add, values), each(np.minimum, rows), each(np.maximum, rows), each(np.minimum, cols), each(np.maximum, cols), seams]
+        whose = pa.array(cells.column(by)[:1].to_pylist() * len(label), cells.schema.field(by).type)
+        return pa.table([whose, *map(pa.array, found[:-1], kinds[:-1]), pa.array(seams, kinds[-1])], names=[by, *names])
 
     kind = grid.schema[by].dataType.simpleString()
-    on = grid.filter((F.col("value") >= threshold) & ~F.isnan("value")).select(by, "row", "col", "value", F.floor(F.col("row") / tile).alias("_y"), F.floor(F.col("col") / tile).alias("_x"))
+    on = grid.filter((F.col("value") >= threshold) & ~F.isnan("value"))
+    on = on.select(by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"), F.floor(F.col("row") / tile).alias("_y"), F.floor(F.col("col") / tile).alias("_x"))
+    names = ["label", "n", "rows", "cols", "total", "row_min", "row_max", "col_min", "col_max", "seams"]
+    kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int32()] * 4 + [pa.list_(pa.struct([("side", pa.int32()), ("row", pa.int64()), ("col", pa.int64())]))]
     fields = "label long, n long, rows double, cols double, total double, row_min int, row_max int, col_min int, col_max int, seams array<struct<side: int, row: long, col: long>>"
-    parts = written(on.groupBy(by, "_y", "_x").applyInPandas(of, f"`{by}` {kind}, {fields}"), "tiles")
+    parts = written(on.groupBy(by, "_y", "_x").applyInArrow(of, f"`{by}` {kind}, {fields}"), "tiles")
     seams = parts.select(by, "label", F.explode("seams").alias("seam")).groupBy(by, "seam").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
     roots = merged(seams.filter("n > 1"), by)
     same = F.col("p.label").eqNullSafe(F.col("r.label")) & F.col(f"p.{by}").eqNullSafe(F.col(f"r.{by}"))
