@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import levels
+from ..functions.rounding import rounded
 from ..sources.work import written
 from .graph import merged
 from .quantiles import quantiles
@@ -213,7 +214,7 @@ def scaled(df: DataFrame, value: str, by: str) -> DataFrame:
 
 def patch_metadata(maps: DataFrame, width: int) -> DataFrame:
     """Row, column, rounded score, level and rank of every patch of maps(image_id, patch_id, norm)."""
-    s = F.round("norm", 5)
+    s = rounded("norm", 5)
     rank = F.rank().over(W.partitionBy("image_id").orderBy(F.desc(s)))
     return maps.select("image_id", "patch_id", F.floor(F.col("patch_id") / width).cast("int").alias("row"), (F.col("patch_id") % width).alias("col"), s.alias("score"), levels.anomaly_level(F.col("norm")).alias("level"), rank.alias("rank"))
 

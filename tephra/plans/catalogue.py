@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels, names
+from ..functions.rounding import rounded
 from ..operators import catalog, sample, select
 from .derived import CATEGORIES_SQL, CLASSED_SQL
 from .registry import query
@@ -53,7 +54,7 @@ def update_quality_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = index(spark, sf_dir)
     changes = df.filter("image_id % 4 = 0").select("filename", F.when(F.col("image_id") % 2 == 0, "cloudy").alias("quality_flag"), (F.col("mean_brightness") + 1).alias("mean_brightness"), F.col("image_id").alias("seen"))
     done = catalog.update(df, select.first_of(changes, ["filename"], F.col("seen")).drop("seen"), "filename")
-    return done.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("updated").alias("n_updated"), F.count_if(F.col("quality_flag") == "cloudy").alias("n_cloudy"), F.round(F.sum("mean_brightness"), 3).alias("brightness"))
+    return done.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("updated").alias("n_updated"), F.count_if(F.col("quality_flag") == "cloudy").alias("n_cloudy"), rounded(F.sum("mean_brightness"), 3).alias("brightness"))
 
 
 _OPEN = """, g AS (SELECT *, CASE WHEN image_id % 9 = 1 THEN 'unknown' WHEN image_id % 9 = 2 THEN '' ELSE quality_flag END AS f, CASE WHEN image_id % 5 <> 3 THEN mean_brightness END AS m, CASE WHEN image_id % 4 <> 1 THEN variance END AS v FROM idx),
@@ -143,13 +144,13 @@ def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(", g AS (SELECT camera AS g, day AS i, avg(mean_brightness) AS v FROM idx GROUP BY ALL) SELECT a.g AS a_group, b.g AS b_group, count(*) AS pairs, round(avg(abs(a.v - b.v)), 6) AS mean_difference FROM g a JOIN g b ON a.g < b.g OR (a.g = b.g AND a.i < b.i) GROUP BY ALL")
 def pairwise_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = index(spark, sf_dir).groupBy("camera", "day").agg(F.avg("mean_brightness").alias("v"))
-    return catalog.pairwise(daily, "camera", "day", "v").withColumn("mean_difference", F.round("mean_difference", 6))
+    return catalog.pairwise(daily, "camera", "day", "v").withColumn("mean_difference", rounded("mean_difference", 6))
 
 
 @query(" SELECT a.label AS a_group, b.label AS b_group, count(*) AS pairs, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS similarity FROM e a JOIN e b ON a.label < b.label OR (a.label = b.label AND a.vec_id < b.vec_id) GROUP BY ALL", "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)")
 def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike the images of each two groups are."""
-    return catalog.similar_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "label", "embedding").withColumn("similarity", F.round("similarity", 6))
+    return catalog.similar_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "label", "embedding").withColumn("similarity", rounded("similarity", 6))
 
 
 @query(", a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY filename, image_id) AS rank FROM idx WHERE camera = 'suki'), b AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY filename, image_id) AS rank FROM idx WHERE camera = 'kali') SELECT day, rank, a.image_id AS first, b.image_id AS second FROM a JOIN b USING (day, rank)")

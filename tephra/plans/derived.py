@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import captions, dates, levels, names
+from ..functions.rounding import rounded
 from ..operators import select
 from .registry import query
 from .views import index
@@ -156,13 +157,13 @@ round(CASE WHEN hour BETWEEN 6 AND 9 THEN 1.02 WHEN hour BETWEEN 10 AND 13 THEN
 CASE WHEN hour BETWEEN 6 AND 9 THEN 0.88 WHEN hour BETWEEN 10 AND 13 THEN 0.95 WHEN hour BETWEEN 14 AND 17 THEN 0.88 WHEN hour BETWEEN 18 AND 20 THEN 0.6 WHEN s > 0.3 THEN 0.1 WHEN s > 0.1 THEN 0.2 ELSE 0.45 END::DOUBLE AS b FROM bk""")
 def colour_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     gains = levels.colour_gains(F.col("hour"), F.coalesce("anomaly_score", F.lit(0.0)))
-    return index(spark, sf_dir).select("image_id", F.round(gains["r"], 6).alias("r"), F.round(gains["g"], 6).alias("g"), gains["b"].alias("b"))
+    return index(spark, sf_dir).select("image_id", rounded(gains["r"], 6).alias("r"), rounded(gains["g"], 6).alias("g"), gains["b"].alias("b"))
 
 
 @query("SELECT image_id, round(sin(2 * pi() * coalesce(CASE WHEN image_id % 9 <> 0 THEN hour END, 12) / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * coalesce(CASE WHEN image_id % 9 <> 0 THEN hour END, 12) / 24), 6) + 0.0 AS hour_cos, round(sin(2 * pi() * month / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * month / 12), 6) + 0.0 AS month_cos FROM idx")
 def cyclic_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = dates.cyclic(F.when(F.col("image_id") % 9 != 0, F.col("hour")), F.col("month"))
-    return index(spark, sf_dir).select("image_id", *[(F.round(c, 6) + 0.0).alias(k) for k, c in parts.items()])
+    return index(spark, sf_dir).select("image_id", *[(rounded(c, 6) + 0.0).alias(k) for k, c in parts.items()])
 
 
 _LEVEL = "CASE WHEN {s} < 0.2 THEN 'Normal 🟢' WHEN {s} < 0.4 THEN 'Légère 🟡' WHEN {s} < 0.6 THEN 'Modérée 🟠' WHEN {s} < 0.8 THEN 'Forte 🔴' WHEN {s} IS NOT NULL THEN 'Critique ⚠️' END"
@@ -202,7 +203,7 @@ def score_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT image_id, round(coalesce(list_avg([x for x in [anomaly_score, patchcore_score, CASE WHEN image_id % 3 = 0 THEN thermal_gradient END] if x IS NOT NULL]), 0), 6) AS combined FROM idx")
 def combined_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = levels.mean_of_present(F.col("anomaly_score"), F.col("patchcore_score"), F.when(F.col("image_id") % 3 == 0, F.col("thermal_gradient")))
-    return index(spark, sf_dir).select("image_id", F.round(c, 6).alias("combined"))
+    return index(spark, sf_dir).select("image_id", rounded(c, 6).alias("combined"))
 
 
 _NORM = ", m AS (SELECT min(patchcore_score) AS lo, max(patchcore_score) AS hi FROM idx)"
@@ -210,12 +211,12 @@ _NORM = ", m AS (SELECT min(patchcore_score) AS lo, max(patchcore_score) AS hi F
 
 @query(_NORM + " SELECT image_id, round((patchcore_score - lo) / (hi - lo + 1e-9), 6) AS norm FROM idx, m WHERE patchcore_score IS NOT NULL")
 def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.minmax_norm(index(spark, sf_dir), "patchcore_score").select("image_id", F.round("norm", 6).alias("norm"))
+    return select.minmax_norm(index(spark, sf_dir), "patchcore_score").select("image_id", rounded("norm", 6).alias("norm"))
 
 
 @query(_NORM + " SELECT image_id, round(1 - (patchcore_score - lo) / (hi - lo + 1e-9), 6) AS inverted, true AS correction_applied FROM idx, m WHERE patchcore_score IS NOT NULL")
 def invert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.minmax_norm(index(spark, sf_dir), "patchcore_score").select("image_id", F.round(1 - F.col("norm"), 6).alias("inverted"), F.lit(True).alias("correction_applied"))
+    return select.minmax_norm(index(spark, sf_dir), "patchcore_score").select("image_id", rounded(1 - F.col("norm"), 6).alias("inverted"), F.lit(True).alias("correction_applied"))
 
 
 @query("SELECT image_id, file_size_bytes / 1024 AS size_kb FROM idx")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import captions, dates
+from ..functions.rounding import rounded
 from ..operators import kernels, models, sample
 from ..sources import catalog_files as files
 from ..sources.work import work_path, written
@@ -139,7 +140,7 @@ _NAME = "regexp_extract(path, '(frame/[0-9]+[.]png)$', 1)"
 def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gray levels of the image files of a folder, read by Spark's image source; one that cannot be decoded has none."""
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / F.size("pixels")
-    return files.read_images(spark, image_folder(spark, sf_dir)).select(F.expr(_NAME).alias("path"), "width", "height", F.round(mean, 6).alias("mean"))
+    return files.read_images(spark, image_folder(spark, sf_dir)).select(F.expr(_NAME).alias("path"), "width", "height", rounded(mean, 6).alias("mean"))
 
 
 @query(_PNG + " SELECT 'frame/' || image_id || '.png' AS path, image_id % 10 NOT IN (3, 7) AS valid, CASE image_id % 10 WHEN 3 THEN 'damaged' WHEN 7 THEN 'short' END AS reason FROM t", views.FRAMES_SQL)
@@ -154,7 +155,7 @@ def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = weather_rows(spark, sf_dir)
     path = work_path(spark, "model")
     models.save(models.weather_candidates()["linear_1"].fit(rows.filter("label is not null")), path)
-    return models.weather_predict(models.load(path), rows.filter("quality_flag = 'usable'"), ["image_id"]).withColumn("weather_proba", F.round("weather_proba", 4))
+    return models.weather_predict(models.load(path), rows.filter("quality_flag = 'usable'"), ["image_id"]).withColumn("weather_proba", rounded("weather_proba", 4))
 
 
 @query("SELECT url, CASE WHEN image_id % 4 = 0 THEN 'dark' ELSE quality_flag END AS quality_flag FROM idx")

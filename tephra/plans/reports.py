@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels
+from ..functions.rounding import rounded
 from ..operators import report
 from ..operators.quantiles import quantiles
 from ..operators.report import r6
@@ -239,7 +240,7 @@ _HOLES = "CASE WHEN image_id % 5 = 0 THEN NULL WHEN image_id % 5 = 1 THEN 'NaN':
 def null_safe_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("image_id") % 5 == 0, None).when(F.col("image_id") % 5 == 1, float("nan")).otherwise(F.col("patchcore_score"))
     v = F.nanvl(v, F.lit(None).cast("double"))
-    return index(spark, sf_dir).groupBy("camera").agg(F.round(F.coalesce(F.sum(v), F.lit(0.0)), 4).alias("total"), r6(F.coalesce(F.avg(v), F.lit(0.0))).alias("mean"))
+    return index(spark, sf_dir).groupBy("camera").agg(rounded(F.coalesce(F.sum(v), F.lit(0.0)), 4).alias("total"), r6(F.coalesce(F.avg(v), F.lit(0.0))).alias("mean"))
 
 
 @query(f", v AS (SELECT camera, {_HOLES} AS v FROM idx) SELECT camera, round(coalesce(avg(v) FILTER (NOT isnan(v)), 0), 6) AS mean FROM v GROUP BY camera")

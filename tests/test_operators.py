@@ -5,6 +5,7 @@ import math
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -643,3 +644,10 @@ def test_edges_exist_in_the_unit_scale(spark):
         assert v["thermal_gradient"] == pytest.approx(255 * pixels.thermal_gradient(px).first().thermal_gradient)
         assert v["texture_roughness"] == pytest.approx(255 * pixels.texture_roughness(px).first().texture_roughness)
     assert kernels.vector(step, None, "unit")["edge_density"] == pytest.approx(2 / 8) and kernels.vector(step, None)["edge_density"] == 0
+
+
+def test_rounding_is_that_of_sql(spark):
+    """41 / 640 is 0.0640625, whose double is over a half when written out and below it when scaled."""
+    got = spark.createDataFrame([(41, 640), (323, 640), (1, 128), (-1, 128)], "a int, b int").select(report.r6(F.col("a") / F.col("b")).alias("r")).collect()
+    want = duckdb.sql("select round(a / b, 6) from (values (0, 41, 640), (1, 323, 640), (2, 1, 128), (3, -1, 128)) v(i, a, b) order by i").fetchall()
+    assert [r.r for r in got] == [w[0] for w in want] and got[0].r == 0.064062
