@@ -93,7 +93,7 @@ def write_jsonl_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = captions.short_caption(dates.is_day(F.col("hour")), "the volcano")
     files.write_jsonl(rows.select("image_id", "split", F.when(F.col("is_night"), "night").otherwise("day").alias("period"), text.alias("text"), F.concat_ws("#", "filename", "image_id").alias("original_filename"), "year", "month"), path, "image_id")
     back = spark.read.schema("file_name string, text string, split string, period string").json(path)
-    return back.groupBy("split", "period").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_name").alias("n_names"), F.max("file_name").alias("last_name"))
+    return files.named(back)
 
 
 @query("SELECT camera AS part, count(*) AS n, count(anomaly_score) AS scored FROM idx WHERE camera <> 'kali' GROUP BY camera UNION ALL SELECT 'kali', 0, 0")

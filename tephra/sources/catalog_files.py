@@ -171,3 +171,9 @@ def write_jsonl(rows: DataFrame, path: str, key: str) -> None:
     each = ranks(rows.withColumn("_stratum", F.concat_ws("/", "split", "period")), "_stratum", key)
     named = each.withColumn("file_name", F.format_string("%06d.png", F.col("rank") - 1)).drop("_stratum", "rank", "n", key)
     named.write.mode("overwrite").partitionBy("split", "period").json(path)
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """split, period, n, n_names, last_name of rows that write_jsonl wrote. From a million rows on names get longer, so the last is the longest first."""
+    last = F.max(F.struct(F.length("file_name").alias("long"), "file_name"))["file_name"]
+    return rows.groupBy("split", "period").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_name").alias("n_names"), last.alias("last_name"))

@@ -651,3 +651,9 @@ def test_rounding_is_that_of_sql(spark):
     got = spark.createDataFrame([(41, 640), (323, 640), (1, 128), (-1, 128)], "a int, b int").select(report.r6(F.col("a") / F.col("b")).alias("r")).collect()
     want = duckdb.sql("select round(a / b, 6) from (values (0, 41, 640), (1, 323, 640), (2, 1, 128), (3, -1, 128)) v(i, a, b) order by i").fetchall()
     assert [r.r for r in got] == [w[0] for w in want] and got[0].r == 0.064062
+
+
+def test_last_of_a_million_names(spark):
+    names = [("train", "day", f"{i:06d}.png") for i in (999_998, 999_999, 1_000_000, 1_000_001)]
+    got = catalog_files.named(spark.createDataFrame(names, "split string, period string, file_name string")).first()
+    assert (got.n, got.n_names, got.last_name) == (4, 4, "1000001.png")
