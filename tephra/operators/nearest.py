@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from .graph import merged
 from .quantiles import quantiles
 
 BLOCK_BYTES = 16_000_000
+#: Distances that a task holds at once.
+AT_ONCE = 1 << 20
 #: At most so many pivots stand for the memory bank; they are the only vectors that pass the driver.
 MOST_PIVOTS = 1024
 
@@ -38,21 +41,56 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
 
 
-def celled(vectors: DataFrame, pivots: np.ndarray, keep: list[str]) -> DataFrame:
-    """keep, features, cell (the nearest pivot) and far (its distance)."""
+def celled(vectors: DataFrame, pivots: np.ndarray, keep: list[str], empty: tuple[int, ...] = ()) -> DataFrame:
+    """keep, features, cell (the nearest pivot that is not `empty`) and far (its distance)."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            if len(pdf):
-                d = gaps(matrix(pdf["features"]), pivots)
-                yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+            for part in parts_of(pdf, len(pivots)):
+                d = gaps(matrix(part["features"]), pivots)
+                d[:, list(empty)] = np.inf
+                yield part.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+
+    return vectors.select(*keep, "features").mapInPandas(run, f"{kinds_of(vectors, [*keep, 'features'])}cell int, far double")
+
 
-    kinds = "".join(f"{c} {vectors.schema[c].dataType.simpleString()}, " for c in [*keep, "features"])
-    return vectors.select(*keep, "features").mapInPandas(run, f"{kinds}cell int, far double")
+def kinds_of(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
-def further_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, keep: list[str]) -> DataFrame:
-    """keep, features, cell: the cells besides its own that can hold a vector nearer than `distance` to a query.
+def parts_of(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """The rows of a batch, so many at once that their distances to `width` vectors are at most AT_ONCE."""
+    step = max(1, AT_ONCE // max(1, width))
+    for i in range(0, len(pdf), step):
+        yield pdf.iloc[i : i + step]
+
+
+def packed(sizes: dict[int, int], most: int) -> dict[int, int]:
+    """A block for each cell: neighbours by number share one, as long as it holds at most so many vectors."""
+    out, block, held = {}, 0, 0
+    for cell, n in sorted(sizes.items()):
+        if held and held + n > most:
+            block, held = block + 1, 0
+        out[cell], held = block, held + n
+    return out
+
+
+def in_blocks(pdf: pd.DataFrame, row: np.ndarray, cell: np.ndarray, blocks: dict[int, int], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """columns, block, cells: one row for each row of pdf and block, with the cells of that block that row[k] asks: cell[k]."""
+    known = np.full(max([*blocks, *cell.tolist()], default=0) + 1, -1, dtype=np.int32)
+    known[list(blocks)] = list(blocks.values())
+    row, cell = row[known[cell] >= 0], cell[known[cell] >= 0]
+    order = np.lexsort((cell, known[cell], row))
+    row, cell, block = row[order], cell[order].astype(np.int32), known[cell[order]]
+    starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(block) != 0)][: len(row)])
+    lists = np.split(cell, starts[1:]) if len(starts) else []
+    for i in range(0, len(starts), 8192):
+        at = starts[i : i + 8192]
+        yield pdf[columns].iloc[row[at]].assign(block=block[at], cells=lists[i : i + 8192])
+
+
+def further_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, keep: list[str], blocks: dict[int, int]) -> DataFrame:
+    """keep, features, block, cells: the cells besides its own that can hold a vector nearer than `distance` to a query, by block.
 
     A vector of a cell is at least as far as the pivot less the radius, and as the plane between the
     pivots of the cell and of the query. Cells without vectors have radius -1."""
@@ -60,44 +98,60 @@ def further_cells(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, ke
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            if len(pdf):
-                q = matrix(pdf["features"])
-                d, own, best = gaps(q, pivots), pdf["cell"].to_numpy(), pdf["distance"].to_numpy()[:, None]
+            for part in parts_of(pdf, len(pivots)):
+                q = matrix(part["features"])
+                d, own, best = gaps(q, pivots), part["cell"].to_numpy(), part["distance"].to_numpy()[:, None]
                 mine = d[np.arange(len(q)), own][:, None]
                 apart = np.where(between[own] > 0, between[own], np.inf)
                 bound = np.maximum(d - radius, (d**2 - mine**2) / (2 * apart))
                 slack = 1e-6 * (1 + np.abs(q).max(axis=1))[:, None]  # for rounding
                 ask = (bound <= best + slack) & (radius >= 0) & (np.arange(len(pivots)) != own[:, None])
-                i, cell = np.nonzero(ask)
-                yield pdf.iloc[i].assign(cell=cell.astype(np.int32))[[*keep, "features", "cell"]]
-
-    kinds = "".join(f"{c} {queries.schema[c].dataType.simpleString()}, " for c in [*keep, "features"])
-    return queries.mapInPandas(run, f"{kinds}cell int")
-
-
-def met_in_cells(asked: DataFrame, bank: DataFrame, sizes: dict[int, int], keep: list[str], dims: int) -> DataFrame:
-    """keep, features, cell, distance: of asked(keep, features, cell), a written table, to the nearest vector of bank(cell, features).
-
-    Large cells are cut into pieces and many queries of a cell into shares; each group is one share and one piece."""
+                yield from in_blocks(part, *np.nonzero(ask), blocks, [*keep, "features"])
+
+    return queries.mapInPandas(run, f"{kinds_of(queries, [*keep, 'features'])}block int, cells array<int>")
+
+
+def nearest_in_cells(q: np.ndarray, asks: list[np.ndarray], c: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The distance of each query to the nearest of the vectors c whose cell (own) is among those it asks; infinite without any."""
+    best = np.full(len(q), np.inf)
+    order = np.argsort(own, kind="stable")
+    c, own = c[order], own[order]
+    row, cell = np.repeat(np.arange(len(q)), [len(x) for x in asks]), np.concatenate([*asks, np.zeros(0, dtype=np.int32)])
+    by = np.argsort(cell, kind="stable")
+    row, cell = row[by], cell[by]
+    side = math.isqrt(AT_ONCE)
+    for x in np.unique(own):
+        rows, (a, b) = row[np.searchsorted(cell, x) : np.searchsorted(cell, x, "right")], np.searchsorted(own, [x, x + 1])
+        for i in range(0, len(rows), side):
+            some = rows[i : i + side]
+            for j in range(a, b, side):
+                best[some] = np.minimum(best[some], gaps(q[some], c[j : min(b, j + side)]).min(axis=1))
+    return best
+
+
+def met_in_cells(asked: DataFrame, bank: DataFrame, sizes: dict[int, int], blocks: dict[int, int], keep: list[str], dims: int) -> DataFrame:
+    """keep, distance: of asked(keep, features, block, cells), a written table, to the nearest vector of bank(cell, features) in those cells.
+
+    A block holds whole cells, so a query is sent once to each block and not to each cell. Large cells are cut into pieces and many
+    queries of a block into shares; each group is one share and one piece."""
     per_block = max(1, BLOCK_BYTES // (8 * dims))
-    asks = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}  # one row per pivot at most
-    cells = [c for c in asks if sizes.get(c)]
-    plan = asked.sparkSession.createDataFrame([(c, -(-asks[c] // per_block), -(-sizes[c] // per_block)) for c in cells], "cell int, shares int, pieces int")
+    asks = {r.block: r["count"] for r in asked.groupBy("block").count().collect()}  # one row per cell at most
+    held: dict[int, int] = {}
+    for c, n in sizes.items():
+        held[blocks[c]] = held.get(blocks[c], 0) + n
+    spark, count = asked.sparkSession, lambda n: -(-n // per_block)
+    plan = F.broadcast(spark.createDataFrame([(k, count(asks[k]), count(held[k])) for k in asks], "block int, shares int, pieces int"))
+    places = F.broadcast(spark.createDataFrame(list(blocks.items()), "cell int, block int"))
     dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(F.broadcast(plan), "cell").select(*keep, "features", "cell", dealt("shares", *keep).alias("share"), each("pieces").alias("piece"))
-    right = bank.join(F.broadcast(plan), "cell").select("cell", "features", each("shares").alias("share"), dealt("pieces", "features").alias("piece"))
+    left = asked.join(plan, "block").select(*keep, "features", "cells", "block", dealt("shares", *keep).alias("share"), each("pieces").alias("piece"))
+    right = bank.join(places, "cell").join(plan, "block").select("block", "cell", "features", each("shares").alias("share"), dealt("pieces", "features").alias("piece"))
 
     def near(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        q, best = matrix(queries["features"]), np.full(len(queries), np.inf)
-        c = matrix(vectors["features"])
-        for i in range(0, len(c), 4096):
-            best = np.minimum(best, gaps(q, c[i : i + 4096]).min(axis=1)) if len(q) else best
-        return queries[[*keep, "features", "cell"]].assign(distance=best)
+        return queries[keep].assign(distance=nearest_in_cells(matrix(queries["features"]), queries["cells"].tolist(), matrix(vectors["features"]), vectors["cell"].to_numpy()))
 
-    kinds = "".join(f"{c} {asked.schema[c].dataType.simpleString()}, " for c in [*keep, "features"])
-    by = ["cell", "share", "piece"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, f"{kinds}cell int, distance double")
+    by = ["block", "share", "piece"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, f"{kinds_of(asked, keep)}distance double")
 
 
 def distances(queries: DataFrame, coreset: DataFrame, keep: list[str], dims: int) -> DataFrame:
@@ -105,17 +159,21 @@ def distances(queries: DataFrame, coreset: DataFrame, keep: list[str], dims: int
 
     Pivots of the coreset cut it into cells. A query first meets the cell of its nearest pivot; what it
     finds there bounds its distance, and of the other cells it meets only those that the triangle inequality
-    leaves. So a query meets few vectors where these lie in clusters, and never one cell twice."""
+    leaves. So a query meets few vectors where these lie in clusters, and never one cell twice. It is sent once to each block
+    of cells, so that where no cell is left out it is sent as often as the bank has blocks."""
     if not coreset.head(1):
         return queries.select(*keep, F.lit(None).cast("double").alias("distance"))
     pivots = pivots_of(coreset)
     bank = written(celled(coreset, pivots, []), "bank")
     stats = {r.cell: r for r in bank.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # one row per pivot at most
     sizes, radius = {c: r.n for c, r in stats.items()}, np.array([stats[c].far if c in stats else -1.0 for c in range(len(pivots))])
-    first = met_in_cells(written(celled(queries, pivots, keep), "queries"), bank, sizes, keep, dims)
-    first = written(first.groupBy(*keep).agg(F.min("distance").alias("distance"), F.any_value("features").alias("features"), F.any_value("cell").alias("cell")), "first")
-    more = met_in_cells(written(further_cells(first, pivots, radius, keep), "asked"), bank, sizes, keep, dims)
-    return first.select(*keep, "distance").union(more.select(*keep, "distance")).groupBy(*keep).agg(F.min("distance").alias("distance"))
+    blocks = packed(sizes, max(1, BLOCK_BYTES // (8 * dims)))
+    own = written(celled(queries, pivots, keep, tuple(np.flatnonzero(radius < 0).tolist())), "queries")
+    places = F.broadcast(own.sparkSession.createDataFrame(list(blocks.items()), "cell int, block int"))
+    first = met_in_cells(own.join(places, "cell").withColumn("cells", F.array("cell")), bank, sizes, blocks, keep, dims)
+    first = written(own.select(*keep, "features", "cell").join(first.groupBy(*keep).agg(F.min("distance").alias("distance")), keep), "first")
+    more = met_in_cells(written(further_cells(first, pivots, radius, keep, blocks), "asked"), bank, sizes, blocks, keep, dims)
+    return first.select(*keep, "distance").union(more).groupBy(*keep).agg(F.min("distance").alias("distance"))
 
 
 def probed(queries: DataFrame, bank: DataFrame, keep: list[str], dims: int, tables: int = 24, bits: int = 6, seed: int = 42) -> DataFrame:
@@ -128,27 +186,35 @@ def probed(queries: DataFrame, bank: DataFrame, keep: list[str], dims: int, tabl
     middle = bank.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).collect()  # dims rows
     centre = np.array([v for _, v in sorted((r.i, r.v) for r in middle)] or [0.0] * dims)
 
-    def bucket(frame: DataFrame, columns: list[str], probes: int) -> DataFrame:
-        def run(batches):  # noqa: ANN001, ANN202
-            for pdf in batches:
-                if len(pdf):
-                    x = matrix(pdf["features"]) - centre
-                    for t in range(tables):
-                        side = x @ planes[t].T
-                        code = t * 2**bits + (side > 0) @ (1 << np.arange(bits))
-                        close = np.argsort(np.abs(side), axis=1)
-                        yield pdf.assign(cell=code.astype(np.int32))
-                        for k in range(probes):
-                            yield pdf.assign(cell=(code ^ (1 << close[:, k])).astype(np.int32))
-
-        kinds = "".join(f"{c} {frame.schema[c].dataType.simpleString()}, " for c in [*columns, "features"])
-        return frame.select(*columns, "features").mapInPandas(run, f"{kinds}cell int")
-
-    held = written(bucket(bank, [], 0), "buckets")
+    def buckets(x: np.ndarray, t: int, probes: int) -> list[np.ndarray]:
+        """The buckets of the rows of x in one table."""
+        side = x @ planes[t].T
+        code = t * 2**bits + (side > 0) @ (1 << np.arange(bits))
+        close = np.argsort(np.abs(side), axis=1)
+        return [code, *[code ^ (1 << close[:, k]) for k in range(probes)]]
+
+    def indexed(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            if len(pdf):
+                x = matrix(pdf["features"]) - centre
+                for t in range(tables):
+                    yield pdf.assign(cell=buckets(x, t, 0)[0].astype(np.int32))
+
+    held = written(bank.select("features").mapInPandas(indexed, f"{kinds_of(bank, ['features'])}cell int"), "buckets")
     sizes = {r.cell: r["count"] for r in held.groupBy("cell").count().collect()}  # one row per bucket, of which there are tables * 2 ** bits
-    found = met_in_cells(written(bucket(queries, keep, 2), "probes"), held, sizes, keep, dims)
+    blocks = packed(sizes, max(1, BLOCK_BYTES // (8 * dims)))
+
+    def asking(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            for part in parts_of(pdf, 3 * tables):
+                x = matrix(part["features"]) - centre
+                cell = np.concatenate([c for t in range(tables) for c in buckets(x, t, 2)])
+                yield from in_blocks(part, np.tile(np.arange(len(part)), 3 * tables), cell, blocks, [*keep, "features"])
+
+    asked = queries.select(*keep, "features").mapInPandas(asking, f"{kinds_of(queries, [*keep, 'features'])}block int, cells array<int>")
+    found = met_in_cells(written(asked, "probes"), held, sizes, blocks, keep, dims)
     none = queries.select(*keep, F.lit(float("inf")).alias("distance"))
-    return none.union(found.select(*keep, "distance")).groupBy(*keep).agg(F.min("distance").alias("distance"))
+    return none.union(found).groupBy(*keep).agg(F.min("distance").alias("distance"))
 
 
 def greedy_order(vectors: np.ndarray) -> np.ndarray:

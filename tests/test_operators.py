@@ -657,3 +657,19 @@ def test_last_of_a_million_names(spark):
     names = [("train", "day", f"{i:06d}.png") for i in (999_998, 999_999, 1_000_000, 1_000_001)]
     got = catalog_files.named(spark.createDataFrame(names, "split string, period string, file_name string")).first()
     assert (got.n, got.n_names, got.last_name) == (4, 4, "1000001.png")
+
+
+def test_few_distances_at_once(spark, monkeypatch):
+    """On vectors without clusters, where every cell is asked, a query is sent once to a block, and no matrix of distances is larger than allowed."""
+    rng = np.random.default_rng(8)
+    q, c = rng.normal(size=(3000, 16)), rng.normal(size=(2500, 16))
+    most, sent = [0], []
+    monkeypatch.setattr(nearest, "AT_ONCE", 40_000)
+    monkeypatch.setattr(nearest, "gaps", lambda x, y, was=nearest.gaps: most.append(len(x) * len(y)) or was(x, y))
+    asks = [np.arange(50, dtype=np.int32)] * len(q)
+    cell = rng.integers(0, 50, len(c))
+    got = nearest.nearest_in_cells(q, asks, c, cell)
+    assert np.allclose(got, [np.sqrt(((c - v) ** 2).sum(axis=1)).min() for v in q]) and max(most) <= 40_000
+    monkeypatch.setattr(nearest, "met_in_cells", lambda a, *rest, was=nearest.met_in_cells: sent.append(a.count()) or was(a, *rest))
+    out = {r.i: r.distance for r in nearest.distances(vectors_of(spark, q), vectors_of(spark, c), ["i"], 16).collect()}
+    assert np.allclose([out[i] for i in range(len(q))], got, atol=1e-5) and sum(sent) <= 2 * len(q)
