@@ -11,7 +11,7 @@ from alternating large-star and small-star steps on the links.
 Two edited words in a hundred already move more bits than that. So one_of_each can
 also link texts by the Jaccard similarity of their shingles: MinHash values are
 compared in bands, each meeting is a link to one member of the band, and the share
-of equal values verifies it; those that a member turns away meet again around another one, until
+of equal values verifies it; those that a member turns away meet again around 8 others, then 64, until
 no two of them are left. Links by fingerprint stay.
 
 Rows join their fingerprint, and fingerprints their class, by met(), which deals no hot
@@ -84,25 +84,34 @@ def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b), a > b, of fingerprints of rows(fp, values) whose texts share so many MinHash values.
 
     A text is compared in each band with the centre of its cell, another one in each band. Members
-    that are not similar to the centre stay in the cell, which takes a new centre, until no cell has two members."""
+    that are not similar to it stay in the cell, which takes 8 centres in the next round, then 64, 512 ..., until no cell
+    has two members. So rounds are as few as the logarithm of the largest cell, and a cell of copies costs one comparison for each."""
     texts = cut(rows.select("fp", "values").distinct().withColumn("id", F.xxhash64("fp", "values")), "texts")
     cells = texts.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("values", i * IN_BAND + 1, IN_BAND)))).alias("cell"))
     one, other = texts.select("id", F.col("fp").alias("f"), F.col("values").alias("v")), texts.select(F.col("id").alias("centre"), F.col("fp").alias("g"), F.col("values").alias("w"))
     equal, links = F.size(F.filter(F.zip_with("v", "w", lambda x, y: x == y), lambda e: e)), None
-    k = 0
+    width = 1
     while True:
-        centres = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", "cell", F.lit(k)), "id")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        centres = cut(centres.select("cell", F.col("x.id").alias("centre"), "n"), "centres")
-        if links is not None and not centres.head(1):
+        hashed = F.xxhash64("id", "cell", F.lit(width))
+        heads = cells.groupBy("cell").agg(F.min(F.struct(hashed.alias("h"), "id")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        heads = cut(heads.select("cell", F.col("x.id").alias("head"), "n"), "heads")
+        if links is not None and not heads.head(1):
             return links.distinct()
-        members = cut(met(cells, centres, "cell", "n").filter("id != centre").select("id", "centre", "cell"), "members")
+        also = F.lit(width > 1) & (F.pmod(hashed, F.lit(1 << 20)) * F.col("n") < F.lit(width << 20))
+        placed = cut(met(cells, heads, "cell", "n").select("id", "cell", "head", ((F.col("id") == F.col("head")) | also).alias("now")), "placed")
+        if width == 1:
+            members = placed.filter("NOT now").select("id", F.col("head").alias("centre"), "cell")
+        else:  # of two centres the one of the larger id is compared
+            members = placed.select("id", "cell", "now").join(placed.filter("now").select("cell", F.col("id").alias("centre")), "cell").filter("id > centre OR (NOT now AND id != centre)").select("id", "centre", "cell")
+        members = cut(members, "members")
         stars = cut(members.groupBy("centre").agg(F.countDistinct("id").alias("n")), "stars")
         pairs = members.select("id", "centre").distinct().join(one, "id")
         pairs = met(pairs, cut(stars.join(other, "centre"), "stars"), "centre", "n").withColumn("near", equal >= similarity * BANDS * IN_BAND)
         pairs = cut(pairs.select("id", "centre", "f", "g", "near"), "pairs")
         found = pairs.filter("near and f != g").select(F.greatest("f", "g").alias("a"), F.least("f", "g").alias("b"))
-        links, k = found if links is None else links.union(found), k + 1
-        cells = cut(members.join(pairs.filter("not near").select("id", "centre"), ["id", "centre"], "left_semi").select("id", "cell"), "left")
+        links, width = found if links is None else links.union(found), width * 8
+        linked = members.join(pairs.filter("near").select("id", "centre"), ["id", "centre"], "left_semi").select("id", "cell").distinct()
+        cells = cut(placed.filter("NOT now").select("id", "cell").join(linked, ["id", "cell"], "left_anti"), "left")
 
 
 def ball_links(prints: DataFrame) -> DataFrame:

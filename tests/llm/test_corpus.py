@@ -117,6 +117,19 @@ def test_near_dedup_finds_edited_copies(spark, sf):
     assert by_edits[1] >= 0.99 and by_edits[2] >= 0.99 and by_edits[3] >= 0.9  # of similarity 0.95, 0.90 and 0.86
 
 
+def test_many_texts_of_a_band_meet_in_few_rounds(spark, monkeypatch):
+    """Fifty texts that agree in one band and in nothing else took a round each; a pair of them is similar."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 30, (50, simhash.BANDS * simhash.IN_BAND))
+    values[:, : simhash.IN_BAND] = 7
+    values[31] = np.r_[values[17, :90], values[31, 90:]]
+    rounds = []
+    monkeypatch.setattr(simhash, "cut", lambda df, name, was=simhash.cut: rounds.append(name) or was(df, name))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "fp long, values array<int>")
+    assert [tuple(r) for r in simhash.similar_links(rows, 0.8).collect()] == [(31, 17)]
+    assert rounds.count("pairs") <= 4
+
+
 def test_classes_of_random_links(spark):
     rng = random.Random(3)
     links = {(rng.randrange(1, 400), rng.randrange(400)) for _ in range(330)} | {(i + 1000, i + 999) for i in range(1, 120)}
