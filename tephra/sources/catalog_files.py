@@ -151,9 +151,9 @@ def write_files(files: DataFrame, path: str) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Parquet by year and month; only months present in the frame are replaced."""
+    """Parquet by year and month; only months present in the frame are replaced. A month with many rows is several tasks and files."""
     order = [F.col(c).asc_nulls_last() for c in ("year", "month", "day", "hour", "minute")]
-    index.repartition("year", "month").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    index.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
 
 
 def read_month(spark: SparkSession, path: str, year: int, month: int) -> DataFrame:

@@ -673,3 +673,16 @@ def test_few_distances_at_once(spark, monkeypatch):
     monkeypatch.setattr(nearest, "met_in_cells", lambda a, *rest, was=nearest.met_in_cells: sent.append(a.count()) or was(a, *rest))
     out = {r.i: r.distance for r in nearest.distances(vectors_of(spark, q), vectors_of(spark, c), ["i"], 16).collect()}
     assert np.allclose([out[i] for i in range(len(q))], got, atol=1e-5) and sum(sent) <= 2 * len(q)
+
+
+def test_large_month_is_several_files(spark, tmp_path):
+    """No task writes a whole month."""
+    rows = spark.range(20_000).select(F.col("id").alias("image_id"), F.lit(2024).alias("year"), F.when(F.col("id") < 100, 2).otherwise(1).alias("month"), (F.col("id") * 7 % 30 + 1).cast("int").alias("day"), (F.col("id") % 24).cast("int").alias("hour"), (F.col("id") % 59).cast("int").alias("minute"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog_files.write_index(rows, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "t"))
+    sizes = [r["count"] for r in back.filter("month = 1").groupBy(F.input_file_name()).count().collect()]
+    assert back.count() == 20_000 and len(sizes) > 1 and max(sizes) < 10_000
