@@ -686,3 +686,13 @@ def test_large_month_is_several_files(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "t"))
     sizes = [r["count"] for r in back.filter("month = 1").groupBy(F.input_file_name()).count().collect()]
     assert back.count() == 20_000 and len(sizes) > 1 and max(sizes) < 10_000
+
+
+def test_forest_draws_equal_rows_together(spark):
+    """All rows are drawn apart up to a bound; beyond it equal ones are drawn together, none is lost, and the row count follows those that differ."""
+    few = models.assembled(spark.createDataFrame([(float(i), float(i % 2), 1.5 * n, n) for i, n in enumerate([1, 7, 100, 1000])], "a double, label double, weight double, rows long"), ["a"])
+    for draws, most in ((1108, 1108), (100, 104)):
+        out = models.drawn(few, draws)
+        assert out.count() == 1108 if draws == 1108 else out.count() <= most
+        weights = {r.a: r.w for r in out.groupBy("a").agg(F.sum("weight").alias("w")).collect()}
+        assert weights == pytest.approx({0.0: 1.5, 1.0: 10.5, 2.0: 150, 3.0: 1500})
