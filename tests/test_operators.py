@@ -688,6 +688,25 @@ def test_large_month_is_several_files(spark, tmp_path):
     assert back.count() == 20_000 and len(sizes) > 1 and max(sizes) < 10_000
 
 
+def test_competition_fits_equal_rows_once(spark, monkeypatch):
+    """Scores are those of fits on all rows, but a fit takes a row for each that differs."""
+    rng = np.random.default_rng(5)
+    points = [(float(x), float(y), float(x + rng.normal() > 0)) for x, y in rng.normal(size=(40, 2))]
+    rows = [(50 * i + c, *p) for i, p in enumerate(points) for c in range(20)]
+    df = models.balanced(models.assembled(spark.createDataFrame(rows, "image_id long, x double, y double, label double"), ["x", "y"]), "label").cache()
+    candidate, fits, plain = models.weather_candidates(weight="weight")["linear_1"], [], []
+    fit = models.fitted
+    monkeypatch.setattr(models, "fitted", lambda e, train, s: (fits.append(train.count()), fit(e, train, s))[1])
+    got = models.competed(df, "image_id", {"one": candidate}, k=3)["one"]
+    dealt = models.folds(df, "label", "image_id", 3).cache()
+    for f in range(3):
+        told = candidate.fit(dealt.filter(f"fold != {f}")).transform(dealt.filter(f"fold = {f}"))
+        plain.append(models.binary_scores(told, "label", "prediction").first().f1_macro)
+    assert got == pytest.approx((np.mean(plain), np.std(plain))) and len(fits) == 3 and max(fits) <= 40
+    one, all_ = models.fit_all(df, "image_id", candidate).stages[-1], candidate.fit(df).stages[-1]
+    assert np.allclose(one.coefficients.toArray(), all_.coefficients.toArray(), rtol=1e-3)
+
+
 def test_forest_draws_equal_rows_together(spark):
     """All rows are drawn apart up to a bound; beyond it equal ones are drawn together, none is lost, and the row count follows those that differ."""
     few = models.assembled(spark.createDataFrame([(float(i), float(i % 2), 1.5 * n, n) for i, n in enumerate([1, 7, 100, 1000])], "a double, label double, weight double, rows long"), ["a"])
