@@ -715,3 +715,16 @@ def test_forest_draws_equal_rows_together(spark):
         assert out.count() == 1108 if draws == 1108 else out.count() <= most
         weights = {r.a: r.w for r in out.groupBy("a").agg(F.sum("weight").alias("w")).collect()}
         assert weights == pytest.approx({0.0: 1.5, 1.0: 10.5, 2.0: 150, 3.0: 1500})
+
+
+def test_features_of_frames_in_stacks(spark):
+    """Frames of unlike shapes, with and without an earlier one, in one batch: as one by one, and a stack is one call."""
+    rng = np.random.default_rng(6)
+    rows = [(i, w := 8 + i % 2 * 3, rng.random(w * (6 + i % 3)).tolist(), rng.random(w * (6 + i % 3)).tolist() if i % 4 else None) for i in range(40)]
+    got = {r.image_id: r for r in kernels.features(spark.createDataFrame(rows, "image_id long, width int, pixels array<double>, before array<double>").coalesce(1), "unit").collect()}
+    assert len(got) == 40
+    for i, w, a, b in rows:
+        want = kernels.vector(np.reshape(a, (-1, w)), None if b is None else np.reshape(b, (-1, w)), "unit")
+        assert all(got[i][f] == pytest.approx(want[f]) for f in kernels.FEATURES)
+    stack = rng.random((50, 8, 8))
+    assert np.allclose(kernels.vectors(stack, None)["lbp_entropy"], [kernels.lbp_entropy(np.floor(x * 255)) for x in stack])
