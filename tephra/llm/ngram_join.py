@@ -16,7 +16,8 @@ leading probes that it shares most cells with. Links merge classes, and from the
 classes are looked at: some of their probes, 64 times as many each round, are
 compared with the members of other classes, until each probe of a cell has been compared or
 its cell is one class. So classes are complete, and a group of near copies costs few comparisons for each copy.
-Pairs are dismissed if the parity bits of their shingles differ in more than H, and otherwise verified on the whole sets.
+Pairs are dismissed if the parity bits of their shingles differ in more than H, within the join of the cells, and otherwise
+verified on the whole sets.
 
 A key that a third of all sets share is found by counting the keys of every 64th set, and
 dealt over tasks; that changes no result. Equal texts are merged first.
@@ -39,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -118,8 +119,8 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """A power of two of parity bits, one for a shingle or so, as whole numbers."""
-    n = 64 << max(0, int(len(hashes) - 1).bit_length() - 6)
+    """A power of two of parity bits, two to four for a shingle, as whole numbers."""
+    n = 64 << max(0, int(len(hashes) - 1).bit_length() - 5)
     odd = np.bincount((hashes & _U(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
@@ -240,63 +241,77 @@ def probes(found: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(sets.select("id", "n"), "id").select("id", F.explode(allocated("n", "higher", part("what"), part("key"), part("cost"))).alias("key"))
 
 
+def close(na: str, xa: str, nb: str, xb: str) -> Column:
+    """Whether the sizes na, nb and the parity bits xa, xb of two sets allow a link."""
+    half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, (F.size(x) / 2 + 1).cast("int"), F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(F.col(x))  # noqa: E731  sizes of partners differ by a quarter, so by one fold
+    change = F.aggregate(F.zip_with(folded(xa, xb), folded(xb, xa), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (F.least(na, nb) * OF >= F.greatest(na, nb) * SHARE) & (change * 9 <= F.col(na) + F.col(nb))
+
+
 def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb: of distinct pairs (a, b) of sets those whose sizes and parity bits allow a link."""
+    """a, b, n: of distinct pairs (a, b) of sets those whose sizes and parity bits allow a link, and the sum of both sizes."""
     one, other = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, (F.size(x) / 2 + 1).cast("int"), F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
-    folded = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)  # noqa: E731  sizes of partners differ by a quarter, so by one fold
-    change = F.aggregate(F.zip_with(folded(F.col("xa"), F.col("xb")), folded(F.col("xb"), F.col("xa")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    met = pairs.join(one, "a").join(other, "b").filter((F.least("na", "nb") * OF >= F.greatest("na", "nb") * SHARE) & (change * 9 <= F.col("na") + F.col("nb")))
-    return cut(met.select("a", "b", "na", "nb"), "near")
+    return pairs.join(one, "a").join(other, "b").filter(close("na", "xa", "nb", "xb")).select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
+
+
+def meeting(placed: DataFrame) -> DataFrame:
+    """a, b, n: pairs of sets of different classes that meet in a cell of placed(key, id, ask, class, now, n, bits), as near() has them.
+
+    Bits and sizes are part of the join, so a pair that they dismiss is no row, however many near misses a cell holds."""
+    one = placed.filter("ask = 0").select("key", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    other = placed.filter("now").select(F.col("key").alias("cell"), F.col("id").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    pairs = one.join(other, F.expr("key = cell AND ca != cb") & close("na", "xa", "nb", "xb"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("n")).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, texts: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
-    """Of distinct pairs (a, b) of sets those that link, and the whole sets (id, set) read so far.
+    """Of distinct pairs (a, b, n) of sets, as near() has them, those that link, and the whole sets (id, set) read so far.
 
-    Whole sets are read only of pairs that near() lets pass, each once in all rounds."""
+    Each whole set is read once in all rounds."""
 
     @pandas_udf(ArrayType(LongType()))
     def whole(text: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, k).view(np.int64) for t in text], dtype=object)
 
-    close = near(pairs, sets)
-    wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pairs = cut(pairs, "near")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = wanted if texts is None else wanted.join(texts.select("id"), "id", "left_anti")
     wanted = cut(wanted.join(sets.select("id", "uid"), "id"), "wanted")
     if texts is None or wanted.head(1):
         fresh = cut(rows.join(small(wanted), "uid").select("id", whole("text").alias("set")), "sets")
         texts = fresh if texts is None else texts.union(fresh)
-    both = close.join(texts.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    linked = both.filter(common * OF >= (F.col("na") + F.col("nb") - common) * SHARE)
+    linked = both.filter(common * OF >= (F.col("n") - common) * SHARE)
     return cut(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges"), texts
 
 
 def links(members: DataFrame, asking: DataFrame, sets: DataFrame, rows: DataFrame, k: int) -> DataFrame | None:
     """(node, root) of the classes of all sets that meet in cells: members(key, id) and asking(key, id), written tables.
 
-    Rounds are few, as each is some twenty small stages: a cell is asked by 8, 512, 32,768 ... probes."""
+    Rounds are few, as each is some twenty small stages: a cell is asked by 1, 64, 4,096 ... probes."""
     lead = asking.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("lead"))
     lead = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(lead, "key"), "lead")
     first = met(members, lead, "key", "n").filter("id != lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
     first = first.groupBy("id").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead")).select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
-    edges, texts = similar(first, sets, rows, None, k)
+    edges, texts = similar(near(first, sets), sets, rows, None, k)
     both = members.withColumn("ask", F.lit(0)).unionByName(asking.withColumn("ask", F.lit(1))).withColumn("class", F.col("id"))
-    roots, width = None, 8
+    roots, width, known = None, 1, False
     while True:
         if edges.head(1):  # classes so far are stars, so only new links are many
             roots = cut(classes(edges if roots is None else edges.union(roots.filter("node != root").select("node", "root")).distinct()), "roots")
-            both = both.select("key", "id", "ask").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "ask", F.coalesce("root", "id").alias("class"))
+            both = both.join(roots, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id")).drop("node", "root")
             both = cut(both, "both")
-        mixed = both.groupBy("key").agg(F.sum("ask").alias("probes"), F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("largest"))
-        mixed = cut(mixed.filter("probes > 0 AND least < largest").select("key", "probes", "n"), "mixed")
+        mixed = both.groupBy("key").agg(F.sum("ask").alias("probes"), F.count(F.lit(1)).alias("count"), F.min("class").alias("least"), F.max("class").alias("largest"))
+        mixed = cut(mixed.filter("probes > 0 AND least < largest").select("key", "probes", "count"), "mixed")
         if not mixed.head(1):
             return roots
         now = F.pmod(F.xxhash64("id", "key", F.lit(width)), F.lit(1 << 20)) * F.col("probes") < F.lit(width << 20)
-        placed = cut(met(both, mixed, "key", "n").withColumn("now", now & (F.col("ask") == 1)).select("key", "id", "ask", "class", "now"), "placed")
-        pairs = placed.filter("ask = 0").alias("m").join(placed.filter("now").alias("c"), "key").filter("m.class != c.class")
-        edges, texts = similar(pairs.select(F.greatest("m.id", "c.id").alias("a"), F.least("m.id", "c.id").alias("b")).distinct(), sets, rows, texts, k)
-        both, width = placed.filter("NOT now").drop("now"), width * 64
+        placed = met(both, mixed, "key", "count").withColumn("now", now & (F.col("ask") == 1)).drop("probes", "count")
+        placed = cut(placed if known else placed.join(sets.select("id", "n", "bits"), "id"), "placed")
+        edges, texts = similar(meeting(placed), sets, rows, texts, k)
+        both, width, known = placed.filter("NOT now").drop("now"), width * 64, True
 
 
 def linked(docs: DataFrame, k: int = SHINGLE) -> DataFrame:

@@ -274,3 +274,22 @@ def test_evicted_rows_find_room():
     assert lanes == [(0, 7, 0), (7, 11, 3), (11, 14, 2)]
     assert sharding.drawn({0: 5, 2: 3}, {0: 4, 3: 3, 2: 1}, {0: 2, 2: 0, 3: 4}) == {0: 5, 2: 3}
     assert sharding.drawn({0: 5, 2: 3}, {3: 4}, {0: 2, 2: 0, 3: 4}) == {0: 1, 2: 3}
+
+
+def test_near_misses_of_a_cell_are_no_pairs(spark, monkeypatch):
+    """Copies of one text that are too far from each other meet in cells, but the join of the cells makes no rows of them."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), 4):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    rows.append((120, rows[7][1] + " end"))
+    seen, similar = [], ngram_join.similar
+    monkeypatch.setattr(ngram_join, "similar", lambda pairs, *rest: seen.append(pairs.count()) or similar(pairs, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = brute_sets([t for _, t in rows])
+    assert got == dict(zip(range(121), brute_components(list(range(121)), sets), strict=True))
+    assert sum(seen) < 3 * len(rows)
