@@ -11,8 +11,8 @@ from alternating large-star and small-star steps on the links.
 Two edited words in a hundred already move more bits than that. So one_of_each can
 also link texts by the Jaccard similarity of their shingles: MinHash values are
 compared in bands, each meeting is a link to one member of the band, and the share
-of equal values verifies it; those that a member turns away meet again around 8 others, then 64, until
-no two of them are left. Links by fingerprint stay.
+of equal values verifies it; cells of several classes meet again around 8 members, then 64, until
+each two of different classes have been compared. Links by fingerprint stay.
 
 Rows join their fingerprint, and fingerprints their class, by met(), which deals no hot
 key to one task.
@@ -26,6 +26,8 @@ whatever names, are ignored, or kept by one_of_each.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -40,6 +42,7 @@ from .common import cut, discard, keyed, met, small
 SEED = 42
 SHINGLE = 3
 BANDS, IN_BAND = 20, 5  # texts of similarity 0.8 meet in a band with probability 0.9996
+PLANES, WORDS = 4, -(-BANDS * IN_BAND // 64)  # bits of each value that are compared first, and the numbers that hold one bit of all values
 
 
 def hashes_of(text: str | None, k: int) -> np.ndarray:
@@ -80,38 +83,60 @@ def minhash_of(text: str | None, k: int) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b), a > b, of fingerprints of rows(fp, values) whose texts share so many MinHash values.
+@pandas_udf(ArrayType(LongType()))
+def planes(values: pd.Series) -> pd.Series:
+    """The last PLANES bits of all MinHash values of a text, plane by plane, each plane in whole numbers of 64 bits."""
+    found = np.zeros((len(values), PLANES, 64 * WORDS), dtype=np.uint8)
+    if len(values):
+        found[:, :, : BANDS * IN_BAND] = (np.stack(values)[:, None, :] >> np.arange(PLANES)[None, :, None]) & 1
+    return pd.Series(list(np.packbits(found, axis=2, bitorder="little").reshape(len(values), -1).view(np.int64)), dtype=object)
+
+
+def meeting(placed: DataFrame, similarity: float) -> DataFrame:
+    """id, centre: pairs of texts of different classes that meet in a cell of placed(key, id, class, now, bits), one of them a centre.
 
-    A text is compared in each band with the centre of its cell, another one in each band. Members
-    that are not similar to it stay in the cell, which takes 8 centres in the next round, then 64, 512 ..., until no cell
-    has two members. So rounds are as few as the logarithm of the largest cell, and a cell of copies costs one comparison for each."""
-    texts = cut(rows.select("fp", "values").distinct().withColumn("id", F.xxhash64("fp", "values")), "texts")
-    cells = texts.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("values", i * IN_BAND + 1, IN_BAND)))).alias("cell"))
+    Bits of values differ only where values do. They are part of the join, so a pair that they dismiss is no row."""
+    one = placed.select("key", "id", F.col("class").alias("ca"), F.col("bits").alias("x"))
+    other = placed.filter("now").select(F.col("key").alias("cell"), F.col("id").alias("centre"), F.col("class").alias("cb"), F.col("bits").alias("y"))
+    differ = [reduce(lambda p, q: p.bitwiseOR(q), [F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i))) for i in range(w, PLANES * WORDS, WORDS)]) for w in range(WORDS)]
+    near = sum(map(F.bit_count, differ[1:]), F.bit_count(differ[0])) <= (1 - similarity) * BANDS * IN_BAND + 1e-6
+    pairs = one.join(other, F.expr("key = cell AND ca != cb") & near).select("id", "centre")
+    return pairs.groupBy(F.least("id", "centre"), F.greatest("id", "centre")).agg(F.min(F.struct("id", "centre")).alias("x")).select("x.*")
+
+
+def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), a > b, of fingerprints of rows(fp, values): their classes are those of all texts that meet in a band and share so many MinHash values.
+
+    The texts of a cell are compared with its centre, another one in each band. Linked texts are one class, and from
+    then on only cells of several classes are looked at: they take 8 centres in the next round, then 64, 512 ..., and a centre is compared with the members of
+    other classes and leaves. So rounds are as few as the logarithm of the largest cell, a cell of copies costs one comparison for each, and no
+    two members of different classes are left uncompared."""
+    texts = cut(rows.select("fp", "values").distinct().select("fp", "values", F.xxhash64("fp", "values").alias("id"), planes("values").alias("bits")), "texts")
+    both = texts.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("values", i * IN_BAND + 1, IN_BAND)))).alias("key")).withColumn("class", F.col("id"))
     one, other = texts.select("id", F.col("fp").alias("f"), F.col("values").alias("v")), texts.select(F.col("id").alias("centre"), F.col("fp").alias("g"), F.col("values").alias("w"))
-    equal, links = F.size(F.filter(F.zip_with("v", "w", lambda x, y: x == y), lambda e: e)), None
+    equal, links, roots = F.size(F.filter(F.zip_with("v", "w", lambda x, y: x == y), lambda e: e)), None, None
     width = 1
     while True:
-        hashed = F.xxhash64("id", "cell", F.lit(width))
-        heads = cells.groupBy("cell").agg(F.min(F.struct(hashed.alias("h"), "id")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        heads = cut(heads.select("cell", F.col("x.id").alias("head"), "n"), "heads")
-        if links is not None and not heads.head(1):
+        hashed = F.xxhash64("id", "key", F.lit(width))
+        mixed = both.groupBy("key").agg(F.min(F.struct(hashed.alias("h"), "id"))["id"].alias("head"), F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("largest"))
+        mixed = cut(mixed.filter("least < largest").select("key", "head", "n"), "mixed")
+        if links is not None and not mixed.head(1):
             return links.distinct()
         also = F.lit(width > 1) & (F.pmod(hashed, F.lit(1 << 20)) * F.col("n") < F.lit(width << 20))
-        placed = cut(met(cells, heads, "cell", "n").select("id", "cell", "head", ((F.col("id") == F.col("head")) | also).alias("now")), "placed")
-        if width == 1:
-            members = placed.filter("NOT now").select("id", F.col("head").alias("centre"), "cell")
-        else:  # of two centres the one of the larger id is compared
-            members = placed.select("id", "cell", "now").join(placed.filter("now").select("cell", F.col("id").alias("centre")), "cell").filter("id > centre OR (NOT now AND id != centre)").select("id", "centre", "cell")
-        members = cut(members, "members")
-        stars = cut(members.groupBy("centre").agg(F.countDistinct("id").alias("n")), "stars")
-        pairs = members.select("id", "centre").distinct().join(one, "id")
-        pairs = met(pairs, cut(stars.join(other, "centre"), "stars"), "centre", "n").withColumn("near", equal >= similarity * BANDS * IN_BAND)
-        pairs = cut(pairs.select("id", "centre", "f", "g", "near"), "pairs")
-        found = pairs.filter("near and f != g").select(F.greatest("f", "g").alias("a"), F.least("f", "g").alias("b"))
+        placed = met(both, mixed, "key", "n").withColumn("now", (F.col("id") == F.col("head")) | also).drop("head", "n")
+        placed = cut(placed.join(texts.select("id", "bits"), "id") if width == 1 else placed, "placed")
+        members = cut(meeting(placed, similarity), "members")
+        stars = cut(members.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "stars")
+        pairs = met(members.join(one, "id"), cut(stars.join(other, "centre"), "stars"), "centre", "n").filter(equal >= similarity * BANDS * IN_BAND)
+        pairs = cut(pairs.select("id", "centre", "f", "g"), "pairs")
+        found = pairs.filter("f != g").select(F.greatest("f", "g").alias("a"), F.least("f", "g").alias("b"))
         links, width = found if links is None else links.union(found), width * 8
-        linked = members.join(pairs.filter("near").select("id", "centre"), ["id", "centre"], "left_semi").select("id", "cell").distinct()
-        cells = cut(placed.filter("NOT now").select("id", "cell").join(linked, ["id", "cell"], "left_anti"), "left")
+        both = placed.filter("NOT now").drop("now")
+        if pairs.head(1):  # classes so far are stars, so only new links are many
+            edges = pairs.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
+            roots = cut(classes(edges if roots is None else edges.union(roots.filter("node != root").select("node", "root")).distinct()), "roots")
+            both = both.join(roots, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id")).drop("node", "root")
+            both = cut(both, "left")
 
 
 def ball_links(prints: DataFrame) -> DataFrame:

@@ -130,6 +130,29 @@ def test_many_texts_of_a_band_meet_in_few_rounds(spark, monkeypatch):
     assert rounds.count("pairs") <= 4
 
 
+def test_near_misses_of_a_band_are_not_compared_and_no_link_is_missed(spark, monkeypatch):
+    """Copies that differ from one text in 5 to 45 of 100 values meet in bands, most of them too far from each other."""
+    rng = np.random.default_rng(8)
+    n, base = 150, rng.integers(0, 1 << 30, simhash.BANDS * simhash.IN_BAND)
+    values = np.tile(base, (n, 1))
+    for i, v in enumerate(values):
+        at = rng.permutation(len(v))[: (8, 13, 25, 45)[i % 4]]
+        v[at] = rng.integers(0, 1 << 30, len(at))
+    compared = []
+    monkeypatch.setattr(simhash, "cut", lambda df, name, was=simhash.cut: (out := was(df, name), name == "members" and compared.append(out.count()))[0])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "fp long, values array<int>")
+    got, want = ({i: i for i in range(n)} for _ in range(2))
+    for a, b in simhash.similar_links(rows, 0.8).collect():
+        got[find(got, a)] = find(got, b)
+    for a, b in itertools.combinations(range(n), 2):
+        same = values[a] == values[b]
+        if same.sum() >= 80 and same.reshape(simhash.BANDS, -1).all(axis=1).any():
+            want[find(want, a)] = find(want, b)
+    classes = lambda parent: {frozenset(j for j in range(n) if find(parent, j) == find(parent, i)) for i in range(n)}
+    assert classes(got) == classes(want) and len(classes(want)) > n // 3
+    assert sum(compared) < 4 * n
+
+
 def test_classes_of_random_links(spark):
     rng = random.Random(3)
     links = {(rng.randrange(1, 400), rng.randrange(400)) for _ in range(330)} | {(i + 1000, i + 999) for i in range(1, 120)}
