@@ -80,7 +80,7 @@ def phantoms(index: DataFrame, files: DataFrame) -> DataFrame:
 
 def first_existing(candidates: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """The first path of candidates(key, paths) that is a file; keys without one are left out."""
-    each = candidates.select(key, F.posexplode("paths").alias("pos", "path"))
+    each = candidates.select(key, F.posexplode_outer("paths").alias("pos", "path"))  # the inner one has Spark compute all paths once more, in a filter for empty arrays
     return each.join(files.select("path"), "path", "left_semi").groupBy(key).agg(F.min_by("path", "pos").alias("path"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels, names
@@ -68,13 +68,23 @@ def fix_unknown_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.fix_unknown_flags(open_).select("image_id", "quality_flag", "is_night", "fixed")
 
 
+def _path_of(i: Column) -> Column:
+    return F.when(i % 50 == 1, F.concat(F.lit("data/raw/2024/01/new_"), "filename")).otherwise(F.col("local_path"))
+
+
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing that stands in for the disk: most images, some with another size, some unknown ones."""
     df, i = index(spark, sf_dir), F.col("image_id")
-    one = select.first_of(df.filter(i % 7 != 0), ["local_path"], i)
+    one = select.first_of(df.filter(i % 7 != 0).select("image_id", "local_path", "filename", "file_size_bytes"), ["local_path"], i)
     size = F.when(i % 3 == 0, 2000 + i % 100).otherwise(F.coalesce("file_size_bytes", F.lit(700)))
-    path = F.when(i % 50 == 1, F.concat(F.lit("data/raw/2024/01/new_"), "filename")).otherwise(F.col("local_path"))
-    return one.select(path.alias("path"), size.cast("long").alias("length"))
+    return one.select(_path_of(i).alias("path"), size.cast("long").alias("length"))
+
+
+def paths_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of files_of alone. A path ends with its file name, so the least number is all that a group keeps, and nothing is sorted."""
+    df, i = index(spark, sf_dir), F.col("image_id")
+    one = df.filter(i % 7 != 0).groupBy("local_path", "filename").agg(F.min("image_id").alias("image_id"))
+    return one.select(_path_of(i).alias("path"))
 
 
 _FILES = ", disk AS (SELECT CASE WHEN image_id % 50 = 1 THEN 'data/raw/2024/01/new_' || filename ELSE local_path END AS path, CASE WHEN image_id % 3 = 0 THEN 2000 + image_id % 100 ELSE coalesce(file_size_bytes, 700) END AS length FROM (SELECT * FROM idx WHERE image_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY local_path ORDER BY image_id) = 1))"
@@ -98,7 +108,7 @@ def phantom_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FILES + ", c AS (SELECT image_id, unnest([regexp_replace(replace(local_path, 'data/raw/', 'data/processed/'), '\\.[^./]*$', '.png'), local_path]) AS path, unnest([0, 1]) AS pos FROM idx) SELECT image_id, arg_min(path, pos) AS path FROM c WHERE path IN (SELECT path FROM disk) GROUP BY image_id")
 def path_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = index(spark, sf_dir).select("image_id", names.path_candidates(F.col("local_path"), F.col("filename")).alias("paths"))
-    return catalog.first_existing(c, files_of(spark, sf_dir), "image_id")
+    return catalog.first_existing(c, paths_of(spark, sf_dir), "image_id")
 
 
 @query(", f AS (SELECT DISTINCT filename, 1 AS has FROM idx WHERE image_id % 6 <> 0 AND quality_flag = 'usable') SELECT count(*) AS n_rows, count(has) AS n_joined, count(*) FILTER (has IS NULL) AS n_missing FROM idx LEFT JOIN f USING (filename)")

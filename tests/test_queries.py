@@ -3,12 +3,14 @@
 import datetime
 import decimal
 import math
+from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__
-from tephra.operators import models
+from tephra.operators import catalog, models
+from tephra.plans import catalogue
 from tephra.plans.registry import QUERIES, SQL
 
 TABLES = "events documents embeddings pages labels".split()
@@ -58,3 +60,15 @@ def test_competition_of_classifiers(spark, sf):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_path_lookup_makes_paths_once_and_lists_what_the_files_have(spark, sf):
+    """Spark put all candidates of a row into a filter for empty arrays, and whole rows into the listing."""
+    query = QUERIES["path_candidates"](spark, sf)
+    plan = query._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Filter" in line and "regexp_replace" in line for line in plan)
+    assert not any("Aggregate" in line and "quality_flag" in line for line in plan)
+    assert Counter(catalogue.paths_of(spark, sf).collect()) == Counter(catalogue.files_of(spark, sf).select("path").collect())
+    odd = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, [None, "b"]), (5, ["c"])], "k int, paths array<string>")
+    files = spark.createDataFrame([("b",), ("b",), (None,)], "path string")
+    assert {tuple(r) for r in catalog.first_existing(odd, files, "k").collect()} == {(1, "b"), (4, "b")}
