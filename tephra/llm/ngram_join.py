@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import cut, keyed, met, small
+from .common import cut_tidy as cut
+from .common import keyed, met, small
 from .simhash import classes
 
 SHINGLE = 5
@@ -255,33 +256,42 @@ def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(close("na", "xa", "nb", "xb")).select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
 
 
+def gathered(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """lead, id, class, member, now, n, bits from placed(lead, id, ask, class, now): a set once in all cells of one lead, with its size and bits.
+
+    Cells of one lead have much the same sets, so bits, which are some hundred bytes, are sent once for many cells."""
+    once = placed.filter("ask = 0 OR now").groupBy("lead", "id").agg(F.min("class").alias("class"), (F.min("ask") == 0).alias("member"), F.max("now").alias("now"))
+    return cut(once.join(sets.select("id", "n", "bits"), "id"), "gathered")
+
+
 def meeting(placed: DataFrame) -> DataFrame:
-    """a, b, n: pairs of sets of different classes that meet in a cell of placed(key, id, ask, class, now, n, bits), as near() has them.
+    """a, b, n: pairs of sets of different classes that meet in the cells of one lead in placed(lead, id, class, member, now, n, bits), as near() has them.
 
     Bits and sizes are part of the join, so a pair that they dismiss is no row, however many near misses a cell holds."""
-    one = placed.filter("ask = 0").select("key", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    other = placed.filter("now").select(F.col("key").alias("cell"), F.col("id").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    pairs = one.join(other, F.expr("key = cell AND ca != cb") & close("na", "xa", "nb", "xb"))
+    one = placed.filter("member").select("lead", F.col("id").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    other = placed.filter("now").select(F.col("lead").alias("led"), F.col("id").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    pairs = one.join(other, F.expr("lead = led AND ca != cb") & close("na", "xa", "nb", "xb"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("n")).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, texts: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
     """Of distinct pairs (a, b, n) of sets, as near() has them, those that link, and the whole sets (id, set) read so far.
 
-    Each whole set is read once in all rounds."""
+    Each whole set is read once in all rounds, and only those of this round's pairs are joined."""
 
     @pandas_udf(ArrayType(LongType()))
     def whole(text: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, k).view(np.int64) for t in text], dtype=object)
 
     pairs = cut(pairs, "near")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = wanted if texts is None else wanted.join(texts.select("id"), "id", "left_anti")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    wanted = ids if texts is None else ids.join(texts.select("id"), "id", "left_anti")
     wanted = cut(wanted.join(sets.select("id", "uid"), "id"), "wanted")
     if texts is None or wanted.head(1):
         fresh = cut(rows.join(small(wanted), "uid").select("id", whole("text").alias("set")), "sets")
         texts = fresh if texts is None else texts.union(fresh)
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    own = texts.join(small(ids), "id", "left_semi")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     linked = both.filter(common * OF >= (F.col("n") - common) * SHARE)
     return cut(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges"), texts
@@ -297,21 +307,20 @@ def links(members: DataFrame, asking: DataFrame, sets: DataFrame, rows: DataFram
     first = first.groupBy("id").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead")).select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
     edges, texts = similar(near(first, sets), sets, rows, None, k)
     both = members.withColumn("ask", F.lit(0)).unionByName(asking.withColumn("ask", F.lit(1))).withColumn("class", F.col("id"))
-    roots, width, known = None, 1, False
+    roots, width = None, 1
     while True:
         if edges.head(1):  # classes so far are stars, so only new links are many
             roots = cut(classes(edges if roots is None else edges.union(roots.filter("node != root").select("node", "root")).distinct()), "roots")
             both = both.join(roots, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id")).drop("node", "root")
             both = cut(both, "both")
-        mixed = both.groupBy("key").agg(F.sum("ask").alias("probes"), F.count(F.lit(1)).alias("count"), F.min("class").alias("least"), F.max("class").alias("largest"))
-        mixed = cut(mixed.filter("probes > 0 AND least < largest").select("key", "probes", "count"), "mixed")
+        mixed = both.groupBy("key").agg(F.sum("ask").alias("probes"), F.count(F.lit(1)).alias("count"), F.min("class").alias("least"), F.max("class").alias("largest"), F.min(F.xxhash64("id")).alias("lead"))
+        mixed = cut(mixed.filter("probes > 0 AND least < largest").select("key", "probes", "count", "lead"), "mixed")
         if not mixed.head(1):
             return roots
         now = F.pmod(F.xxhash64("id", "key", F.lit(width)), F.lit(1 << 20)) * F.col("probes") < F.lit(width << 20)
-        placed = met(both, mixed, "key", "count").withColumn("now", now & (F.col("ask") == 1)).drop("probes", "count")
-        placed = cut(placed if known else placed.join(sets.select("id", "n", "bits"), "id"), "placed")
-        edges, texts = similar(meeting(placed), sets, rows, texts, k)
-        both, width, known = placed.filter("NOT now").drop("now"), width * 64, True
+        placed = cut(met(both, mixed, "key", "count").withColumn("now", now & (F.col("ask") == 1)).drop("probes", "count"), "placed")
+        edges, texts = similar(meeting(gathered(placed, sets)), sets, rows, texts, k)
+        both, width = placed.filter("NOT now").drop("now", "lead"), width * 64
 
 
 def linked(docs: DataFrame, k: int = SHINGLE) -> DataFrame:

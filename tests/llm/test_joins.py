@@ -1,10 +1,12 @@
 """Conversation repair, the n-gram Jaccard join, spelling variants and sharding against brute force."""
 
+import gc
 import hashlib
 import heapq
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tephra.llm import conversations, ngram_join, sharding, spelling
+from tephra.llm import common, conversations, ngram_join, sharding, spelling
 
 CLASH = ("n", "key", "id", "row", "uid", "word", "seen", "symbol", "branch", "component_id")
 
@@ -293,3 +295,30 @@ def test_near_misses_of_a_cell_are_no_pairs(spark, monkeypatch):
     sets = brute_sets([t for _, t in rows])
     assert got == dict(zip(range(121), brute_components(list(range(121)), sets), strict=True))
     assert sum(seen) < 3 * len(rows)
+
+
+def test_bits_are_sent_once_for_many_cells(spark, monkeypatch):
+    """Texts that share many cells, but are not similar, are few rows of the join that carries their parity bits."""
+    rng, rows = random.Random(8), []
+    for i in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(578)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(rng, base, 17)))]
+    rows.append((40, rows[6][1] + " end"))
+    seen, meeting = [], ngram_join.meeting
+    monkeypatch.setattr(ngram_join, "meeting", lambda placed: seen.append(placed.count()) or meeting(placed))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip(range(41), brute_components(list(range(41)), brute_sets([t for _, t in rows])), strict=True))
+    assert got[40] == 6 and seen and sum(seen) < 6 * len(rows)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A table of the join leaves no shuffle files and no setting behind."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    gc.collect()
+    before, setting = files(), spark.conf.get(common.TIDY, None)
+    out = ngram_join.cut(spark.range(200_000).repartition(F.xxhash64("id")), "ids")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 200_000 and spark.conf.get(common.TIDY, None) == setting
