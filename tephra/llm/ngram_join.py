@@ -16,6 +16,7 @@ leading probes that it shares most cells with. Links merge classes, and from the
 classes are looked at: some of their probes, 64 times as many each round, are
 compared with the members of other classes, until each probe of a cell has been compared or
 its cell is one class. So classes are complete, and a group of near copies costs few comparisons for each copy.
+Cells with the same lead, their set of the least hash, have much the same sets and are compared as one.
 Pairs are dismissed if the parity bits of their shingles differ in more than H, within the join of the cells, and otherwise
 verified on the whole sets.
 
