@@ -3,6 +3,7 @@
 import itertools
 import math
 import struct
+import threading
 import zlib
 
 import duckdb
@@ -728,3 +729,68 @@ def test_features_of_frames_in_stacks(spark):
         assert all(got[i][f] == pytest.approx(want[f]) for f in kernels.FEATURES)
     stack = rng.random((50, 8, 8))
     assert np.allclose(kernels.vectors(stack, None)["lbp_entropy"], [kernels.lbp_entropy(np.floor(x * 255)) for x in stack])
+
+
+def test_fits_store_no_features(spark):
+    """Kernel features are made within the passes over the rows: no fit of the competition holds rows of any kind, and the models are Spark's."""
+    rng = np.random.default_rng(11)
+    rows = [(i, float(x), float(y), 3.0, float(x * y + rng.normal() > 0.7)) for i, (x, y) in enumerate(rng.normal(size=(900, 2)))]
+    df = models.balanced(models.assembled(spark.createDataFrame(rows, "image_id long, x double, y double, same double, label double"), ["x", "y", "same"]), "label")
+    candidates = {n: e for n, e in models.weather_candidates(weight="weight").items() if n in ("linear_1", "linear_50", "kernel_1", "kernel_10")}
+    held, over, info = [0], threading.Event(), spark.sparkContext._jsc.sc().getRDDStorageInfo
+    others = {r.id() for r in info()}  # what other tests hold
+
+    def watch():
+        while not over.wait(0.01):
+            held[0] = max(held[0], sum(r.memSize() + r.diskSize() for r in info() if r.id() not in others))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    scores = models.competed(df, "image_id", candidates, k=3)
+    fits = {n: models.fit_all(df, "image_id", e) for n, e in candidates.items()}
+    over.set()
+    watcher.join()
+    assert held[0] == 0 and len(scores) == 4
+
+    def loss(model, strength):
+        """What a fit makes least, Spark's penalty included."""
+        got = model.transform(df).select(F.col(model.stages[-1].getFeaturesCol()).alias("f"), "label", "weight").collect()
+        x, y, w, b = np.array([r.f.toArray() for r in got]), np.array([r.label for r in got]), np.array([r.weight for r in got]), model.stages[-1].coefficients.toArray()
+        m, spread = x @ b + model.stages[-1].intercept, np.average((x - np.average(x, axis=0, weights=w)) ** 2, axis=0, weights=w) / (1 - (w**2).sum() / w.sum() ** 2)
+        return np.average(np.logaddexp(0, m) - y * m, weights=w) + strength * (spread * b**2).sum() / 2
+
+    for n, e in candidates.items():
+        ours, spark_s = (loss(m, e.getStages()[-1].getRegParam()) for m in (fits[n], e.fit(df)))
+        assert spark_s - 0.01 < ours <= spark_s + 1e-7, n
+
+
+def test_one_class_or_a_far_step(spark):
+    """With one class the intercept is without bound, as in Spark; classes that a line parts are fitted as Spark does."""
+    make = lambda rows: models.assembled(spark.createDataFrame(rows, "image_id long, x double, label double"), ["x"]).withColumn("weight", F.lit(1.0))
+    candidate = models.weather_candidates(weight="weight")["linear_50"]
+    for y in (0.0, 1.0):
+        last = models.fit_all(make([(i, float(i), y) for i in range(6)]), "image_id", candidate).stages[-1]
+        assert last.intercept == (np.inf if y else -np.inf) and not last.coefficients.toArray().any()
+    df = make([(i, float(i - 20) ** 3, float(i > 20)) for i in range(41)])
+    ours, plain = models.fit_all(df, "image_id", candidate).stages[-1], candidate.fit(df).stages[-1]
+    assert ours.intercept == pytest.approx(plain.intercept, abs=1e-2) and np.allclose(ours.coefficients.toArray(), plain.coefficients.toArray(), rtol=1e-2)
+
+
+def test_forest_grows_in_runs(spark, tmp_path, monkeypatch):
+    """Beyond a bound of draws some trees grow at a time; they are one forest, which can be saved, and few tasks send figures for all nodes."""
+    asked, fit = [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models, "AT_ONCE", 4000)
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, df, params=None: asked.append(self.copy(params).getNumTrees()) or fit(self, df, params))
+    df = models.balanced(models.assembled(spark.createDataFrame([(i, float(i % 10), float(i % 10 + i % 7 > 8)) for i in range(400)], "image_id long, x double, label double").withColumn("y", F.col("image_id").cast("double")), ["x", "y"]), "label")
+    candidate = models.weather_candidates(33, "weight")["forest"]
+    model = models.fit_all(df, "image_id", candidate)
+    assert sum(asked) == 33 and len(asked) > 1 and max(asked) <= 10
+    models.save(model, str(tmp_path / "forest"))
+    for m in (model, models.load(str(tmp_path / "forest"))):
+        trees = m.stages[-1].trees
+        assert len(trees) == 33 and len({t.toDebugString.split("\n", 1)[1] for t in trees}) > 10
+        for r in m.transform(df).select("features", "label", "probability", "prediction").limit(40).collect():
+            mean = np.mean([t.predictProbability(r.features).toArray() for t in trees], axis=0)
+            assert np.allclose(mean, r.probability.toArray()) and r.prediction == mean.argmax()
+    many = models.assembled(spark.range(300_000).select(F.col("id").cast("double").alias("a"), F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"), F.lit(1).alias("rows")), ["a"])
+    assert models.drawn(many).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
