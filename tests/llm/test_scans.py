@@ -225,3 +225,21 @@ def test_queries_run(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op2_pii", "op5_licences", "op6_secrets"):
         assert queries.queries()[name](spark, sf).count() == n
+
+
+def test_pii_learns_from_every_distinct_text(spark, monkeypatch):
+    """Each distinct text with a base span counts, once: also beyond 3,000 of them, and without three digits in a row."""
+    texts = [f"{'x' * (i % 60)} write to a{i}@b.org or call +1 23 45 67 {i % 90 + 10} now" for i in range(3600)] + ["only +1 23 45 67 89 here", "plain 12345"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:500], *[texts[0]] * 50, None])], "doc_id long, text string")
+    seen, fit = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, df: seen.append(df.agg(F.sum("n") if "n" in df.columns else F.count("*")).first()[0]) or fit(self, df))
+    model = pii.fit(docs)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).dropna().distinct().collect()}
+    want = sum(len(pii.training_rows(t, random.Random(h))) for t, h in hashes.items() if h % 10 >= 3)
+    assert model.trees and seen == [want]
+    assert re.search(pii.POSSIBLE, "only +1 23 45 67 89 here") and len(pii.base_spans("only +1 23 45 67 89 here")) == 1
+
+
+@given(st.lists(st.sampled_from(["4031065727380220", "+1 (183) 555-1276", "a.b@c.d.e", "@", "1.2.3.4", "256.1.1.1", "x", " ", "-", "4111 1111 1111 1111", "..", "+49 30 12 34", "1", "0."]), max_size=8).map("".join))
+def test_pii_filter_leaves_every_text_with_a_base_span(t):
+    assert not pii.base_spans(t) or re.search(pii.POSSIBLE, t)
